@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from casewright import vocab
 from casewright.functions.ordered import top_k
-from casewright.functions.text import clean, folded
+from casewright.functions.text import clean
 from casewright.session import cut_lineage
 
 MODES = ("additive", "probabilistic_or", "max")
@@ -170,50 +170,49 @@ def _set_literal(masks: Sequence[int]) -> Column:
 # -- tokens and keys ------------------------------------------------------------------------
 
 
-def file_hash(hashes: Column) -> Column:
-    """The strongest hash there is: sha256, else sha1, else md5, else a bare hash."""
-    return F.coalesce(*[clean(hashes[name]) for name in ("sha256", "sha1", "md5", "hash")])
+def _clean(column: str) -> str:
+    return f"nullif(trim({column}), '')"
+
+
+#: The strongest hash there is: sha256, else sha1, else md5, else a bare hash.
+FILE_HASH_SQL = "coalesce(" + ", ".join(_clean(f"file.hashes['{n}']") for n in ("sha256", "sha1", "md5", "hash")) + ")"
+
+#: Text each reason compares, trimmed and without case; the others compare numbers or lists.
+_COMPARED = {
+    "same_host": "host", "same_user": "`user`", "same_process_name": "process.name", "same_file_hash": FILE_HASH_SQL,
+    "same_file_path": "file.path", "same_source_ip": "network.source_ip",
+    "same_destination_ip": "network.destination_ip", "same_dns_query": "dns.query",
+    "same_registry_key": "registry.key", "same_rule": "rule_id",
+}
 
 
 def tokens(events: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Narrow event rows: one comparable 64-bit token per reason, null when absent."""
-    host = folded(F.col("host"))
-    text = lambda col: F.when(folded(col).isNotNull(), F.xxhash64(folded(col)))
-    on_host = lambda col: F.when(host.isNotNull(), col)
-    pid, ppid = F.col("process.pid").cast("long"), F.col("process.parent_pid").cast("long")
-    nothing = F.lit(None).cast("long")
-    by_reason = {
-        "same_host": text(F.col("host")),
-        "same_user": text(F.col("user")),
-        "same_process_name": on_host(text(F.col("process.name"))),
-        "same_process_id": on_host(pid),
-        "parent_child": nothing,
-        "same_file_hash": text(file_hash(F.col("file.hashes"))),
-        "same_file_path": text(F.col("file.path")),
-        "same_source_ip": text(F.col("network.source_ip")),
-        "same_destination_ip": text(F.col("network.destination_ip")),
-        "same_dns_query": text(F.col("dns.query")),
-        "same_registry_key": text(F.col("registry.key")),
-        "same_mitre_technique": nothing,
-        "same_rule": text(F.col("rule_id")),
-    }
-    techniques = F.filter(
-        F.transform(F.coalesce("mitre_techniques", F.array().cast("array<string>")), lambda t: clean(t)),
-        lambda t: t.isNotNull(),
+    texts = [f"lower({_clean(x)}) AS t_{name}" for name, x in _COMPARED.items()]
+    scope_key = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in scope)
+    plain = events.selectExpr(
+        *scope, f"xxhash64({scope_key}) AS scope_key", f"{_clean('event_id')} AS event_id", "unix_micros(timestamp) AS ts",
+        *texts, "CAST(process.pid AS LONG) AS own_pid", "CAST(process.parent_pid AS LONG) AS own_ppid",
+        "array_sort(array_distinct(filter(transform(coalesce(mitre_techniques, array()), t -> nullif(trim(t), '')), "
+        "t -> t IS NOT NULL))) AS technique_list",
+    ).filter("event_id IS NOT NULL AND ts IS NOT NULL")
+
+    def token(name: str) -> str:
+        if name in ("parent_child", "same_mitre_technique"):
+            return "CAST(NULL AS LONG)"
+        on_host = " AND t_same_host IS NOT NULL" if _BIT[name] & _HOST_GATED else ""
+        if name == "same_process_id":
+            return f"CASE WHEN own_pid IS NOT NULL{on_host} THEN own_pid END"
+        return f"CASE WHEN t_{name} IS NOT NULL{on_host} THEN xxhash64(t_{name}) END"
+
+    narrow = plain.selectExpr(
+        *scope, "scope_key", "event_id", "ts", f"array({', '.join(token(n) for n in vocab.REASON_NAMES)}) AS tok",
+        "CASE WHEN t_same_host IS NOT NULL THEN own_pid END AS pid",
+        "CASE WHEN t_same_host IS NOT NULL THEN own_ppid END AS ppid",
+        "transform(technique_list, t -> xxhash64(t)) AS techs",
     )
-    narrow = events.select(
-        *scope,
-        F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in scope]).alias("scope_key"),
-        clean(F.col("event_id")).alias("event_id"),
-        F.unix_micros("timestamp").alias("ts"),
-        F.array(*[by_reason[name] for name in vocab.REASON_NAMES]).alias("tok"),
-        on_host(pid).alias("pid"), on_host(ppid).alias("ppid"),
-        F.transform(F.array_sort(F.array_distinct(techniques)), lambda t: F.xxhash64(t)).alias("techs"),
-    ).filter(F.col("event_id").isNotNull() & F.col("ts").isNotNull())
-    held = F.lit(0)
-    for i in range(_N):
-        held = held + F.when(F.col("tok")[i].isNotNull(), 1 << i).otherwise(0)
-    return narrow.withColumn("held", held)
+    held = " + ".join(f"CASE WHEN tok[{i}] IS NOT NULL THEN {1 << i} ELSE 0 END" for i in range(_N))
+    return narrow.selectExpr("*", f"{held} AS held")
 
 
 def _variants() -> Column:
@@ -239,9 +238,7 @@ def _variants() -> Column:
 
 def _positions(mask: Column) -> Column:
     """Token positions of the reasons in a mask, ascending."""
-    return F.array_compact(
-        F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, i) for i in range(_N)])
-    )
+    return F.filter(F.sequence(F.lit(0), F.lit(_N - 1)), lambda i: F.getbit(mask, i) == 1)
 
 
 def _group_key(mask: Column, positions: Column, family: Column, technique: Column) -> Column:
@@ -278,18 +275,18 @@ def key_rows(events: DataFrame, scope: Sequence[str], sets: Column, rules: Rules
 
 def _pair_mask() -> Column:
     """Reason mask of a joined pair (a, b)."""
-    scalar = [i for i in range(_N) if not (1 << i) & (_PARENT | _TECHNIQUE)]
-    same = lambda i: F.coalesce(F.col("a.tok")[i] == F.col("b.tok")[i], F.lit(False))
-    host = same(_POS["same_host"])
-    mask = F.lit(0)
-    for i in scalar:
-        hit = same(i) & host if (1 << i) & _HOST_GATED else same(i)
-        mask = mask + F.when(hit, 1 << i).otherwise(0)
-    parent = F.coalesce(F.col("a.pid") == F.col("b.ppid"), F.lit(False)) | F.coalesce(
-        F.col("a.ppid") == F.col("b.pid"), F.lit(False)
-    )
-    mask = mask + F.when(host & parent, _PARENT).otherwise(0)
-    return mask + F.when(F.arrays_overlap("a.techs", "b.techs"), _TECHNIQUE).otherwise(0)
+    host = f"coalesce(a.tok[{_POS['same_host']}] = b.tok[{_POS['same_host']}], false)"
+    bits = []
+    for name, bit in _BIT.items():
+        if bit == _PARENT:
+            test = f"{host} AND (coalesce(a.pid = b.ppid, false) OR coalesce(a.ppid = b.pid, false))"
+        elif bit == _TECHNIQUE:
+            test = "arrays_overlap(a.techs, b.techs)"
+        else:
+            test = f"coalesce(a.tok[{_POS[name]}] = b.tok[{_POS[name]}], false)"
+            test += f" AND {host}" if bit & _HOST_GATED else ""
+        bits.append(f"CASE WHEN {test} THEN {bit} ELSE 0 END")
+    return F.expr(" + ".join(bits))
 
 
 def _matched(left: DataFrame, right: DataFrame, scope: Sequence[str], rules: Rules, both_ways: bool = False) -> DataFrame:
@@ -341,12 +338,10 @@ def _once_per_set(pairs: DataFrame) -> DataFrame:
 
 def _scored(pairs: DataFrame, scope: Sequence[str], rules: Rules) -> DataFrame:
     mask = F.col("mask")
-    reasons = F.array_compact(
-        F.array(*[F.when(mask.bitwiseAND(F.lit(_BIT[n])) != 0, n) for n in vocab.REASON_NAMES])
-    )
-    raw = F.lit(0.0)
-    for name in vocab.REASON_NAMES:
-        raw = raw + F.when(mask.bitwiseAND(F.lit(_BIT[name])) != 0, rules.weights[name]).otherwise(0.0)
+    has = lambda name: f"mask & {_BIT[name]} <> 0"
+    names = vocab.REASON_NAMES
+    reasons = F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {has(n)} THEN '{n}' END" for n in names) + "))")
+    raw = F.expr(" + ".join(f"CASE WHEN {has(n)} THEN {rules.weights[n]!r}D ELSE 0D END" for n in names))
     return pairs.select(
         *scope, "source_event_id", "related_event_id",
         (F.col("delta_micros") / 1e6).alias("time_delta_seconds"),
@@ -650,7 +645,7 @@ def with_rationale(pairs: DataFrame, events: DataFrame) -> DataFrame:
             clean(F.col("host")).alias("host"), clean(F.col("user")).alias("user"),
             clean(F.col("process.name")).alias("pname"), F.col("process.pid").alias("pid"),
             F.col("process.parent_pid").alias("ppid"),
-            F.lower(file_hash(F.col("file.hashes"))).alias("file_hash"),
+            F.lower(F.expr(FILE_HASH_SQL)).alias("file_hash"),
             clean(F.col("file.path")).alias("path"), clean(F.col("network.source_ip")).alias("src"),
             clean(F.col("network.destination_ip")).alias("dst"), clean(F.col("dns.query")).alias("dns"),
             clean(F.col("registry.key")).alias("reg"), clean(F.col("rule_id")).alias("rule"),

@@ -6,94 +6,67 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright import vocab
-from casewright.functions.identity import canonical_json
+from casewright.functions.identity import json_sql
 from casewright.functions.ordered import top_k
-from casewright.functions.text import band, lookup
 
 CONTEXT_COLUMNS = ["process", "network", "file", "registry", "dns"]
 
 
-def strength(severity: Column) -> Column:
-    return band(severity, "critical", "strong", "moderate", "weak")
+def _case_sql(column: str, table: dict, default: str) -> str:
+    """Lookup in a small fixed table as SQL text."""
+    arms = " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items())
+    return f"CASE {column} {arms} ELSE {default} END"
 
 
-def reliability_confidence(reliability: Column) -> Column:
-    return F.coalesce(
-        lookup(reliability, vocab.RELIABILITY_CONFIDENCE),
-        F.lit(vocab.RELIABILITY_UNKNOWN_CONFIDENCE),
-    )
+STRENGTH_SQL = (
+    f"CASE WHEN severity >= {vocab.BAND_CRITICAL} THEN 'critical' WHEN severity >= {vocab.BAND_HIGH} THEN 'strong' "
+    f"WHEN severity >= {vocab.BAND_MEDIUM} THEN 'moderate' ELSE 'weak' END"
+)
+CONFIDENCE_SQL = "CAST(" + _case_sql(
+    "source_reliability", vocab.RELIABILITY_CONFIDENCE, str(vocab.RELIABILITY_UNKNOWN_CONFIDENCE)
+) + " AS DOUBLE)"
+TYPE_SQL = _case_sql("category", {k: f"'{v}'" for k, v in vocab.CATEGORY_EVIDENCE_TYPE.items()}, "'event'")
 
 
-def title() -> Column:
-    """Human-readable title; the template depends on the category."""
-    kind = F.coalesce(F.nullif(F.col("event_type"), F.lit("")), F.lit("event"))
-    orq = lambda col, other="?": F.coalesce(F.nullif(F.col(col), F.lit("")), F.lit(other))
-    pid = F.col("process.pid")
-    port = F.col("network.destination_port")
-    arrow = F.concat(kind, F.lit(": "), orq("network.source_ip"), F.lit(" → "), orq("network.destination_ip"))
-    process = F.concat(kind, F.lit(": "), orq("process.name", "unknown"))
-    category = F.col("category")
-    return (
-        F.when(
-            (category == "process") & F.col("process").isNotNull(),
-            F.when(pid.isNotNull(), F.concat(process, F.lit(" (PID "), pid.cast("string"), F.lit(")")))
-            .otherwise(process),
-        )
-        .when(
-            category.isin("network", "http") & F.col("network").isNotNull(),
-            F.when(F.coalesce(port, F.lit(0)) != 0, F.concat(arrow, F.lit(":"), port.cast("string")))
-            .otherwise(arrow),
-        )
-        .when(
-            (category == "dns") & F.col("dns").isNotNull(),
-            F.concat(kind, F.lit(": DNS "), orq("dns.query")),
-        )
-        .when(
-            (category == "file") & F.col("file").isNotNull(),
-            F.concat(
-                kind, F.lit(": "),
-                F.coalesce(F.nullif(F.col("file.path"), F.lit("")), F.nullif(F.col("file.name"), F.lit("")), F.lit("?")),
-            ),
-        )
-        .when(
-            (category == "registry") & F.col("registry").isNotNull(),
-            F.concat(kind, F.lit(": "), orq("registry.key")),
-        )
-        .when(
-            category == "authentication",
-            F.concat(kind, F.lit(": "), orq("user"), F.lit(" @ "), orq("host")),
-        )
-        .otherwise(kind)
-    )
+def _known(column: str, default: str = "?") -> str:
+    return f"coalesce(nullif({column}, ''), '{default}')"
 
 
-def data_json() -> Column:
-    """Event content as JSON; nulls and empty lists are left out."""
-    some = lambda col: F.when(F.size(col) > 0, F.col(col))
-    return F.to_json(
-        F.struct(
-            "event_id", "event_type", "category", "severity", "source", "platform", "host", "user",
-            "domain", *CONTEXT_COLUMNS,
-            F.nullif(F.col("rule_id"), F.lit("")).alias("rule_id"),
-            F.nullif(F.col("rule_name"), F.lit("")).alias("rule_name"),
-            "rule_level",
-            some("mitre_techniques").alias("mitre_techniques"),
-            some("mitre_tactics").alias("mitre_tactics"),
-            some("tags").alias("event_tags"),
-        )
-    )
+#: Human-readable title; the template depends on the category.
+TITLE_SQL = f"""concat({_known('event_type', 'event')}, CASE
+  WHEN category = 'process' AND process IS NOT NULL THEN concat(': ', {_known('process.name', 'unknown')},
+    CASE WHEN process.pid IS NOT NULL THEN concat(' (PID ', process.pid, ')') ELSE '' END)
+  WHEN category IN ('network', 'http') AND network IS NOT NULL THEN concat(': ', {_known('network.source_ip')}, ' → ',
+    {_known('network.destination_ip')},
+    CASE WHEN coalesce(network.destination_port, 0) <> 0 THEN concat(':', network.destination_port) ELSE '' END)
+  WHEN category = 'dns' AND dns IS NOT NULL THEN concat(': DNS ', {_known('dns.query')})
+  WHEN category = 'file' AND file IS NOT NULL THEN
+    concat(': ', coalesce(nullif(file.path, ''), nullif(file.name, ''), '?'))
+  WHEN category = 'registry' AND registry IS NOT NULL THEN concat(': ', {_known('registry.key')})
+  WHEN category = 'authentication' THEN concat(': ', {_known('`user`')}, ' @ ', {_known('host')})
+  ELSE '' END)"""
+
+#: Event content as JSON; nulls and empty lists are left out.
+DATA_SQL = """to_json(named_struct(
+  'event_id', event_id, 'event_type', event_type, 'category', category, 'severity', severity, 'source', source,
+  'platform', platform, 'host', host, 'user', `user`, 'domain', domain, 'process', process, 'network', network,
+  'file', file, 'registry', registry, 'dns', dns, 'rule_id', nullif(rule_id, ''), 'rule_name', nullif(rule_name, ''),
+  'rule_level', rule_level, 'mitre_techniques', CASE WHEN size(mitre_techniques) > 0 THEN mitre_techniques END,
+  'mitre_tactics', CASE WHEN size(mitre_tactics) > 0 THEN mitre_tactics END,
+  'event_tags', CASE WHEN size(tags) > 0 THEN tags END))"""
+
+PROVENANCE_SQL = """named_struct('source', source, 'source_reliability', source_reliability,
+  'collector', 'event_to_evidence', 'collector_version', '1.0', 'parent_event_id', event_id,
+  'transformation', 'Event to Evidence', 'collected_at', timestamp)"""
+
+_ANY_CONTEXT_SQL = "(" + " OR ".join(f"{c} IS NOT NULL" for c in CONTEXT_COLUMNS) + ")"
 
 
 def has_content() -> Column:
     """Does the event carry anything beyond its envelope?"""
-    contexts = F.lit(False)
-    for name in CONTEXT_COLUMNS:
-        contexts = contexts | F.col(name).isNotNull()
-    return (
-        (F.coalesce(F.col("severity"), F.lit(0)) > 0)
-        | F.coalesce(F.col("rule_id") != "", F.lit(False))
-        | (F.coalesce(F.size("mitre_techniques"), F.lit(0)) > 0)
-        | contexts
+    return F.expr(
+        "coalesce(severity, 0) > 0 OR coalesce(rule_id, '') <> '' OR coalesce(size(mitre_techniques), 0) > 0 "
+        f"OR {_ANY_CONTEXT_SQL}"
     )
 
 
@@ -104,68 +77,30 @@ def from_events(events: DataFrame, keep_empty: bool = True) -> DataFrame:
     """
     source = events if keep_empty else events.filter(has_content())
     keep = [c for c in ("case_id",) if c in events.columns]
-    rows = source.select(
-        *keep,
-        "tenant_id",
-        F.concat(F.lit("E-"), F.col("event_id")).alias("evidence_id"),
-        "event_id",
-        F.lit(None).cast("string").alias("alert_id"),
-        F.coalesce(lookup(F.col("category"), vocab.CATEGORY_EVIDENCE_TYPE), F.lit("event")).alias("evidence_type"),
-        strength(F.col("severity")).alias("strength"),
-        title().alias("title"),
-        F.concat(
-            F.col("event_type"), F.lit(" detected on "),
-            F.coalesce(F.nullif(F.col("host"), F.lit("")), F.lit("unknown host")),
-            F.lit(" (severity "), F.col("severity").cast("string"), F.lit(")."),
-        ).alias("description"),
-        F.col("timestamp").alias("observed_at"),
-        reliability_confidence(F.col("source_reliability")).alias("confidence"),
-        data_json().alias("data"),
-        F.struct(
-            F.col("source").alias("source"),
-            F.col("source_reliability").alias("source_reliability"),
-            F.lit("event_to_evidence").alias("collector"),
-            F.lit("1.0").alias("collector_version"),
-            F.col("event_id").alias("parent_event_id"),
-            F.lit("Event to Evidence").alias("transformation"),
-            F.col("timestamp").alias("collected_at"),
-        ).alias("provenance"),
-        "mitre_techniques",
-        F.col("category").alias("event_category"),
-        "event_type",
-        "host",
-        F.col("severity").alias("event_severity"),
-        (~_without_context()).alias("has_context"),
-        F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"),
+    rows = source.selectExpr(
+        *keep, "tenant_id", "concat('E-', event_id) AS evidence_id", "event_id", "CAST(NULL AS STRING) AS alert_id",
+        f"{TYPE_SQL} AS evidence_type", f"{STRENGTH_SQL} AS strength", f"{TITLE_SQL} AS title",
+        f"concat(event_type, ' detected on ', {_known('host', 'unknown host')}, ' (severity ', severity, ').') AS description",
+        "timestamp AS observed_at", f"{CONFIDENCE_SQL} AS confidence", f"{DATA_SQL} AS data",
+        f"{PROVENANCE_SQL} AS provenance", "mitre_techniques", "category AS event_category", "event_type", "host",
+        "severity AS event_severity", f"{_ANY_CONTEXT_SQL} AS has_context", "coalesce(tags, array()) AS tags",
     )
     return rows.withColumn("content_hash", evidence_hash())
 
 
-def _without_context() -> Column:
-    out = F.lit(True)
-    for name in CONTEXT_COLUMNS:
-        out = out & F.col(name).isNull()
-    return out
-
-
 def evidence_hash() -> Column:
     """SHA-256 over the content; ids of routing, verification and tags take no part."""
-    p = lambda name: F.col(f"provenance.{name}")
-    iso = F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    return F.sha2(
-        canonical_json(
-            schema_version=F.lit(vocab.SCHEMA_VERSION),
-            evidence_type=F.col("evidence_type"), strength=F.col("strength"), title=F.col("title"),
-            description=F.col("description"), observed_at=iso, confidence=F.col("confidence"),
-            data=F.col("data"), event_id=F.col("event_id"), alert_id=F.col("alert_id"),
-            provenance=canonical_json(
-                source=p("source"), source_reliability=p("source_reliability"),
-                collector=p("collector"), collector_version=p("collector_version"),
-                parent_event_id=p("parent_event_id"), transformation=p("transformation"),
-            ),
-        ),
-        256,
+    provenance = json_sql(**{
+        n: f"provenance.{n}" for n in (
+            "source", "source_reliability", "collector", "collector_version", "parent_event_id", "transformation",
+        )
+    })
+    same = ("evidence_type", "strength", "title", "description", "confidence", "data", "event_id", "alert_id")
+    json = json_sql(
+        schema_version=f"'{vocab.SCHEMA_VERSION}'", provenance=provenance,
+        observed_at="date_format(observed_at, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")", **{n: n for n in same},
     )
+    return F.expr(f"sha2({json}, 256)")
 
 
 def verify_hash(evidence: DataFrame) -> DataFrame:

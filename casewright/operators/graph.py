@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from casewright import vocab
 from casewright.functions import identity
-from casewright.functions.text import clean, domain_name, sorted_set
+from casewright.functions.text import sorted_set
 from casewright.session import cut_lineage
 
 #: Sort rank of the entity types in reports.
@@ -31,36 +31,60 @@ BROADCAST_ROWS = 100_000
 # -- extraction ---------------------------------------------------------------------------
 
 
-def _node(
-    kind: str, value: Column, normalized: Column, host: Column | None = None,
-    scope: Column | None = None, domain: Column | None = None, algorithm: Column | None = None,
-    role: str = "", properties: Column | None = None,
-) -> Column:
-    none = F.lit(None).cast("string")
-    return F.when(
-        normalized.isNotNull(),
-        F.struct(
-            F.lit(kind).alias("entity_type"),
-            value.alias("value"),
-            normalized.alias("normalized_value"),
-            (none if host is None else host).alias("host"),
-            (none if scope is None else scope).alias("identity_scope"),
-            (none if domain is None else domain).alias("identity_domain"),
-            (none if algorithm is None else algorithm).alias("hash_algorithm"),
-            F.lit(role).alias("role"),
-            (
-                F.lit(None).cast("map<string,string>") if properties is None else properties
-            ).alias("properties"),
-        ),
+def _parts(events: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """The cleaned event fields that entities and edges are made of."""
+    clean = lambda x: f"nullif(trim({x}), '')"
+    file_value = f"coalesce({clean('file.path')}, {clean('file.name')})"
+    dns = f"nullif(regexp_replace(lower({clean('dns.query')}), '[.]+$', ''), '')"
+    own_domain = f"nullif(regexp_replace(lower({clean('domain')}), '[.]+$', ''), '')"
+    rows = events.selectExpr(
+        *scope, *[c for c in ("tenant_id",) if c not in scope], "event_id", "timestamp", "category",
+        f"{clean('host')} AS host_text", f"lower({clean('host')}) AS host_key", f"{clean('`user`')} AS user_text",
+        f"lower({clean('user_context.domain')}) AS user_domain",
+        f"{clean('process.name')} AS child_name", f"{clean('process.guid')} AS child_guid", "process.pid AS child_pid",
+        f"{clean('process.parent_name')} AS parent_name", f"{clean('process.parent_guid')} AS parent_guid",
+        "process.parent_pid AS parent_pid", f"{clean('process.image_path')} AS image_path",
+        f"{file_value} AS file_text",
+        f"CASE WHEN platform = 'windows' THEN lower({file_value}) ELSE {file_value} END AS file_key",
+        "file.size AS file_size", "file.signed AS file_signed", "file.signer AS file_signer", "file.extension AS file_extension",
+        "filter(transform(coalesce(map_entries(file.hashes), array()), e -> named_struct("
+        "'algorithm', lower(nullif(trim(e.key), '')), 'value', nullif(trim(e.value), ''))), "
+        "e -> e.algorithm IS NOT NULL AND e.value IS NOT NULL) AS hash_list",
+        f"{clean('network.source_ip')} AS source_ip", f"{clean('network.destination_ip')} AS destination_ip",
+        f"{clean('domain')} AS domain_text", f"{own_domain} AS domain_key",
+        f"{clean('dns.query')} AS dns_text", f"{dns} AS dns_key",
+        f"{clean('registry.key')} AS registry_text", "registry.is_persistence_key AS registry_flag",
+        "coalesce(mitre_techniques, array()) AS technique_list",
+    )
+    child = identity.process_identity_sql("child_name", "child_guid", "child_pid")
+    parent = identity.process_identity_sql("parent_name", "parent_guid", "parent_pid")
+    return rows.selectExpr(
+        "*", f"CASE WHEN host_key IS NOT NULL THEN {child} END AS child_key",
+        f"CASE WHEN host_key IS NOT NULL THEN {parent} END AS parent_key",
+        "CASE WHEN host_key IS NOT NULL OR user_domain IS NOT NULL THEN lower(user_text) END AS user_key",
+        "CASE WHEN user_domain IS NOT NULL THEN 'domain' ELSE 'local' END AS user_scope",
     )
 
 
-def _properties(**values: Column) -> Column:
+def _properties(**values: str) -> str:
     """Map of the non-null values, as text."""
-    entries = F.array(
-        *[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()]
+    entries = ", ".join(f"named_struct('key', '{k}', 'value', CAST({v} AS STRING))" for k, v in values.items())
+    return f"map_from_entries(filter(array({entries}), e -> e.value IS NOT NULL))"
+
+
+def _node(
+    kind: str, value: str, normalized: str, host: str = "NULL", scope: str = "NULL", domain: str = "NULL",
+    algorithm: str = "NULL", role: str = "", properties: str = "NULL",
+) -> str:
+    """One mention as SQL text; null when the event has no such entity."""
+    json = identity.entity_json_sql(kind, normalized, host=host, scope=scope, domain=domain, algorithm=algorithm)
+    text = lambda x: f"CAST({x} AS STRING)"
+    return (
+        f"CASE WHEN {normalized} IS NOT NULL THEN named_struct('entity_type', '{kind}', 'value', {value}, "
+        f"'normalized_value', {normalized}, 'host', {text(host)}, 'identity_scope', {text(scope)}, "
+        f"'identity_domain', {text(domain)}, 'hash_algorithm', {text(algorithm)}, 'role', '{role}', "
+        f"'properties', CAST({properties} AS MAP<STRING, STRING>), 'fingerprint', sha2({json}, 256)) END"
     )
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
 def mentions(events: DataFrame, scope: Sequence[str] = (), registry_keys: bool = False) -> DataFrame:
@@ -69,84 +93,51 @@ def mentions(events: DataFrame, scope: Sequence[str] = (), registry_keys: bool =
     ``scope`` columns (for example ``case_id``) are carried along.
     ``registry_keys`` adds registry entities, which are off by default.
     """
-    host = clean(F.col("host"))
-    host_key = F.lower(host)
-    user = clean(F.col("user"))
-    user_domain = F.lower(clean(F.col("user_context.domain")))
-    p = lambda name: clean(F.col(f"process.{name}"))
-    pid, ppid = F.col("process.pid"), F.col("process.parent_pid")
-    file_value = F.coalesce(clean(F.col("file.path")), clean(F.col("file.name")))
-    file_key = F.when(F.col("platform") == "windows", F.lower(file_value)).otherwise(file_value)
-    ip = lambda name: clean(F.col(f"network.{name}"))
-    user_key = F.when(user_domain.isNotNull() | host.isNotNull(), F.lower(user))
-    on_host = lambda col: F.when(host.isNotNull(), col)
-
-    single = [
-        _node("host", host, host_key),
+    local_host = "CASE WHEN user_domain IS NULL THEN host_key END"
+    nodes = [
+        _node("host", "host_text", "host_key"),
+        _node("user", "user_text", "user_key", host=local_host, scope="user_scope", domain="user_domain"),
         _node(
-            "user", user, user_key,
-            host=F.when(user_domain.isNull(), host_key),
-            scope=F.when(user_domain.isNotNull(), "domain").otherwise("local"),
-            domain=user_domain,
-        ),
-        _node(
-            "process", p("name"), on_host(identity.process_identity(p("name"), p("guid"), pid)),
-            host=host_key, role="child",
+            "process", "child_name", "child_key", host="host_key", role="child",
             properties=_properties(
-                identity_quality=identity.process_identity_quality(p("guid"), pid),
-                pid=pid, parent_pid=ppid, guid=p("guid"), image_path=p("image_path"),
+                identity_quality=identity.process_quality_sql("child_guid", "child_pid"), pid="child_pid",
+                parent_pid="parent_pid", guid="child_guid", image_path="image_path",
             ),
         ),
         _node(
-            "process", p("parent_name"),
-            on_host(identity.process_identity(p("parent_name"), p("parent_guid"), ppid)),
-            host=host_key, role="parent",
+            "process", "parent_name", "parent_key", host="host_key", role="parent",
             properties=_properties(
-                identity_quality=identity.process_identity_quality(p("parent_guid"), ppid),
-                pid=ppid, guid=p("parent_guid"),
+                identity_quality=identity.process_quality_sql("parent_guid", "parent_pid"), pid="parent_pid",
+                guid="parent_guid",
             ),
         ),
         _node(
-            "file", file_value, file_key, host=host_key,
-            properties=_properties(
-                size=F.col("file.size"), signed=F.col("file.signed"),
-                signer=F.col("file.signer"), extension=F.col("file.extension"),
-            ),
+            "file", "file_text", "file_key", host="host_key",
+            properties=_properties(size="file_size", signed="file_signed", signer="file_signer", extension="file_extension"),
         ),
-        _node("ip", ip("source_ip"), ip("source_ip"), role="source"),
-        _node("ip", ip("destination_ip"), ip("destination_ip"), role="destination"),
-        _node("domain", clean(F.col("domain")), domain_name(F.col("domain"))),
-        _node("domain", clean(F.col("dns.query")), domain_name(F.col("dns.query"))),
+        _node("ip", "source_ip", "source_ip", role="source"),
+        _node("ip", "destination_ip", "destination_ip", role="destination"),
+        _node("domain", "domain_text", "domain_key"),
+        _node("domain", "dns_text", "dns_key"),
     ]
     if registry_keys:
-        key = clean(F.col("registry.key"))
-        single.append(
+        nodes.append(
             _node(
-                "registry", key, on_host(F.lower(key)), host=host_key,
-                properties=_properties(is_persistence_key=F.col("registry.is_persistence_key")),
+                "registry", "registry_text", "CASE WHEN host_key IS NOT NULL THEN lower(registry_text) END",
+                host="host_key", properties=_properties(is_persistence_key="registry_flag"),
             )
         )
-    hashes = F.transform(
-        F.coalesce(F.map_entries("file.hashes"), F.array()),
-        lambda e: _node(
-            "hash", clean(e["value"]), F.lower(clean(e["value"])), algorithm=F.lower(clean(e["key"]))
-        ),
+    hashes = f"transform(hash_list, e -> {_node('hash', 'e.value', 'lower(e.value)', algorithm='e.algorithm')})"
+    techniques = (
+        "transform(filter(transform(technique_list, t -> nullif(trim(t), '')), t -> t IS NOT NULL), "
+        f"t -> {_node('mitre_technique', 't', 'upper(t)')})"
     )
-    techniques = F.transform(
-        F.coalesce("mitre_techniques", F.array()),
-        lambda t: _node("mitre_technique", clean(t), F.upper(clean(t))),
-    )
-    nodes = F.array_compact(F.concat(F.array(*single), hashes, techniques))
-    rows = events.select(
-        *scope, *[c for c in ("tenant_id",) if c not in scope], "event_id", "timestamp",
-        F.explode(nodes).alias("n"),
-    ).select("*", "n.*").drop("n")
-    fingerprint = identity.entity_fingerprint(
-        F.col("tenant_id"), F.col("entity_type"), F.col("normalized_value"), F.col("host"),
-        F.col("identity_scope"), F.col("identity_domain"), F.col("hash_algorithm"),
-    )
-    return rows.withColumn("fingerprint", fingerprint).withColumn(
-        "entity_id", identity.entity_id(F.col("fingerprint"))
+    carried = [*scope, *[c for c in ("tenant_id",) if c not in scope], "event_id", "timestamp"]
+    every = f"array_compact(concat(array({', '.join(nodes)}), {hashes}, {techniques}))"
+    rows = _parts(events, scope).selectExpr(*carried, f"inline({every})")
+    digest = identity.uuid5_digest_sql(vocab.ENTITY_NAMESPACE, "fingerprint")
+    return rows.selectExpr("*", f"{digest} AS _d").selectExpr(
+        *rows.columns, f"{identity.uuid5_text_sql('_d')} AS entity_id"
     )
 
 
@@ -221,11 +212,7 @@ def entity_sort_key() -> list[Column]:
 
 def with_entity_fingerprint_check(entities: DataFrame) -> DataFrame:
     """Add ``fingerprint_ok``: does the stored identity hash match the fields?"""
-    recomputed = identity.entity_fingerprint(
-        F.col("tenant_id"), F.col("entity_type"), F.col("normalized_value"), F.col("host"),
-        F.col("identity_scope"), F.col("identity_domain"), F.col("hash_algorithm"),
-    )
-    return entities.withColumn("fingerprint_ok", F.col("fingerprint") == recomputed)
+    return entities.withColumn("fingerprint_ok", F.col("fingerprint") == identity.entity_fingerprint())
 
 
 # -- relationships ------------------------------------------------------------------------
@@ -238,87 +225,43 @@ def edges(events: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     connected_to (process to destination address, network events only). Both ends
     are the event's own entities, so their ids are computed in the same row.
     """
-    tenant = F.col("tenant_id")
-    none = F.lit(None).cast("string")
-
-    def end(kind, value, host=None, user_scope=None, domain=None, algorithm=None):
-        fingerprint = identity.entity_fingerprint(
-            tenant, F.lit(kind), value, none if host is None else host,
-            none if user_scope is None else user_scope, none if domain is None else domain,
-            none if algorithm is None else algorithm,
-        )
-        return F.when(value.isNotNull(), identity.entity_id(fingerprint))
-
-    host = F.lower(clean(F.col("host")))
-    p = lambda name: clean(F.col(f"process.{name}"))
-    pid, ppid = F.col("process.pid"), F.col("process.parent_pid")
-    on_host = lambda col: F.when(host.isNotNull(), col)
-    domain = F.lower(clean(F.col("user_context.domain")))
-    user = F.lower(clean(F.col("user")))
-    file_value = F.coalesce(clean(F.col("file.path")), clean(F.col("file.name")))
-    file_key = F.when(F.col("platform") == "windows", F.lower(file_value)).otherwise(file_value)
-
-    child = end("process", on_host(identity.process_identity(p("name"), p("guid"), pid)), host=host)
-    parent = end(
-        "process", on_host(identity.process_identity(p("parent_name"), p("parent_guid"), ppid)), host=host
-    )
-    user_scope = F.when(domain.isNotNull(), "domain").otherwise("local")
-    user_end = end(
-        "user", F.when(domain.isNotNull() | host.isNotNull(), user),
-        host=F.when(domain.isNull(), host), user_scope=user_scope, domain=domain,
+    def digest(kind: str, value: str, **fields: str) -> str:
+        fields = {"host": "NULL", "scope": "NULL", "domain": "NULL", "algorithm": "NULL", **fields}
+        hashed = f"sha2({identity.entity_json_sql(kind, value, **fields)}, 256)"
+        return f"CASE WHEN {value} IS NOT NULL THEN {identity.uuid5_digest_sql(vocab.ENTITY_NAMESPACE, hashed)} END"
+
+    carried = [*scope, *[c for c in ("tenant_id",) if c not in scope], "event_id", "timestamp"]
+    digests = _parts(events, scope).selectExpr(
+        *carried, "category",
+        f"{digest('process', 'child_key', host='host_key')} AS child",
+        f"{digest('process', 'parent_key', host='host_key')} AS parent",
+        f"{digest('user', 'user_key', host='host_key', scope='user_scope', domain='user_domain')} AS actor",
+        f"{digest('ip', 'destination_ip')} AS address",
+        f"{digest('file', 'file_key', host='host_key')} AS file_end",
+        f"transform(hash_list, e -> {digest('hash', 'lower(e.value)', algorithm='e.algorithm')}) AS hash_ends",
     )
-    address = end("ip", clean(F.col("network.destination_ip")))
-    file_end = end("file", file_key, host=host)
 
-    ids = events.select(
-        *scope, *[c for c in ("tenant_id",) if c not in scope], "event_id", "timestamp", "category",
-        child.alias("child"), parent.alias("parent"), user_end.alias("user_end"),
-        address.alias("address"), file_end.alias("file_end"),
-        F.transform(
-            F.filter(
-                F.coalesce(F.map_entries("file.hashes"), F.array()),
-                lambda e: clean(e["value"]).isNotNull() & clean(e["key"]).isNotNull(),
-            ),
-            lambda e: end("hash", F.lower(clean(e["value"])), algorithm=F.lower(clean(e["key"]))),
-        ).alias("hash_ends"),
-    )
-    link = lambda rel, src, dst, ok=F.lit(True): F.when(
-        ok & src.isNotNull() & dst.isNotNull() & (src != dst),
-        F.struct(src.alias("source_id"), F.lit(rel).alias("relationship_type"), dst.alias("target_id")),
-    )
-    c = F.col
-    made = F.array_compact(
-        F.concat(
-            F.array(
-                link("spawned", c("parent"), c("child")),
-                link("run_as", c("child"), c("user_end")),
-                link("connected_to", c("child"), c("address"), c("category").isin("network", "http")),
-            ),
-            F.transform("hash_ends", lambda h: link("has_hash", c("file_end"), h)),
+    def link(kind: str, source: str, target: str, also: str = "true") -> str:
+        return (
+            f"CASE WHEN {also} AND {source} <> {target} THEN named_struct('source_id', {identity.uuid5_text_sql(source)}, "
+            f"'relationship_type', '{kind}', 'target_id', {identity.uuid5_text_sql(target)}) END"
         )
+
+    made = [
+        link("spawned", "parent", "child"), link("run_as", "child", "actor"),
+        link("connected_to", "child", "address", "category IN ('network', 'http')"),
+    ]
+    hashes = f"transform(hash_ends, h -> {link('has_hash', 'file_end', 'h')})"
+    rows = digests.selectExpr(
+        *carried, f"inline(array_compact(concat(array({', '.join(made)}), {hashes})))",
     )
-    rows = ids.select(
-        *scope, *[x for x in ("tenant_id",) if x not in scope], "event_id", "timestamp",
-        F.explode(made).alias("r"),
-    ).select("*", "r.*").drop("r")
-    rows = rows.withColumns(
-        {
-            "source_type": F.lit("entity"), "target_type": F.lit("entity"),
-            "weight": F.lit(1.0), "confidence": F.lit(1.0),
-        }
-    )
-    return with_relationship_fingerprint(rows)
+    return rows.selectExpr(
+        "*", "'entity' AS source_type", "'entity' AS target_type", "1.0D AS weight", "1.0D AS confidence"
+    ).withColumn("fingerprint", identity.relationship_fingerprint())
 
 
 def with_relationship_fingerprint(rows: DataFrame) -> DataFrame:
-    c = F.col
-    return rows.withColumn(
-        "fingerprint",
-        identity.relationship_fingerprint(
-            c("tenant_id"), c("source_type"), c("source_id"), c("relationship_type"),
-            c("target_type"), c("target_id"),
-        ),
-    )
+    return rows.withColumn("fingerprint", identity.relationship_fingerprint())
 
 
 STRENGTH_POLICIES = ("max", "avg", "left", "right")

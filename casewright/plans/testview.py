@@ -7,7 +7,6 @@ selection still reach the Parquet scan.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from casewright.schemas import EVENT
 from casewright.session import configure
@@ -36,107 +35,82 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _pick(values: list, index) -> "F.Column":
-    """Value at a 0-based position of a fixed list."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+def _pick(values: list, index: str) -> str:
+    """Value at a 0-based position of a fixed list, as SQL text."""
+    text = lambda v: "NULL" if v is None else f"'{v}'"
+    return f"element_at(array({', '.join(text(v) for v in values)}), CAST({index} AS INT) + 1)"
+
+
+def _struct(context: str, /, **given: str) -> str:
+    """A context struct as SQL text; fields that are not given are null."""
+    fields = EVENT[context].dataType.fields
+    parts = [f"'{f.name}', CAST({given.get(f.name, 'NULL')} AS {f.dataType.simpleString()})" for f in fields]
+    return f"named_struct({', '.join(parts)})"
 
 
 def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events with a ``case_id`` of host and day."""
     raw = spread(read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
-    raw = raw.select(
-        F.col("event_id").alias("n"), F.col("ts").cast("timestamp").alias("ts"),
-        F.col("user_id").alias("u"), "event_type",
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    raw = raw.selectExpr(
+        "event_id AS n", "CAST(ts AS TIMESTAMP) AS ts", "user_id AS u", "event_type",
+        "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "CASE event_type WHEN 'click' THEN 'process' WHEN 'view' THEN 'network' WHEN 'purchase' THEN 'file' "
+        "WHEN 'signup' THEN 'dns' ELSE 'registry' END AS category",
     )
-    n, u, k = F.col("n"), F.col("u"), F.col("k")
-    category = (
-        F.when(F.col("event_type") == "click", "process").when(F.col("event_type") == "view", "network")
-        .when(F.col("event_type") == "purchase", "file").when(F.col("event_type") == "signup", "dns")
-        .otherwise("registry")
+    child = "category = 'process' AND k % 4 <> 0"
+    only = lambda where, struct: f"CASE WHEN {where} THEN {struct} END"
+    process = _struct(
+        "process", name=_pick(PROCESS_NAMES, "k % 8"), pid="1000 + n % 97",
+        parent_pid=f"CASE WHEN {child} THEN 1000 + (7 * n) % 97 END",
+        parent_name=f"CASE WHEN {child} THEN {_pick(PROCESS_NAMES, '(k + 3) % 8')} END",
     )
-    raw = raw.withColumn("category", category)
-    is_ = lambda *names: F.col("category").isin(*names)
-    child = is_("process") & (k % 4 != 0)
-    text = lambda *parts: F.concat(
-        *[p.cast("string") if isinstance(p, F.Column) else F.lit(p) for p in parts]
+    techniques = " ".join(
+        f"WHEN {i} THEN array({', '.join(repr(t) for t in ts)})" for i, ts in enumerate(TECHNIQUES) if ts
     )
-    contexts = {
-        "process": F.when(
-            is_("process", "network", "dns"),
+    given = {
+        "event_id": "concat('E-', n)",
+        "schema_version": "'1.0'",
+        "tenant_id": "concat('tenant-', u % 3)",
+        "timestamp": "ts",
+        "source": "'sysmon'",
+        "platform": "'windows'",
+        "category": "category",
+        "event_type": "event_type",
+        "source_reliability": _pick(RELIABILITIES, "u % 7"),
+        "severity": "k",
+        "host": "concat('HOST-', u % 12)",
+        "user": "CASE WHEN k % 10 <> 9 THEN concat('user', u % 40) END",
+        "rule_id": "CASE WHEN k % 5 = 0 THEN concat('R-', k % 11) END",
+        "mitre_techniques": f"CASE k % 9 {techniques} END",
+        "process": only("category IN ('process', 'network', 'dns')", process),
+        "network": only(
+            "category = 'network'",
             _struct(
-                "process", name=_pick(PROCESS_NAMES, k % 8), pid=(1000 + n % 97).cast("int"),
-                parent_pid=F.when(child, (1000 + (7 * n) % 97).cast("int")),
-                parent_name=F.when(child, _pick(PROCESS_NAMES, (k + 3) % 8)),
+                "network", source_ip="concat('10.0.', u % 4, '.', u % 50)", destination_ip="concat('203.0.113.', k % 30)"
             ),
         ),
-        "network": F.when(
-            is_("network"),
-            _struct("network", source_ip=text("10.0.", u % 4, ".", u % 50), destination_ip=text("203.0.113.", k % 30)),
-        ),
-        "file": F.when(
-            is_("file"),
+        "file": only(
+            "category = 'file'",
             _struct(
-                "file", path=text("C:\\tmp\\f", k % 25, ".bin"),
-                hashes=F.create_map(F.lit("sha256"), F.sha2(text("f", k % 25), 256)),
+                "file", path=r"concat('C:\\tmp\\f', k % 25, '.bin')", hashes="map('sha256', sha2(concat('f', k % 25), 256))"
             ),
         ),
-        "registry": F.when(
-            is_("registry"),
-            _struct("registry", key=text("HKLM\\Software\\K", k % 15), is_persistence_key=k % 15 < 3),
+        "registry": only(
+            "category = 'registry'",
+            _struct("registry", key=r"concat('HKLM\\Software\\K', k % 15)", is_persistence_key="k % 15 < 3"),
         ),
-        "dns": F.when(is_("dns"), _struct("dns", query=text("D", k % 20, ".example.com."))),
+        "dns": only("category = 'dns'", _struct("dns", query="concat('D', k % 20, '.example.com.')")),
     }
-    host = text("HOST-", u % 12)
-    given = {
-        "event_id": text("E-", n),
-        "schema_version": F.lit("1.0"),
-        "tenant_id": text("tenant-", u % 3),
-        "timestamp": F.col("ts"),
-        "source": F.lit("sysmon"),
-        "platform": F.lit("windows"),
-        "category": F.col("category"),
-        "event_type": F.col("event_type"),
-        "source_reliability": _pick(RELIABILITIES, u % 7),
-        "severity": k,
-        "host": host,
-        "user": F.when(k % 10 != 9, text("user", u % 40)),
-        "rule_id": F.when(k % 5 == 0, text("R-", k % 11)),
-        "mitre_techniques": F.element_at(
-            F.array(*[
-                F.array(*[F.lit(t) for t in ts]) if ts else F.lit(None).cast("array<string>") for ts in TECHNIQUES
-            ]),
-            (k % 9 + 1).cast("int"),
-        ),
-        **contexts,
-    }
-    columns = [
-        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields
-    ]
-    return raw.select(
-        *columns, F.concat(host, F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("case_id")
-    )
-
-
-def _struct(context: str, /, **given) -> "F.Column":
-    """A context struct; fields that are not given are null."""
-    fields = EVENT[context].dataType.fields
-    return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    columns = [f"CAST({given.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in EVENT.fields]
+    return raw.selectExpr(*columns, "concat('HOST-', u % 12, '/', date_format(ts, 'yyyy-MM-dd')) AS case_id")
 
 
 def sec_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One process start per event: on each of 12 hosts a ternary tree, some parents missing."""
-    raw = spread(read(spark, sf_dir, "events").select("event_id")).select(F.col("event_id").alias("n"))
-    m = F.floor(F.col("n") / 12).cast("long")
-    parent = F.when(m > 0, F.when(m % 50 == 0, m + 10_000_000).otherwise(F.floor((m - 1) / 3)))
-    return raw.select(
-        F.concat(F.lit("E-"), F.col("n").cast("string")).alias("event_id"),
-        F.concat(F.lit("HOST-"), (F.col("n") % 12).cast("string")).alias("host"),
-        _struct(
-            "process", name=F.concat(F.lit("p"), (m % 8).cast("string")), pid=m.cast("int"),
-            parent_pid=parent.cast("int"),
-        ).alias("process"),
-    )
+    raw = spread(read(spark, sf_dir, "events").select("event_id")).selectExpr("event_id AS n", "event_id DIV 12 AS m")
+    parent = "CASE WHEN m > 0 THEN CASE WHEN m % 50 = 0 THEN m + 10000000 ELSE (m - 1) DIV 3 END END"
+    process = _struct("process", name="concat('p', m % 8)", pid="m", parent_pid=parent)
+    return raw.selectExpr("concat('E-', n) AS event_id", "concat('HOST-', n % 12) AS host", f"{process} AS process")
 
 
 #: The same events for DuckDB, flat.

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no stack capture per column expression; plans here have hundreds of them
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 
@@ -32,6 +34,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **extra: str) ->
         .appName("casewright")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in {**SETTINGS, **extra}.items():
