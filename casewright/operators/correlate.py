@@ -186,12 +186,12 @@ _COMPARED = {
 }
 
 
-def tokens(events: DataFrame, scope: Sequence[str]) -> DataFrame:
+def tokens(events: DataFrame, scope: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """Narrow event rows: one comparable 64-bit token per reason, null when absent."""
     texts = [f"lower({_clean(x)}) AS t_{name}" for name, x in _COMPARED.items()]
     scope_key = ", ".join(f"coalesce(CAST({c} AS STRING), '')" for c in scope)
     plain = events.selectExpr(
-        *scope, f"xxhash64({scope_key}) AS scope_key", f"{_clean('event_id')} AS event_id", "unix_micros(timestamp) AS ts",
+        *scope, *carry, f"xxhash64({scope_key}) AS scope_key", f"{_clean('event_id')} AS event_id", "unix_micros(timestamp) AS ts",
         *texts, "CAST(process.pid AS LONG) AS own_pid", "CAST(process.parent_pid AS LONG) AS own_ppid",
         "array_sort(array_distinct(filter(transform(coalesce(mitre_techniques, array()), t -> nullif(trim(t), '')), "
         "t -> t IS NOT NULL))) AS technique_list",
@@ -206,7 +206,7 @@ def tokens(events: DataFrame, scope: Sequence[str]) -> DataFrame:
         return f"CASE WHEN t_{name} IS NOT NULL{on_host} THEN xxhash64(t_{name}) END"
 
     narrow = plain.selectExpr(
-        *scope, "scope_key", "event_id", "ts", f"array({', '.join(token(n) for n in vocab.REASON_NAMES)}) AS tok",
+        *scope, *carry, "scope_key", "event_id", "ts", f"array({', '.join(token(n) for n in vocab.REASON_NAMES)}) AS tok",
         "CASE WHEN t_same_host IS NOT NULL THEN own_pid END AS pid",
         "CASE WHEN t_same_host IS NOT NULL THEN own_ppid END AS ppid",
         "transform(technique_list, t -> xxhash64(t)) AS techs",
@@ -247,7 +247,9 @@ def _group_key(mask: Column, positions: Column, family: Column, technique: Colum
     return F.xxhash64(F.col("scope_key"), mask, tokens_of, family, technique)
 
 
-def key_rows(events: DataFrame, scope: Sequence[str], sets: Column, rules: Rules) -> DataFrame:
+def key_rows(
+    events: DataFrame, scope: Sequence[str], sets: Column, rules: Rules, carry: Sequence[str] = ()
+) -> DataFrame:
     """One row per event and smallest set it can take part in."""
     forms = events.select("*", F.explode(_variants()).alias("v"))
     forms = forms.withColumn("have", F.col("held") + F.col("v.need"))
@@ -262,7 +264,7 @@ def key_rows(events: DataFrame, scope: Sequence[str], sets: Column, rules: Rules
     # window 0 still needs cells: events of one instant
     cell = F.floor(F.col("ts") / F.lit(max(rules.window_micros, 1))).cast("long")
     return rows.select(
-        *scope, "scope_key", "event_id", "ts", "pid", "ppid", "techs", "tok",
+        *scope, *carry, "scope_key", "event_id", "ts", "pid", "ppid", "techs", "tok",
         F.col("v.family").alias("family"), F.col("v.technique").alias("technique"),
         F.col("v.role").alias("role"), F.col("s.mask").alias("mask"),
         _group_key(F.col("s.mask"), F.col("s.pos"), F.col("v.family"), F.col("v.technique")).alias("key"),
@@ -306,8 +308,19 @@ def _matched(left: DataFrame, right: DataFrame, scope: Sequence[str], rules: Rul
     else:
         later = (c("a.ts") < c("b.ts")) | ((c("a.ts") == c("b.ts")) & (c("a.event_id") < c("b.event_id")))
         on = on & later & (delta <= rules.window_micros)
-    on = on & (((c("a.role") == _NO_ROLE) & (c("b.role") == _NO_ROLE)) | (c("a.role") + c("b.role") == 3))
-    joined = a.join(b, on)
+    return _pair_rows(a.join(b, on & _roles_fit()), scope)
+
+
+def _roles_fit() -> Column:
+    """Both sides as themselves, or one as parent and one as child."""
+    a, b = F.col("a.role"), F.col("b.role")
+    return ((a == _NO_ROLE) & (b == _NO_ROLE)) | (a + b == _AS_PARENT + _AS_CHILD)
+
+
+def _pair_rows(joined: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Pair columns of joined key rows (a, b)."""
+    c = F.col
+    delta = c("b.ts") - c("a.ts")
     return joined.select(
         *[c(f"a.{name}").alias(name) for name in scope],
         c("a.event_id").alias("source_event_id"), c("b.event_id").alias("related_event_id"),
@@ -598,6 +611,35 @@ def _level_pairs(
     return made
 
 
+# -- the streaming form --------------------------------------------------------------------------
+
+
+def correlate_stream(
+    events: DataFrame, lateness: str, scope: Sequence[str] = ("tenant_id",), rules: Rules | None = None,
+) -> DataFrame:
+    """All qualifying pairs of a stream, by an interval join of the stream with itself.
+
+    Keys and the once-only rule are those of the batch form, so both give the same
+    pairs. The watermark lets Spark drop rows older than window plus ``lateness``.
+    """
+    rules = rules or Rules()
+    scope = list(scope)
+
+    def side(name: str) -> DataFrame:
+        watched = events.withWatermark("timestamp", lateness)
+        narrow = tokens(watched, scope, ["timestamp"])
+        return key_rows(narrow, scope, _set_literal(rules.smallest_sets()), rules, ["timestamp"]).alias(name)
+
+    a, b, c = side("a"), side("b"), F.col
+    on = (c("a.key") == c("b.key")) & (c("a.mask") == c("b.mask")) & _roles_fit()
+    for name in scope:
+        on = on & c(f"a.{name}").eqNullSafe(c(f"b.{name}"))
+    window = F.expr(f"INTERVAL {rules.window_micros} MICROSECONDS")
+    on = on & (c("b.timestamp") >= c("a.timestamp")) & (c("b.timestamp") <= c("a.timestamp") + window)
+    later = (c("a.ts") < c("b.ts")) | ((c("a.ts") == c("b.ts")) & (c("a.event_id") < c("b.event_id")))
+    return _scored(_once(_pair_rows(a.join(b, on & later), scope), rules), scope, rules)
+
+
 # -- details of pairs ---------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ microseconds, so that both engines print them alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,9 @@ from casewright.operators import (
 from casewright.plans import derived, presets
 from casewright.plans.investigate import investigate
 from casewright.plans.testview import read, sec_events, sec_processes
+from casewright.session import cut_lineage
 from casewright.sources import normalize
+from casewright.streaming import batches, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -659,3 +662,62 @@ def poll_new_only(spark, sf):
     seen = events.filter("timestamp < '2024-01-10'").select("event_id")
     rows = normalize.poll_ids(normalize.unseen(events, seen))
     return rows.groupBy("host").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+# -- streaming ------------------------------------------------------------------------------------------------------
+
+
+def _arrivals(spark, sf, streaming=False):
+    """Events by host, arriving in fast motion."""
+    events = sec_events(spark, sf, streaming)
+    return events.select(
+        batches.group_key("host").alias("batch_group"), F.expr("unix_micros(timestamp) DIV 2000").alias("arrival"),
+        "event_id", "tenant_id", "host",
+    )
+
+
+@query
+def event_batches_replay(spark, sf):
+    rows = batches.summarize(batches.replay(_arrivals(spark, sf)))
+    return rows.select("batch_group", "batch_start", "size", "first_at", "last_at", "title", "tenant_id")
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, which all executors share."""
+    cut_lineage(spark.range(1))  # makes sure the checkpoint folder is set
+    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+
+
+def _stream_result(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    folder = _stream_folder(spark)
+    run = (
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
+        .trigger(availableNow=True).start(f"{folder}/rows")
+    )
+    run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+
+
+@query
+def event_batches_stream(spark, sf):
+    """The stream form of the batches; the last open batch of a group is not closed yet."""
+    rows = _arrivals(spark, sf, streaming=True).select(
+        "batch_group", F.timestamp_micros("arrival").alias("arrived_at"), "event_id", F.lit("{}").alias("body")
+    )
+    closed = _stream_result(spark, batches.stream_batches(rows))
+    return closed.groupBy("batch_group", "batch_no").agg(F.count("*").alias("size"))
+
+
+@query
+def stream_pair_correlation(spark, sf):
+    """The stream form of ``pair_correlation``."""
+    return _pairs(_stream_result(spark, correlate.correlate_stream(sec_events(spark, sf, streaming=True), "1 hour")), "tenant_id")
+
+
+@query
+def stream_dedup(spark, sf):
+    """Every event sent twice, taken in once."""
+    events = sec_events(spark, sf, streaming=True).select("event_id", "timestamp", "host")
+    twice = events.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
+    rows = _stream_result(spark, stream.dedup(twice, "1 hour"))
+    return rows.groupBy("host").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))

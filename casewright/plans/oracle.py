@@ -629,3 +629,19 @@ SELECT format, count(*) AS raw_count, count(*) FILTER (NOT bad) AS success_count
   round(count(*) FILTER (NOT bad) / CAST(count(*) AS DOUBLE), 6) AS success_rate FROM f GROUP BY 1"""
 SQL["poll_new_only"] = SEC + """
 SELECT host, count(*) AS n, 'wazuh-' || min(event_id) AS first_id FROM sec WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1"""
+
+# -- streaming ----------------------------------------------------------------------------------------------------------
+
+SQL["event_batches_replay"] = SEC + """,
+o AS (SELECT host, tenant_id, epoch_us(ts) // 2000 AS t, row_number() OVER (PARTITION BY host ORDER BY epoch_us(ts) // 2000, event_id) - 1 AS i FROM sec),
+w(host, i, t, start, first_t, size) AS (
+  SELECT host, i, t, i, t, 1 FROM o WHERE i = 0
+  UNION ALL SELECT o.host, o.i, o.t,
+    CASE WHEN size >= 100 OR o.t - first_t >= 30000000 OR o.t - w.t >= 5000000 THEN o.i ELSE start END,
+    CASE WHEN size >= 100 OR o.t - first_t >= 30000000 OR o.t - w.t >= 5000000 THEN o.t ELSE first_t END,
+    CASE WHEN size >= 100 OR o.t - first_t >= 30000000 OR o.t - w.t >= 5000000 THEN 1 ELSE size + 1 END
+  FROM w JOIN o ON o.host = w.host AND o.i = w.i + 1)
+SELECT w.host AS batch_group, start AS batch_start, count(*) AS size, min(w.t) AS first_at, max(w.t) AS last_at,
+  'Investigation ' || w.host AS title, min(o.tenant_id) AS tenant_id FROM w JOIN o USING (host, i) GROUP BY 1, 2"""
+SQL["stream_pair_correlation"] = SQL["pair_correlation"]
+SQL["stream_dedup"] = SEC + "\nSELECT host, count(*) AS n, count(*) AS ids FROM sec GROUP BY 1"

@@ -48,9 +48,13 @@ def _struct(context: str, /, **given: str) -> str:
     return f"named_struct({', '.join(parts)})"
 
 
-def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical events with a ``case_id`` of host and day."""
-    raw = spread(read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props"))
+def sec_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+    """Canonical events with a ``case_id`` of host and day; as a table or as a stream."""
+    table = read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
+    if streaming:
+        raw = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
+    else:
+        raw = spread(table)
     raw = raw.selectExpr(
         "event_id AS n", "CAST(ts AS TIMESTAMP) AS ts", "user_id AS u", "event_type",
         "CAST(get_json_object(props, '$.k') AS INT) AS k",
