@@ -22,7 +22,7 @@ from casewright.schemas import EVENT, EVENT_COLUMNS, PROCESS
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """NDJSON: one record per line, large files are split over tasks."""
-    rows = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"))
+    rows = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("source_file"))
     return rows.filter(F.trim("raw") != "")
 
 
@@ -33,7 +33,7 @@ def read_documents(spark: SparkSession, path: str, list_key: str = "events") ->
     inputs. Text that is neither becomes its lines (NDJSON in a ``.json`` file).
     """
     texts = spark.read.text(path, wholetext=True).select(
-        F.trim("value").alias("doc"), F.col("_metadata.file_path").alias("file")
+        F.trim("value").alias("doc"), F.col("_metadata.file_path").alias("source_file")
     )
     return explode_documents(texts, list_key)
 
@@ -43,8 +43,11 @@ def explode_documents(texts: DataFrame, list_key: str) -> DataFrame:
     doc = F.col("doc")
     listed = F.from_json(F.get_json_object(doc, f"$.{list_key}"), "array<string>")
     whole = F.try_parse_json(doc).isNotNull()
+    first = F.split(doc, "\r?\n", 2)
+    lines = (F.size(first) > 1) & first[0].startswith("{") & F.try_parse_json(first[0]).isNotNull()
     items = (
-        F.when(whole & doc.startswith("["), F.from_json(doc, "array<string>"))
+        F.when(lines, F.filter(F.split(doc, "\r?\n"), lambda line: F.trim(line) != ""))
+        .when(whole & doc.startswith("["), F.from_json(doc, "array<string>"))
         .when(whole & listed.isNotNull(), listed)
         .when(whole, F.array(doc))
         .otherwise(F.filter(F.split(doc, "\r?\n"), lambda line: F.trim(line) != ""))
@@ -55,11 +58,11 @@ def explode_documents(texts: DataFrame, list_key: str) -> DataFrame:
 
 def read_alert_pages(spark: SparkSession, path: str) -> DataFrame:
     """Landed alert API answers: ``data.affected_items`` as records with id and time."""
-    texts = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("source_file"))
     items = F.from_json(F.get_json_object("doc", "$.data.affected_items"), "array<string>")
-    rows = texts.select("file", F.explode(items).alias("raw"))
+    rows = texts.select("source_file", F.explode(items).alias("raw"))
     return rows.select(
-        "file", "raw", F.get_json_object("raw", "$.id").alias("alert_id"),
+        "source_file", "raw", F.get_json_object("raw", "$.id").alias("alert_id"),
         timestamp(F.get_json_object("raw", "$.timestamp")).alias("alert_time"),
     )
 
@@ -214,8 +217,8 @@ def strict(rows: DataFrame) -> DataFrame:
 
 def whole_files_only(rows: DataFrame) -> DataFrame:
     """Rows of files without a single invalid record."""
-    bad = quarantine(rows).select("file").distinct()
-    return rows.join(bad, "file", "left_anti").select(*rows.columns)
+    bad = quarantine(rows).select("source_file").distinct()
+    return rows.join(bad, "source_file", "left_anti").select(*rows.columns)
 
 
 def accounting(rows: DataFrame, by: list[str]) -> DataFrame:

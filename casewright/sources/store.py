@@ -8,10 +8,12 @@ the old rows in place.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casewright.operators import graph
 from casewright.session import cut_lineage
@@ -35,15 +37,20 @@ class Store:
 
     def exists(self, table: str) -> bool:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/_schemas/{table}/_SUCCESS")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def _read(self, table: str) -> DataFrame:
+        """The table with its stored schema, so an empty one reads too."""
+        schema = self.spark.read.text(f"{self.root}/_schemas/{table}").first()[0]
+        return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(self.path(table))
+
     def load(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(table)).drop(BUCKET)
+        return self._read(table).drop(BUCKET)
 
     def _touched(self, table: str, key: str, rows: DataFrame) -> DataFrame:
         """Stored rows in the buckets that ``rows`` fall into."""
-        stored = self.spark.read.parquet(self.path(table))
+        stored = self._read(table)
         hit = rows.select(bucket(key, self.buckets).alias(BUCKET)).distinct()  # at most BUCKETS rows
         return stored.join(F.broadcast(hit), BUCKET).select(*stored.columns)
 
@@ -55,6 +62,9 @@ class Store:
             placed.hint("rebalance", BUCKET).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path(table))
         )
+        if not self.exists(table):
+            text = self.spark.createDataFrame([(placed.schema.json(),)], "value string")
+            text.coalesce(1).write.mode("overwrite").text(f"{self.root}/_schemas/{table}")
 
     def upsert(self, table: str, key: str, rows: DataFrame) -> None:
         """Insert rows, or replace all stored rows with the same key.

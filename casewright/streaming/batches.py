@@ -166,7 +166,7 @@ _STATE = "batch_no long, first_at long, last_at long, ids array<string>, bodies
 _OUTPUT = "batch_group string, batch_no long, event_id string, body string"
 
 
-def stream_batches(events: DataFrame, rules: BatchRules | None = None, lateness: str = "0 seconds") -> DataFrame:
+def stream_batches(events: DataFrame, rules: BatchRules | None = None, lateness: str = "1 second") -> DataFrame:
     """Closed batches of a stream, one row per event with its batch number.
 
     ``events``: batch_group, arrived_at (timestamp), event_id, body (the event as JSON).
