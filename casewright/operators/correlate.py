@@ -247,10 +247,15 @@ def _group_key(mask: Column, positions: Column, family: Column, technique: Colum
     return F.xxhash64(F.col("scope_key"), mask, tokens_of, family, technique)
 
 
-def key_rows(
-    events: DataFrame, scope: Sequence[str], sets: Column, rules: Rules, carry: Sequence[str] = ()
-) -> DataFrame:
-    """One row per event and smallest set it can take part in."""
+_WIDE = ["pid", "ppid", "techs", "tok"]
+
+
+def key_rows(events: DataFrame, sets: Column, rules: Rules, carry: Sequence[str] = ()) -> DataFrame:
+    """One row per event and smallest set it can take part in.
+
+    Only ids and the key, unless ``carry`` asks for more: what the pair test needs is
+    joined back to the few pairs that match.
+    """
     forms = events.select("*", F.explode(_variants()).alias("v"))
     forms = forms.withColumn("have", F.col("held") + F.col("v.need"))
     # a form is for the sets that use it, so the forms of an event do not repeat each other
@@ -264,8 +269,7 @@ def key_rows(
     # window 0 still needs cells: events of one instant
     cell = F.floor(F.col("ts") / F.lit(max(rules.window_micros, 1))).cast("long")
     return rows.select(
-        *scope, *carry, "scope_key", "event_id", "ts", "pid", "ppid", "techs", "tok",
-        F.col("v.family").alias("family"), F.col("v.technique").alias("technique"),
+        *carry, "scope_key", "event_id", "ts", F.col("v.family").alias("family"), F.col("v.technique").alias("technique"),
         F.col("v.role").alias("role"), F.col("s.mask").alias("mask"),
         _group_key(F.col("s.mask"), F.col("s.pos"), F.col("v.family"), F.col("v.technique")).alias("key"),
         cell.alias("cell"),
@@ -291,8 +295,14 @@ def _pair_mask() -> Column:
     return F.expr(" + ".join(bits))
 
 
-def _matched(left: DataFrame, right: DataFrame, scope: Sequence[str], rules: Rules, both_ways: bool = False) -> DataFrame:
-    """Join key rows into pairs; ``left`` is the earlier event, or the seed."""
+def _matched(
+    left: DataFrame, right: DataFrame, scope: Sequence[str], rules: Rules, both_ways: bool = False,
+    events: DataFrame | None = None,
+) -> DataFrame:
+    """Join key rows into pairs; ``left`` is the earlier event, or the seed.
+
+    With ``events`` the key rows are narrow and the matches are completed from there.
+    """
     reach = (-1, 0, 1) if both_ways else (0, 1)
     spread = left.withColumn(
         "cell", F.explode(F.array(*[F.col("cell") + F.lit(d).cast("long") for d in reach]))
@@ -300,15 +310,30 @@ def _matched(left: DataFrame, right: DataFrame, scope: Sequence[str], rules: Rul
     a, b = spread.alias("a"), right.alias("b")
     delta = F.col("b.ts") - F.col("a.ts")
     c = F.col
-    on = (c("a.key") == c("b.key")) & (c("a.cell") == c("b.cell")) & (c("a.mask") == c("b.mask"))
-    for name in scope:
-        on = on & c(f"a.{name}").eqNullSafe(c(f"b.{name}"))
+    # the key is a hash over scope, set and tokens; scope and set are compared as well
+    on = (c("a.key") == c("b.key")) & (c("a.cell") == c("b.cell"))
+    on = on & (c("a.mask") == c("b.mask")) & (c("a.scope_key") == c("b.scope_key"))
     if both_ways:
         on = on & (c("a.event_id") != c("b.event_id")) & (F.abs(delta) <= rules.window_micros)
     else:
         later = (c("a.ts") < c("b.ts")) | ((c("a.ts") == c("b.ts")) & (c("a.event_id") < c("b.event_id")))
         on = on & later & (delta <= rules.window_micros)
-    return _pair_rows(a.join(b, on & _roles_fit()), scope)
+    joined = a.join(b, on & _roles_fit())
+    return _pair_rows(joined if events is None else _completed(joined, scope, events), scope)
+
+
+def _completed(joined: DataFrame, scope: Sequence[str], events: DataFrame) -> DataFrame:
+    """Matches of narrow key rows with both events as structs ``a`` and ``b``."""
+    c = F.col
+    ids = joined.select(
+        c("a.scope_key").alias("scope_key"), c("a.event_id").alias("a_id"), c("b.event_id").alias("b_id"),
+        c("a.mask").alias("mask"), c("a.technique").alias("technique"), c("a.role").alias("role"),
+    )
+    fields = ["event_id", "ts", *_WIDE]
+    first = events.select("scope_key", c("event_id").alias("a_id"), F.struct(*scope, *fields).alias("first"))
+    second = events.select("scope_key", c("event_id").alias("b_id"), F.struct(*fields).alias("b"))
+    both = ids.join(first, ["scope_key", "a_id"]).join(second, ["scope_key", "b_id"])
+    return both.select(F.struct("first.*", "mask", "technique", "role").alias("a"), "b")
 
 
 def _roles_fit() -> Column:
@@ -379,14 +404,12 @@ def correlate_all(
     """
     rules = rules or Rules()
     scope = list(scope)
-    narrow = tokens(events, scope)
-    if per_scope is not None:
-        if per_scope < 1:
-            raise ValueError("per_scope must be at least 1")
-        narrow = cut_lineage(narrow)  # read several times below
-    rows = key_rows(narrow, scope, _set_literal(rules.smallest_sets()), rules)
+    if per_scope is not None and per_scope < 1:
+        raise ValueError("per_scope must be at least 1")
+    narrow = cut_lineage(tokens(events, scope))  # read several times below
+    rows = key_rows(narrow, _set_literal(rules.smallest_sets()), rules)
     if per_scope is None:
-        return _scored(_once(_matched(rows, rows, scope, rules), rules), scope, rules)
+        return _scored(_once(_matched(rows, rows, scope, rules, events=narrow), rules), scope, rules)
     return _top_pairs(narrow, rows, scope, rules, per_scope)
 
 
@@ -397,9 +420,11 @@ def correlate_seeds(
     """Best partners of each seed event, before or after it. ``seeds``: event_id."""
     rules = rules or Rules()
     scope = list(scope)
-    rows = key_rows(tokens(events, scope), scope, _set_literal(rules.smallest_sets()), rules)
+    narrow = cut_lineage(tokens(events, scope))
+    rows = key_rows(narrow, _set_literal(rules.smallest_sets()), rules)
     chosen = rows.join(seeds.select("event_id").distinct(), "event_id", "left_semi").select(*rows.columns)
-    pairs = _scored(_once(_matched(chosen, rows, scope, rules, both_ways=True), rules), scope, rules)
+    pairs = _matched(chosen, rows, scope, rules, both_ways=True, events=narrow)
+    pairs = _scored(_once(pairs, rules), scope, rules)
     order = [F.desc("confidence"), F.desc("score"), F.asc("related_event_id")]
     return top_k(pairs, [*scope, "source_event_id"], order, per_seed)
 
@@ -412,9 +437,12 @@ def _large_group(per_scope: int) -> int:
     return math.ceil((1 + math.sqrt(1 + 8 * per_scope)) / 2)
 
 
-def _group_sizes(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
+_GROUP = ["scope_key", "mask", "key", "cell", "role"]
+
+
+def _group_sizes(rows: DataFrame) -> DataFrame:
     """Size and time bounds of each (group, cell, role); combined before the shuffle."""
-    return rows.groupBy(*scope, "scope_key", "mask", "key", "cell", "role").agg(
+    return rows.groupBy(*_GROUP).agg(
         F.count("*").alias("size"), F.min("ts").alias("first_ts"),
         F.max(F.struct("ts", "event_id")).alias("last_event"),
     )
@@ -448,14 +476,15 @@ def _top_pairs(narrow: DataFrame, rows: DataFrame, scope: list[str], rules: Rule
        equal in value, only the first k by id can be in the result.
     """
     limit = _large_group(k)
-    sizes = cut_lineage(_group_sizes(rows, scope).filter(F.col("size") > limit))
+    sizes = rows.groupBy(*_GROUP).agg(F.count("*").alias("size")).filter(F.col("size") > limit)
+    sizes = cut_lineage(sizes)
     if sizes.isEmpty():
-        return _best(_once(_matched(rows, rows, scope, rules), rules), scope, rules, k)
+        return _best(_once(_matched(rows, rows, scope, rules, events=narrow), rules), scope, rules, k)
 
     # scopes with a large group on any side; at most one per `limit` rows
     hot = cut_lineage(sizes.select("scope_key").distinct())
     cold_rows = rows.join(hot, "scope_key", "left_anti").select(*rows.columns)
-    cold = _once(_matched(cold_rows, cold_rows, scope, rules), rules)
+    cold = _once(_matched(cold_rows, cold_rows, scope, rules, events=narrow), rules)
     events = narrow.join(hot, "scope_key", "left_semi").select(*narrow.columns)
 
     base = min((rules.ranks[m] for m in rules.smallest_sets()), default=0)
@@ -465,7 +494,7 @@ def _top_pairs(narrow: DataFrame, rows: DataFrame, scope: list[str], rules: Rule
         level = cut_lineage(_keyed_at_floor(events, floors, scope, rules))
         levels, lifted = [], None
         while not level.isEmpty():
-            counted = cut_lineage(_group_sizes(level, scope))
+            counted = cut_lineage(_group_sizes(level))
             higher = cut_lineage(_raise(floors, _floors(counted, limit, rules)))
             if not higher.alias("n").join(floors.alias("o"), "scope_key").filter("n.floor > o.floor").isEmpty():
                 lifted = higher
@@ -514,7 +543,7 @@ def _complete_forms(events: DataFrame, scope: list[str], rules: Rules) -> DataFr
     )
     least = min((rules.ranks[m] for m in rules.smallest_sets()), default=0)
     enough = F.bit_count("mask") >= rules.min_reasons
-    return _group_sizes(rows.filter((rules.rank(F.col("mask")) >= least) & enough), scope)
+    return _group_sizes(rows.filter((rules.rank(F.col("mask")) >= least) & enough))
 
 
 def _keyed_at_floor(events: DataFrame, floors: DataFrame, scope: list[str], rules: Rules) -> DataFrame:
@@ -523,7 +552,8 @@ def _keyed_at_floor(events: DataFrame, floors: DataFrame, scope: list[str], rule
     table = {str(level): _set_list(rules.smallest_sets(level)) for level in levels}
     by_floor = F.from_json(F.lit(json.dumps(table)), f"map<string,{_SET_TYPE}>")
     joined = events.join(floors, "scope_key")
-    return key_rows(joined, scope, by_floor[F.col("floor").cast("string")], rules)
+    sets = by_floor[F.col("floor").cast("string")]
+    return key_rows(joined, sets, rules, [*scope, *_WIDE])
 
 
 def _flagged(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
@@ -628,12 +658,12 @@ def correlate_stream(
     def side(name: str) -> DataFrame:
         watched = events.withWatermark("timestamp", lateness)
         narrow = tokens(watched, scope, ["timestamp"])
-        return key_rows(narrow, scope, _set_literal(rules.smallest_sets()), rules, ["timestamp"]).alias(name)
+        sets = _set_literal(rules.smallest_sets())
+        return key_rows(narrow, sets, rules, ["timestamp", *scope, *_WIDE]).alias(name)
 
     a, b, c = side("a"), side("b"), F.col
-    on = (c("a.key") == c("b.key")) & (c("a.mask") == c("b.mask")) & _roles_fit()
-    for name in scope:
-        on = on & c(f"a.{name}").eqNullSafe(c(f"b.{name}"))
+    on = (c("a.key") == c("b.key")) & (c("a.mask") == c("b.mask")) & (c("a.scope_key") == c("b.scope_key"))
+    on = on & _roles_fit()
     window = F.expr(f"INTERVAL {rules.window_micros} MICROSECONDS")
     on = on & (c("b.timestamp") >= c("a.timestamp")) & (c("b.timestamp") <= c("a.timestamp") + window)
     later = (c("a.ts") < c("b.ts")) | ((c("a.ts") == c("b.ts")) & (c("a.event_id") < c("b.event_id")))

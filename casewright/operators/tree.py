@@ -165,8 +165,8 @@ def lineage(tree: DataFrame, node: str) -> DataFrame:
     """Root to node, as (position, node)."""
     spark = tree.sparkSession
     way = ancestors(tree, spark.createDataFrame([(node,)], "node string"))
-    length = way.agg(F.max("distance").alias("top"))
-    return way.join(F.broadcast(length)).select(
+    length = way.groupBy("node").agg(F.max("distance").alias("top"))
+    return way.join(length, "node").select(
         (F.col("top") - F.col("distance")).alias("position"), F.col("ancestor").alias("node")
     ).orderBy("position")
 

@@ -48,7 +48,7 @@ def investigate(
         stages.correlate_all(events, ["case_id", "tenant_id"], stages.rules, stages.max_pairs)
     )
     tables["correlations"] = pairs
-    entities = tables["entities"]
+    entities = tables["entities"] = cut_lineage(tables["entities"])
     relationships = tables["relationships"] = cut_lineage(tables["relationships"])
     below = graph.descendant_pairs(relationships, ["case_id"])
     made = hypotheses.all_kinds(
