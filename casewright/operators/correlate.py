@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright import vocab
@@ -673,6 +673,16 @@ def correlate_stream(
 # -- details of pairs ---------------------------------------------------------------------------
 
 
+def reason_table(spark: SparkSession, category: str | None = None, rules: Rules | None = None) -> DataFrame:
+    """Reasons with label, category and weight; of one category, in order of name."""
+    rules = rules or Rules()
+    rows = [
+        (n, label, cat, rules.weights[n])
+        for n, label, cat, _ in vocab.CORRELATION_REASONS if category is None or cat == category
+    ]
+    return spark.createDataFrame(sorted(rows), "reason string, label string, category string, weight double")
+
+
 def breakdown(pairs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Reasons with label, category and weight, the heaviest first."""
     rules = rules or Rules()

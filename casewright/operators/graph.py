@@ -633,18 +633,67 @@ def longest_lineage(relationships: DataFrame, entity_id: str, max_depth: int = 1
     return best.select(F.posexplode("path").alias("position", "entity_id"))
 
 
-# -- export -------------------------------------------------------------------------------
+# -- lookups ------------------------------------------------------------------------------
 
 
-def export_nodes(entities: DataFrame) -> DataFrame:
-    return entities.select(F.col("entity_id").alias("id"), F.initcap("entity_type").alias("type"), "value", "host", "tenant_id")
+def find_entities(
+    entities: DataFrame, entity_type: str | None = None, value: str | None = None, host: str | None = None,
+    fingerprint: str | None = None,
+) -> DataFrame:
+    """Entities by fingerprint, type, normalised value and host, as far as given."""
+    rows = entities
+    wanted = {"fingerprint": fingerprint, "entity_type": entity_type, "normalized_value": value}
+    for name, text in wanted.items():
+        if text is not None:
+            rows = rows.filter(F.col(name) == text)
+    return rows if host is None else rows.filter(F.col("host") == host.lower())
+
+
+def find_unique(entities: DataFrame, entity_type: str, value: str, host: str | None = None) -> DataFrame:
+    """The one matching entity, or no row when there are none or several."""
+    rows = find_entities(entities, entity_type, value, host)
+    total = rows.groupBy("entity_type", "normalized_value").agg(F.count("*").alias("_n")).filter("_n = 1")
+    return rows.join(total, ["entity_type", "normalized_value"], "left_semi").select(*entities.columns)
+
+
+def find_relationships(
+    relationships: DataFrame, relationship_type: str | None = None, source_id: str | None = None,
+    target_id: str | None = None, fingerprint: str | None = None,
+) -> DataFrame:
+    rows = relationships
+    wanted = {
+        "fingerprint": fingerprint, "relationship_type": relationship_type, "source_id": source_id, "target_id": target_id,
+    }
+    for name, text in wanted.items():
+        if text is not None:
+            rows = rows.filter(F.col(name) == text)
+    return rows
 
 
-def export_edges(relationships: DataFrame) -> DataFrame:
-    return relationships.select(
-        F.col("source_id").alias("source"), F.col("target_id").alias("target"),
-        F.upper("relationship_type").alias("relationship"), "weight", "confidence",
+def with_relationship_fingerprint_check(relationships: DataFrame) -> DataFrame:
+    return relationships.withColumn("fingerprint_ok", F.col("fingerprint") == identity.relationship_fingerprint())
+
+
+def same_identity(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left`` that also exist in ``right``, by identity."""
+    return left.join(right.select("fingerprint").distinct(), "fingerprint", "left_semi").select(*left.columns)
+
+
+def add_provenance(
+    entities: DataFrame, log: DataFrame, scope: Sequence[str] = (),
+) -> DataFrame:
+    """Widen first and last seen by later sightings. ``log``: fingerprint, timestamp, event_id."""
+    keys = [*scope, "fingerprint"]
+    seen = log.groupBy(*keys).agg(
+        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"), F.count("*").alias("_more")
     )
+    joined = entities.join(seen, keys, "left")
+    return joined.withColumns(
+        {
+            "first_seen": F.least("first_seen", "_first"), "last_seen": F.greatest("last_seen", "_last"),
+            "mention_count": F.col("mention_count") + F.coalesce("_more", F.lit(0)),
+        }
+    ).select(*entities.columns)
 
 
 def sorted_tag_union(left: Column, right: Column) -> Column:

@@ -54,6 +54,12 @@ def _identified(rows: DataFrame) -> DataFrame:
     )
 
 
+def with_fingerprint_check(hypotheses: DataFrame) -> DataFrame:
+    """Add ``fingerprint_ok``: does the stored identity hash match tenant, type and statement?"""
+    recomputed = hypothesis_fingerprint(F.col("tenant_id"), F.col("hypothesis_type"), F.col("statement"))
+    return hypotheses.withColumn("fingerprint_ok", F.col("fingerprint") == recomputed)
+
+
 def hypothesis_id(case_id: Column, fingerprint: Column) -> Column:
     """Id from case and content, so a second run gives the same one."""
     return F.concat(F.lit("H-"), F.substring(F.sha2(F.concat_ws("|", case_id, fingerprint), 256), 1, 12))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +96,41 @@ def enrich(distinct: DataFrame, feed: DataFrame, providers: DataFrame | None = N
     )
 
 
+_LOOKUP_SCHEMA = (
+    "provider string, indicator_type string, indicator string, found boolean, malicious_count int, total_count int, "
+    "reputation int, tags array<string>, error string"
+)
+
+
+def lookup(distinct: DataFrame, provider: str, ask: Callable[[str, str], dict]) -> DataFrame:
+    """Feed rows from a provider function, asked once per distinct indicator.
+
+    ``ask(type, value)`` returns found, malicious_count, total_count, reputation and tags,
+    or raises: a failure becomes an error row and the others go on.
+    """
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for kind, value in zip(batch["indicator_type"], batch["indicator"]):
+                answer, error = {}, None
+                try:
+                    answer = ask(kind, value)
+                except Exception as problem:  # the provider's own errors
+                    error = str(problem)
+                rows.append(
+                    (
+                        provider, kind, value, bool(answer.get("found")), answer.get("malicious_count", 0),
+                        answer.get("total_count", 0), answer.get("reputation"), list(answer.get("tags", [])), error,
+                    )
+                )
+            names = [part.split()[0] for part in _LOOKUP_SCHEMA.split(", ")]
+            out = pd.DataFrame(rows, columns=names)
+            out["reputation"] = out["reputation"].astype("Int32")
+            yield out
+
+    return distinct.select("indicator_type", "indicator").mapInPandas(step, _LOOKUP_SCHEMA)
+
+
 def with_verdict(results: DataFrame) -> DataFrame:
     """Add the malicious flag, the detection ratio and the success flag."""
     ratio = F.when(F.col("total_count") > 0, F.col("malicious_count") / F.col("total_count")).otherwise(0.0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from casewright import vocab
 from casewright.functions.identity import content_hash
 from casewright.functions.ordered import with_row_index
+from casewright.session import cut_lineage
 
 ENTRY_COLUMNS = [
     "ledger_id", "sequence", "evidence_id", "evidence_hash", "previous_hash", "entry_hash", "operation", "timestamp",
@@ -40,29 +41,57 @@ def entry_hash() -> Column:
     )
 
 
-def append(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+#: Entries of one ledger that one task chains before the head is handed on.
+BLOCK_ROWS = 2_000_000
+
+
+def append(rows: DataFrame, heads: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """New entries for (ledger_id, evidence_id, evidence_hash, operation, timestamp).
 
-    Each hash covers the one before it, so one ledger is sequential by definition. The
-    rows are sorted by ledger on disk and streamed through in Arrow batches with only
-    the last hash in memory; no ledger is ever held as a group. Numbering and texts
-    are prepared in parallel. ``heads`` (ledger_id, sequence, entry_hash) continues
-    stored ledgers.
+    Each hash covers the one before it, so one ledger is sequential by definition.
+    Entries are numbered in parallel and cut into blocks of ``block_rows``; round by
+    round the same block of all ledgers is chained and only the last hash goes on to
+    the next round. A task streams its sorted rows and keeps one hash, and a finished
+    round is written out, so a lost executor costs one block. ``heads`` (ledger_id,
+    sequence, entry_hash) continues stored ledgers.
     """
-    if heads is not None:
-        start = heads.select("ledger_id", (F.col("sequence") + 1).alias("_base"), F.col("entry_hash").alias("_head"))
-        rows = rows.join(start, "ledger_id", "left")
-    else:
-        rows = rows.withColumns({"_base": F.lit(0).cast("long"), "_head": F.lit(None).cast("string")})
-    rows = rows.withColumns(
-        {"_base": F.coalesce("_base", F.lit(0).cast("long")), "_head": F.coalesce("_head", F.lit(vocab.GENESIS_HASH)),
-         "_iso": iso_time(F.col("timestamp"))}
+    numbered = with_row_index(rows, ["ledger_id"], ["timestamp", "evidence_id"], "_n")
+    numbered = numbered.withColumn("_block", F.floor(F.col("_n") / block_rows))
+    last = numbered.agg(F.max("_block")).first()[0]
+    spark = rows.sparkSession
+    known = spark.createDataFrame([], "ledger_id string, sequence long, entry_hash string") if heads is None else heads
+    out = None
+    if last is None:
+        return spark.createDataFrame([], _SCHEMA)
+    if last > 0:
+        numbered = cut_lineage(numbered)
+    for block in range(last + 1):
+        part = _append_block(numbered.filter(F.col("_block") == block), known)
+        if last > 0:
+            part = cut_lineage(part)
+            known = heads_of(part, known)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _append_block(rows: DataFrame, known: DataFrame) -> DataFrame:
+    start = known.select("ledger_id", (F.col("sequence") + 1).alias("_base"), F.col("entry_hash").alias("_head"))
+    joined = rows.join(start, "ledger_id", "left")
+    narrow = joined.select(
+        "ledger_id", "evidence_id", "evidence_hash", "operation", "timestamp",
+        F.coalesce("_base", F.lit(0).cast("long")).alias("_base"),
+        F.coalesce("_head", F.lit(vocab.GENESIS_HASH)).alias("_head"), iso_time(F.col("timestamp")).alias("_iso"),
     )
-    narrow = rows.select(
-        "ledger_id", "evidence_id", "evidence_hash", "operation", "timestamp", "_base", "_head", "_iso"
+    ordered = narrow.repartition("ledger_id").sortWithinPartitions("ledger_id", "timestamp", "evidence_id")
+    return ordered.mapInPandas(_chain, _SCHEMA)
+
+
+def heads_of(entries: DataFrame, before: DataFrame) -> DataFrame:
+    """Heads after ``entries``; ledgers without new entries keep theirs."""
+    rows = before.select("ledger_id", "sequence", "entry_hash").unionByName(
+        entries.select("ledger_id", "sequence", "entry_hash")
     )
-    sorted_rows = narrow.repartition("ledger_id").sortWithinPartitions("ledger_id", "timestamp", "evidence_id")
-    return sorted_rows.mapInPandas(_chain, _SCHEMA)
+    return cut_lineage(heads(rows))
 
 
 def _chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

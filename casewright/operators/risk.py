@@ -206,6 +206,11 @@ def top_factors(rows: DataFrame, per_case: int = 5) -> DataFrame:
     return top_k(positive, ["case_id"], [F.desc("contribution"), F.asc("category"), F.asc("name")], per_case)
 
 
+def by_weight(rows: DataFrame) -> DataFrame:
+    """Factors of each case, the largest absolute contribution first."""
+    return rows.orderBy("case_id", F.desc(F.abs("contribution")), "name")
+
+
 def with_summary(assessed: DataFrame, top: DataFrame) -> DataFrame:
     """Add the one-line summary with the first three contributors.
 

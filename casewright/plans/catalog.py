@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from casewright import vocab
 from casewright.functions import identity
 from casewright.operators import (
-    cases, correlate, detect, evidence, graph, hypotheses, intel, ledger, report, risk, timeline, tree,
+    cases, correlate, detect, evidence, export, graph, hypotheses, intel, ledger, report, risk, timeline, tree,
 )
 from casewright.plans import derived, presets
 from casewright.plans.investigate import investigate
@@ -664,6 +664,33 @@ def poll_new_only(spark, sf):
     return rows.groupBy("host").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
+# -- export -----------------------------------------------------------------------------------------------------------
+
+
+@query
+def graph_export_nodes(spark, sf):
+    events = sec_events(spark, sf)
+    rows = evidence.from_events(events)
+    tables = {
+        "events": events, "evidence": rows, "entities": graph.build(events, ["tenant_id"])["entities"],
+        "hypotheses": hypotheses.main_and_counter(rows), "ledger": ledger.append(derived.ledger_rows(events)),
+    }
+    return export.nodes(tables).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query
+def graph_export_edges(spark, sf):
+    events = sec_events(spark, sf)
+    rows = evidence.from_events(events)
+    g = graph.build(events, ["tenant_id"])
+    tables = {
+        "evidence": rows, "relationships": g["relationships"], "entity_events": g["entity_events"],
+        "hypothesis_support": hypotheses.support_links(rows, hypotheses.main_and_counter(rows)),
+        "correlations": correlate.correlate_all(events),
+    }
+    return export.edges(tables).groupBy("relationship", "target_type").agg(F.count("*").alias("n"))
+
+
 # -- streaming ------------------------------------------------------------------------------------------------------
 
 

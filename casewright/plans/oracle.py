@@ -630,6 +630,23 @@ SELECT format, count(*) AS raw_count, count(*) FILTER (NOT bad) AS success_count
 SQL["poll_new_only"] = SEC + """
 SELECT host, count(*) AS n, 'wazuh-' || min(event_id) AS first_id FROM sec WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1"""
 
+# -- export -----------------------------------------------------------------------------------------------------------
+
+_EXPORT = hypotheses(graph(base=pairs("a.tenant_id = b.tenant_id", base=EV)))
+SQL["graph_export_nodes"] = _EXPORT + """
+SELECT 'Event' AS type, count(*) AS n FROM sec UNION ALL SELECT 'Evidence', count(*) FROM ev
+UNION ALL SELECT 'Entity', count(*) FROM ent UNION ALL SELECT 'Hypothesis', count(DISTINCT hypothesis_id) FROM hyp
+UNION ALL SELECT 'EvidenceLedger', count(DISTINCT tenant_id) FROM sec"""
+SQL["graph_export_edges"] = _EXPORT + """,
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY round(confidence, 9) DESC,
+  round(score, 9) DESC, source_event_id, related_event_id) AS rank FROM pr) WHERE rank <= 500)
+SELECT upper(rel) AS relationship, 'Entity' AS target_type, count(*) AS n FROM rel GROUP BY 1
+UNION ALL SELECT 'OBSERVED_IN', 'Event', count(DISTINCT (eid, event_id)) FROM m
+UNION ALL SELECT 'REFERENCES', 'Event', count(*) FROM ev
+UNION ALL SELECT 'SUPPORTS', 'Hypothesis', count(*) FROM te
+UNION ALL SELECT 'CORRELATES_SOURCE', 'Event', count(*) FROM top
+UNION ALL SELECT 'CORRELATES_RELATED', 'Event', count(*) FROM top"""
+
 # -- streaming ----------------------------------------------------------------------------------------------------------
 
 SQL["event_batches_replay"] = SEC + """,

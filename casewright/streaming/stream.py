@@ -46,6 +46,20 @@ def observed(events: DataFrame, name: str = "worker") -> DataFrame:
     )
 
 
+def backlog(query: StreamingQuery) -> list[dict]:
+    """Per source: rows of the last trigger and the offsets read and available."""
+    progress = query.lastProgress
+    if not progress:
+        return []
+    return [
+        {
+            "source": s["description"], "rows": s["numInputRows"], "read": s["endOffset"],
+            "available": s.get("latestOffset"),
+        }
+        for s in progress["sources"]
+    ]
+
+
 def quarantine_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write messages that are not valid events to a folder of their own."""
     bad = normalize.quarantine(events).select("event_id", "raw", "errors")

@@ -163,3 +163,21 @@ def test_tree_errors(make_events):
     rows = [process(1, "h", 1), process(2, "h", 1), {"event_id": "E3", "timestamp": T0, "host": "h"}, process(4, "h", None)]
     bad = {(r.event_id, r.error) for r in tree.violations(tree.nodes(make_events(rows))).collect()}
     assert bad == {("E1", "duplicate process node"), ("E3", "missing process context"), ("E4", "missing valid pid")}
+
+
+def test_lookups_and_checks(make_events):
+    rows = [
+        {"event_id": "1", "timestamp": T0, "host": "h1", "process": {"name": "a", "pid": 1}, "user": "kim"},
+        {"event_id": "2", "timestamp": T0, "host": "h2", "process": {"name": "a", "pid": 1}, "user": "kim"},
+    ]
+    g = graph.build(make_events(rows))
+    entities, edges_ = g["entities"], g["relationships"]
+    assert graph.find_entities(entities, "process").count() == 2
+    assert graph.find_unique(entities, "process", "a|pid:1").count() == 0
+    one = graph.find_unique(entities, "process", "a|pid:1", "H2").first()
+    assert one.host == "h2"
+    assert graph.find_relationships(edges_, "run_as", source_id=one.entity_id).count() == 1
+    assert graph.with_relationship_fingerprint_check(edges_).filter("NOT fingerprint_ok").count() == 0
+    assert graph.same_identity(entities, entities.limit(2)).count() == 2
+    log = entities.limit(1).select("fingerprint", F.lit("2020-01-01").cast("timestamp").alias("timestamp"), F.lit("x").alias("event_id"))
+    assert graph.add_provenance(entities, log).filter("first_seen < '2021-01-01' AND mention_count = 2").count() == 1

@@ -150,7 +150,9 @@ def test_intel(make_events, spark):
 def chain(spark):
     rows = [("L" if i % 3 else "K", f"e{i}", f"hash{i}", "append", dt.datetime(2026, 1, 1, 0, 0, i)) for i in range(30)]
     frame = spark.createDataFrame(rows, "ledger_id string, evidence_id string, evidence_hash string, operation string, timestamp timestamp")
-    return ledger.append(frame).cache()
+    whole, blocks = ledger.append(frame), ledger.append(frame, block_rows=7)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, blocks.collect()))
+    return whole
 
 
 def status(entries, name="L"):
@@ -228,3 +230,15 @@ def test_listing(spark):
     assert ids(cases.page(rows, 1, 1)) == ["a"]
     with pytest.raises(ValueError):
         cases.tenant_scope(rows, "")
+
+
+def test_provider_lookup_keeps_going(spark):
+    def ask(kind, value):
+        if value == "bad":
+            raise RuntimeError("quota")
+        return {"found": True, "malicious_count": 3, "total_count": 9, "tags": [kind]}
+
+    distinct = spark.createDataFrame([("ip", "1.1.1.1"), ("ip", "bad")], "indicator_type string, indicator string")
+    feed = intel.lookup(distinct, "mine", ask)
+    got = {r.indicator: (r.found, r.malicious_count, r.error) for r in intel.enrich(distinct, feed).collect()}
+    assert got == {"1.1.1.1": (True, 3, None), "bad": (False, 0, "quota")}
