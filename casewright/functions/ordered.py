@@ -42,7 +42,7 @@ def with_previous(
     tails = blocks.groupBy(*keys, BLOCK).agg(F.max_by(payload, F.struct(*order)).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy(BLOCK)
     carried = tails.select(*keys, BLOCK, F.lag("_tail").over(across).alias("_carry"))
-    joined = _join_on_keys(lagged, carried, [*keys, BLOCK])
+    joined = _add_by_block(lagged, carried.filter(F.col("_carry").isNotNull()), [*keys, BLOCK])
     previous = F.coalesce("_lag", "_carry")
     out = joined.select(
         *df.columns, *[previous[c].alias(prefix + c) for c in columns]
@@ -62,12 +62,16 @@ def with_row_index(
     offsets = sizes.select(
         *keys, BLOCK, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
-    joined = _join_on_keys(local, offsets, [*keys, BLOCK])
-    return joined.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(name))
+    joined = _add_by_block(local, offsets.filter(F.col("_offset") > 0), [*keys, BLOCK])
+    return joined.select(*df.columns, (F.col("_local") + F.coalesce("_offset", F.lit(0))).alias(name))
 
 
-def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on null-safe keys that keeps one copy of the key columns."""
+def _add_by_block(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on null-safe keys.
+
+    ``right`` has a row only where a group goes on from one block into the next. Blocks
+    are ranges, so that is at most one row per block, and it is broadcast.
+    """
     right = right.select(
         *[F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)],
         *[c for c in right.columns if c not in keys],
@@ -76,7 +80,7 @@ def _join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Dat
     for i, key in enumerate(keys):
         term = F.col(key).eqNullSafe(F.col(f"_r_{i}"))
         condition = term if condition is None else condition & term
-    return left.join(right, condition).drop(*[f"_r_{i}" for i in range(len(keys))])
+    return left.join(F.broadcast(right), condition, "left").drop(*[f"_r_{i}" for i in range(len(keys))])
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, rank: str = "rank") -> DataFrame:

@@ -23,11 +23,6 @@ def basename(path: Column) -> Column:
     return F.substring_index(F.replace(path, F.lit("/"), F.lit("\\")), "\\", -1)
 
 
-def domain_name(col: Column) -> Column:
-    """Lower-case domain without trailing dots; empty becomes null."""
-    return F.nullif(F.regexp_replace(folded(col), r"\.+$", ""), F.lit(""))
-
-
 def to_int(col: Column) -> Column:
     """Decimal or ``0x`` hexadecimal text as INT, null when it is neither."""
     text = F.trim(col.cast("string"))
@@ -42,19 +37,11 @@ def sorted_set(col: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(items, lambda x: x.isNotNull() & (x != ""))))
 
 
-def sorted_tags(col: Column) -> Column:
-    return sorted_set(F.transform(col, lambda x: F.lower(x)))
-
-
 def valid_technique(col: Column) -> Column:
     """Technique ids as the event model accepts them: T, then digits and dots."""
     return col.rlike(r"^T[0-9.]*[0-9][0-9.]*$")
 
 
-def valid_tactic(col: Column) -> Column:
-    return col.rlike(r"^TA\d+$")
-
-
 def collapse_space(col: Column) -> Column:
     """Lower-case text with runs of white space as one space."""
     return F.regexp_replace(F.lower(F.trim(col)), r"\s+", " ")
@@ -78,10 +65,6 @@ def lookup(key: Column, table: dict) -> Column:
     return F.element_at(F.create_map(*pairs), key) if pairs else F.lit(None)
 
 
-def clamp(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
-
-
 def glob_regex(pattern: str) -> str:
     """``*`` and ``?`` wildcards as an anchored regular expression."""
     import re

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from casewright import vocab
 from casewright.functions import identity
-from casewright.functions.text import sorted_set
 from casewright.session import cut_lineage
 
 #: Sort rank of the entity types in reports.
@@ -694,7 +693,3 @@ def add_provenance(
             "mention_count": F.col("mention_count") + F.coalesce("_more", F.lit(0)),
         }
     ).select(*entities.columns)
-
-
-def sorted_tag_union(left: Column, right: Column) -> Column:
-    return sorted_set(F.array_union(left, right))

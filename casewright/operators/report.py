@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from casewright import vocab
 from casewright.functions.ordered import top_k
-from casewright.functions.text import band
 
 
 def timeline(evidence: DataFrame) -> DataFrame:
@@ -177,10 +176,6 @@ def verdict(score: Column) -> Column:
     ).otherwise("low priority")
 
 
-def strength_badge(severity: Column) -> Column:
-    return band(severity, "critical", "strong", "moderate", "weak")
-
-
 # -- structured report --------------------------------------------------------------------------
 
 

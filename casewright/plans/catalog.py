@@ -94,7 +94,7 @@ def evidence_edges(spark, sf):
 def category_inference(spark, sf):
     events = sec_events(spark, sf)
     inferred = events.select(
-        F.col("category").alias("given"), normalize.infer_category(F.lit("other")).alias("inferred")
+        F.col("category").alias("given"), F.expr(normalize.infer_category_sql("'other'")).alias("inferred")
     )
     return inferred.groupBy("given", "inferred").agg(F.count("*").alias("n"))
 

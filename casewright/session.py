@@ -35,6 +35,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **extra: str) ->
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in {**SETTINGS, **extra}.items():

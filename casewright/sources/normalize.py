@@ -12,9 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright import vocab
-from casewright.functions.text import (
-    basename, lookup, sorted_set, sorted_tags, to_int, valid_tactic, valid_technique,
-)
+from casewright.functions.text import basename, lookup, to_int, valid_technique
 from casewright.schemas import EVENT, EVENT_COLUMNS, PROCESS
 
 # -- reading ------------------------------------------------------------------------------
@@ -94,20 +92,15 @@ def tactic_id(text: Column) -> Column:
     return F.when(F.upper(value).rlike(r"^TA\d+$"), F.upper(value)).otherwise(named)
 
 
-def infer_category(category: Column) -> Column:
-    """For ``other``: the category of the first context there is."""
-    url = F.coalesce(F.col("network.url"), F.lit("")) != ""
-    agent = F.coalesce(F.col("network.user_agent"), F.lit("")) != ""
-    return F.when(
-        category == "other",
-        F.when(F.col("process").isNotNull(), "process")
-        .when(F.col("registry").isNotNull(), "registry")
-        .when(F.col("dns").isNotNull(), "dns")
-        .when(F.col("network").isNotNull() & (url | agent), "http")
-        .when(F.col("file").isNotNull(), "file")
-        .when(F.col("network").isNotNull(), "network")
-        .otherwise("other"),
-    ).otherwise(category)
+def infer_category_sql(category: str) -> str:
+    """For ``other``: the category of the first context there is. SQL text."""
+    web = "(coalesce(network.url, '') <> '' OR coalesce(network.user_agent, '') <> '')"
+    return (
+        f"CASE WHEN {category} <> 'other' THEN {category} WHEN process IS NOT NULL THEN 'process' "
+        f"WHEN registry IS NOT NULL THEN 'registry' WHEN dns IS NOT NULL THEN 'dns' "
+        f"WHEN network IS NOT NULL AND {web} THEN 'http' WHEN file IS NOT NULL THEN 'file' "
+        "WHEN network IS NOT NULL THEN 'network' ELSE 'other' END"
+    )
 
 
 def predicates(events: DataFrame) -> DataFrame:
@@ -128,75 +121,78 @@ def _strings(col: Column) -> Column:
     return F.when(F.trim(col).startswith("["), listed).when(F.coalesce(F.trim(col), F.lit("")) != "", F.array(col))
 
 
+def _typed(given: dict[str, Column], field) -> Column:
+    """A given value in the type of its field; null when it is not given."""
+    kind = field.dataType.simpleString()
+    value = given.get(field.name)
+    return (F.expr(f"CAST(NULL AS {kind})") if value is None else value.cast(kind)).alias(field.name)
+
+
 def _context(schema, **given: Column) -> Column:
-    return F.struct(*[
-        given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
-    ])
+    return F.struct(*[_typed(given, f) for f in schema.fields])
 
 
 def _finish(rows: DataFrame, given: dict[str, Column], errors: list[Column]) -> DataFrame:
     """Canonical columns, the carried ones, and the errors of normalising and validating."""
     carried = [c for c in rows.columns if not c.startswith("_") and c not in EVENT_COLUMNS]
-    columns = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields]
+    columns = [_typed(given, f) for f in EVENT.fields]
     out = rows.select(*columns, *carried, F.array_compact(F.array(*errors)).alias("_early"))
-    return with_errors(canonical(out)).withColumn("errors", F.concat("_early", "errors")).drop("_early")
+    out = with_errors(canonical(out))
+    return out.selectExpr(*[f"`{c}`" for c in out.columns if c not in ("_early", "errors")], "concat(_early, errors) AS errors")
+
+
+_SORTED_SET = (
+    "array_sort(array_distinct(filter(transform(coalesce({0}, array()), x -> {1}), x -> x IS NOT NULL AND x <> '')))"
+)
+_LOWERED_HASHES = (
+    "map_from_entries(transform(filter(map_entries({0}.hashes), e -> coalesce(e.value, '') <> ''), "
+    "e -> named_struct('key', lower(e.key), 'value', lower(e.value))))"
+)
 
 
 def canonical(events: DataFrame) -> DataFrame:
     """Trim texts, sort and deduplicate lists, lower hash keys, infer the category."""
-    trimmed = {
-        c: F.trim(F.col(c)) for c in ("event_id", "tenant_id", "event_type", "host", "user", "domain", "rule_id", "rule_name")
+    given = {
+        c: f"trim(`{c}`)" for c in ("event_id", "tenant_id", "event_type", "host", "user", "domain", "rule_id", "rule_name")
     }
-    lowered = lambda ctx: F.when(
-        F.col(ctx).isNotNull(),
-        F.col(ctx).withField(
-            "hashes",
-            F.map_from_entries(
-                F.transform(
-                    F.filter(F.map_entries(f"{ctx}.hashes"), lambda e: F.coalesce(e["value"], F.lit("")) != ""),
-                    lambda e: F.struct(F.lower(e["key"]).alias("key"), F.lower(e["value"]).alias("value")),
-                )
-            ),
-        ),
-    )
-    return events.withColumns(
-        {
-            **trimmed,
-            "schema_version": F.coalesce("schema_version", F.lit(vocab.SCHEMA_VERSION)),
-            "platform": F.coalesce("platform", F.lit("unknown")),
-            "category": infer_category(F.coalesce("category", F.lit("other"))),
-            "source_reliability": F.coalesce("source_reliability", F.lit("fairly_reliable")),
-            "severity": F.coalesce("severity", F.lit(0)),
-            "tags": sorted_tags(F.col("tags")),
-            "mitre_techniques": sorted_set(F.col("mitre_techniques")),
-            "mitre_tactics": sorted_set(F.col("mitre_tactics")),
-            "process": lowered("process"),
-            "file": lowered("file"),
-            "network": F.when(
-                F.col("network").isNotNull(), F.col("network").withField("protocol", F.upper("network.protocol"))
-            ),
-        }
-    )
+    given |= {
+        "schema_version": f"coalesce(schema_version, '{vocab.SCHEMA_VERSION}')",
+        "platform": "coalesce(platform, 'unknown')",
+        "category": infer_category_sql("coalesce(category, 'other')"),
+        "source_reliability": "coalesce(source_reliability, 'fairly_reliable')",
+        "severity": "coalesce(severity, 0)",
+        "tags": _SORTED_SET.format("tags", "lower(trim(x))"),
+        "mitre_techniques": _SORTED_SET.format("mitre_techniques", "trim(x)"),
+        "mitre_tactics": _SORTED_SET.format("mitre_tactics", "trim(x)"),
+    }
+    for context, field, value in (
+        ("process", "hashes", _LOWERED_HASHES.format("process")), ("file", "hashes", _LOWERED_HASHES.format("file")),
+        ("network", "protocol", "upper(network.protocol)"),
+    ):
+        parts = ", ".join(
+            f"'{f.name}', {value if f.name == field else f'{context}.{f.name}'}" for f in EVENT[context].dataType.fields
+        )
+        given[context] = f"CASE WHEN {context} IS NOT NULL THEN named_struct({parts}) END"
+    return events.selectExpr(*[f"{given.get(c, f'`{c}`')} AS `{c}`" for c in events.columns])
 
 
 def with_errors(events: DataFrame) -> DataFrame:
     """Add ``errors``: the rules of the event model a row breaks."""
-    known = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False))
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    reliabilities = [value for _, value, _ in vocab.RELIABILITY]
+    known = lambda c, values: f"NOT coalesce({c} IN ({', '.join(repr(v) for v in values)}), false)"
     checks = [
-        (empty("event_id"), "event_id is required"),
-        (F.col("timestamp").isNull(), "timestamp is missing or not a time"),
-        (~known("source", vocab.EVENT_SOURCES), "unknown source"),
-        (~known("platform", vocab.PLATFORMS), "unknown platform"),
-        (~known("category", vocab.EVENT_CATEGORIES), "unknown category"),
-        (empty("event_type"), "event_type is required"),
-        (~known("source_reliability", reliabilities), "unknown source reliability"),
-        (~F.coalesce(F.col("severity").between(0, 100), F.lit(False)), "severity must be between 0 and 100"),
-        (F.exists("mitre_techniques", lambda t: ~valid_technique(t)), "invalid technique id"),
-        (F.exists("mitre_tactics", lambda t: ~valid_tactic(t)), "invalid tactic id"),
+        ("coalesce(event_id, '') = ''", "event_id is required"),
+        ("timestamp IS NULL", "timestamp is missing or not a time"),
+        (known("source", vocab.EVENT_SOURCES), "unknown source"),
+        (known("platform", vocab.PLATFORMS), "unknown platform"),
+        (known("category", vocab.EVENT_CATEGORIES), "unknown category"),
+        ("coalesce(event_type, '') = ''", "event_type is required"),
+        (known("source_reliability", [value for _, value, _ in vocab.RELIABILITY]), "unknown source reliability"),
+        ("NOT coalesce(severity BETWEEN 0 AND 100, false)", "severity must be between 0 and 100"),
+        ("exists(mitre_techniques, t -> NOT t rlike '^T[0-9.]*[0-9][0-9.]*$')", "invalid technique id"),
+        ("exists(mitre_tactics, t -> NOT t rlike '^TA[0-9]+$')", "invalid tactic id"),
     ]
-    return events.withColumn("errors", F.array_compact(F.array(*[F.when(bad, text) for bad, text in checks])))
+    arms = ", ".join(f"CASE WHEN {bad} THEN '{text}' END" for bad, text in checks)
+    return events.withColumn("errors", F.expr(f"array_compact(array({arms}))"))
 
 
 def valid(rows: DataFrame) -> DataFrame:
