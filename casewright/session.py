@@ -21,9 +21,16 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session somebody else created."""
+    """Apply the run-time settings to a session somebody else created.
+
+    A local session that still has Spark's default of 200 shuffle partitions gets one
+    per core; a cluster's own choice is never touched.
+    """
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(context.defaultParallelism, 1)))
     return spark
 
 
