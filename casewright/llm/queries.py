@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import mixing, sharding
-from casewright.llm.common import read
+from casewright.llm import mixing, sharding, wavelet
+from casewright.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,19 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    wavelet.write(read(spark, sf_dir, "documents"), path, vocabulary())
+    return wavelet.documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
