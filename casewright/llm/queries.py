@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import mixing, sharding, wavelet
+from casewright.llm import mixing, neardup, sharding, wavelet
 from casewright.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(read(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 @query
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))

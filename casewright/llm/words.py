@@ -125,7 +125,7 @@ def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         has = counts[short] > k
         at = np.where(has, found.first[short] + k, 0)
         brief = np.where(has, mix(brief + found.hashes[at] + _U(k + 1)), brief)
-    return np.concatenate([total, mix(brief + _U(counts.size and 0xABCDEF))]), np.concatenate([text[begins], short])
+    return np.concatenate([total, mix(brief + _U(0xABCDEF))]), np.concatenate([text[begins], short])
 
 
 def distinct(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
