@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import mixing, neardup, sharding, wavelet
+from casewright.llm import declist, language, mixing, neardup, sharding, toxicity, wavelet, weaklabel
 from casewright.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,11 +38,35 @@ def op3_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op5_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return language.identify(documents, language.train(documents))
+
+
+@query
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabel.scores(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(read(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+@query
+def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = declist.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
 @query
 def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))

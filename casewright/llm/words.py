@@ -35,6 +35,9 @@ _STEP = 0x9E3779B97F4A7C15
 _BYTES = mix(np.arange(256, dtype=np.uint64) + _U(0x1234567))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of letters: ASCII letters and all bytes of longer UTF-8 sequences.
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -73,6 +76,44 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    @property
+    def text(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), self.counts)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the capital letters U+00C0 to U+00DE, in place of their bytes."""
+    out = _LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    capital = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    out[capital] += 0x20
+    return out
+
+
+class Spans:
+    """Hashes of any byte ranges of ``data`` in constant time each, from prefix sums."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        power, self.back = _powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data] * power[:n], out=self.sums[1:], dtype=np.uint64)
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
+def runs(inside: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of the runs of true values; a text's begin also begins a run."""
+    n = len(inside)
+    edge = np.zeros(n + 1, bool)
+    edge[begins] = True
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1] | edge[1:n]
+    ends[:-1] &= ~inside[1:] | edge[1:n]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
 
 def slices(column: pa.Array) -> Iterator[tuple[int, Texts]]:
     """(row, texts) over a string or binary array without nulls, in slices of bounded bytes."""
@@ -90,22 +131,11 @@ def slices(column: pa.Array) -> Iterator[tuple[int, Texts]]:
         row = end
 
 
-def words(texts: Texts, lower: bool = False) -> Words:
+def words(texts: Texts, lower: bool = False, inside: np.ndarray = ~_IS_SPACE, spans: Spans | None = None) -> Words:
+    """Runs of the bytes that ``inside`` marks: all but ASCII white space unless given."""
     data = _LOWER[texts.data] if lower else texts.data
-    n = len(data)
-    inside = ~_IS_SPACE[data]
-    edge = np.zeros(n + 1, bool)  # a text begins here
-    edge[texts.begins] = True
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1] | edge[1:n]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | edge[1:n]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    power, back = _powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * power[:n], out=sums[1:], dtype=np.uint64)
-    hashes = mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-    return Words(starts, ends, hashes, np.searchsorted(starts, texts.begins))
+    starts, ends = runs(inside[data], texts.begins)
+    return Words(starts, ends, (spans or Spans(data)).hash(starts, ends), np.searchsorted(starts, texts.begins))
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +144,7 @@ def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     short = np.flatnonzero((counts > 0) & (counts < size))
-    text = np.repeat(np.arange(len(counts)), counts)
+    text = found.text
     left = found.first[1:][text] - np.arange(n)  # words from here to the text's end
     begins = np.flatnonzero(left >= size)
     total = np.zeros(len(begins), np.uint64)
@@ -136,3 +166,23 @@ def distinct(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarr
     keep[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
     hashes, text = hashes[keep], text[keep]
     return hashes, np.searchsorted(text, np.arange(texts + 1))
+
+
+class Model:
+    """Rows of numbers by 64-bit key, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[keys >> _U(48)] = True
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in ``keys`` that are known, their rows)."""
+        maybe = np.flatnonzero(self.seen[keys >> _U(48)])
+        if len(self.keys) == 0 or len(maybe) == 0:
+            return maybe[:0], maybe[:0]
+        row = np.searchsorted(self.keys, keys[maybe])
+        row[row == len(self.keys)] = 0
+        hit = self.keys[row] == keys[maybe]
+        return maybe[hit], row[hit]
