@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import declist, language, mixing, neardup, sharding, toxicity, wavelet, weaklabel
+from casewright.llm import declist, decontam, language, mixing, neardup, sharding, toxicity, wavelet, weaklabel
 from casewright.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", taken.alias("taken"), F.get("passes", F.lit(0))["position"].alias("position"),
     )
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+
+
+@query
+def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
