@@ -7,18 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import declist, decontam, language, mixing, neardup, sharding, toxicity, wavelet, weaklabel
+from casewright.llm import declist, decontam, language, mixing, neardup, pii, sharding, toxicity, wavelet, weaklabel
 from casewright.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def _equals(value: int):
+    return lambda x: x == value
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
 
 
+@query
+def op1_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < len(pii.KINDS))
+    ranks = F.transform("spans", lambda s: s["rank"])
+    counts = [F.size(F.filter(ranks, _equals(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.spelled(base), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
 @query
 def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(read(spark, sf_dir, "documents"), shards=24)

@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from casewright.llm import words as W
-from casewright.llm.common import text_or_empty
+from casewright.llm.common import fresh, text_or_empty
 
 #: Texts that the classifier is fitted on at most: a bounded sample by hash of the ids.
 POSITIVES, UNLABELLED = 4_000, 8_000
@@ -27,6 +28,8 @@ LEAST_TEXTS = 5
 MOST_FEATURES, DEVIATIONS = 4_096, 5.0
 #: Word beginnings of so many bytes are features beside whole words, for derived forms.
 PREFIXES = tuple(range(4, 11))
+#: Score from which a text counts as toxic.
+THRESHOLD = 0.5
 EPOCHS, RATE, PENALTY = 1000, 0.1, 1e-3
 
 
@@ -103,22 +106,21 @@ def _sampled(texts: DataFrame, only: np.ndarray | None = None) -> list[Features]
     return [(np.frombuffer(k, np.uint64), np.frombuffer(v, np.float32)) for k, v in sorted(pairs)]
 
 
-def risk_step(
-    score_p: np.ndarray, score_u: np.ndarray, prior: float
-) -> tuple[float, np.ndarray, np.ndarray]:
-    """Non-negative risk under the logistic loss, and its descent directions by score.
+def risk_step(score_p: np.ndarray, score_u: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Non-negative risk under the sigmoid loss, and its gradient by score.
 
     Where the estimated negative risk falls below zero the step goes up it instead, which is
-    how the published algorithm corrects over-fitting.
+    how the published algorithm corrects over-fitting. The loss is bounded: with an unbounded
+    one, features of positives alone would push the estimate below zero without end.
     """
     p, u = 1 / (1 + np.exp(-score_p)), 1 / (1 + np.exp(-score_u))
     n_p, n_u = max(len(p), 1), max(len(u), 1)
-    positive = prior * np.logaddexp(0, -score_p).sum() / n_p
-    negative = np.logaddexp(0, score_u).sum() / n_u - prior * np.logaddexp(0, score_p).sum() / n_p
-    grad_p, grad_u = -prior * p / n_p, u / n_u  # of the negative risk
+    positive = prior * float((1 - p).sum()) / n_p
+    negative = float(u.sum()) / n_u - prior * float(p.sum()) / n_p
+    slope_p, slope_u = prior * p * (1 - p) / n_p, u * (1 - u) / n_u
     if negative >= 0:
-        return positive + negative, prior * (p - 1) / n_p + grad_p, grad_u
-    return positive, -grad_p, -grad_u
+        return positive + negative, -2 * slope_p, slope_u
+    return positive, slope_p, -slope_u
 
 
 def fit(positives: list[Features], unlabelled: list[Features], prior: float) -> Classifier:
@@ -145,7 +147,7 @@ def fit(positives: list[Features], unlabelled: list[Features], prior: float) ->
     place[chosen] = np.arange(len(chosen))
     used = place[inverse] >= 0
     column, row, value = place[inverse[used]], row[used], value[used]
-    weights, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
+    weights, bias = np.ones(len(chosen)), float(np.log(prior / (1 - prior)))
     moment, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, EPOCHS + 1):
         score = np.bincount(row, weights[column] * value, minlength=n_p + n_u) + bias
@@ -160,7 +162,7 @@ def fit(positives: list[Features], unlabelled: list[Features], prior: float) ->
     return Classifier(keys[chosen], weights, bias)
 
 
-def _score(model: Classifier):
+def _score(model: Classifier, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = W.Model(model.keys, model.weights)
         for batch in batches:
@@ -173,7 +175,7 @@ def _score(model: Classifier):
                 scores[row : row + len(texts)] = np.bincount(text, table.values[known] * np.log2(1 + n), minlength=len(texts))
             scores = 1 / (1 + np.exp(-(scores + model.bias)))
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(scores)], names=[*batch.schema.names[:-1], "_score"]
+                [*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(scores)], names=[*batch.schema.names[:-1], column]
             )
 
     return run
@@ -210,15 +212,15 @@ def train(df: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     return fit([(k[m], v[m]) for (k, v), m in zip(confirmed, known, strict=True)], other, prior)
 
 
-def score(df: DataFrame, model: Classifier) -> DataFrame:
-    """``df`` with ``_score``, the estimated probability of toxicity; all its columns are kept.
+def score(df: DataFrame, model: Classifier, column: str = "score") -> DataFrame:
+    """``df`` with ``column``, the estimated probability of toxicity; all its columns are kept.
 
-    Null and empty texts hold no feature and score by the bias alone; repeated rows score alike.
+    ``column`` must be a new name. Null and empty texts hold no feature and score by the bias
+    alone; repeated rows score alike.
     """
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*df.schema.fields, StructField("_score", DoubleType())])
-    return df.withColumn("_content", text_or_empty().cast("binary")).mapInArrow(_score(model), schema)
+    schema = StructType([*df.schema.fields, StructField(column, DoubleType())])
+    content = fresh(df, "content")
+    return df.withColumn(content, text_or_empty().cast("binary")).mapInArrow(_score(model, column), schema)
 
 
 def classify(df: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,6 +228,5 @@ def classify(df: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(df, labels)
     scored = score(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
     return scored.select(
-        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )

@@ -27,7 +27,7 @@ END = 1
 SHARD_TOKENS = 1 << 22
 BLOCK = 512
 #: White-space separated chunks whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 SHARDS = "shard long, doc_ids array<bigint>, ends array<bigint>, n_tokens long, bits int, zeros array<bigint>, planes binary, ranks binary"
 DOCS = "shard long, place int, doc_id long, begin long, n_tokens long, ids_crc32 long"
@@ -219,11 +219,11 @@ def _shard_row(shard: int, doc_ids: list, parts: list[bytes], encode: Encoder) -
     )
 
 
-def write(df: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS, end: int = END) -> None:
-    """Write ``df`` (doc_id, text) as wavelet shards below ``path``, in ascending doc_id order.
+def write(df: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TOKENS, end: int = END, order: str = "doc_id") -> None:
+    """Write ``df`` (doc_id, text) as wavelet shards below ``path``, in ascending order of ``order``.
 
-    Documents are range-partitioned by id and a hash of the text, so equal ids can be split
-    too; null ids come first and equal ids are ordered by text. Null and empty texts have the
+    Documents are range-partitioned by it and a hash of the text, so equal ids can be split
+    too; nulls come first and equal ids are ordered by text. Null and empty texts have the
     end id alone. Other columns are not read. An empty table gives no file. ``shard`` numbers
     ascend with the documents: the partition in the upper bits, the place in it in the lower 20.
     """
@@ -246,8 +246,11 @@ def write(df: DataFrame, path: str, tokenizer: str, shard_tokens: int = SHARD_TO
             yield _shard_row(shard, ids, parts, encode)
 
     content = text_or_empty()
-    keyed = df.select("doc_id", content.cast("binary").alias("content"), F.xxhash64(content).alias("mix"))
-    ordered = keyed.repartitionByRange("doc_id", "mix").sortWithinPartitions("doc_id", "mix")
+    keyed = df.select(
+        F.col("doc_id").cast("long").alias("doc_id"), content.cast("binary").alias("content"), F.col(order).alias("order"),
+        F.xxhash64(content).alias("mix"),
+    )
+    ordered = keyed.repartitionByRange("order", "mix").sortWithinPartitions("order", "mix")
     shards = ordered.select("doc_id", "content").mapInArrow(encode_partition, SHARDS)
     # one row, so one shard, in each file; the writer looks at its memory after every row
     options = {"maxRecordsPerFile": "1", "compression": "zstd", "parquet.page.size.row.check.min": "1"}
