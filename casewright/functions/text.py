@@ -71,3 +71,14 @@ def glob_regex(pattern: str) -> str:
 
     parts = {"*": ".*", "?": "."}
     return "(?s)^" + "".join(parts.get(ch, re.escape(ch)) for ch in pattern) + "$"
+
+
+def utc_text_sql(ts: str) -> str:
+    """``2024-01-31T10:20:30.000001`` of a timestamp in UTC, whatever the session's time zone, as SQL text."""
+    micros = f"unix_micros({ts})"
+    part = lambda per, of: f"lpad(CAST(pmod({micros}, {of}) DIV {per} AS STRING), 2, '0')"
+    day, hour, minute, second = 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000
+    return (
+        f"concat(CAST(date_from_unix_date(CAST(floor({micros} / {day}) AS INT)) AS STRING), 'T', {part(hour, day)}, ':', "
+        f"{part(minute, hour)}, ':', {part(second, minute)}, '.', lpad(CAST(pmod({micros}, {second}) AS STRING), 6, '0'))"
+    )

@@ -215,6 +215,16 @@ def tokens(events: DataFrame, scope: Sequence[str], carry: Sequence[str] = ()) -
     return narrow.selectExpr("*", f"{held} AS held")
 
 
+def one_per_id(narrow: DataFrame) -> DataFrame:
+    """Of the deliveries of one event id in a scope the earliest counts; of equal times the smallest row.
+
+    Every form (pairs, best pairs, seeds) starts from these rows, so copies neither pair nor
+    count as members of a group.
+    """
+    mixed = narrow.withColumn("_mix", F.xxhash64("tok", "pid", "ppid", "techs"))
+    return top_k(mixed, ["scope_key", "event_id"], ["ts", "_mix"], 1).select(*narrow.columns)
+
+
 def _variants() -> Column:
     """Forms of an event: as itself, as parent, as child; with none or one technique."""
     none = F.lit(None).cast("long")
@@ -395,18 +405,18 @@ def pair_order() -> list[Column]:
 
 def correlate_all(
     events: DataFrame, scope: Sequence[str] = ("tenant_id",), rules: Rules | None = None,
-    per_scope: int | None = vocab.CORRELATION_MAX_RESULTS,
+    per_scope: int | None = None,
 ) -> DataFrame:
-    """All qualifying pairs of each scope, earlier event first; the best ``per_scope``.
+    """All qualifying pairs of each scope, earlier event first; or the best ``per_scope``.
 
-    ``per_scope=None`` returns every pair. That output itself grows with the square
-    of a group of equal events; the bounded form does not make those pairs.
+    An event id counts once in a scope (``one_per_id``). All pairs grow with the
+    square of a group of equal events; the bounded form does not make those pairs.
     """
     rules = rules or Rules()
     scope = list(scope)
     if per_scope is not None and per_scope < 1:
         raise ValueError("per_scope must be at least 1")
-    narrow = cut_lineage(tokens(events, scope))  # read several times below
+    narrow = cut_lineage(one_per_id(tokens(events, scope)))  # read several times below
     rows = key_rows(narrow, _set_literal(rules.smallest_sets()), rules)
     if per_scope is None:
         return _scored(_once(_matched(rows, rows, scope, rules, events=narrow), rules), scope, rules)
@@ -415,16 +425,18 @@ def correlate_all(
 
 def correlate_seeds(
     events: DataFrame, seeds: DataFrame, scope: Sequence[str] = ("tenant_id",),
-    rules: Rules | None = None, per_seed: int = vocab.CORRELATION_MAX_RESULTS,
+    rules: Rules | None = None, per_seed: int | None = None,
 ) -> DataFrame:
-    """Best partners of each seed event, before or after it. ``seeds``: event_id."""
+    """Partners of each seed event, before or after it, or its best ``per_seed``. ``seeds``: event_id."""
     rules = rules or Rules()
     scope = list(scope)
-    narrow = cut_lineage(tokens(events, scope))
+    narrow = cut_lineage(one_per_id(tokens(events, scope)))
     rows = key_rows(narrow, _set_literal(rules.smallest_sets()), rules)
     chosen = rows.join(seeds.select("event_id").distinct(), "event_id", "left_semi").select(*rows.columns)
     pairs = _matched(chosen, rows, scope, rules, both_ways=True, events=narrow)
     pairs = _scored(_once(pairs, rules), scope, rules)
+    if per_seed is None:
+        return pairs
     order = [F.desc("confidence"), F.desc("score"), F.asc("related_event_id")]
     return top_k(pairs, [*scope, "source_event_id"], order, per_seed)
 
@@ -650,20 +662,24 @@ def correlate_stream(
     """All qualifying pairs of a stream, by an interval join of the stream with itself.
 
     Keys and the once-only rule are those of the batch form, so both give the same
-    pairs. The watermark lets Spark drop rows older than window plus ``lateness``.
+    pairs; of the deliveries of one event id the first to arrive counts. The time cell is among
+    the keys, so a busy key is split over its cells. The watermark lets Spark drop rows older than window plus ``lateness``.
     """
     rules = rules or Rules()
     scope = list(scope)
 
     def side(name: str) -> DataFrame:
-        watched = events.withWatermark("timestamp", lateness)
+        watched = events.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark([*scope, "event_id"])
         narrow = tokens(watched, scope, ["timestamp"])
         sets = _set_literal(rules.smallest_sets())
         return key_rows(narrow, sets, rules, ["timestamp", *scope, *_WIDE]).alias(name)
 
-    a, b, c = side("a"), side("b"), F.col
+    c = F.col
+    a, b = side("a"), side("b")
+    # a partner lies in the cell of the earlier event or in the next one
+    a = a.withColumn("cell", F.explode(F.array(c("cell"), c("cell") + F.lit(1).cast("long")))).alias("a")
     on = (c("a.key") == c("b.key")) & (c("a.mask") == c("b.mask")) & (c("a.scope_key") == c("b.scope_key"))
-    on = on & _roles_fit()
+    on = on & (c("a.cell") == c("b.cell")) & _roles_fit()
     window = F.expr(f"INTERVAL {rules.window_micros} MICROSECONDS")
     on = on & (c("b.timestamp") >= c("a.timestamp")) & (c("b.timestamp") <= c("a.timestamp") + window)
     later = (c("a.ts") < c("b.ts")) | ((c("a.ts") == c("b.ts")) & (c("a.event_id") < c("b.event_id")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from casewright import vocab
 from casewright.functions.identity import json_sql
 from casewright.functions.ordered import top_k
+from casewright.functions.text import utc_text_sql
 
 CONTEXT_COLUMNS = ["process", "network", "file", "registry", "dns"]
 
@@ -98,7 +99,7 @@ def evidence_hash() -> Column:
     same = ("evidence_type", "strength", "title", "description", "confidence", "data", "event_id", "alert_id")
     json = json_sql(
         schema_version=f"'{vocab.SCHEMA_VERSION}'", provenance=provenance,
-        observed_at="date_format(observed_at, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX\")", **{n: n for n in same},
+        observed_at=f"concat({utc_text_sql('observed_at')}, 'Z')", **{n: n for n in same},
     )
     return F.expr(f"sha2({json}, 256)")
 

@@ -260,27 +260,56 @@ def flags(hypotheses: DataFrame) -> DataFrame:
     )
 
 
-def apply_updates(hypotheses: DataFrame, updates: DataFrame) -> DataFrame:
+def placed_evidence(updates: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(hypothesis_id, evidence_id, side, known, refused) of the evidence that links and updates name.
+
+    ``links``: hypothesis_id, evidence_id, side (support or contradict), as stored. An evidence stands
+    on one side only: a stored link counts first, then the earliest update (support before
+    contradict at one time). ``refused`` marks the other side, ``known`` what was stored before.
+    """
+    named = updates.filter(F.col("action").isin("support", "contradict")).select(
+        "hypothesis_id", F.col("value").alias("evidence_id"), F.col("action").alias("side"), F.col("ts"), F.lit(False).alias("known")
+    )
+    if links is not None:
+        named = named.unionByName(
+            links.select("hypothesis_id", "evidence_id", "side", F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("known"))
+        )
+    sides = named.groupBy("hypothesis_id", "evidence_id", "side").agg(F.min("ts").alias("ts"), F.max("known").alias("known"))
+    rank = F.struct(~F.col("known"), "ts", F.col("side") != "support", "side")
+    first = sides.groupBy("hypothesis_id", "evidence_id").agg(F.min(rank).alias("_first"))
+    return sides.join(first, ["hypothesis_id", "evidence_id"]).select(
+        "hypothesis_id", "evidence_id", "side", "known", (F.col("side") != F.col("_first.side")).alias("refused")
+    )
+
+
+def apply_updates(hypotheses: DataFrame, updates: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """Fold an update log into the hypotheses.
 
-    ``updates``: hypothesis_id, ts, action (support, contradict, missing, confidence),
-    value. The last confidence wins; evidence once on a side stays there.
+    ``updates``: hypothesis_id, ts, action (support, contradict, missing, confidence), value.
+    Evidence counts once and on one side (``placed_evidence``, which also lists what was refused);
+    stored ``links`` are not counted again. ``missing`` adds to the missing evidence. The last
+    confidence wins; of one time the highest.
     """
-    u = updates
-    folded = u.groupBy("hypothesis_id").agg(
-        F.count_distinct(F.when(F.col("action") == "support", F.col("value"))).alias("_support"),
-        F.count_distinct(F.when(F.col("action") == "contradict", F.col("value"))).alias("_contradict"),
-        F.max_by(
-            F.when(F.col("action") == "confidence", F.col("value").try_cast("double")),
-            F.when(F.col("action") == "confidence", F.col("ts")),
-        ).alias("_confidence"),
+    new = placed_evidence(updates, links).filter("NOT refused AND NOT known").groupBy("hypothesis_id").agg(
+        F.count_if(F.col("side") == "support").alias("_support"), F.count_if(F.col("side") == "contradict").alias("_contradict")
     )
-    joined = hypotheses.join(folded, "hypothesis_id", "left")
+    is_confidence = F.col("action") == "confidence"
+    value = F.when(is_confidence, F.col("value").try_cast("double"))
+    folded = updates.groupBy("hypothesis_id").agg(
+        # as many texts as a hypothesis has kinds of missing evidence
+        F.array_sort(F.collect_set(F.when(F.col("action") == "missing", F.col("value")))).alias("_missing"),
+        F.max(F.when(value.isNotNull(), F.struct("ts", value.alias("value")))).alias("_confidence"),
+    )
+    joined = hypotheses.join(folded, "hypothesis_id", "left").join(new, "hypothesis_id", "left")
+    given = F.col("_confidence.value")
     return joined.withColumns(
         {
             "support_count": F.col("support_count") + F.coalesce("_support", F.lit(0)),
             "contradict_count": F.col("contradict_count") + F.coalesce("_contradict", F.lit(0)),
-            "confidence": F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_confidence"))), "confidence"),
+            "missing_evidence": F.array_union(
+                F.coalesce("missing_evidence", F.array().cast("array<string>")), F.coalesce("_missing", F.array().cast("array<string>"))
+            ),
+            "confidence": F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)), "confidence"),
         }
     ).select(*hypotheses.columns)
 

@@ -200,7 +200,7 @@ def parse_responses(responses: DataFrame) -> DataFrame:
         by(vt["reputation"], F.lit(None).cast("int"), F.lit(None).cast("int")).alias("reputation"),
         by(
             _tags(F.concat(F.coalesce(vt["tags"], F.array().cast("array<string>")), F.array(label))),
-            _tags(F.flatten(F.transform(F.slice(otx["pulses"], 1, 20), lambda p: p["tags"]))),
+            _tags(F.flatten(F.transform(otx["pulses"], lambda p: p["tags"]))),
             _tags(F.flatten(F.transform(misp, lambda a: F.transform(a["Tag"], lambda t: t["name"])))),
         ).alias("tags"),
         "error",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from casewright import vocab
 from casewright.functions.identity import content_hash
 from casewright.functions.ordered import with_row_index
+from casewright.functions.text import utc_text_sql
 from casewright.session import cut_lineage
 
 ENTRY_COLUMNS = [
@@ -24,12 +25,9 @@ _SCHEMA = (
 )
 
 
-def iso_time(ts: Column) -> Column:
-    """UTC time as text, microseconds only when there are any."""
-    plain = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.unix_micros(ts) % 1_000_000
-    fraction = F.when(micros == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
-    return F.concat(plain, fraction, F.lit("+00:00"))
+def iso_time(ts: str) -> Column:
+    """UTC time of a column as text, microseconds only when there are any; the same in every time zone."""
+    return F.expr(f"concat(regexp_replace({utc_text_sql(ts)}, '[.]000000$', ''), '+00:00')")
 
 
 def entry_hash() -> Column:
@@ -37,7 +35,7 @@ def entry_hash() -> Column:
     return content_hash(
         schema_version=F.lit(vocab.SCHEMA_VERSION), sequence=F.col("sequence"), operation=F.col("operation"),
         evidence_id=F.col("evidence_id"), evidence_hash=F.col("evidence_hash"),
-        previous_hash=F.col("previous_hash"), timestamp=iso_time(F.col("timestamp")),
+        previous_hash=F.col("previous_hash"), timestamp=iso_time("timestamp"),
     )
 
 
@@ -80,7 +78,7 @@ def _append_block(rows: DataFrame, known: DataFrame) -> DataFrame:
     narrow = joined.select(
         "ledger_id", "evidence_id", "evidence_hash", "operation", "timestamp",
         F.coalesce("_base", F.lit(0).cast("long")).alias("_base"),
-        F.coalesce("_head", F.lit(vocab.GENESIS_HASH)).alias("_head"), iso_time(F.col("timestamp")).alias("_iso"),
+        F.coalesce("_head", F.lit(vocab.GENESIS_HASH)).alias("_head"), iso_time("timestamp").alias("_iso"),
     )
     ordered = narrow.repartition("ledger_id").sortWithinPartitions("ledger_id", "timestamp", "evidence_id")
     return ordered.mapInPandas(_chain, _SCHEMA)

@@ -129,12 +129,13 @@ def hypothesis_findings(hypotheses: DataFrame) -> DataFrame:
     )
 
 
-def counter_findings(hypotheses: DataFrame) -> DataFrame:
-    """COUNTER hypotheses with or without support and what would prove them."""
+def counter_findings(hypotheses: DataFrame, most_needed: int | None = None) -> DataFrame:
+    """COUNTER hypotheses with or without support and what would prove them, or the first ``most_needed`` of it."""
+    needed = F.col("missing_evidence") if most_needed is None else F.slice("missing_evidence", 1, most_needed)
     return hypotheses.filter("hypothesis_type = 'counter'").select(
         "case_id", "hypothesis_id", "statement",
         F.when(F.col("support_count") > 0, "has_support").otherwise("no_support").alias("finding"),
-        F.slice("missing_evidence", 1, 5).alias("needed"),
+        needed.alias("needed"),
     )
 
 
@@ -155,11 +156,13 @@ def with_alert_level(cases: DataFrame, rules: list[tuple[str, Column, str]] | No
     return cases.withColumns({"alert_level": level, "alert_rule": name})
 
 
-def alerts(cases: DataFrame, hypotheses: DataFrame, rules: list[tuple[str, Column, str]] | None = None) -> DataFrame:
-    """Payload of every case that reaches an alert level, with its first three hypotheses."""
+def alerts(
+    cases: DataFrame, hypotheses: DataFrame, rules: list[tuple[str, Column, str]] | None = None, shown: int = 3,
+) -> DataFrame:
+    """Payload of every case that reaches an alert level, with its first ``shown`` hypotheses."""
     rank = F.array_position(F.array(*[F.lit(t) for t in vocab.HYPOTHESIS_TYPES]), F.col("hypothesis_type"))
-    first = top_k(hypotheses.withColumn("type_rank", rank), ["case_id"], ["type_rank", "fingerprint"], 3)
-    # three rows per case
+    first = top_k(hypotheses.withColumn("type_rank", rank), ["case_id"], ["type_rank", "fingerprint"], shown)
+    # ``shown`` rows per case
     named = first.groupBy("case_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "statement"))), lambda x: x["statement"]).alias("top_hypotheses")
     )

@@ -162,7 +162,28 @@ def pair_correlation_max_mode(spark, sf):
 
 @query
 def correlation_top500(spark, sf):
-    return _pairs(correlate.correlate_all(sec_events(spark, sf)), "tenant_id", "rank")
+    return _pairs(correlate.correlate_all(sec_events(spark, sf), per_scope=500), "tenant_id", "rank")
+
+
+@query
+def pair_correlation_repeated_ids(spark, sf):
+    """A quarter of the events delivered four times, the copies later and on another host."""
+    events = sec_events(spark, sf)
+    again = events.filter("CAST(replace(event_id, 'E-', '') AS BIGINT) % 4 = 0")
+    for seconds in (0, 1, 60):
+        later = again.withColumns(
+            {"timestamp": F.col("timestamp") + F.expr(f"INTERVAL {seconds} SECONDS"), "host": F.lit("HOST-5") if seconds else F.col("host")}
+        )
+        events = events.unionByName(later)
+    return _pairs(correlate.correlate_all(events), "tenant_id")
+
+
+@query
+def correlation_top_dense(spark, sf):
+    """Times divided by a thousand, so that hundreds of events share a cell."""
+    events = sec_events(spark, sf)
+    packed = events.withColumn("timestamp", F.timestamp_micros(F.expr("unix_micros(timestamp) DIV 1000")))
+    return _pairs(correlate.correlate_all(packed, per_scope=50), "tenant_id", "rank")
 
 
 @query
@@ -309,7 +330,7 @@ def recent_entities(spark, sf):
 def lateral_movement_edges(spark, sf):
     events, g = _graph(spark, sf)
     edges = derived.first_copy_edges(g["entities"], g["relationships"])
-    return presets.lateral_movement(g["entities"], edges, "tenant-1", 50).select(
+    return presets.lateral_movement(g["entities"], edges, "tenant-1").select(
         "source_id", "source_host", "target_id", "target_host", "relationship_type"
     )
 
@@ -613,8 +634,10 @@ def ledger_verify(spark, sf):
 
 @query
 def ledger_build(spark, sf):
-    """Heads of the chained ledgers; a hash chain has no plain SQL form."""
-    return ledger.heads(ledger.append(derived.ledger_rows(sec_events(spark, sf))))
+    """Every entry of the chained ledgers, one for each case."""
+    return ledger.append(derived.ledger_rows(sec_events(spark, sf))).select(
+        "ledger_id", "sequence", "evidence_id", "previous_hash", "entry_hash"
+    )
 
 
 @query
@@ -622,7 +645,7 @@ def ledger_against_evidence(spark, sf):
     events = sec_events(spark, sf)
     entries = derived.altered(ledger.append(derived.ledger_rows(events)))
     now = derived.ledger_rows(events).select("evidence_id", F.col("evidence_hash").alias("content_hash"))
-    return ledger.against_evidence(entries, now).groupBy("matches").agg(F.count("*").alias("n"))
+    return ledger.against_evidence(entries, now).select("evidence_id", "matches")
 
 
 # -- sources ----------------------------------------------------------------------------------------------------

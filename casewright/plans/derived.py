@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from casewright import vocab
 from casewright.schemas import EVENT, NETWORK
-from casewright.plans.testview import spread
 
 CASE_STEPS = [
     "detected", "triaged", "correlating", "investigating", "evidence_required", "reassessing", "confirmed", "resolved",
@@ -118,7 +117,7 @@ def intel_feed(found: DataFrame) -> DataFrame:
 
 
 def url_events(pages: DataFrame) -> DataFrame:
-    pages = spread(pages.select("page_id", "url"))
+    pages = pages.select("page_id", "url")
     given = {
         "event_id": F.concat(F.lit("P-"), F.col("page_id").cast("string")),
         "network": F.struct(*[
@@ -186,14 +185,14 @@ def risk_updates(events: DataFrame) -> DataFrame:
 
 def ledger_rows(events: DataFrame) -> DataFrame:
     return events.select(
-        F.col("tenant_id").alias("ledger_id"), F.concat(F.lit("E-"), "event_id").alias("evidence_id"),
+        F.col("case_id").alias("ledger_id"), F.concat(F.lit("E-"), "event_id").alias("evidence_id"),
         F.sha2("event_id", 256).alias("evidence_hash"), F.lit("append").alias("operation"), "timestamp",
     )
 
 
 def altered(entries: DataFrame) -> DataFrame:
-    """Every 500th entry changed after it was hashed."""
-    changed = F.when(F.col("sequence") % 500 == 499, F.sha2(F.lit("altered"), 256)).otherwise(F.col("evidence_hash"))
+    """Every 20th entry changed after it was hashed."""
+    changed = F.when(F.col("sequence") % 20 == 19, F.sha2(F.lit("altered"), 256)).otherwise(F.col("evidence_hash"))
     return entries.withColumn("evidence_hash", changed)
 
 

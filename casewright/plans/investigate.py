@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from casewright import vocab
 from casewright.operators import cases as case_ops
 from casewright.operators import correlate, evidence, graph, hypotheses, risk
 from casewright.session import cut_lineage
@@ -22,7 +21,7 @@ class Stages:
     correlate_all: Callable[..., DataFrame] = correlate.correlate_all
     rules: correlate.Rules = field(default_factory=correlate.Rules)
     risk_config: risk.RiskConfig = field(default_factory=risk.RiskConfig)
-    max_pairs: int = vocab.CORRELATION_MAX_RESULTS
+    max_pairs: int | None = None
     min_evidence: int = 1
 
 

@@ -15,43 +15,47 @@ from pyspark.sql import functions as F
 from casewright.operators import graph
 
 
+def _first(rows: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    """All rows, or the first ``limit`` in order."""
+    return rows if limit is None else rows.orderBy(*order).limit(limit)
+
+
 def _tenant(rows: DataFrame, tenant_id: str | None) -> DataFrame:
     return rows if tenant_id is None else rows.filter(F.col("tenant_id") == tenant_id)
 
 
-def process_lineage(entities: DataFrame, relationships: DataFrame, entity_id: str, max_depth: int = 5, limit: int = 100) -> DataFrame:
+def process_lineage(entities: DataFrame, relationships: DataFrame, entity_id: str, max_depth: int = 5, limit: int | None = None) -> DataFrame:
     """Processes within ``max_depth`` spawning steps of one, in any direction."""
     spark = entities.sparkSession
     spawned = relationships.filter("relationship_type = 'spawned'")
     near = graph.reach(spawned, spark.createDataFrame([(entity_id,)], "entity_id string"), max_depth)
     rows = entities.filter("entity_type = 'process'").join(near.withColumnRenamed("node", "entity_id"), "entity_id")
-    return rows.orderBy("depth", "entity_id").limit(limit)
+    return _first(rows, limit, "depth", "entity_id")
 
 
 def entities_by_technique(
     entities: DataFrame, entity_events: DataFrame, events: DataFrame, technique: str,
-    tenant_id: str | None = None, limit: int = 100,
+    tenant_id: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Entities seen by events with the technique."""
     seen = events.filter(F.array_contains("mitre_techniques", technique)).select("event_id")
     ids = entity_events.join(seen, "event_id", "left_semi").select("entity_id").distinct()
     rows = _tenant(entities, tenant_id).join(ids, "entity_id", "left_semi")
-    return rows.orderBy(F.asc_nulls_last("host"), "value", "entity_id").limit(limit)
+    return _first(rows, limit, F.asc_nulls_last("host"), "value", "entity_id")
 
 
-def case_graph(case_entities: DataFrame, entities: DataFrame, relationships: DataFrame, case_id: str, limit: int = 500) -> DataFrame:
+def case_graph(case_entities: DataFrame, entities: DataFrame, relationships: DataFrame, case_id: str, limit: int | None = None) -> DataFrame:
     """Entities of a case with their edges and the other ends."""
     mine = case_entities.filter(F.col("case_id") == case_id).select("entity_id").distinct()
     inside = entities.join(mine, "entity_id", "left_semi").select("entity_id", "entity_type", "value")
     edges = graph.both_directions(relationships).select(
         F.col("node").alias("entity_id"), F.col("other").alias("other_id"), "relationship_type"
     )
-    return inside.join(edges, "entity_id", "left").orderBy(
-        "entity_id", F.asc_nulls_first("relationship_type"), F.asc_nulls_first("other_id")
-    ).limit(limit)
+    rows = inside.join(edges, "entity_id", "left")
+    return _first(rows, limit, "entity_id", F.asc_nulls_first("relationship_type"), F.asc_nulls_first("other_id"))
 
 
-def lateral_movement(entities: DataFrame, relationships: DataFrame, tenant_id: str | None = None, limit: int = 50) -> DataFrame:
+def lateral_movement(entities: DataFrame, relationships: DataFrame, tenant_id: str | None = None, limit: int | None = None) -> DataFrame:
     """Edges between entities of two different hosts."""
     hosts = entities.filter(F.col("host").isNotNull()).select("entity_id", "host", "value")
     side = lambda name: hosts.select(
@@ -59,7 +63,7 @@ def lateral_movement(entities: DataFrame, relationships: DataFrame, tenant_id: s
     )
     rows = _tenant(relationships, tenant_id).join(side("source"), "source_id").join(side("target"), "target_id")
     crossing = rows.filter(F.col("source_host") != F.col("target_host"))
-    return crossing.orderBy("source_id", "target_id", "relationship_type").limit(limit)
+    return _first(crossing, limit, "source_id", "target_id", "relationship_type")
 
 
 def _from_events(
@@ -70,7 +74,7 @@ def _from_events(
 
 
 def persistence_artifacts(
-    entities: DataFrame, entity_events: DataFrame, events: DataFrame, tenant_id: str | None = None, limit: int = 100,
+    entities: DataFrame, entity_events: DataFrame, events: DataFrame, tenant_id: str | None = None, limit: int | None = None,
 ) -> DataFrame:
     """Registry keys and files of events marked as persistence.
 
@@ -80,11 +84,11 @@ def persistence_artifacts(
         F.array_contains("tags", "persistence"), F.lit(False)
     )
     things = entities.filter(F.col("entity_type").isin("registry", "file"))
-    return _from_events(things, entity_events, events, marked, tenant_id).orderBy("value", "entity_id").limit(limit)
+    return _first(_from_events(things, entity_events, events, marked, tenant_id), limit, "value", "entity_id")
 
 
 def shared_hashes_across_hosts(
-    entities: DataFrame, relationships: DataFrame, tenant_id: str | None = None, min_hosts: int = 2, limit: int = 50,
+    entities: DataFrame, relationships: DataFrame, tenant_id: str | None = None, min_hosts: int = 2, limit: int | None = None,
 ) -> DataFrame:
     """Hashes whose files lie on several hosts, the widest spread first."""
     files = _tenant(entities, tenant_id).filter("entity_type = 'file' AND host IS NOT NULL").select(
@@ -98,21 +102,21 @@ def shared_hashes_across_hosts(
     return _widest(spread, ["hash_value", "algo"], min_hosts, limit)
 
 
-def cross_host_entities(entities: DataFrame, tenant_id: str | None = None, min_hosts: int = 2, limit: int = 50) -> DataFrame:
+def cross_host_entities(entities: DataFrame, tenant_id: str | None = None, min_hosts: int = 2, limit: int | None = None) -> DataFrame:
     """Values of one type that appear on several hosts."""
     rows = _tenant(entities, tenant_id).filter(F.col("host").isNotNull()).select("value", "entity_type", "host")
     return _widest(rows, ["value", "entity_type"], min_hosts, limit)
 
 
-def _widest(rows: DataFrame, keys: list[str], min_hosts: int, limit: int) -> DataFrame:
-    """Top groups by distinct hosts; the host list is made for the chosen groups only."""
+def _widest(rows: DataFrame, keys: list[str], min_hosts: int, limit: int | None) -> DataFrame:
+    """Groups on several hosts. With ``limit`` the widest of them, and only their host lists are made."""
     pairs = rows.distinct()
-    counted = pairs.groupBy(*keys).agg(F.count("*").alias("host_count")).filter(F.col("host_count") >= min_hosts)
-    chosen = counted.orderBy(F.desc("host_count"), *keys).limit(limit)
-    hosts = pairs.join(F.broadcast(chosen), keys).groupBy(*keys, "host_count").agg(
-        F.array_sort(F.collect_list("host")).alias("hosts")
-    )
-    return hosts.orderBy(F.desc("host_count"), *keys)
+    if limit is not None:
+        counted = pairs.groupBy(*keys).agg(F.count("*").alias("host_count")).filter(F.col("host_count") >= min_hosts)
+        pairs = pairs.join(F.broadcast(_first(counted, limit, F.desc("host_count"), *keys).select(*keys)), keys)
+    # a list holds each host once: as many texts as there are hosts
+    hosts = pairs.groupBy(*keys).agg(F.count("*").alias("host_count"), F.array_sort(F.collect_list("host")).alias("hosts"))
+    return hosts.filter(F.col("host_count") >= min_hosts)
 
 
 def top_connected_entities(
@@ -131,13 +135,13 @@ def recent_entities(entities: DataFrame, tenant_id: str | None = None, limit: in
 
 def high_severity_entities(
     entities: DataFrame, entity_events: DataFrame, events: DataFrame, tenant_id: str | None = None,
-    min_severity: int = 70, limit: int = 100,
+    min_severity: int = 70, limit: int | None = None,
 ) -> DataFrame:
     """Entities by the highest severity among their events."""
     severe = events.filter(F.col("severity") >= min_severity).select("event_id", "severity")
     worst = entity_events.join(severe, "event_id").groupBy("entity_id").agg(F.max("severity").alias("severity"))
     rows = _tenant(entities, tenant_id).join(worst, "entity_id")
-    return rows.orderBy(F.desc("severity"), "entity_id").limit(limit)
+    return _first(rows, limit, F.desc("severity"), "entity_id")
 
 
 #: Preset name -> function.

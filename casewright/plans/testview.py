@@ -29,12 +29,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of fewer files than cores; a no-op on a large table."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _pick(values: list, index: str) -> str:
     """Value at a 0-based position of a fixed list, as SQL text."""
     text = lambda v: "NULL" if v is None else f"'{v}'"
@@ -54,7 +48,7 @@ def sec_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Dat
     if streaming:
         raw = spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events*.parquet")
     else:
-        raw = spread(table)
+        raw = table
     raw = raw.selectExpr(
         "event_id AS n", "CAST(ts AS TIMESTAMP) AS ts", "user_id AS u", "event_type",
         "CAST(get_json_object(props, '$.k') AS INT) AS k",
@@ -111,7 +105,7 @@ def sec_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> Dat
 
 def sec_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One process start per event: on each of 12 hosts a ternary tree, some parents missing."""
-    raw = spread(read(spark, sf_dir, "events").select("event_id")).selectExpr("event_id AS n", "event_id DIV 12 AS m")
+    raw = read(spark, sf_dir, "events").select("event_id").selectExpr("event_id AS n", "event_id DIV 12 AS m")
     parent = "CASE WHEN m > 0 THEN CASE WHEN m % 50 = 0 THEN m + 10000000 ELSE (m - 1) DIV 3 END END"
     process = _struct("process", name="concat('p', m % 8)", pid="m", parent_pid=parent)
     return raw.selectExpr("concat('E-', n) AS event_id", "concat('HOST-', n % 12) AS host", f"{process} AS process")

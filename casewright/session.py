@@ -21,16 +21,9 @@ SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session somebody else created.
-
-    A local session that still has Spark's default of 200 shuffle partitions gets one
-    per core; a cluster's own choice is never touched.
-    """
+    """Apply the run-time settings to a session somebody else created; its partition counts stay."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
-    context = spark.sparkContext
-    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(max(context.defaultParallelism, 1)))
     return spark
 
 
@@ -44,6 +37,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **extra: str) ->
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        # files of a few megabytes are read by all cores
+        .config("spark.sql.files.openCostInBytes", "65536")
     )
     for key, value in {**SETTINGS, **extra}.items():
         builder = builder.config(key, value)

@@ -205,10 +205,9 @@ def quarantine(rows: DataFrame) -> DataFrame:
 
 def strict(rows: DataFrame) -> DataFrame:
     """The rows, or a failed job at the first invalid one."""
-    first = F.concat_ws("; ", "errors")
-    return rows.withColumn(
-        "errors", F.when(F.size("errors") > 0, F.raise_error(first)).otherwise(F.col("errors"))
-    )
+    # in a filter, which no column selection prunes away
+    failed = F.raise_error(F.concat_ws("; ", "errors")).cast("boolean")
+    return rows.filter(F.when(F.size("errors") > 0, failed).otherwise(F.lit(True)))
 
 
 def whole_files_only(rows: DataFrame) -> DataFrame:

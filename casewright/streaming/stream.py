@@ -76,8 +76,8 @@ def to_batches(events: DataFrame, group_by: str | None = None, rules: BatchRules
     return stream_batches(rows, rules, lateness)
 
 
-def investigate_batches(closed: DataFrame, store: Store, stages: Stages | None = None) -> None:
-    """Investigate closed batches, one case each, and store them.
+def investigate_batches(closed: DataFrame, store: Store, stages: Stages | None = None) -> DataFrame | None:
+    """Investigate closed batches, one case each, and store them; the stored cases of these batches.
 
     The case id comes from group and batch number, so a repeated trigger after a
     failure writes the same cases again.
@@ -87,8 +87,9 @@ def investigate_batches(closed: DataFrame, store: Store, stages: Stages | None =
     )
     events = normalize.valid(rows).drop("raw", "errors")
     if events.isEmpty():
-        return
+        return None
     save_cases(store, investigate(events, stages))
+    return store.load("cases").join(events.select("case_id").distinct(), "case_id", "left_semi")
 
 
 def start_worker(
@@ -97,13 +98,14 @@ def start_worker(
 ) -> StreamingQuery:
     """Investigate, store and report closed batches of a stream.
 
-    ``on_cases`` sees the stored cases (for alerts). Its errors are raised after the
+    ``on_cases`` sees the cases of the trigger's batches (for alerts) and is not called
+    when a trigger closed none. Its errors are raised after the
     cases are stored; the trigger is then repeated and stores the same rows.
     """
     def handle(closed: DataFrame, number: int) -> None:
-        investigate_batches(closed, store, stages)
-        if on_cases is not None and store.exists("cases"):
-            on_cases(store.load("cases"))
+        cases = investigate_batches(closed, store, stages)
+        if on_cases is not None and cases is not None:
+            on_cases(cases)
 
     writer = batches.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle)
     return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
