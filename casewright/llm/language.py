@@ -37,15 +37,16 @@ class Languages:
 
 
 def _grams(spans: W.Spans, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, word) of every run of ``size`` characters of the given words; their ends count as one each."""
+    """(key, word) of every run of ``size`` characters of the given words; from two on, their ends count as one each."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     first, last = np.searchsorted(lead, starts), np.searchsorted(lead, ends)
-    count = last - first + 2 - size + 1  # with a mark before and one after
+    ends_count = int(size > 1)  # a mark before and one after
+    count = last - first + 2 * ends_count - size + 1
     word = np.repeat(np.arange(len(starts)), np.maximum(count, 0))
     if len(word) == 0:
         return np.zeros(0, np.uint64), word
     offset = np.arange(len(word)) - np.repeat(np.cumsum(np.maximum(count, 0)) - np.maximum(count, 0), np.maximum(count, 0))
-    begin = first[word] + offset - 1
+    begin = first[word] + offset - ends_count
     end = begin + size
     opens, closes = begin < first[word], end > last[word]
     bounds = np.append(lead, len(data))
@@ -91,7 +92,7 @@ def train(df: DataFrame, sample: int = SAMPLE) -> Languages:
     sizes = documents.groupBy("lang").count()
     mix = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("_share"))
-    chosen = documents.join(F.broadcast(share.limit(10_000)), "lang").filter(mix < F.col("_share") * 1_000_000)
+    chosen = documents.join(share, "lang").filter(mix < F.col("_share") * 1_000_000)
     counted = chosen.select("lang", text_or_empty().cast("binary")).mapInArrow(_count, "lang string, kind int, key long, n long")
     totals = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     by_n = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
