@@ -140,14 +140,50 @@ def mentions(events: DataFrame, scope: Sequence[str] = (), registry_keys: bool =
     )
 
 
-def resolve_entities(mentioned: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+STRENGTH_POLICIES = ("max", "avg", "left", "right")
+CONFLICT_POLICIES = ("left", "right", "raise")
+
+
+def merged_column(
+    rows: DataFrame, keys: Sequence[str], column: str, order: Sequence[str], on_conflict: str = "right",
+) -> DataFrame:
+    """(keys, column) with the maps of a group merged key by key, or its lists united.
+
+    Of several values of one map key the last by ``order`` counts (``right``) or the first
+    (``left``); ``raise`` fails the job on two different ones. A group without any entry has
+    no row. Entries are combined before the shuffle; a merged map holds each key once.
+    """
+    if on_conflict not in CONFLICT_POLICIES:
+        raise ValueError(f"on_conflict must be one of {CONFLICT_POLICIES}")
+    if rows.schema[column].dataType.typeName() == "array":
+        return rows.select(*keys, F.explode(column).alias("_v")).groupBy(*keys).agg(F.array_sort(F.collect_set("_v")).alias(column))
+    each = rows.select(*keys, F.struct(*order).alias("_o"), F.explode(column).alias("_k", "_v")).filter("_v IS NOT NULL")
+    value = F.min_by("_v", "_o") if on_conflict == "left" else F.max_by("_v", "_o")
+    if on_conflict == "raise":
+        value = F.when(F.min("_v") == F.max("_v"), value).otherwise(F.raise_error(F.lit("property conflict")))
+    one = each.groupBy(*keys, "_k").agg(value.alias("_v"))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(column))
+
+
+def _with_merged(
+    out: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], on_conflict: str,
+) -> DataFrame:
+    """``out`` (one row per group) with the merged ``columns`` that ``rows`` have."""
+    for column in columns:
+        if column in rows.columns:
+            out = out.join(merged_column(rows, keys, column, order, on_conflict), list(keys), "left")
+    return out
+
+
+def resolve_entities(mentioned: DataFrame, scope: Sequence[str] = (), on_conflict: str = "right") -> DataFrame:
     """Merge mentions with one identity into one entity.
 
-    The value and the scalar properties come from the first and the last mention
-    by (timestamp, event_id): first value, last properties.
+    The value is that of the first mention by (timestamp, event_id). Properties and metadata are
+    merged key by key: of two values the last counts, unless ``on_conflict`` says left or raise.
+    Tags are united.
     """
     order = F.struct("timestamp", "event_id", "role")
-    return mentioned.groupBy(*scope, "fingerprint").agg(
+    out = mentioned.groupBy(*scope, "fingerprint").agg(
         F.first("entity_id").alias("entity_id"),
         F.first("tenant_id").alias("tenant_id") if "tenant_id" not in scope else F.count("*").alias("_n"),
         F.first("entity_type").alias("entity_type"),
@@ -157,11 +193,13 @@ def resolve_entities(mentioned: DataFrame, scope: Sequence[str] = ()) -> DataFra
         F.first("identity_scope").alias("identity_scope"),
         F.first("identity_domain").alias("identity_domain"),
         F.first("hash_algorithm").alias("hash_algorithm"),
-        F.max_by("properties", order).alias("properties"),
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
         F.count("*").alias("mention_count"),
     ).drop("_n")
+    return _with_merged(
+        out, mentioned, [*scope, "fingerprint"], ["properties", "metadata", "tags"], ["timestamp", "event_id", "role"], on_conflict
+    )
 
 
 def entity_events(mentioned: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -263,15 +301,15 @@ def with_relationship_fingerprint(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fingerprint", identity.relationship_fingerprint())
 
 
-STRENGTH_POLICIES = ("max", "avg", "left", "right")
-CONFLICT_POLICIES = ("left", "right", "raise")
 
 
 def resolve_relationships(
-    rows: DataFrame, scope: Sequence[str] = (), on_strength: str = "max",
+    rows: DataFrame, scope: Sequence[str] = (), on_strength: str = "max", on_conflict: str = "right",
 ) -> DataFrame:
     """Merge edges with one identity; first and last seen widen over all of them.
 
+    Properties and metadata, where edges have them, are merged key by key (``merged_column``).
+
     ``on_strength`` combines weight and confidence: the largest, the first, the last
     by (timestamp, event_id), or the running pairwise mean (``avg``), in which each
     later edge counts half of all that came before it.
@@ -284,10 +322,11 @@ def resolve_relationships(
         "left": lambda c: F.min_by(c, order),
         "right": lambda c: F.max_by(c, order),
     }
+    keys, maps, by_time = [*scope, "fingerprint"], ["properties", "metadata", "tags"], ["timestamp", "event_id"]
     if on_strength == "avg":
-        return _resolve_pairwise_mean(rows, scope)
+        return _with_merged(_resolve_pairwise_mean(rows, scope), rows, keys, maps, by_time, on_conflict)
     keep = [] if "tenant_id" in scope else [F.first("tenant_id").alias("tenant_id")]
-    return rows.groupBy(*scope, "fingerprint").agg(
+    out = rows.groupBy(*keys).agg(
         *keep,
         F.first("source_type").alias("source_type"), F.first("source_id").alias("source_id"),
         F.first("relationship_type").alias("relationship_type"),
@@ -297,6 +336,7 @@ def resolve_relationships(
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
         F.count("*").alias("event_count"),
     )
+    return _with_merged(out, rows, keys, maps, by_time, on_conflict)
 
 
 #: Past this many edges the oldest ones weigh less than the spacing of doubles.
@@ -361,6 +401,11 @@ def relationship_errors() -> Column:
     return F.array_compact(F.array(*[F.when(bad, text) for bad, text in checks]))
 
 
+def relationship_sort_key() -> list[Column]:
+    """Order of edges: type, then both ends."""
+    return [F.col(c) for c in ("relationship_type", "source_type", "source_id", "target_type", "target_id")]
+
+
 def relationship_flags(relationships: DataFrame) -> DataFrame:
     from casewright.functions.text import lookup
 
@@ -406,38 +451,53 @@ def build(events: DataFrame, scope: Sequence[str] = (), registry_keys: bool = Fa
     }
 
 
-def extend_entities(stored: DataFrame, fresh: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def extend_entities(stored: DataFrame, fresh: DataFrame, scope: Sequence[str] = (), on_conflict: str = "right") -> DataFrame:
     """Merge two resolved entity tables; the same rules as for single mentions.
 
+    Of two values of one property that of the entity seen last counts.
+
     The provenance tables must not overlap for ``mention_count`` to stay exact.
     """
     rows = stored.unionByName(fresh)
     first = F.struct("first_seen", "value")
-    last = F.struct("last_seen", "value")
     keep = [] if "tenant_id" in scope else [F.first("tenant_id").alias("tenant_id")]
     same = ["entity_id", "entity_type", "normalized_value", "host", "identity_scope", "identity_domain", "hash_algorithm"]
     out = rows.groupBy(*scope, "fingerprint").agg(
         *keep,
         *[F.first(c).alias(c) for c in same],
         F.min_by("value", first).alias("value"),
-        F.max_by("properties", last).alias("properties"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.sum("mention_count").alias("mention_count"),
     )
+    out = _with_merged(
+        out, rows, [*scope, "fingerprint"], ["properties", "metadata", "tags"], ["last_seen", "value"], on_conflict
+    )
     return out.select(*stored.columns)
 
 
-def extend_relationships(stored: DataFrame, fresh: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def extend_relationships(
+    stored: DataFrame, fresh: DataFrame, scope: Sequence[str] = (), on_strength: str = "max", on_conflict: str = "right",
+) -> DataFrame:
+    """Merge two resolved edge tables. Of two strengths the larger, the earlier table's (left), the later
+    table's (right) or the mean counts; first and last are told by ``last_seen``."""
+    if on_strength not in STRENGTH_POLICIES:
+        raise ValueError(f"on_strength must be one of {STRENGTH_POLICIES}")
+    combine = {
+        "max": F.max, "avg": F.avg, "left": lambda c: F.min_by(c, "last_seen"), "right": lambda c: F.max_by(c, "last_seen"),
+    }[on_strength]
     rows = stored.unionByName(fresh)
     keep = [] if "tenant_id" in scope else [F.first("tenant_id").alias("tenant_id")]
     same = ["source_type", "source_id", "relationship_type", "target_type", "target_id"]
     out = rows.groupBy(*scope, "fingerprint").agg(
         *keep,
         *[F.first(c).alias(c) for c in same],
-        F.max("weight").alias("weight"), F.max("confidence").alias("confidence"),
+        combine("weight").alias("weight"), combine("confidence").alias("confidence"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.sum("event_count").alias("event_count"),
     )
+    out = _with_merged(
+        out, rows, [*scope, "fingerprint"], ["properties", "metadata", "tags"], ["last_seen", "source_id"], on_conflict
+    )
     return out.select(*stored.columns)
 
 

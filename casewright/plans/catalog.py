@@ -215,12 +215,18 @@ def _graph(spark, sf, registry_keys=False):
     return events, graph.build(events, ["tenant_id"], registry_keys)
 
 
+def _listed(name: str) -> Column:
+    """A map as ``key=value`` pairs in order of keys; empty text for none."""
+    pairs = F.transform(F.array_sort(F.map_entries(name)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return F.coalesce(F.array_join(pairs, ","), F.lit("")).alias(name)
+
+
 @query
 def entities_resolved(spark, sf):
     _, g = _graph(spark, sf)
     return g["entities"].select(
         "fingerprint", "entity_id", "tenant_id", "entity_type", "value", "normalized_value", "host", us("first_seen"),
-        us("last_seen"), "mention_count",
+        us("last_seen"), "mention_count", _listed("properties"),
     )
 
 
@@ -241,6 +247,17 @@ def relationships_resolved(spark, sf):
     return rows.select("fingerprint", "relationship_type", "source_id", "target_id", "event_count", us("first_seen"), us("last_seen"))
 
 
+@query
+def relationships_merged(spark, sf):
+    """Edges with properties of their own: merged key by key, the last value counts; sorted by type and ends."""
+    rows = graph.edges(sec_events(spark, sf), ["tenant_id"])
+    number = F.expr("CAST(replace(event_id, 'E-', '') AS BIGINT)")
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    own = F.map_from_entries(F.array(entry("seen_by", number % 5), F.when(number % 3 == 0, entry("third", number)).otherwise(entry("other", F.lit(1)))))
+    merged = graph.resolve_relationships(rows.withColumn("properties", own), ["tenant_id"])
+    return merged.orderBy(*graph.relationship_sort_key()).select("fingerprint", _listed("properties"))
+
+
 @query
 def relationship_type_counts(spark, sf):
     rows = graph.relationship_flags(_graph(spark, sf)[1]["relationships"])
@@ -266,7 +283,9 @@ def graph_extend(spark, sf):
     early, late = events.filter("timestamp < '2024-01-16'"), events.filter("timestamp >= '2024-01-16'")
     a, b = graph.build(early, ["tenant_id"]), graph.build(late, ["tenant_id"])
     rows = graph.extend_entities(a["entities"], b["entities"], ["tenant_id"])
-    return rows.select("fingerprint", "entity_type", "value", us("first_seen"), us("last_seen"), "mention_count")
+    return rows.select(
+        "fingerprint", "entity_type", "value", us("first_seen"), us("last_seen"), "mention_count", _listed("properties")
+    )
 
 
 @query
@@ -368,6 +387,104 @@ def case_graph(spark, sf):
 # -- process tree ------------------------------------------------------------------------------------
 
 
+def _named(rows: DataFrame, name: str) -> DataFrame:
+    return rows.withColumn(name, F.array_join(name, "; "))
+
+
+@query
+def timeline_for_host(spark, sf):
+    rows = timeline.ordered(timeline.for_host(timeline.project(sec_events(spark, sf)), " HOST-4 "))
+    return rows.select("event_id", us("timestamp"), "category", "severity")
+
+
+@query
+def timeline_since_until(spark, sf):
+    rows = timeline.until(timeline.since(timeline.project(sec_events(spark, sf)), "2024-01-05"), "2024-01-09 12:00:00")
+    return rows.select("event_id", us("timestamp"))
+
+
+@query
+def entity_lookup(spark, sf):
+    _, g = _graph(spark, sf)
+    found = graph.find_entities(g["entities"], "ip", "203.0.113.7").unionByName(graph.find_entities(g["entities"], "file", host="HOST-3"))
+    return found.select("entity_id", "entity_type", "value", "host")
+
+
+@query
+def relationship_lookup(spark, sf):
+    _, g = _graph(spark, sf)
+    rows = graph.find_relationships(g["relationships"], "connected_to")
+    return graph.with_relationship_fingerprint_check(rows).select("fingerprint", "source_id", "target_id", "fingerprint_ok")
+
+
+@query
+def entity_flag_rows(spark, sf):
+    _, g = _graph(spark, sf)
+    rows = graph.entity_flags(graph.with_entity_fingerprint_check(g["entities"])).withColumn("errors", graph.entity_errors())
+    return _named(rows, "errors").select(
+        "entity_id", "is_occurrence", "is_substantive", "is_global", "is_host_scoped", "fingerprint_ok", "errors"
+    )
+
+
+@query
+def relationship_flag_rows(spark, sf):
+    rows = graph.relationship_flags(_graph(spark, sf)[1]["relationships"]).withColumn("errors", graph.relationship_errors())
+    return _named(rows, "errors").select("fingerprint", "category", "is_symmetric", "is_investigation", "errors")
+
+
+@query
+def entity_provenance_added(spark, sf):
+    """Entities of the first half widened by the sightings of the second."""
+    events = sec_events(spark, sf)
+    early, late = events.filter("timestamp < '2024-01-16'"), events.filter("timestamp >= '2024-01-16'")
+    log = graph.mentions(late, ["tenant_id"]).select("tenant_id", "fingerprint", "timestamp", "event_id")
+    rows = graph.add_provenance(graph.build(early, ["tenant_id"])["entities"], log, ["tenant_id"])
+    return rows.select("fingerprint", us("first_seen"), us("last_seen"), "mention_count")
+
+
+@query
+def process_descendants(spark, sf):
+    return tree.descendants(_tree(spark, sf), "HOST-3|pid:4").select("node", "event_id")
+
+
+@query
+def process_children(spark, sf):
+    rows = _tree(spark, sf)
+    return tree.children(rows, "HOST-5|pid:2").select("node", "event_id", "parent")
+
+
+@query
+def risk_summaries(spark, sf):
+    tables = investigate(sec_events(spark, sf))
+    rows = risk.flags(risk.with_summary(tables["risk"], risk.top_factors(tables["risk_factors"], 3)))
+    return rows.select(
+        "case_id", "is_high_risk", "is_critical_risk", F.regexp_extract("summary", r"^(Risk \d+/100)", 1).alias("head"),
+        F.regexp_extract("summary", r"Top contributors: (.*)[.]$", 1).alias("top"),
+    )
+
+
+@query
+def verdict_bands(spark, sf):
+    events = sec_events(spark, sf)
+    return events.select("event_id", report.verdict(F.col("severity")).alias("verdict"))
+
+
+@query
+def hypothesis_updates(spark, sf):
+    """Updates put evidence on both sides; the first side keeps it."""
+    events = sec_events(spark, sf)
+    made = hypotheses.main_and_counter(evidence.from_events(events))
+    n = F.expr("CAST(replace(event_id, 'E-', '') AS BIGINT)")
+    steps = events.withColumn("n", n).select("case_id", "timestamp", "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    log = made.select("hypothesis_id", "case_id").join(steps, "case_id").select(
+        "hypothesis_id", (F.col("timestamp") + F.make_dt_interval(secs=F.col("i"))).alias("ts"),
+        F.when((F.col("n") + F.col("i")) % 2 == 0, "support").otherwise("contradict").alias("action"), (F.col("n") % 50).cast("string").alias("value"),
+    )
+    extra = made.select("hypothesis_id", F.lit("2024-02-01").cast("timestamp").alias("ts"), F.lit("missing").alias("action"), F.lit("zz-memory-image").alias("value"))
+    rows = hypotheses.apply_updates(made.withColumns({"support_count": F.lit(0), "contradict_count": F.lit(0)}), log.unionByName(extra))
+    return rows.select("hypothesis_id", "support_count", "contradict_count", F.element_at("missing_evidence", -1).alias("last_missing"))
+
+
 def _tree(spark, sf):
     return tree.with_parent(tree.nodes(sec_processes(spark, sf)))
 
@@ -651,8 +768,9 @@ def ledger_against_evidence(spark, sf):
 # -- sources ----------------------------------------------------------------------------------------------------
 
 
-def _normal_columns(rows: DataFrame) -> DataFrame:
+def _normal_columns(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(
+        *more,
         "event_id", us("timestamp"), "source", "platform", "category", "event_type", "severity", "host", "user",
         F.col("process.name").alias("pname"), F.col("process.pid").alias("pid"),
         F.col("process.parent_pid").alias("ppid"), F.col("process.parent_name").alias("parent_name"), "rule_id",
@@ -668,7 +786,10 @@ def wazuh_normalized(spark, sf):
 @query
 def sysmon_normalized(spark, sf):
     rows = normalize.sysmon_events(derived.sysmon_records(sec_events(spark, sf)))
-    return _normal_columns(rows).drop("event_id").withColumn("hash", F.lit(1))
+    # the id is a hash of the record, so the comparison takes its form; the hashes are compared as parsed
+    return _normal_columns(rows.withColumn("_h", _listed("process.hashes")), "_h").withColumnRenamed("_h", "hashes").withColumn(
+        "event_id", F.regexp_extract("event_id", "^sysmon-[0-9a-f]+-([0-9]+)$", 1)
+    )
 
 
 @query

@@ -91,6 +91,12 @@ SELECT event_id, epoch_us(ts) AS timestamp, category, severity, host, pname AS p
   CASE WHEN category = 'process' THEN event_type || ': ' || pname || ' (PID ' || pid || ')' ELSE event_type END AS summary
 FROM sec WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'"""
 
+SQL["timeline_for_host"] = SEC + """
+SELECT event_id, epoch_us(ts) AS timestamp, category, severity FROM sec WHERE host = 'HOST-4'"""
+SQL["timeline_since_until"] = SEC + """
+SELECT event_id, epoch_us(ts) AS timestamp FROM sec WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-09 12:00:00'"""
+SQL["verdict_bands"] = SEC + """
+SELECT event_id, CASE WHEN severity >= 70 THEN 'high priority' WHEN severity >= 40 THEN 'medium priority' ELSE 'low priority' END AS verdict FROM sec"""
 SQL["timeline_high_severity"] = SEC + """
 SELECT host, category, count(*) AS n, max(severity) AS top FROM sec WHERE severity >= 70 GROUP BY 1, 2"""
 
@@ -255,8 +261,20 @@ adj AS (SELECT src AS node, dst AS other, rel FROM rel UNION ALL SELECT dst, src
 
 
 G = graph()
-SQL["entities_resolved"] = G + """
-SELECT fingerprint, entity_id, tenant_id, entity_type, value, normalized_value, host, first_seen, last_seen, mention_count FROM ent"""
+PROPERTIES = """,
+pp AS (SELECT fp AS fingerprint, last(ppid ORDER BY m.ts, m.event_id) AS ppid FROM m JOIN sec ON sec.event_id = m.event_id
+  WHERE role = 'child' AND ppid IS NOT NULL GROUP BY 1),
+pr_ent AS (SELECT ent.*, CASE WHEN entity_type = 'process' THEN 'identity_quality=pid' || coalesce(',parent_pid=' || ppid, '')
+  || ',pid=' || split_part(normalized_value, '|pid:', 2) ELSE '' END AS properties FROM ent LEFT JOIN pp USING (fingerprint))"""
+SQL["entities_resolved"] = G + PROPERTIES + """
+SELECT fingerprint, entity_id, tenant_id, entity_type, value, normalized_value, host, first_seen, last_seen, mention_count,
+  properties FROM pr_ent"""
+SQL["relationships_merged"] = G + """,
+n AS (SELECT e.*, CAST(replace(event_id, 'E-', '') AS BIGINT) AS k FROM e),
+x AS (SELECT tenant_id, src, rel, dst, last(k % 5 ORDER BY ts, event_id) AS seen_by,
+  last(k ORDER BY ts, event_id) FILTER (k % 3 = 0) AS third, bool_or(k % 3 <> 0) AS other FROM n GROUP BY 1, 2, 3, 4)
+SELECT fingerprint, CASE WHEN other THEN 'other=1,' ELSE '' END || 'seen_by=' || seen_by || coalesce(',third=' || third, '') AS properties
+FROM x JOIN rel USING (tenant_id, src, rel, dst)"""
 SQL["entity_type_counts"] = G + "\nSELECT entity_type, count(*) AS n FROM ent GROUP BY 1"
 SQL["entity_provenance"] = G + "\nSELECT eid AS entity_id, count(DISTINCT event_id) AS events FROM m GROUP BY 1"
 SQL["relationships_resolved"] = G + """
@@ -273,7 +291,24 @@ SELECT (SELECT count(*) FROM ent WHERE tenant_id = 'tenant-1') AS entities,
   (SELECT count(DISTINCT entity_type) FROM ent WHERE tenant_id = 'tenant-1') AS entity_types,
   (SELECT count(DISTINCT host) FROM ent WHERE tenant_id = 'tenant-1') AS hosts,
   (SELECT count(*) FROM rel WHERE tenant_id = 'tenant-1') AS relationships"""
-SQL["graph_extend"] = G + "\nSELECT fingerprint, entity_type, value, first_seen, last_seen, mention_count FROM ent"
+SQL["graph_extend"] = G + PROPERTIES + "\nSELECT fingerprint, entity_type, value, first_seen, last_seen, mention_count, properties FROM pr_ent"
+SQL["entity_lookup"] = G + """
+SELECT entity_id, entity_type, value, host FROM ent
+WHERE (entity_type = 'ip' AND normalized_value = '203.0.113.7') OR (entity_type = 'file' AND host = 'host-3')"""
+SQL["relationship_lookup"] = G + """
+SELECT fingerprint, src AS source_id, dst AS target_id, true AS fingerprint_ok FROM rel WHERE rel = 'connected_to'"""
+SQL["entity_flag_rows"] = G + f"""
+SELECT entity_id, entity_type IN ({", ".join(repr(t) for t in sorted(vocab.OCCURRENCE_ENTITY_TYPES))}) AS is_occurrence,
+  entity_type NOT IN ({", ".join(repr(t) for t in sorted(vocab.OCCURRENCE_ENTITY_TYPES))}) AS is_substantive,
+  entity_type IN ({", ".join(repr(t) for t in sorted(vocab.GLOBAL_ENTITY_TYPES))}) AS is_global,
+  entity_type IN ({", ".join(repr(t) for t in sorted(vocab.HOST_SCOPED_ENTITY_TYPES))}) OR entity_type = 'user' AS is_host_scoped,
+  true AS fingerprint_ok, '' AS errors FROM ent"""
+SQL["relationship_flag_rows"] = G + """
+SELECT fingerprint, CASE rel WHEN 'spawned' THEN 'process' WHEN 'run_as' THEN 'identity' WHEN 'has_hash' THEN 'file' ELSE 'network' END AS category,
+  rel = 'connected_to' AS is_symmetric, false AS is_investigation, '' AS errors FROM rel"""
+SQL["entity_provenance_added"] = G + """
+SELECT fp AS fingerprint, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen, count(*) AS mention_count FROM m GROUP BY 1
+HAVING min(ts) < TIMESTAMP '2024-01-16'"""
 SQL["neighbors"] = G + """
 SELECT DISTINCT node, other AS entity_id, entity_type, value, host, rel AS relationship_type
 FROM adj JOIN ent ON ent.entity_id = adj.other"""
@@ -341,6 +376,9 @@ tree AS (SELECT t.node, t.event_id, q.node AS parent, t.pp IS NOT NULL AND q.nod
 up(node, ancestor, distance) AS (SELECT node, node, CAST(0 AS BIGINT) FROM tree
   UNION ALL SELECT up.node, tree.parent, distance + 1 FROM up JOIN tree ON tree.node = up.ancestor WHERE tree.parent IS NOT NULL)"""
 SQL["process_roots_orphans"] = TREE + "\nSELECT node, event_id, is_orphan FROM tree WHERE parent IS NULL"
+SQL["process_descendants"] = TREE + """
+SELECT tree.node, event_id FROM tree JOIN up USING (node) WHERE ancestor = 'HOST-3|pid:4' AND distance > 0"""
+SQL["process_children"] = TREE + "\nSELECT node, event_id, parent FROM tree WHERE parent = 'HOST-5|pid:2'"
 SQL["process_lineage"] = TREE + "\nSELECT node, ancestor, distance FROM up"
 SQL["process_descendant_counts"] = TREE + """
 SELECT a.node, last(a.ancestor ORDER BY a.distance) AS root, max(a.distance) AS depth, min(c.n) - 1 AS descendants
@@ -491,6 +529,13 @@ SELECT case_id, statement, CASE WHEN support_count >= 3 THEN 'strong_support' WH
   FROM hyp WHERE kind = 'main'
 UNION ALL SELECT case_id, statement, 'ready_for_confirmed' FROM hyp WHERE kind = 'main' AND status = 'supported' AND confidence >= 0.7
 UNION ALL SELECT case_id, statement, 'missing_evidence' FROM hyp WHERE kind = 'main'"""
+SQL["hypothesis_updates"] = HYP + """,
+lg AS (SELECT hypothesis_id, CAST(CAST(replace(event_id, 'E-', '') AS BIGINT) % 50 AS VARCHAR) AS ev_id,
+  (CAST(replace(event_id, 'E-', '') AS BIGINT) + i) % 2 = 0 AS for_it, epoch_us(ts) + i * 1000000 AS t
+  FROM hyp JOIN sec USING (case_id), (SELECT unnest([0, 1]) AS i)),
+sd AS (SELECT hypothesis_id, ev_id, first(for_it ORDER BY t, for_it DESC) AS for_it FROM lg GROUP BY 1, 2)
+SELECT hypothesis_id, count(*) FILTER (for_it) AS support_count, count(*) FILTER (NOT for_it) AS contradict_count,
+  'zz-memory-image' AS last_missing FROM sd GROUP BY 1"""
 SQL["counter_findings"] = HYP + """
 SELECT case_id, statement, 'no_support' AS finding, missing AS needed FROM hyp WHERE kind = 'counter'"""
 
@@ -551,6 +596,18 @@ d AS (SELECT host, date_trunc('day', ts) AS ts, CAST(round_even(avg(severity), 0
 p AS (SELECT *, lag(risk_score, 1, 0) OVER (PARTITION BY host ORDER BY ts) AS previous_risk_score FROM d)
 SELECT host, epoch_us(CAST(ts AS TIMESTAMP)) AS ts, risk_score, previous_risk_score, risk_score - previous_risk_score AS delta FROM p"""
 _PRIORITY = _band("max(severity)", ("critical", "high", "medium", "low"))
+SQL["risk_summaries"] = _CASE + """,
+f AS (
+  SELECT case_id, 'evidence:' || evidence_id AS name, 'evidence' AS category,
+    CAST(CASE strength WHEN 'weak' THEN 5.0 WHEN 'moderate' THEN 10.0 WHEN 'strong' THEN 20.0 ELSE 30.0 END AS DOUBLE) AS contribution FROM ev
+  UNION ALL SELECT case_id, 'correlation:PAIR-' || substr(sha256(source_event_id || '|' || related_event_id), 1, 10), 'correlation',
+    round_even(confidence * 5.0, 3) FROM best
+  UNION ALL SELECT case_id, 'hypothesis:' || hypothesis_id, 'hypothesis', round_even(CAST(value AS DOUBLE), 3) FROM (
+    SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY value DESC, kind_rank, fingerprint) AS r FROM val) WHERE r = 1 AND value > 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY contribution DESC, category, name) AS rank FROM f WHERE contribution > 0),
+top AS (SELECT case_id, string_agg(name, ', ' ORDER BY rank) AS top FROM g WHERE rank <= 3 GROUP BY 1)
+SELECT case_id, risk_score >= 70 AS is_high_risk, risk_score >= 85 AS is_critical_risk, 'Risk ' || risk_score || '/100' AS head,
+  coalesce(top, 'none') AS top FROM risk LEFT JOIN top USING (case_id)"""
 SQL["case_summary"] = _CASE + f""",
 cs AS (SELECT case_id, min(tenant_id) AS tenant_id, max(severity) AS severity, {_PRIORITY} AS priority, count(*) AS event_count FROM sec GROUP BY 1),
 ne AS (SELECT case_id, count(DISTINCT fp) AS entity_count FROM m GROUP BY 1),
@@ -642,7 +699,9 @@ SQL["sysmon_normalized"] = SEC + """
 SELECT epoch_us(ts) AS timestamp, 'sysmon' AS source, 'windows' AS platform, category,
   CASE category WHEN 'process' THEN 'process_creation' WHEN 'network' THEN 'network_connection' WHEN 'file' THEN 'file_created'
     WHEN 'registry' THEN 'registry_set_value' ELSE 'dns_query' END AS event_type, 50 AS severity, host, usr AS user, pname, pid, ppid,
-  parent_name, CAST(NULL AS VARCHAR) AS rule_id, '' AS mitre_techniques, '' AS mitre_tactics, '' AS tags, 0 AS errors, 1 AS hash FROM sec"""
+  parent_name, CAST(NULL AS VARCHAR) AS rule_id, '' AS mitre_techniques, '' AS mitre_tactics, '' AS tags, 0 AS errors,
+  CASE category WHEN 'process' THEN '1' WHEN 'network' THEN '3' WHEN 'file' THEN '11' WHEN 'registry' THEN '13' ELSE '22' END AS event_id,
+  CASE WHEN category = 'process' OR pname IS NOT NULL THEN 'md5=ab,sha256=cd' ELSE '' END AS hashes FROM sec"""
 SQL["mixed_accounting"] = SEC + """,
 f AS (SELECT CASE severity % 5 WHEN 0 THEN 'canonical' WHEN 1 THEN 'wazuh' WHEN 2 THEN 'sysmon' ELSE 'unknown' END AS format,
   severity % 5 >= 3 OR (severity % 5 = 0 AND severity % 4 = 0 AND severity > 0) AS bad FROM sec)
