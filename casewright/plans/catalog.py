@@ -859,8 +859,8 @@ def _stream_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def _stream_result(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    folder = _stream_folder(spark)
+def _stream_result(spark: SparkSession, rows: DataFrame, folder: str | None = None) -> DataFrame:
+    folder = folder or _stream_folder(spark)
     run = (
         rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).start(f"{folder}/rows")
@@ -871,11 +871,18 @@ def _stream_result(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 @query
 def event_batches_stream(spark, sf):
-    """The stream form of the batches; the last open batch of a group is not closed yet."""
-    rows = _arrivals(spark, sf, streaming=True).select(
+    """The stream form of the batches: a first run over the events, a second that gets the flush."""
+    folder = _stream_folder(spark)
+    rows = _arrivals(spark, sf).select(
         "batch_group", F.timestamp_micros("arrival").alias("arrived_at"), "event_id", F.lit("{}").alias("body")
     )
-    closed = _stream_result(spark, batches.stream_batches(rows))
+    rows.write.parquet(f"{folder}/in")
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/in")
+    _stream_result(spark, batches.stream_batches(events), folder)
+    last = rows.agg(F.unix_micros(F.max("arrived_at"))).first()[0] or 0
+    groups = rows.select("batch_group").distinct()
+    batches.flush_rows(groups, F.timestamp_micros(F.lit(last + 1))).write.mode("append").parquet(f"{folder}/in")
+    closed = _stream_result(spark, batches.stream_batches(events), folder)
     return closed.groupBy("batch_group", "batch_no").agg(F.count("*").alias("size"))
 
 

@@ -729,7 +729,7 @@ UNION ALL SELECT 'CORRELATES_RELATED', 'Event', count(*) FROM top"""
 
 # -- streaming ----------------------------------------------------------------------------------------------------------
 
-SQL["event_batches_replay"] = SEC + """,
+_BATCHES = SEC + """,
 o AS (SELECT host, tenant_id, epoch_us(ts) // 2000 AS t, row_number() OVER (PARTITION BY host ORDER BY epoch_us(ts) // 2000, event_id) - 1 AS i FROM sec),
 w(host, i, t, start, first_t, size) AS (
   SELECT host, i, t, i, t, 1 FROM o WHERE i = 0
@@ -737,8 +737,12 @@ w(host, i, t, start, first_t, size) AS (
     CASE WHEN size >= 100 OR o.t - first_t >= 30000000 OR o.t - w.t >= 5000000 THEN o.i ELSE start END,
     CASE WHEN size >= 100 OR o.t - first_t >= 30000000 OR o.t - w.t >= 5000000 THEN o.t ELSE first_t END,
     CASE WHEN size >= 100 OR o.t - first_t >= 30000000 OR o.t - w.t >= 5000000 THEN 1 ELSE size + 1 END
-  FROM w JOIN o ON o.host = w.host AND o.i = w.i + 1)
+  FROM w JOIN o ON o.host = w.host AND o.i = w.i + 1)"""
+SQL["event_batches_replay"] = _BATCHES + """
 SELECT w.host AS batch_group, start AS batch_start, count(*) AS size, min(w.t) AS first_at, max(w.t) AS last_at,
   'Investigation ' || w.host AS title, min(o.tenant_id) AS tenant_id FROM w JOIN o USING (host, i) GROUP BY 1, 2"""
+SQL["event_batches_stream"] = _BATCHES + """,
+b AS (SELECT w.host AS batch_group, start, count(*) AS size FROM w GROUP BY 1, 2)
+SELECT batch_group, row_number() OVER (PARTITION BY batch_group ORDER BY start) - 1 AS batch_no, size FROM b"""
 SQL["stream_pair_correlation"] = SQL["pair_correlation"]
 SQL["stream_dedup"] = SEC + "\nSELECT host, count(*) AS n, count(*) AS ids FROM sec GROUP BY 1"

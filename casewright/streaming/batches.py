@@ -166,12 +166,24 @@ _STATE = "batch_no long, first_at long, last_at long, ids array<string>, bodies
 _OUTPUT = "batch_group string, batch_no long, event_id string, body string"
 
 
+def flush_rows(groups: DataFrame, at: Column) -> DataFrame:
+    """Rows for the stream of ``stream_batches`` that close the open batch of each group at time ``at``.
+
+    Send them as the last messages before a worker stops, or whenever pending events must not wait.
+    """
+    return groups.select(
+        "batch_group", at.alias("arrived_at"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("body")
+    )
+
+
 def stream_batches(events: DataFrame, rules: BatchRules | None = None, lateness: str = "1 second") -> DataFrame:
     """Closed batches of a stream, one row per event with its batch number.
 
     ``events``: batch_group, arrived_at (timestamp), event_id, body (the event as JSON).
     The open batch of a group is its state and has at most ``max_size`` events. A group
-    that falls silent is closed by a timer on the watermark of the arrival time.
+    that falls silent is closed by a timer on the watermark of the arrival time, and a
+    row without event id (``flush_rows``) closes it at once. A task holds what one trigger brings
+    of a group: bound it with the source's trigger limit (``maxFilesPerTrigger`` and the like).
     """
     rules = rules or BatchRules()
 
@@ -189,8 +201,12 @@ def stream_batches(events: DataFrame, rules: BatchRules | None = None, lateness:
                 close()
         else:
             # rows of one group in one trigger; the source's trigger limit bounds them
-            rows = pd.concat(list(frames)).sort_values(["arrival", "event_id"])
+            rows = pd.concat(list(frames)).sort_values(["arrival", "event_id"], na_position="last")
             for arrival, event_id, body in zip(rows["arrival"], rows["event_id"], rows["body"]):
+                if event_id is None:
+                    if ids:
+                        close()
+                    continue
                 due = ids and (
                     len(ids) >= rules.max_size or arrival - first >= rules.window_us or arrival - last >= rules.idle_us
                 )
