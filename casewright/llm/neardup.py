@@ -4,8 +4,8 @@ A document is the set of its distinct shingles. One hash per shingle fills 256 b
 smallest hash that falls into each (one permutation); an empty bin takes the value of the
 first filled bin in a random order of its own (optimal densification). Bands of bins make
 buckets. In a bucket every document is compared with one centre only, so candidates grow with
-the rows, never with the square of a bucket. What those stars leave apart is compared across
-the components that still meet in a bucket, so links that the stars passed over are found too.
+the rows, never with the square of a bucket. Rows of components that still meet in a bucket
+are joined once more on their rarest shingles, so links that the stars passed over are found too.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.llm import words as W
 from casewright.llm.common import stored, text_or_empty
-from casewright.llm.components import components
-from casewright.session import cut_lineage
+from casewright.llm.components import components, extended
 
 BINS = 256
 #: Bands of so many bins. Two sets of similarity 0.8 share no band with probability 7e-6.
@@ -103,9 +102,7 @@ def _collect_sets(size: int):
         for batch in batches:
             for row, texts in W.slices(batch.column(1)):
                 hashes, begins = W.distinct(*W.shingles(W.words(texts, lower=True), size), len(texts))
-                sets = pa.Array.from_buffers(
-                    pa.binary(), len(texts), [None, pa.py_buffer((begins * 8).astype(np.int32)), pa.py_buffer(hashes)]
-                )
+                sets = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), sets], names=["row", "shingles"])
 
     return run
@@ -116,7 +113,7 @@ def _confirm(percent: int):
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                x, y = x.values.to_numpy(), y.values.to_numpy()
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
@@ -195,28 +192,21 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     )
     wanted = meeting.select("row", F.col("doc_id").alias("_id"), "text_a", "text_b")
     found = base.join(wanted, ["text_a", "text_b"]).filter(F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = stored(found.select("row", "content").mapInArrow(_collect_sets(size), "row long, shingles binary").dropDuplicates(["row"]))
+    sets = stored(found.select("row", "content").mapInArrow(_collect_sets(size), "row long, shingles array<bigint>").dropDuplicates(["row"]))
 
     placed = members.withColumn("root", F.col("row"))
-    tried = links = labels = None
+    tried = labels = None
     for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            pairs = _near(_star(placed, turn), meeting)
-        else:
-            pairs = _across(placed, meeting)
+        pairs = _near(_star(placed, turn), meeting) if turn < STAR_ROUNDS else _near(_across(placed, sets, percent), meeting)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        more = cut_lineage(_confirmed(pairs, sets, percent))
+        pairs = stored(pairs)
+        links = stored(_confirmed(pairs, sets, percent))
         tried = pairs if tried is None else tried.union(pairs)
-        links = more if links is None else links.union(more)
-        if turn == 0 or not more.isEmpty():
-            labels = components(links)
-            placed = cut_lineage(
-                members.join(labels.withColumnRenamed("node", "row"), "row", "left").select(
-                    "bucket", "row", F.coalesce("root", "row").alias("root")
-                )
-            )
+        labels = components(links) if labels is None else extended(labels, links)
+        if turn < STAR_ROUNDS:
+            rooted = members.join(labels.withColumnRenamed("node", "row"), "row", "left")
+            placed = stored(rooted.select("bucket", "row", F.coalesce("root", "row").alias("root")))
 
     owned = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(owners, ["set_a", "set_b"], "left")
     rooted = owned.join(labels.withColumnRenamed("node", "owner"), "owner", "left").select(
@@ -228,17 +218,24 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _across(placed: DataFrame, meeting: DataFrame) -> DataFrame:
-    """All pairs of a bucket whose components still differ and whose sketches are near.
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that can be similar, among rows whose buckets hold several.
 
-    Rows that a large component has taken in meet only the rows outside it, and the sketches
-    are part of the join's condition: what comes out are near pairs, not the bucket's pairs.
+    Exact: in one order of all shingles, rarest first, two sets that are similar enough share one
+    of the first ``n - needed + 1`` shingles of each, and at the first that they share, what is
+    left of both must still reach the overlap that the similarity asks for. A row that differs
+    from its whole group begins with shingles of its own, so it meets nobody.
     """
     ranges = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    open_rows = placed.join(ranges.select("bucket"), "bucket").join(meeting.select("row", "sketch"), "row")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    condition = (
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root"))
-        & (apart(F.col("x.sketch"), F.col("y.sketch")) <= MOST_APART)
-    )
+    open_rows = placed.join(ranges.select("bucket"), "bucket").select("row", "root").distinct()
+    each = stored(sets.join(open_rows, "row").select("row", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("s")))
+    common = each.groupBy("s").agg(F.count("*").alias("often")).filter("often > 1")
+    by_rarity = Window.partitionBy("row").orderBy(F.desc("often"), F.desc("s"))
+    # from the most frequent: what comes before the first common shingle need not be ranked
+    ranked = each.join(common, "s").withColumn("at", F.col("n") - F.row_number().over(by_rarity) + 1)
+    first = stored(ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("row", "root", "n", "s", "at"))
+    x, y = first.alias("x"), first.alias("y")
+    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    left = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    condition = (F.col("x.s") == F.col("y.s")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (left >= overlap)
     return x.join(y, condition).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
