@@ -213,7 +213,8 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
         "doc_id", "n_shingles", F.coalesce("root", "owner").alias("root")
     )
     smallest = rooted.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("n"))
-    several = smallest.filter("n > 1").drop("n")
+    # written, so that the join below is one of plain tables and a class of any size can be split
+    several = stored(smallest.filter("n > 1").drop("n"))
     out = rooted.join(several, "root", "left").withColumn("component_id", F.coalesce("smallest", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
