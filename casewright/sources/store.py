@@ -49,10 +49,9 @@ class Store:
         return self._read(table).drop(BUCKET)
 
     def _touched(self, table: str, key: str, rows: DataFrame) -> DataFrame:
-        """Stored rows in the buckets that ``rows`` fall into."""
-        stored = self._read(table)
-        hit = rows.select(bucket(key, self.buckets).alias(BUCKET)).distinct()  # at most BUCKETS rows
-        return stored.join(F.broadcast(hit), BUCKET).select(*stored.columns)
+        """Stored rows in the buckets that ``rows`` fall into; the other folders are not read."""
+        hit = rows.select(bucket(key, self.buckets).alias(BUCKET)).distinct().collect()  # at most BUCKETS numbers
+        return self._read(table).filter(F.col(BUCKET).isin(sorted(r[0] for r in hit)))
 
     def _write(self, table: str, key: str, rows: DataFrame) -> None:
         """Replace the buckets present in ``rows``; they are read back from a finished copy."""
@@ -116,16 +115,23 @@ def load_cases(store: Store) -> dict[str, DataFrame]:
 
 
 def delete_cases(store: Store, case_ids: DataFrame) -> None:
-    """Remove cases, their children, and entities that belong to no other case."""
+    """Remove cases, their children, and entities and edges that belong to no other case.
+
+    The tables that say what belongs to whom go last, so a repeat after a failure finds the rest.
+    """
     case_ids = cut_lineage(case_ids.select("case_id").distinct())
+
+    def lonely(bridge: str, key: str) -> DataFrame:
+        rows = store.load(bridge)
+        mine = rows.join(case_ids, "case_id", "left_semi").select(key).distinct()
+        shared = rows.join(case_ids, "case_id", "left_anti").select(key).distinct()
+        return cut_lineage(mine.join(shared, key, "left_anti"))
+
+    if store.exists("case_relationships"):
+        store.delete("relationships", "fingerprint", lonely("case_relationships", "fingerprint"))
     if store.exists("case_entities"):
-        bridge = store.load("case_entities")
-        mine = bridge.join(case_ids, "case_id", "left_semi").select("entity_id").distinct()
-        shared = bridge.join(case_ids, "case_id", "left_anti").select("entity_id").distinct()
-        lonely = cut_lineage(mine.join(shared, "entity_id", "left_anti"))
-        _delete_entities(store, lonely)
-        store.delete("case_entities", "case_id", case_ids)
-    for name in CASE_TABLES:
+        _delete_entities(store, lonely("case_entities", "entity_id"))
+    for name in (*CASE_TABLES, "case_relationships", "case_entities"):
         if store.exists(name):
             store.delete(name, "case_id", case_ids)
 
@@ -157,10 +163,9 @@ def save_graph(store: Store, tables: dict[str, DataFrame]) -> None:
     nodes = tables["entities"].groupBy("entity_id").agg(
         *[F.first(c).alias(c) for c in same if c != "entity_id"],
         F.min_by("value", F.struct("first_seen", "value")).alias("value"),
-        F.max_by("properties", F.struct("last_seen", "value")).alias("properties"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
-    _merge(store, "entities", "entity_id", nodes, _merge_nodes)
+    _merge(store, "entities", "entity_id", _with_properties(nodes, tables["entities"]), _merge_nodes)
     ends = ["tenant_id", "source_type", "source_id", "relationship_type", "target_type", "target_id"]
     edges = tables["relationships"].groupBy("fingerprint").agg(
         *[F.first(c).alias(c) for c in ends],
@@ -179,14 +184,19 @@ def _merge(store: Store, table: str, key: str, fresh: DataFrame, fold) -> None:
     store._write(table, key, fold(stored.select(*fresh.columns).unionByName(fresh)).select(*fresh.columns))
 
 
+def _with_properties(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Properties merged key by key; of two values that of the entity seen last counts."""
+    return nodes.join(graph.merged_column(rows, ["entity_id"], "properties", ["last_seen", "value"]), "entity_id", "left")
+
+
 def _merge_nodes(rows: DataFrame) -> DataFrame:
     same = [c for c in rows.columns if c not in ("entity_id", "value", "properties", "first_seen", "last_seen")]
-    return rows.groupBy("entity_id").agg(
+    nodes = rows.groupBy("entity_id").agg(
         *[F.first(c).alias(c) for c in same],
         F.min_by("value", F.struct("first_seen", "value")).alias("value"),
-        F.max_by("properties", F.struct("last_seen", "value")).alias("properties"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
+    return _with_properties(nodes, rows)
 
 
 def _merge_edges(rows: DataFrame) -> DataFrame:

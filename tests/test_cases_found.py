@@ -111,3 +111,29 @@ def test_times_do_not_depend_on_the_session(spark):
             assert sorted(r["t"] for r in rows.select(ledger.iso_time("timestamp").alias("t")).collect()) == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_deleting_a_case_leaves_nothing_of_it(spark, make_events, tmp_path):
+    from casewright.plans.investigate import investigate
+    from casewright.sources.store import Store, delete_cases, save_cases
+
+    def events(case, user, parent):
+        process = {"name": "a.exe", "pid": 5, "parent_name": parent, "parent_pid": 4}
+        base = {"host": "H", "user": user, "category": "process", "event_type": "process_creation", "process": process}
+        rows = [{"event_id": f"{case}{i}", "timestamp": f"2024-03-01T10:0{i}:00Z", **base} for i in range(2)]
+        return make_events(rows, tenant_id="t", case_id=case)
+
+    store = Store(spark, str(tmp_path / "store"), buckets=4)
+    for case, user, parent in (("A", "ann", "p.exe"), ("B", "bob", "p.exe")):
+        save_cases(store, investigate(events(case, user, parent)))
+    delete_cases(store, spark.createDataFrame([("B",)], "case_id string"))
+    for table in ("cases", "evidence", "case_relationships", "case_entities", "case_links"):
+        assert {r["case_id"] for r in store.load(table).collect()} == {"A"}, table
+    left = {r["fingerprint"] for r in store.load("relationships").collect()}
+    assert left == {r["fingerprint"] for r in store.load("case_relationships").collect()}
+    assert "bob" not in {r["value"] for r in store.load("entities").collect()}
+    process = store.load("entities").filter("value = 'a.exe'").first()
+    assert process["properties"]["parent_pid"] == "4"
+    wanted = spark.createDataFrame([("A",)], "case_id string")
+    plan = store._touched("cases", "case_id", wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
