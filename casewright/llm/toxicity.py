@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from casewright.llm import words as W
-from casewright.llm.common import fresh, text_or_empty
+from casewright.llm.common import fresh, stored, text_or_empty
 
 #: Texts that the classifier is fitted on at most: a bounded sample by hash of the ids.
 POSITIVES, UNLABELLED = 4_000, 8_000
@@ -30,7 +30,7 @@ MOST_FEATURES, DEVIATIONS = 4_096, 5.0
 PREFIXES = tuple(range(4, 11))
 #: Score from which a text counts as toxic.
 THRESHOLD = 0.5
-EPOCHS, RATE, PENALTY = 1000, 0.1, 1e-3
+EPOCHS, RATE, PENALTY = 1000, 0.05, 1e-3
 
 
 @dataclass
@@ -74,36 +74,64 @@ def _counted(keys: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray
     return keys[place], strength, np.searchsorted(text[place], np.arange(texts + 1))
 
 
-def _extract(only: np.ndarray | None = None):
-    """The distinct features of every text, or those of them in ``only``."""
+#: The features of a text: keys and how strongly each stands in it.
+Features = tuple[np.ndarray, np.ndarray]
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, positive texts, other texts) of the texts of a slice."""
+    for batch in batches:
+        positive = np.array(batch.column(0).to_pylist(), bool)
+        for row, texts in W.slices(batch.column(1)):
+            keys, _, begins = _counted(*_features(texts), len(texts))
+            mine = np.repeat(positive[row : row + len(texts)], np.diff(begins))
+            keys, inverse = np.unique(keys, return_inverse=True)
+            in_p = np.bincount(inverse[mine], minlength=len(keys))
+            in_u = np.bincount(inverse[~mine], minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(in_p), pa.array(in_u)], names=["key", "in_p", "in_u"])
+
+
+def _choose(sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """Features whose share in positives is beyond noise above their share in all, and twice as large.
+
+    Counting runs on the executors; ``MOST_FEATURES`` keys at most reach the driver.
+    """
+    total = sample.select("positive", "content").mapInArrow(_counts, "key long, in_p long, in_u long").groupBy("key").agg(
+        F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")
+    )
+    share_p, share_u = F.col("in_p") / n_p, F.col("in_u") / n_u
+    deviation = F.sqrt(F.greatest(share_u, F.lit(1 / n_u)) * (1 / n_p + 1 / n_u))
+    gain = (share_p - share_u) / deviation
+    clear = total.filter((F.col("in_p") >= LEAST_TEXTS) & (gain > DEVIATIONS) & (share_p > 2 * share_u))
+    rows = clear.orderBy(gain.desc(), "key").select("key").limit(MOST_FEATURES).collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+
+def _extract(only: np.ndarray):
+    """The features in ``only`` of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None if only is None else W.Model(only, only)
+        table = W.Model(only, only)
         for batch in batches:
-            for _, texts in W.slices(batch.column(0)):
+            for row, texts in W.slices(batch.column(1)):
                 keys, text = _features(texts)
-                if table is not None:
-                    hit, _ = table.find(keys)
-                    keys, text = keys[hit], text[hit]
-                keys, strength, begins = _counted(keys, text, len(texts))
+                hit, _ = table.find(keys)
+                keys, strength, begins = _counted(keys[hit], text[hit], len(texts))
                 columns = [
                     pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((begins * v.itemsize).astype(np.int32)), pa.py_buffer(v)])
                     for v in (keys, strength.astype(np.float32))
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["keys", "strengths"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), *columns], names=["positive", "keys", "strengths"])
 
     return run
 
 
-#: The features of a text: keys and how strongly each stands in it.
-Features = tuple[np.ndarray, np.ndarray]
-
-
-def _sampled(texts: DataFrame, only: np.ndarray | None = None) -> list[Features]:
-    """Features of a bounded sample's texts; sorted, because rows arrive in any order and sums of floats must not change."""
-    rows = texts.mapInArrow(_extract(only), "keys binary, strengths binary").toArrow().combine_chunks()
-    pairs = [(k.as_py(), v.as_py()) for k, v in zip(rows.column("keys"), rows.column("strengths"), strict=True)]
-    return [(np.frombuffer(k, np.uint64), np.frombuffer(v, np.float32)) for k, v in sorted(pairs)]
+def _gather(sample: DataFrame, only: np.ndarray) -> tuple[list[Features], list[Features]]:
+    """Chosen features of the bounded sample's positives and other texts, sorted: rows arrive in any order, sums of floats must not change."""
+    rows = sample.select("positive", "content").mapInArrow(_extract(only), "positive boolean, keys binary, strengths binary").collect()
+    pairs = sorted((r["positive"], bytes(r["keys"]), bytes(r["strengths"])) for r in rows)
+    texts = [(p, np.frombuffer(k, np.uint64), np.frombuffer(v, np.float32)) for p, k, v in pairs]
+    return [(k, v) for p, k, v in texts if p], [(k, v) for p, k, v in texts if not p]
 
 
 def risk_step(score_p: np.ndarray, score_u: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -123,43 +151,28 @@ def risk_step(score_p: np.ndarray, score_u: np.ndarray, prior: float) -> tuple[f
     return positive, slope_p, -slope_u
 
 
-def fit(positives: list[Features], unlabelled: list[Features], prior: float) -> Classifier:
-    """Weights of the features that stand out in positives, by non-negative risk."""
-    nothing = Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-3) / 2)))
-    if not positives or not unlabelled:
-        return nothing
+def fit(keys: np.ndarray, positives: list[Features], unlabelled: list[Features], prior: float) -> Classifier:
+    """Weights of the sorted features ``keys`` by non-negative risk; without any, the bias alone."""
+    if len(keys) == 0 or not positives or not unlabelled:
+        return Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-3) / 2)))
     both = positives + unlabelled
-    keys, inverse = np.unique(np.concatenate([k for k, _ in both]), return_inverse=True)
+    column = np.searchsorted(keys, np.concatenate([k for k, _ in both]))
     row = np.repeat(np.arange(len(both)), [len(k) for k, _ in both])
     value = np.concatenate([v for _, v in both]).astype(float)
     n_p, n_u = len(positives), len(unlabelled)
-    share_p = np.bincount(inverse[row < n_p], minlength=len(keys)) / n_p
-    share_u = np.bincount(inverse[row >= n_p], minlength=len(keys)) / n_u
-    deviation = np.sqrt(np.maximum(share_u, 1 / n_u) * (1 / n_p + 1 / n_u))
-    # a feature of positives alone is prior times as common in all: beyond noise, by far more often
-    clear = (share_p - share_u > DEVIATIONS * deviation) & (share_p > 2 * share_u)
-    chosen = np.flatnonzero(clear)
-    if len(chosen) == 0:
-        return nothing
-    gain = (share_p - share_u)[chosen] / deviation[chosen]
-    chosen = np.sort(chosen[np.argsort(-gain, kind="stable")[:MOST_FEATURES]])
-    place = np.full(len(keys), -1)
-    place[chosen] = np.arange(len(chosen))
-    used = place[inverse] >= 0
-    column, row, value = place[inverse[used]], row[used], value[used]
-    weights, bias = np.ones(len(chosen)), float(np.log(prior / (1 - prior)))
-    moment, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    weights, bias = np.ones(len(keys)), float(np.log(prior / (1 - prior)))
+    moment, second = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for step in range(1, EPOCHS + 1):
         score = np.bincount(row, weights[column] * value, minlength=n_p + n_u) + bias
         _, d_p, d_u = risk_step(score[:n_p], score[n_p:], prior)
         d = np.concatenate([d_p, d_u])
-        grad = np.bincount(column, d[row] * value, minlength=len(chosen)) + PENALTY / n_p * weights
+        grad = np.bincount(column, d[row] * value, minlength=len(keys)) + PENALTY / n_p * weights
         grad = np.append(grad, d.sum())
         moment = 0.9 * moment + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
         change = RATE * (moment / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
         weights, bias = np.maximum(weights - change[:-1], 0.0), bias - float(change[-1])
-    return Classifier(keys[chosen], weights, bias)
+    return Classifier(keys, weights, bias)
 
 
 def _score(model: Classifier, column: str):
@@ -196,20 +209,22 @@ def train(df: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     known = labels.filter("toxic is not null").filter(~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     if not counts["toxic"]:
-        return fit([], [], 0.0)
+        return fit(np.zeros(0, np.uint64), [], [], 0.0)
     prior = min(max(counts["toxic"] / counts["n"], 1e-3), 0.9)
     documents = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("content"))
     documents = documents.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", 5, 0))
     rows = max(documents.select("doc_id").count(), 1)
     mix = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
     toxic = known.filter("toxic = 1").filter(mix < int(min(1.0, positives / counts["toxic"]) * 1_000_000))
-    confirmed = _sampled(documents.join(toxic.select("doc_id"), "doc_id", "left_semi").select("content"))
-    keys, texts = np.unique(np.concatenate([*(k for k, _ in confirmed), np.zeros(0, np.uint64)]), return_counts=True)
-    common = keys[texts >= LEAST_TEXTS]
-    # only features of positives can be chosen: the others stay on the executors
-    other = _sampled(documents.filter(mix < int(min(1.0, unlabelled / rows) * 1_000_000)).select("content"), common)
-    known = [np.isin(k, common, assume_unique=True) for k, _ in confirmed]
-    return fit([(k[m], v[m]) for (k, v), m in zip(confirmed, known, strict=True)], other, prior)
+    # about ``positives`` ids, whatever the input's size: sent to every task, so no text is shuffled
+    one = documents.join(F.broadcast(toxic.select("doc_id")), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "content")
+    other = documents.filter(mix < int(min(1.0, unlabelled / rows) * 1_000_000)).select(F.lit(False).alias("positive"), "content")
+    sample = stored(one.union(other))
+    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
+    if len(sizes) < 2:
+        return fit(np.zeros(0, np.uint64), [], [], prior)
+    keys = _choose(sample, sizes[True], sizes[False])
+    return fit(keys, *_gather(sample, keys), prior)
 
 
 def score(df: DataFrame, model: Classifier, column: str = "score") -> DataFrame:
