@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import stored, text_or_empty
+from casewright.llm.common import narrowed, stored, text_or_empty
 
 SHINGLE, PERCENT = 5, 80
 BLOCKS, BLOCK_BITS = 4, 16
@@ -120,8 +120,8 @@ def weighted_shared(x: Column, y: Column) -> Column:
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, similarity) of every document and item that it holds.
 
-    ``start`` and ``end`` (exclusive) are word numbers of the best occurrence, the first of equal
-    ones. Two texts match when the weighted Jaccard similarity of their 5-word shingles, a
+    ``start`` and ``end`` (exclusive) are word numbers of the best stretch as the fingerprints lay
+    it, the first of equal ones. Two texts match when the weighted Jaccard similarity of their 5-word shingles, a
     shingle's weight being how often it stands, is at least 0.8. Case and punctuation do not
     count. Null or wordless texts hold nothing and wordless items are in nothing; items with
     one text are reported each; rows with one doc_id are reported as one document; a null doc_id
@@ -149,7 +149,8 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
 
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("content"), word_hashes("text").alias("words"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("content", F.xxhash64(text_or_empty()))
+    base = texts.select("doc_id", "content", word_hashes("text").alias("words"))
     tiles = reduce(lambda a, b: F.concat(a, b), [_prints(F.col("words"), w, w) for w in widths])
     tiled = base.select("doc_id", "content", F.explode(tiles).alias("t")).select("doc_id", "content", "t.width", "t.place", "t.print")
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
@@ -161,8 +162,10 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = stored(places.groupBy("doc_id", "content").agg(F.collect_list(F.struct("item_id", "length", "begin")).alias("places")))
 
     held = held.withColumnsRenamed({"doc_id": "_id", "content": "_content"})
-    texts = base.join(held, base["doc_id"].eqNullSafe(held["_id"]) & (base["content"] == held["_content"]))
-    found = texts.select("doc_id", "words", F.explode("places").alias("p")).select(
+    near_texts = narrowed(texts, held.withColumnRenamed("_content", "content"), "content")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
+    placed = near_texts.select("doc_id", "content", word_hashes("text").alias("words")).join(held, same)
+    found = placed.select("doc_id", "words", F.explode("places").alias("p")).select(
         "doc_id", F.col("p.item_id").alias("item_id"), F.greatest("p.begin", F.lit(0)).alias("start"),
         F.least(F.col("p.begin") + F.col("p.length"), F.size("words")).alias("end"), "words",
     ).filter("start < end")

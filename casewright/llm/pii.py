@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import WORD, stored, text_or_empty
+from casewright.llm.common import WORD, narrowed, stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -141,8 +141,10 @@ def _term_spans(df: DataFrame, terms: DataFrame) -> DataFrame:
     holding = _only(_corpus_words(df), terms.select("word")).join(terms, "word").groupBy("doc_id", "content").agg(
         F.sort_array(F.collect_set(F.struct("word", "disclosure"))).alias("held")  # at most the text's own words
     )
-    holding = stored(holding).withColumnsRenamed({"doc_id": "_id", "content": "_content"})
+    holding = stored(holding)
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("content", F.xxhash64("text"))
+    rows = narrowed(rows, holding, "content")
+    holding = holding.withColumnsRenamed({"doc_id": "_id", "content": "_content"})
     rows = rows.join(holding, rows["doc_id"].eqNullSafe(holding["_id"]) & (rows["content"] == holding["_content"]))
     rows = rows.select("doc_id", "content", F.split("text", WORD, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("tokens"), "held")
     span = "array<struct<start:int,rank:int,end:int,disclosure:double>>"
