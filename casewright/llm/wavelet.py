@@ -26,8 +26,10 @@ END = 1
 #: A shard is closed by the first document that reaches so many ids; documents are never cut.
 SHARD_TOKENS = 1 << 22
 BLOCK = 512
-#: White-space separated chunks whose ids a Python worker remembers.
-REMEMBERED = 150_000
+#: Chunks, and pieces of chunks, whose ids a Python worker remembers: so many new ones and as many older.
+REMEMBERED = 130_000
+#: Longer ones are not remembered.
+LONGEST = 64
 
 SHARDS = "shard long, doc_ids array<bigint>, ends array<bigint>, n_tokens long, bits int, zeros array<bigint>, planes binary, ranks binary"
 DOCS = "shard long, place int, doc_id long, begin long, n_tokens long, ids_crc32 long"
@@ -145,7 +147,44 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class Encoder(dict):
+class Memory(dict):
+    """A dictionary of bounded size that drops what was not asked for longest.
+
+    When it is full its entries become the older ones, and the older ones before them go;
+    an older entry that is asked for counts as new again.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Pieces(Memory):
+    """Ids of one piece by the library's model."""
+
+    def __init__(self, model, mapped: dict[int, str], dtype: str):
+        super().__init__()
+        self.model, self.mapped, self.dtype = model, mapped, dtype
+
+    def make(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(piece.translate(self.mapped))], self.dtype).tobytes()
+
+
+class Encoder(Memory):
     """Ids of a white-space separated chunk as bytes, remembered.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are those
@@ -160,36 +199,21 @@ class Encoder(dict):
         self.tokenizer = _tokenizer(path)
         self.bits = max(1, (self.tokenizer.get_vocab_size(with_added_tokens=True) - 1).bit_length())
         self.dtype = "<u2" if self.bits <= 16 else "<u4"
-        self.model, self.pieces = self.tokenizer.model, {}
         latin = "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
         plain = "".join(chr(c) for c in range(0x21, 0x7F)) + latin
         before, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.lower = {ord(c): before.normalize_str(c) for c in plain}
         self.mapped = {ord(c): split.pre_tokenize_str(c)[0][0] for c in plain if self.lower[ord(c)] == c}
         letters = f"a-z{latin[latin.index('ß'):]}"
+        self.pieces = Pieces(self.tokenizer.model, self.mapped, self.dtype)
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+").findall
         self.plain = re.compile(f"[{re.escape(plain)}]+").fullmatch
 
-    def piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            tokens = self.model.tokenize(piece.translate(self.mapped))
-            ids = self.pieces[piece] = np.array([t.id for t in tokens], self.dtype).tobytes()
-        return ids
-
-    def __missing__(self, chunk: bytes) -> bytes:
+    def make(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         if self.plain(text) and "<|" not in text:
-            ids = b"".join([self.piece(p) for p in self.split(text.translate(self.lower))])
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
+            return b"".join(map(self.pieces.__getitem__, self.split(text.translate(self.lower))))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
