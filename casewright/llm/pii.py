@@ -62,9 +62,13 @@ def _word(token: Column) -> Column:
 
 
 def _context(left: Column, right: Column) -> Column:
-    """Words of the last characters of ``left`` and the first of ``right``; a word that is cut goes."""
-    before = F.regexp_replace(F.when(F.length(left) > CONTEXT, F.right(left, F.lit(CONTEXT))).otherwise(F.concat(F.lit(" "), left)), r"^[^\x20\x09-\x0D]+", "")
-    after = F.regexp_replace(F.when(F.length(right) > CONTEXT, F.left(right, F.lit(CONTEXT))).otherwise(F.concat(right, F.lit(" "))), r"[^\x20\x09-\x0D]+$", "")
+    """Words of the last characters of ``left`` and the first of ``right``.
+
+    A word that is cut, by the limit or by the value itself, is not a word of the text and goes.
+    """
+    cut = r"^[^\x20\x09-\x0D]+|[^\x20\x09-\x0D]+$"
+    before = F.regexp_replace(F.when(F.length(left) > CONTEXT, F.right(left, F.lit(CONTEXT))).otherwise(F.concat(F.lit(" "), left)), cut, "")
+    after = F.regexp_replace(F.when(F.length(right) > CONTEXT, F.left(right, F.lit(CONTEXT))).otherwise(F.concat(right, F.lit(" "))), cut, "")
     words = F.transform(F.regexp_extract_all(F.concat(before, F.lit(" "), after), F.lit(WORD), F.lit(0)), _word)
     return F.filter(words, lambda w: w.rlike(TERM_SHAPE))
 
@@ -118,6 +122,9 @@ def disclosing_terms(df: DataFrame, base: DataFrame) -> DataFrame:
     With documents as events, PMI = log2(N * n(value, word) / (n(value) * n(word))) and the
     value's information content is log2(N / n(value)); the disclosure is their quotient. A value
     in all documents holds no information, so nothing discloses it.
+
+    A word stands in at least as many documents as it stands beside values in; where that number alone
+    keeps it below the threshold, it is not counted in the corpus. Common words end there.
     """
     marked = base.filter(F.size("spans") > 0)
     pairs = F.array_distinct(
@@ -125,13 +132,20 @@ def disclosing_terms(df: DataFrame, base: DataFrame) -> DataFrame:
     )
     beside = marked.select("content", F.explode(pairs).alias("p")).groupBy("p.value", "p.word", "content").agg(F.count("*").alias("n"))
     joint = beside.groupBy("value", "word").agg(F.sum("n").alias("joint"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
-    joint = stored(joint)
-    values = marked.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    values = values.groupBy("value").agg(F.count("*").alias("n_value"))
-    words = _only(_corpus_words(df), joint.select("word").distinct()).groupBy("word").agg(F.count("*").alias("n_word"))
     rows = base.count()
-    ratio = F.log2(rows * F.col("joint") / (F.col("n_value") * F.col("n_word"))) / F.log2(rows / F.col("n_value"))
-    known = joint.join(values, "value").join(words, "word").filter(F.col("n_value") < rows)
+    values = marked.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
+    values = values.groupBy("value").agg(F.count("*").alias("n_value")).filter(F.col("n_value") < rows)
+    near = marked.select(F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["words"])))).alias("word"))
+    near = near.groupBy("word").agg(F.count("*").alias("n_near"))
+
+    def disclosure(n_word: Column) -> Column:
+        return F.log2(rows * F.col("joint") / (F.col("n_value") * n_word)) / F.log2(rows / F.col("n_value"))
+
+    # rounding must not decide here: what is just below is counted as well
+    able = stored(joint.join(values, "value").join(near, "word").filter(disclosure(F.col("n_near")) >= DISCLOSES - 1e-9))
+    words = _only(_corpus_words(df), able.select("word").distinct()).groupBy("word").agg(F.count("*").alias("n_word"))
+    ratio = disclosure(F.col("n_word"))
+    known = able.join(words, "word")
     scored = known.select("word", F.least(ratio, F.lit(1.0)).alias("disclosure")).filter(F.col("disclosure") >= DISCLOSES)
     return stored(scored.groupBy("word").agg(F.max("disclosure").alias("disclosure")))
 
