@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -179,9 +181,11 @@ class Pieces(Memory):
     def __init__(self, model, mapped: dict[int, str], dtype: str):
         super().__init__()
         self.model, self.mapped, self.dtype = model, mapped, dtype
+        self.code = "H" if dtype == "<u2" else "I"
 
     def make(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece.translate(self.mapped))], self.dtype).tobytes()
+        ids = array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.mapped))])
+        return ids.tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
 
 
 class Encoder(Memory):
@@ -210,6 +214,8 @@ class Encoder(Memory):
         self.plain = re.compile(f"[{re.escape(plain)}]+").fullmatch
 
     def make(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # ASCII letters alone are one piece
+            return self.pieces[chunk.lower().decode()]
         text = chunk.decode()
         if self.plain(text) and "<|" not in text:
             return b"".join(map(self.pieces.__getitem__, self.split(text.translate(self.lower))))
