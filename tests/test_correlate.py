@@ -180,7 +180,7 @@ def test_seeds_both_directions(make_events, spark):
         {"event_id": "D", "timestamp": at(900), "host": "h", "process": {"pid": 1}},
     ]
     seeds = spark.createDataFrame([("B",)], "event_id string")
-    found = correlate.correlate_seeds(make_events(rows), seeds).orderBy("rank").collect()
+    found = correlate.correlate_seeds(make_events(rows), seeds, per_seed=10).orderBy("rank").collect()
     assert [(r.related_event_id, r.time_delta_seconds) for r in found] == [("A", 100.0), ("C", 200.0)]
 
 
