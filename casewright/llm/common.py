@@ -52,6 +52,16 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def file_order() -> Column:
+    """The place of a row in a Parquet table as it was written: part, file of the part, row of the file.
+
+    A scan takes files by size, so the order in which it returns rows is not this one.
+    """
+    name = F.col("_metadata.file_name")
+    part, split = (F.regexp_extract(name, p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    return F.struct(part.alias("part"), split.alias("split"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+
+
 #: Hash classes that ``narrowed`` tells apart: the most rows it sends to every task.
 MARKS = 1 << 18
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm import decontam, mixing, neardup, toxicity, wavelet
-from casewright.llm.common import fresh, numbered, read, shared_folder, stored
+from casewright.llm.common import file_order, fresh, numbered, read, shared_folder, stored
 from casewright.llm.queries import vocabulary
 
 
@@ -57,10 +57,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Wavelet shards in the order of the rows; every document as it is read back from them."""
+    """Wavelet shards in the order in which ``docs`` was written; every document as it is read back from them."""
     row = fresh(docs, "row_number")
     path = shared_folder(spark)
-    wavelet.write(numbered(docs, row), path, vocabulary(), order=row)
+    wavelet.write(docs.withColumn(row, file_order()), path, vocabulary(), order=row)
     return wavelet.documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

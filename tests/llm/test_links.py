@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from casewright.llm import components, decontam, mixing, neardup
-from casewright.llm.common import read, stored
+from casewright.llm.common import numbered, read, stored
 from tests.llm.conftest import prose
 
 
@@ -273,3 +273,22 @@ def test_pipeline_stages_on_odd_rows(spark, documents, edges):
             if name != "tokens":
                 assert out.schema == docs.schema
             docs = out
+
+
+def test_tokens_follow_the_training_order_over_files_of_unequal_size(spark, documents):
+    # later parts are larger, and a scan takes large files first
+    rows = [(1000 - i, prose(i, 3 + i * i // 4), None, "abc"[i % 3]) for i in range(90)]
+    placed = documents(rows).withColumn("_position", F.lit(1000) - F.col("doc_id"))
+    docs = stored(placed.repartitionByRange(6, "_position").sortWithinPartitions("_position").drop("_position"))
+    out = corpus_pipeline.write_tokens(spark, docs, None).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [d for d, *_ in rows]
+
+
+def test_tokens_start_by_the_positions_of_the_mix(spark, documents):
+    docs = stored(documents([(i, prose(i, 5 + i * 7 % 300), None, "abcd"[i % 4]) for i in range(200)]).repartition(5))
+    rows = numbered(docs, "n")
+    mixed = mixing.mix(rows.select(F.col("n").alias("doc_id"), "source", "text")).select(F.col("doc_id").alias("n"), "size", F.explode("passes").alias("p"))
+    places = mixed.filter("2 * p.taken >= size").join(rows.select("n", "doc_id"), "n").orderBy("p.position", "n").collect()
+    mixed = stored(corpus_pipeline.mix_sources(spark, docs, None))
+    tokens = corpus_pipeline.write_tokens(spark, mixed, None).orderBy("start").collect()
+    assert [r["doc_id"] for r in tokens] == [r["doc_id"] for r in places]
