@@ -47,9 +47,14 @@ def fresh(df: DataFrame, name: str) -> str:
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number for each row, unique and equal in every evaluation.
 
-    For tables read from files only, where a partition always holds the same rows in one order.
+    For Parquet tables as they are read. The number is that of the file and the row's place in it, so it
+    does not depend on how a scan packs files into partitions, which changes with the cores of a cluster.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    path = fresh(df, "_path")
+    paths = df.select(F.col("_metadata.file_path").alias(path)).distinct()
+    files = stored(paths.select(path, F.row_number().over(Window.orderBy(path)).cast("long").alias("_file")))
+    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
+    return placed.join(F.broadcast(files), path).withColumn(name, F.col("_file") * (1 << 40) + F.col(name)).select(*df.columns, name)
 
 
 def file_order() -> Column:

@@ -292,3 +292,16 @@ def test_tokens_start_by_the_positions_of_the_mix(spark, documents):
     mixed = stored(corpus_pipeline.mix_sources(spark, docs, None))
     tokens = corpus_pipeline.write_tokens(spark, mixed, None).orderBy("start").collect()
     assert [r["doc_id"] for r in tokens] == [r["doc_id"] for r in places]
+
+
+def test_row_numbers_do_not_depend_on_the_packing_of_files(spark, documents):
+    docs = stored(documents([(i, prose(i, 5 + i * 7 % 300)) for i in range(200)]).repartition(5))
+    rows, setting, seen = numbered(docs, "n"), "spark.sql.files.maxPartitionBytes", []
+    before = spark.conf.get(setting)
+    try:
+        for most in ("2k", "1g"):
+            spark.conf.set(setting, most)
+            seen.append({r["doc_id"]: r["n"] for r in rows.select("doc_id", "n").collect()})
+    finally:
+        spark.conf.set(setting, before)
+    assert seen[0] == seen[1] and len(set(seen[0].values())) == 200
