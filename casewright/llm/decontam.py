@@ -4,8 +4,8 @@ Every benchmark item has windows of a length that follows its own: the largest p
 of which a whole tile lies in every occurrence that is similar enough. Documents are cut into
 tiles of those lengths. Windows and tiles have 64-bit SimHash fingerprints; four 16-bit blocks
 of them are looked up, which finds every pair within three bits, since three changed bits leave
-one block alone. A hit says where the item would lie in the document, and the multiset of
-5-word shingles of just that item-sized stretch is compared with the item's.
+one block alone. Around a hit, every item-sized stretch that covers the tile is compared with the
+item by the multiset of its 5-word shingles, so blocks of the item may stand in any order.
 """
 
 from __future__ import annotations
@@ -33,25 +33,50 @@ def word_hashes(text: str) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def clean_run(length: int) -> int:
-    """Words in a row that every occurrence of an item of ``length`` words leaves unchanged.
+def _bad(shingles: int) -> int:
+    """Shingles of a stretch that similarity 0.8 lets be none of the item's: one in nine."""
+    return shingles * (100 - PERCENT) // (100 + PERCENT)
 
-    Similarity 0.8 allows one changed shingle in nine. A change costs one shingle for each word
-    at an end and five elsewhere, so ``e`` changes inside leave ``e + 1`` runs.
+
+def clean_run(length: int, breaks: int | None = None) -> int:
+    """Words in a row that every occurrence of an item of ``length`` words has in common with it.
+
+    Of its shingles at least eight in ten stand in the stretch, in ``breaks + 1`` runs at most: a change or
+    the seam of two moved blocks costs at least four shingles where the item repeats no word.
     """
     shingles = max(length - SHINGLE + 1, 1)
-    lost = shingles * (100 - PERCENT) // (100 + PERCENT)
-    return min((length - e - (lost - SHINGLE * e)) // (e + 1) for e in range(lost // SHINGLE + 1))
+    parts = (_bad(shingles) // (SHINGLE - 1) if breaks is None else breaks) + 1
+    return -(--(-shingles * PERCENT // 100) // parts) + min(length, SHINGLE) - 1
 
 
-def window(length: int) -> int:
+def window(length: int, breaks: int | None = None) -> int:
     """The largest power of two ``w`` for which any run of ``clean_run`` words holds a whole tile."""
     w = 1
-    while 2 * w <= WIDEST and 4 * w - 1 <= clean_run(length):
+    while 2 * w <= WIDEST and 4 * w - 1 <= clean_run(length, breaks):
         w *= 2
     return w
 
 
+def _repeated(runs: Column) -> Column:
+    """How many of sorted values are not alone."""
+    return F.size(F.filter(runs, lambda v, i: F.coalesce(v == F.get(runs, i - 1), F.lit(False)) | F.coalesce(v == F.get(runs, i + 1), F.lit(False))))
+
+
+def _breaks(shingles: Column, repeated: list[Column]) -> Column:
+    """How many seams an occurrence of an item can have.
+
+    Where the item repeats a run of ``r`` words a seam costs ``4 - r`` shingles that are not the item's, and
+    no more seams cost so little than there are places of such runs: ``repeated`` is their number for r = 4, 3, 2, 1.
+    The cheapest are taken first.
+    """
+    left = F.floor(F.size(shingles) * (100 - PERCENT) / (100 + PERCENT)).cast("int")
+    total, before = F.lit(0), F.lit(0)
+    for cost, places in enumerate(repeated):
+        taken = F.least(places - before, F.floor(left / cost).cast("int")) if cost else places
+        total, left, before = total + taken, left - taken * cost, places
+    return F.least(total + F.floor(left / (SHINGLE - 1)).cast("int"), F.size(shingles))
+
+
 def simhash(hashes: Column, width: int) -> Column:
     """Bitwise majority of ``width`` hashes (ties give 0), counted for all 64 bits at once.
 
@@ -101,50 +126,73 @@ def _by_block(rows: DataFrame, columns: list[str]) -> DataFrame:
     return spread.select(*columns, "print", (value + F.col("_b") * (1 << BLOCK_BITS)).cast("int").alias("block"))
 
 
-def _shingles(hashes: Column) -> Column:
-    """Hashes of all runs of five words, repeats included; fewer words are one run."""
+def _runs(hashes: Column, size: Column | int) -> Column:
+    """Hashes of all runs of ``size`` words, repeats included."""
     n = F.size(hashes)
-    runs = F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), lambda i: F.xxhash64(F.slice(hashes, i, SHINGLE)))
-    return F.when(n >= SHINGLE, runs).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<bigint>"))
+    runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size)))
+    return F.when(n >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def weighted_shared(x: Column, y: Column) -> Column:
-    """Size of the intersection of two multisets."""
+def _stretches(known: DataFrame) -> DataFrame:
+    """Add ``found``: (start, end, shared, own) of the item-sized stretches that begin from ``first`` to ``last``.
 
-    def of(values: Column, value: Column) -> Column:
-        return F.size(F.filter(values, lambda v: v == value))
+    ``part`` holds the words that they cover, ``size`` is the document's length. A shingle at a place counts
+    in all stretches that hold it and hold fewer of its kind before it than the item has.
+    """
+    run, base = F.least("length", F.lit(SHINGLE)), F.greatest("first", F.lit(0))
+    rows = known.withColumn("own", _runs(F.col("part"), F.least("length", F.lit(SHINGLE))))
+    numbered = F.transform("own", lambda h, i: F.struct(h.alias("h"), (i + F.col("base")).alias("at")))
+    rows = rows.withColumn("base", base).withColumn("good", F.filter(numbered, lambda g: F.array_contains("shingles", g["h"])))
+    rows = rows.drop("own", "part").filter(100 * F.size("good") >= PERCENT * F.size("shingles"))
+
+    def back(g: Column) -> Column:
+        same = F.filter("good", lambda y: (y["h"] == g["h"]) & (y["at"] < g["at"]))
+        most = F.size(F.filter("shingles", lambda s: s == g["h"]))
+        return F.coalesce(F.get(same, F.size(same) - most)["at"], F.lit(-1))
+
+    single = F.size(F.array_distinct(F.transform("good", lambda g: g["h"]))) == F.size("good")
+    marks = F.when(single, F.transform("good", lambda g: F.struct(g["at"].alias("at"), F.lit(-1).alias("back")))).otherwise(
+        F.transform("good", lambda g: F.struct(g["at"].alias("at"), back(g).alias("back")))
+    )
+    rows = rows.withColumn("marks", marks).drop("good")
 
-    return F.aggregate(F.array_distinct(x), F.lit(0), lambda total, g: total + F.least(of(x, g), of(y, g)))
+    def stretch(first: Column) -> Column:
+        start, end = F.greatest(first, F.lit(0)), F.least(first + F.col("length"), F.col("size"))
+        held = F.filter("marks", lambda m: (m["at"] >= start) & (m["at"] <= end - run) & (m["back"] < start))
+        return F.struct(start.alias("start"), end.alias("end"), F.size(held).alias("shared"), (end - run - start + 1).alias("own"))
+
+    return rows.withColumn("found", F.transform(F.sequence("first", "last"), stretch)).drop("marks")
 
 
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, similarity) of every document and item that it holds.
 
-    ``start`` and ``end`` (exclusive) are word numbers of the best stretch as the fingerprints lay
-    it, the first of equal ones. Two texts match when the weighted Jaccard similarity of their 5-word shingles, a
+    ``start`` and ``end`` (exclusive) are word numbers of the best stretch as long as the item (shorter only
+    at an end of the document), the first of equal ones. Two texts match when the weighted Jaccard similarity of their 5-word shingles, a
     shingle's weight being how often it stands, is at least 0.8. Case and punctuation do not
     count. Null or wordless texts hold nothing and wordless items are in nothing; items with
     one text are reported each; rows with one doc_id are reported as one document; a null doc_id
     is a document of its own. Empty tables give an empty result; other columns are not read.
     """
-    items = stored(
-        benchmark.select("item_id", word_hashes("text").alias("words")).filter(F.size("words") > 0)
-        .withColumn("length", F.size("words")).withColumn("shingles", _shingles(F.col("words")))
-    )
-    lengths = sorted(r["length"] for r in items.select("length").distinct().collect())
-    widths = sorted({window(n) for n in lengths})  # powers of two: seven at most
+    repeats = [f"_run{r}" for r in range(SHINGLE - 1, 0, -1)]
+    items = benchmark.select("item_id", word_hashes("text").alias("words")).filter(F.size("words") > 0).withColumn("length", F.size("words"))
+    items = items.withColumn("shingles", _runs(F.col("words"), F.least("length", F.lit(SHINGLE))))
+    items = items.withColumns({name: F.sort_array(_runs(F.col("words"), int(name[-1]))) for name in repeats})
+    items = items.withColumns({name: _repeated(F.col(name)) for name in repeats})
+    items = stored(items.withColumn("breaks", _breaks(F.col("shingles"), [F.col(name) for name in repeats])).drop(*repeats))
+    kinds = [(r["length"], r["breaks"]) for r in items.select("length", "breaks").distinct().collect()]
+    widths = sorted({window(*k) for k in kinds})  # powers of two: seven at most
     if not widths:
         empty = "doc_id long, item_id long, start int, end int, similarity double"
         return documents.sparkSession.createDataFrame([], empty)
-    of_length = F.create_map(*[F.lit(v) for n in lengths for v in (n, window(n))])
+    of_kind = F.create_map(*[F.lit(v) for n, breaks in kinds for v in ((n << 32) + breaks, window(n, breaks))])
+    kind = F.shiftleft(F.col("length").cast("long"), 32) + F.col("breaks")
     index = None
     for width in widths:
-        own = items.filter(F.element_at(of_length, F.col("length")) == width)
-        rows = own.select("item_id", "length", F.explode(_prints(F.col("words"), width, 1)).alias("w")).select(
-            "item_id", "length", "w.width", F.col("w.place").alias("offset"), "w.print"
-        )
+        own = items.filter(F.element_at(of_kind, kind) == width)
+        rows = own.select("item_id", "length", F.explode(_prints(F.col("words"), width, 1)).alias("w")).select("item_id", "length", "w.width", "w.print")
         index = rows if index is None else index.union(rows)
-    index = stored(_by_block(index, ["item_id", "length", "width", "offset"]))
+    index = stored(_by_block(index.distinct(), ["item_id", "length", "width"]))
     index = index.withColumnRenamed("print", "item_print")
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
@@ -156,25 +204,33 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
     probes = _by_block(tiled, ["doc_id", "content", "width", "place"]).withColumnsRenamed({"width": "_width", "block": "_block"})
     hits = probes.join(index, (F.col("_width") == F.col("width")) & (F.col("_block") == F.col("block")) & near)
-    begin = (F.col("place") - F.col("offset")).alias("begin")
-    places = hits.select("doc_id", "content", "item_id", "length", begin).distinct()
+    hit_tiles = hits.groupBy("doc_id", "content", "item_id", "length", "width").agg(F.sort_array(F.collect_set("place")).alias("at"))
+    # the starts of all stretches that cover a tile, but of none that the tile before has had
+    starts = F.transform(
+        "at",
+        lambda p, i: F.struct(
+            "item_id", "length", F.greatest(p + F.col("width") - F.col("length"), F.get("at", i - 1) + 1).alias("first"), p.alias("last")
+        ),
+    )
     # one row per document with hits; their number is bounded by the document's own tiles
-    held = stored(places.groupBy("doc_id", "content").agg(F.collect_list(F.struct("item_id", "length", "begin")).alias("places")))
+    held = stored(hit_tiles.select("doc_id", "content", starts.alias("places")).groupBy("doc_id", "content").agg(F.flatten(F.collect_list("places")).alias("places")))
 
     held = held.withColumnsRenamed({"doc_id": "_id", "content": "_content"})
     near_texts = narrowed(texts, held.withColumnRenamed("_content", "content"), "content")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
     placed = near_texts.select("doc_id", "content", word_hashes("text").alias("words")).join(held, same)
-    found = placed.select("doc_id", "words", F.explode("places").alias("p")).select(
-        "doc_id", F.col("p.item_id").alias("item_id"), F.greatest("p.begin", F.lit(0)).alias("start"),
-        F.least(F.col("p.begin") + F.col("p.length"), F.size("words")).alias("end"), "words",
-    ).filter("start < end")
-    stretch = found.select("doc_id", "item_id", "start", "end", F.slice("words", F.col("start") + 1, F.col("end") - F.col("start")).alias("part"))
-    known = items.select(F.col("item_id").alias("_item"), "shingles")
-    compared = stretch.withColumn("own", _shingles(F.col("part"))).join(known, F.col("item_id").eqNullSafe(F.col("_item")))
-    compared = compared.withColumn("shared", weighted_shared(F.col("shingles"), F.col("own")))
-    total = F.size("shingles") + F.size("own") - F.col("shared")
-    similar = compared.filter(100 * F.col("shared") >= PERCENT * total).withColumn("similarity", F.col("shared") / total)
+
+    def around(p: Column) -> Column:
+        begin = F.greatest(p["first"], F.lit(0))
+        part = F.slice("words", begin + 1, F.least(F.size("words"), p["last"] + p["length"]) - begin)
+        return F.struct(p["item_id"].alias("item_id"), p["length"].alias("length"), p["first"].alias("first"), p["last"].alias("last"), part.alias("part"))
+
+    near_hits = placed.select("doc_id", F.size("words").alias("size"), F.explode(F.transform("places", around)).alias("p")).select("doc_id", "size", "p.*")
+    known = items.select(F.col("item_id").alias("_item"), F.col("length").alias("_length"), "shingles")
+    known = near_hits.join(known, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("length") == F.col("_length")))
+    compared = _stretches(known).select("doc_id", "item_id", F.size("shingles").alias("n"), F.explode("found").alias("f")).select("doc_id", "item_id", "n", "f.*")
+    total = F.col("n") + F.col("own") - F.col("shared")
+    similar = compared.filter("own > 0").filter(100 * F.col("shared") >= PERCENT * total).withColumn("similarity", F.col("shared") / total)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("_first"), F.col("end"))).alias("best")
     return similar.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", (-F.col("best._first")).alias("start"), F.col("best.end").alias("end"), F.col("best.similarity").alias("similarity")

@@ -305,3 +305,27 @@ def test_row_numbers_do_not_depend_on_the_packing_of_files(spark, documents):
     finally:
         spark.conf.set(setting, before)
     assert seen[0] == seen[1] and len(set(seen[0].values())) == 200
+
+
+def test_decontamination_of_moved_blocks(spark, documents):
+    pick, items, docs = random.Random(11), [], []
+    for i, n in enumerate([40, 41, 45, 59, 64, 76, 80, 130, 14, 50, 60]):
+        words = [f"w{i}x{k}" for k in range(n)] if i < 9 else prose(70 + i, n).split()
+        if i == 9:  # blocks between equal runs of four words move at no cost
+            words[10:14] = words[22:26] = words[34:38] = words[0:4]
+        items.append((i, " ".join(words)))
+        for at in range(17):
+            cut = n // 2 + pick.randrange(-4, 5)
+            own = [*words[cut:], *words[:cut]]
+            if i == 9:
+                own = [*words[:4], *words[14:22], *words[:4], *words[4:10], *words[:4], *words[26:]]
+            if i % 3 == 2:  # a move inside
+                own = [*words[: n // 3], *words[2 * n // 3 :], *words[n // 3 : 2 * n // 3]]
+            around = prose(300 + 20 * i + at, 40).split()
+            docs.append((100 * i + at, " ".join([*around[:at], *own, *around[at:]])))
+        docs.append((100 * i + 50, " ".join(words[: n - n // 5])))  # the document ends inside the item
+        docs.append((100 * i + 51, " ".join([*words[n // 2 :], *words[: n // 2 - 1]])))
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.find(documents(docs), frame).collect()}
+    want = brute_hits(docs, items)
+    assert len(want) > 100 and got == pytest.approx(want)
