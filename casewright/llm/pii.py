@@ -9,6 +9,8 @@ determine the value.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,12 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _IP = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
-#: Characters around a value in which its terms stand, and characters trimmed from a word's ends.
-CONTEXT = 80
+#: Characters trimmed from a word's ends.
 EDGES = ".,;:!?\"'()[]{}#*$%&|<>"
-#: A term is all letters, at least so many.
-TERM_SHAPE = r"^\p{L}{4,}$"
+#: A term has a letter somewhere; numbers are left to the patterns.
+TERM_SHAPE = r"\p{L}"
+#: Stands for a value where the words of the rest of its text are read.
+MASK = "\x00"
 #: Share of a value's information content from which a term discloses it, and from which it goes.
 DISCLOSES, REMOVED = 0.9, 0.999
 #: Different texts in which a term must stand beside a value; copies of one text prove nothing.
@@ -61,21 +64,9 @@ def _word(token: Column) -> Column:
     return F.btrim(F.lower(token), F.lit(EDGES))
 
 
-def _context(left: Column, right: Column) -> Column:
-    """Words of the last characters of ``left`` and the first of ``right``.
-
-    A word that is cut, by the limit or by the value itself, is not a word of the text and goes.
-    """
-    cut = r"^[^\x20\x09-\x0D]+|[^\x20\x09-\x0D]+$"
-    before = F.regexp_replace(F.when(F.length(left) > CONTEXT, F.right(left, F.lit(CONTEXT))).otherwise(F.concat(F.lit(" "), left)), cut, "")
-    after = F.regexp_replace(F.when(F.length(right) > CONTEXT, F.left(right, F.lit(CONTEXT))).otherwise(F.concat(right, F.lit(" "))), cut, "")
-    words = F.transform(F.regexp_extract_all(F.concat(before, F.lit(" "), after), F.lit(WORD), F.lit(0)), _word)
-    return F.filter(words, lambda w: w.rlike(TERM_SHAPE))
-
-
 def _spans(kind: str, pieces: Column, matches: Column) -> Column:
-    """(start, rank, end, value, words) of the valid matches; ``pieces`` are the texts between them."""
-    span = "array<struct<start:int,rank:int,end:int,value:bigint,words:array<string>>>"
+    """(start, rank, end, value) of the valid matches; ``pieces`` are the texts between them."""
+    span = "array<struct<start:int,rank:int,end:int,value:bigint>>"
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
 
     def step(state: Column, i: Column) -> Column:
@@ -84,7 +75,6 @@ def _spans(kind: str, pieces: Column, matches: Column) -> Column:
         end = start + F.length(match)
         one = F.struct(
             start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), _value(kind, match).alias("value"),
-            _context(piece, F.get(pieces, i + 1)).alias("words"),
         )
         spans = F.when(_valid(kind, match), F.concat(state["spans"], F.array(one))).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
@@ -94,7 +84,10 @@ def _spans(kind: str, pieces: Column, matches: Column) -> Column:
 
 
 def base_spans(df: DataFrame) -> DataFrame:
-    """doc_id, content (a hash of the text) and ``spans`` of the four kinds, by start and kind, of every row."""
+    """doc_id, content (a hash of the text) and ``spans`` of the four kinds, by start and kind, of every row.
+
+    ``words`` are the distinct words with a letter of a text with spans, but for those that a span touches.
+    """
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     for kind in KINDS:
         rows = rows.withColumn(f"_{kind}", F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0)))
@@ -102,7 +95,11 @@ def base_spans(df: DataFrame) -> DataFrame:
         pieces = F.when(F.size(f"_{kind}") > 0, F.split("text", PATTERNS[kind], -1)).otherwise(F.array().cast("array<string>"))
         rows = rows.withColumn(f"_{kind}_pieces", pieces)
     found = F.concat(*[_spans(kind, F.col(f"_{kind}_pieces"), F.col(f"_{kind}")) for kind in KINDS])
-    return rows.select("doc_id", F.xxhash64("text").alias("content"), F.array_sort(found).alias("spans"))
+    rows = rows.select("doc_id", "text", F.array_sort(found).alias("spans"))
+    rest = F.split(_replaced(F.col("text"), F.col("spans"), lambda s: F.lit(MASK)), r"[\x20\x09-\x0D]+")
+    words = F.array_distinct(F.transform(F.filter(rest, lambda t: ~F.contains(t, F.lit(MASK))), _word))
+    words = F.when(F.size("spans") > 0, F.filter(words, lambda w: w.rlike(TERM_SHAPE))).otherwise(F.array().cast("array<string>"))
+    return rows.select("doc_id", F.xxhash64("text").alias("content"), "spans", words.alias("words"))
 
 
 def _corpus_words(df: DataFrame) -> DataFrame:
@@ -123,26 +120,32 @@ def disclosing_terms(df: DataFrame, base: DataFrame) -> DataFrame:
     value's information content is log2(N / n(value)); the disclosure is their quotient. A value
     in all documents holds no information, so nothing discloses it.
 
-    A word stands in at least as many documents as it stands beside values in; where that number alone
-    keeps it below the threshold, it is not counted in the corpus. Common words end there.
+    A word stands beside a value when it is anywhere in a text with the value and no part of a value itself.
+    Before pairs are made, values in fewer than ``SUPPORT`` different texts go, and so do words that by their
+    number beside values alone stay below the threshold: a value is with a word in its own documents at most.
     """
-    marked = base.filter(F.size("spans") > 0)
-    pairs = F.array_distinct(
-        F.flatten(F.transform("spans", lambda s: F.transform(s["words"], lambda w: F.struct(s["value"].alias("value"), w.alias("word")))))
-    )
-    beside = marked.select("content", F.explode(pairs).alias("p")).groupBy("p.value", "p.word", "content").agg(F.count("*").alias("n"))
-    joint = beside.groupBy("value", "word").agg(F.sum("n").alias("joint"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
     rows = base.count()
-    values = marked.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    values = values.groupBy("value").agg(F.count("*").alias("n_value")).filter(F.col("n_value") < rows)
-    near = marked.select(F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda s: s["words"])))).alias("word"))
-    near = near.groupBy("word").agg(F.count("*").alias("n_near"))
+    marked = base.filter(F.size("spans") > 0).select("doc_id", "content", F.array_distinct(F.transform("spans", lambda s: s["value"])).alias("values"), "words")
+    held = marked.select("content", F.explode("values").alias("value")).groupBy("value", "content").agg(F.count("*").alias("n"))
+    values = held.groupBy("value").agg(F.sum("n").alias("n_value"), F.count("*").alias("texts"))
+    values = stored(values.filter((F.col("texts") >= SUPPORT) & (F.col("n_value") < rows)).select("value", "n_value"))
+    holding = held.join(values, "value").select("content").distinct()
+    marked = marked.join(holding, "content", "left_semi")
+    near = marked.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= SUPPORT)
 
     def disclosure(n_word: Column) -> Column:
         return F.log2(rows * F.col("joint") / (F.col("n_value") * n_word)) / F.log2(rows / F.col("n_value"))
 
     # rounding must not decide here: what is just below is counted as well
-    able = stored(joint.join(values, "value").join(near, "word").filter(disclosure(F.col("n_near")) >= DISCLOSES - 1e-9))
+    least = DISCLOSES - 1e-9
+    most = values.select(F.max(F.pow("n_value", F.lit(least)) * F.pow(F.lit(float(rows)), F.lit(1 - least))).alias("most")).first()["most"]
+    near = stored(near.filter(F.col("n_near") <= (most or 0.0) * (1 + 1e-9)))
+    each = marked.groupBy("content", "values", "words").agg(F.count("*").alias("n"))
+    holders = each.select("content", "n", F.explode("values").alias("value")).join(values, "value")
+    tokens = each.select("content", F.explode("words").alias("word")).join(near, "word")
+    beside = holders.join(tokens, "content").withColumn("joint", F.col("n_value")).filter(disclosure(F.col("n_near")) >= least)
+    joint = beside.groupBy("value", "word", "n_value", "n_near").agg(F.sum("n").alias("joint"), F.count("*").alias("texts"))
+    able = stored(joint.filter((F.col("texts") >= SUPPORT) & (disclosure(F.col("n_near")) >= least)))
     words = _only(_corpus_words(df), able.select("word").distinct()).groupBy("word").agg(F.count("*").alias("n_word"))
     ratio = disclosure(F.col("n_word"))
     known = able.join(words, "word")
@@ -211,24 +214,31 @@ def spelled(spans: Column) -> Column:
     )
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with every span replaced: values by their kind, terms by ``[WORD]`` or nothing.
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """The text with every span replaced.
 
     Of overlapping spans the first counts, and what the later one covers beyond it goes as well.
     """
-    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        tag = F.when(s["rank"] < len(KINDS), F.get(tags, s["rank"])).when(s["disclosure"] >= REMOVED, F.lit("")).otherwise(F.lit("[WORD]"))
         gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        out = F.concat(state["out"], gap, F.when(s["start"] >= state["at"], tag).otherwise(F.lit("")))
+        out = F.concat(state["out"], gap, F.when(s["start"] >= state["at"], by(s)).otherwise(F.lit("")))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     done = F.aggregate(spans, start, step)
     return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
 
 
+def sanitised(text: Column, spans: Column) -> Column:
+    """The text with every span replaced: values by their kind, terms by ``[WORD]`` or nothing."""
+    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    return _replaced(
+        text, spans,
+        lambda s: F.when(s["rank"] < len(KINDS), F.get(tags, s["rank"])).when(s["disclosure"] >= REMOVED, F.lit("")).otherwise(F.lit("[WORD]")),
+    )
+
+
 def sanitise(df: DataFrame) -> DataFrame:
     """``df`` with its text sanitised; a null text stays null. All its columns are kept.
 

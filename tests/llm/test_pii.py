@@ -88,3 +88,15 @@ def test_query_digest(spark):
         base = [s for s in r["spans"].split(",") if s and not s.startswith("term")]
         assert ",".join(base) == brute(texts[r["doc_id"]])
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(s.startswith(k) for s in base) for k in pii.KINDS]
+
+
+def test_words_of_the_whole_text_disclose(spark, documents):
+    far = " ".join(f"plain{k}" for k in range(40))
+    rows = [(i, f"Kim O'Neil met Smith-Jones and jdoe42 {far} in room {12 + i}, card 4111 1111 1111 1111 of {i}") for i in range(4)]
+    rows += [(100 + i, f"and they met in room {12 + i % 4} of the house {far} card") for i in range(60)]
+    found = {r["doc_id"]: (r["text"], r["s"]) for r in pii.find(documents(rows)).select("doc_id", pii.spelled(F.col("spans")).alias("s")).join(
+        documents(rows).select("doc_id", "text"), "doc_id").collect()}
+    text, spans = found[0]
+    terms = {text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in spans.split(",") if s.startswith("term")}
+    assert terms == {"Kim", "O'Neil", "Smith-Jones", "jdoe42"}, "near or far, short, hyphenated and mixed, but no part of the card"
+    assert "term" not in found[100][1]
