@@ -24,6 +24,8 @@ from casewright.llm.components import components, extended
 BINS = 256
 #: Bands of so many bins. Two sets of similarity 0.8 share no band with probability 7e-6.
 BANDS, ROWS = 30, 5
+#: Similarity, as a percentage, for which bands and sketches are made.
+LEAST_PERCENT = 80
 #: Rounds of stars with new centres before the rest is compared in full.
 STAR_ROUNDS = 2
 #: Differing 2-bit values of 256 bins at which a pair is given up without reading its sets. For
@@ -172,8 +174,11 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     columns are not read.
 
     Equal sets become one row first, whatever their number. Sets of the rows that share a bucket
-    are made again from the text, and every link is confirmed on them.
+    are made again from the text, and every link is confirmed on them. Bands and sketches are made for
+    similarity 0.8; a lower ``percent`` would lose links and is refused.
     """
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"percent must be at least {LEAST_PERCENT}, not {percent}")
     content = text_or_empty(text)
     # 128 bits of the content find a row's text again; rows themselves get a number once
     base = df.select(

@@ -329,3 +329,8 @@ def test_decontamination_of_moved_blocks(spark, documents):
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.find(documents(docs), frame).collect()}
     want = brute_hits(docs, items)
     assert len(want) > 100 and got == pytest.approx(want)
+
+
+def test_groups_refuse_a_similarity_that_would_lose_links(spark, documents):
+    with pytest.raises(ValueError, match="80"):
+        neardup.groups(documents([(1, "a b")]), percent=79)
