@@ -46,7 +46,10 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document once for every pass of the mix over half of it or more, in training order."""
+    """Each document once for every pass of the mix over half of it or more, in training order.
+
+    Documents without a word (null, empty, blank) have no pass, so they go here.
+    """
     row = fresh(docs, "row_number")
     rows = numbered(docs, row)
     mixed = mixing.mix(rows.select(F.col(row).alias("doc_id"), "source", "text"))
