@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import declist, decontam, language, mixing, neardup, pii, sharding, toxicity, wavelet, weaklabel
+from casewright.llm import declist, decontam, language, merkle, mixing, neardup, pii, sharding, toxicity, wavelet, weaklabel
 from casewright.llm.common import read, shared_folder
+from casewright.llm.oracle import SQL as SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def _equals(value: int):
@@ -93,3 +93,16 @@ def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _every_seventh(doc_id) -> Column:
+    return F.col(doc_id).isNotNull() & (F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")) % 7 == 0)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = merkle.proofs(read(spark, sf_dir, "documents"), _every_seventh("doc_id"), F.col("n_chars") + 1)
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
