@@ -60,3 +60,31 @@ SQL["op11_merkle_manifest"] = f"""
     )
     SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
 """
+
+_SCORE = "list_sum(list_transform(list_zip(a.vec, r.vec), lambda x: coalesce(x[1], 0) * coalesce(x[2], 0)))"
+
+SQL["op13_hard_negatives"] = f"""
+    WITH kept AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+    ),
+    one AS (SELECT DISTINCT ON (vec_id) * FROM kept ORDER BY vec_id, label, vec),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label, coalesce({_SCORE}, 0)::BIGINT AS score
+      FROM one a, one r WHERE a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id
+    ),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = anchor_label
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    ),
+    ranked AS (
+      SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+        vec_id AS negative_id, positive_score, score AS negative_score
+      FROM positives JOIN scored USING (anchor_id)
+      WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    )
+    SELECT * FROM ranked WHERE rank <= 10
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import declist, decontam, language, merkle, mixing, neardup, pii, sharding, toxicity, wavelet, weaklabel
+from casewright.llm import declist, decontam, hardneg, language, merkle, mixing, neardup, pii, sharding, toxicity, wavelet, weaklabel
 from casewright.llm.common import read, shared_folder
 from casewright.llm.oracle import SQL as SQL
 
@@ -106,3 +106,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "leaf", "subroot", "root", merkle.siblings_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardneg.mine(hardneg.rows_of(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
