@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from casewright.llm import secretscan
+
 SQL: dict[str, str] = {}
 
 
@@ -88,3 +90,35 @@ SQL["op13_hard_negatives"] = f"""
     )
     SELECT * FROM ranked WHERE rank <= 10
 """
+
+
+def _matches(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """(row, rank, kind, start, stop) of one rule's matches, by the lengths of what stands between them."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+      SELECT row, {rank} AS rank, '{kind}' AS kind, s.start AS start, s.stop AS stop FROM (
+        SELECT row, unnest(list_transform(range(len(m)), lambda i: {{
+          'start': coalesce(list_sum(list_transform(pieces[1:i + 1], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0)::BIGINT,
+          'stop': coalesce(list_sum(list_transform(pieces[1:i + 1], lambda x: length(x))), 0)::BIGINT + list_sum(list_transform(m[1:i + 1], lambda x: length(x)))::BIGINT,
+          'long': length(g[i + 1])}})) AS s
+        FROM (
+          SELECT row, regexp_extract_all(text, '{quoted}') AS m, regexp_extract_all(text, '{quoted}', {group}) AS g, string_split_regex(text, '{quoted}') AS pieces
+          FROM texts WHERE regexp_matches(text, '{quoted}')
+        )
+      ) WHERE s.long >= {least}"""
+
+
+def _secrets(rules, base: int) -> str:
+    found = " UNION ALL ".join(_matches(k, r.kind, secretscan.compiled(r).pattern, r.group, r.least) for k, r in enumerate(rules))
+    counts = ", ".join(f"count(*) FILTER (rank = {k}) AS n_{r.kind}" for k, r in enumerate(rules[:base]))
+    one = "kind || ':' || start || ':' || stop"
+    return f"""
+    WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    found AS ({found})
+    SELECT doc_id, {counts}, sha256(coalesce(string_agg({one}, ',' ORDER BY start, rank) FILTER (rank < {base}), '')) AS base_sha256,
+      coalesce(string_agg({one}, ',' ORDER BY start, rank), '') AS spans
+    FROM texts LEFT JOIN found USING (row) GROUP BY row, doc_id
+    """
+
+
+SQL["op12_trigram_secrets"] = _secrets(secretscan.RULES, len(secretscan.BASE))

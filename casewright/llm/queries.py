@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import declist, decontam, hardneg, language, merkle, mixing, neardup, pii, sharding, toxicity, wavelet, weaklabel
+from casewright.llm import declist, decontam, hardneg, language, merkle, mixing, neardup, pii, secretscan, sharding, toxicity, wavelet, weaklabel
 from casewright.llm.common import read, shared_folder
 from casewright.llm.oracle import SQL as SQL
 
@@ -111,3 +111,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.mine(hardneg.rows_of(read(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(read(spark, sf_dir, "documents"))
+    ranks = F.transform("spans", lambda s: s["rank"])
+    counts = [F.size(F.filter(ranks, _equals(k))).cast("long").alias(f"n_{rule.kind}") for k, rule in enumerate(secretscan.BASE)]
+    base = F.filter("spans", lambda s: s["rank"] < len(secretscan.BASE))
+    return found.select(
+        "doc_id", *counts, F.sha2(secretscan.spelled(base), 256).alias("base_sha256"), secretscan.spelled(F.col("spans")).alias("spans")
+    )
