@@ -70,7 +70,7 @@ def glob_regex(pattern: str) -> str:
     import re
 
     parts = {"*": ".*", "?": "."}
-    return "(?s)^" + "".join(parts.get(ch, re.escape(ch)) for ch in pattern) + "$"
+    return "(?s)^" + "".join(parts.get(ch, re.escape(ch)) for ch in pattern) + r"\z"
 
 
 def utc_text_sql(ts: str) -> str:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from casewright import vocab
 from casewright.functions.text import basename, glob_regex
+from casewright.operators import rule_index
+from casewright.operators.rule_index import CONTAINS, EQUALS, GLOB, Atom, Tree, atoms
 
 FINDING_COLUMNS = [
     "event_id", "rule_id", "rule_name", "severity", "severity_name", "description",
@@ -73,56 +75,57 @@ def field(events: DataFrame, name: str) -> Column:
     return F.col("metadata")[name]
 
 
-def matches(col: Column, expected, substring: bool) -> Column:
+def _atoms(name: str, expected) -> Tree | Atom:
     """Case-insensitive match: a list is OR, wildcards are globs, else equal or contained."""
     if isinstance(expected, (list, tuple)):
-        return reduce(lambda x, y: x | y, [matches(col, e, substring) for e in expected], F.lit(False))
-    text, wanted = F.lower(col.cast("string")), str(expected).lower()
+        return Tree(False, tuple(_atoms(name, e) for e in expected))
+    wanted = str(expected).lower()
     if "*" in wanted or "?" in wanted:
-        hit = text.rlike(glob_regex(wanted))
-    elif substring:
-        hit = F.contains(text, F.lit(wanted))
-    else:
-        hit = text == wanted
-    return F.coalesce(hit, F.lit(False))
+        return Atom(name, GLOB, wanted)
+    return Atom(name, CONTAINS if name in vocab.SUBSTRING_FIELDS else EQUALS, wanted)
 
 
-def selection(events: DataFrame, spec: dict) -> Column:
+def selection(spec: dict) -> Tree:
     """All fields of a selection must match."""
     if not isinstance(spec, dict):
-        return F.lit(False)
-    terms = [matches(field(events, n), e, n in vocab.SUBSTRING_FIELDS) for n, e in spec.items()]
-    return reduce(lambda x, y: x & y, terms, F.lit(True))
+        return Tree(False, ())
+    return Tree(True, tuple(_atoms(n, e) for n, e in spec.items()))
 
 
-def condition(events: DataFrame, detection: dict) -> Column:
-    """Rule condition as a column.
+def tree(detection: dict) -> Tree:
+    """Rule condition as a tree of atoms.
 
     Operands: a selection name (any case), ``1 of prefix*``, ``all of prefix*``; ``and``
     binds tighter than ``or``. There is no ``not`` and there are no brackets.
     """
     selections = {k.lower(): v for k, v in detection.items() if k != "condition"}
 
-    def operand(text: str) -> Column:
+    def operand(text: str) -> Tree:
         counted = re.fullmatch(r"(1|all) of (\S+)", text)
         if counted is None:
-            spec = selections.get(text)
-            return F.lit(False) if spec is None else selection(events, spec)
+            return selection(selections.get(text))
         prefix = counted[2].rstrip("*")
-        found = [selection(events, spec) for name, spec in selections.items() if name.startswith(prefix)]
-        if not found:
-            return F.lit(False)
-        join = (lambda x, y: x | y) if counted[1] == "1" else (lambda x, y: x & y)
-        return reduce(join, found)
+        found = tuple(selection(spec) for name, spec in selections.items() if name.startswith(prefix))
+        return Tree(counted[1] == "all" and bool(found), found)
 
     text = " ".join(str(detection.get("condition") or "").lower().split())
     if not text:
-        return F.lit(False)
-    alternatives = [
-        reduce(lambda x, y: x & y, [operand(part) for part in branch.split(" and ")])
-        for branch in text.split(" or ")
-    ]
-    return reduce(lambda x, y: x | y, alternatives)
+        return Tree(False, ())
+    return Tree(False, tuple(Tree(True, tuple(operand(part) for part in branch.split(" and "))) for branch in text.split(" or ")))
+
+
+def _column(events: DataFrame, node: Tree | Atom) -> Column:
+    if isinstance(node, Tree):
+        parts = [_column(events, p) for p in node.parts]
+        return reduce(lambda x, y: x & y, parts, F.lit(True)) if node.every else reduce(lambda x, y: x | y, parts, F.lit(False))
+    text = F.lower(field(events, node.field).cast("string"))
+    tests = {GLOB: lambda: text.rlike(glob_regex(node.text)), CONTAINS: lambda: F.contains(text, F.lit(node.text)), EQUALS: lambda: text == node.text}
+    return F.coalesce(tests[node.kind](), F.lit(False))
+
+
+def condition(events: DataFrame, detection: dict) -> Column:
+    """Rule condition as a column; see ``tree``."""
+    return _column(events, tree(detection))
 
 
 def rule_techniques(tags: list[str]) -> list[str]:
@@ -131,28 +134,33 @@ def rule_techniques(tags: list[str]) -> list[str]:
     return sorted(t for t in found if re.fullmatch(r"T\d{4}(\.\d{3})?", t))
 
 
-def _rule_finding(rule: dict) -> Column:
+def _rule_texts(rule: dict) -> tuple:
+    """The columns of a rule's findings: id, name, severity and its name, description, techniques, matched fields, tags."""
     name_id = str(rule.get("id", "sigma-unknown"))
     title = str(rule.get("title", name_id))
     level = vocab.RULE_LEVELS.get(str(rule.get("level", "medium")).lower(), "MEDIUM")
     raw = rule.get("tags") or []
     tags = [raw] if isinstance(raw, str) else [str(t) for t in raw]
+    description = str(rule.get("description") or "") or f"Rule {title} matched"
+    return name_id, title, vocab.FINDING_SEVERITY[level], level, description, rule_techniques(tags), None, tags
+
+
+def _rule_finding(rule: dict) -> Column:
     texts = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<string>")
-    return F.struct(
-        F.lit(name_id).alias("rule_id"), F.lit(title).alias("rule_name"),
-        F.lit(vocab.FINDING_SEVERITY[level]).alias("severity"), F.lit(level).alias("severity_name"),
-        F.lit(str(rule.get("description") or "") or f"Rule {title} matched").alias("description"),
-        texts(rule_techniques(tags)).alias("mitre_techniques"),
-        F.lit(None).cast("map<string,string>").alias("matched_fields"), texts(tags).alias("tags"),
-    )
+    columns = [F.lit(None).cast("map<string,string>") if v is None else texts(v) if isinstance(v, list) else F.lit(v) for v in _rule_texts(rule)]
+    return F.struct(*[c.alias(n) for c, n in zip(columns, FINDING_COLUMNS[1:], strict=True)])
+
+
+#: Rules up to which each is a column expression; more are found by index.
+MOST_COLUMNS = 32
 
 
 def apply_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
-    """Findings of all rules in one scan of the events."""
-    hits = [
-        F.when(condition(events, r["detection"]), _rule_finding(r))
-        for r in rules if isinstance(r.get("detection"), dict)
-    ]
+    """Findings of all rules in one scan of the events: as column expressions, or by index where there are many."""
+    rules = [r for r in rules if isinstance(r.get("detection"), dict)]
+    if len(rules) > MOST_COLUMNS:
+        return apply_indexed(events, rules)
+    hits = [F.when(condition(events, r["detection"]), _rule_finding(r)) for r in rules]
     carried = _carried(events)
     if not hits:
         return lolbins(events.limit(0))
@@ -160,6 +168,24 @@ def apply_rules(events: DataFrame, rules: list[dict]) -> DataFrame:
     return found.select(*carried, "event_id", "f.*")
 
 
+#: Rules up to which their findings' texts are sent to every task.
+BROADCAST_RULES = 50_000
+
+
+def apply_indexed(events: DataFrame, rules: list[dict]) -> DataFrame:
+    """The same findings by ``rule_index``; the plan is the same for any number of rules."""
+    carried, trees = _carried(events), [tree(r["detection"]) for r in rules]
+    named = {a.field for t in trees for a in atoms(t)}
+    found = rule_index.find(events, [*carried, "event_id"], {n: field(events, n) for n in named}, trees)
+    schema = (
+        "rule_number int, rule_id string, rule_name string, severity int, severity_name string, description string, "
+        "mitre_techniques array<string>, matched_fields map<string,string>, tags array<string>"
+    )
+    table = events.sparkSession.createDataFrame([(n, *_rule_texts(r)) for n, r in enumerate(rules)], schema)
+    joined = found.join(F.broadcast(table) if len(rules) <= BROADCAST_RULES else table, "rule_number")
+    return joined.select(*carried, "event_id", *table.columns[1:])
+
+
 def apply_columns(events: DataFrame, rules: list[tuple[str, str, Column]]) -> DataFrame:
     """Findings of rules given as (id, severity name, condition column)."""
     specs = []

@@ -75,9 +75,9 @@ def repeated_observations(evidence: DataFrame) -> DataFrame:
 
 
 def case_findings(
-    evidence: DataFrame, hypotheses: DataFrame, pairs: DataFrame, assessed: DataFrame,
+    evidence: DataFrame, hypotheses: DataFrame, totals: DataFrame, assessed: DataFrame,
 ) -> DataFrame:
-    """(case_id, finding, items): gaps of an investigation, or ``none``."""
+    """(case_id, finding, items): gaps of an investigation, or ``none``. ``totals``: case_id, weak_pairs."""
     e = evidence.groupBy("case_id").agg(F.count_if(~F.col("has_context")).alias("no_context"))
     r = repeated_observations(evidence).groupBy("case_id").agg(F.count("*").alias("repeated"))
     main, counter = F.col("hypothesis_type") == "main", F.col("hypothesis_type") == "counter"
@@ -85,7 +85,7 @@ def case_findings(
         F.count_if(main).alias("mains"), F.count_if(counter).alias("counters"),
         F.count_if(main & (F.col("support_count") == 0)).alias("unsupported"),
     )
-    c = pairs.groupBy("case_id").agg(F.count_if(F.col("confidence") < 0.5).alias("weak"))
+    c = totals.select("case_id", F.col("weak_pairs").alias("weak"))
     joined = assessed.select("case_id", "risk_score")
     for rows in (e, r, h, c):
         joined = joined.join(rows, "case_id", "left")

@@ -139,11 +139,12 @@ def _penalties(hypotheses: DataFrame, evidence: DataFrame, links: DataFrame | No
 
 
 def assess(
-    evidence: DataFrame, pairs: DataFrame, hypotheses: DataFrame, config: RiskConfig | None = None,
+    evidence: DataFrame, totals: DataFrame, hypotheses: DataFrame, config: RiskConfig | None = None,
     links: DataFrame | None = None,
 ) -> DataFrame:
     """Score, confidence and breakdown per case; one shuffle per input, all with partial sums.
 
+    ``totals`` (case_id, pairs, confidence_sum) are those of ``pair_counts`` with ``config.correlation_per_pair``.
     ``links`` (evidence_id, hypothesis_id, assessment) bring in contradicting evidence.
     """
     config = config or RiskConfig()
@@ -152,10 +153,7 @@ def assess(
         F.sum(_unit("confidence").cast(_EXACT)).alias("confidence_sum"),
         F.count("*").alias("evidence_count"),
     )
-    by_pairs = pairs.groupBy("case_id").agg(
-        F.sum((_unit("confidence") * config.correlation_per_pair).cast(_EXACT)).cast("double").alias("correlation_raw"),
-        F.count("*").alias("correlation_count"),
-    )
+    by_pairs = totals.select("case_id", F.col("confidence_sum").alias("correlation_raw"), F.col("pairs").alias("correlation_count"))
     by_hypothesis = hypotheses.groupBy("case_id").agg(
         F.max(_unit("confidence")).alias("top_confidence"),
         F.avg(F.when(F.col("support_count") > 0, 1.0).otherwise(0.0)).alias("coverage"),

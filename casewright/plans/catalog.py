@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from casewright import vocab
 from casewright.functions import identity
 from casewright.operators import (
-    cases, correlate, detect, evidence, export, graph, hypotheses, intel, ledger, report, risk, timeline, tree,
+    cases, correlate, detect, evidence, export, graph, hypotheses, intel, ledger, pair_counts, report, risk, timeline, tree,
 )
 from casewright.plans import derived, presets
 from casewright.plans.investigate import investigate
@@ -154,6 +154,34 @@ def pair_correlation(spark, sf):
     return _pairs(correlate.correlate_all(sec_events(spark, sf), per_scope=None), "tenant_id")
 
 
+def _packed(events: DataFrame) -> DataFrame:
+    return events.withColumn("timestamp", F.timestamp_micros(F.expr("unix_micros(timestamp) DIV 1000")))
+
+
+def _counted(events: DataFrame) -> DataFrame:
+    rows = pair_counts.by_case(pair_counts.Pairs(events, ["case_id", "tenant_id"]))
+    total = F.round(F.col("confidence_sum").cast("decimal(30,12)"), 6).cast("double")
+    return rows.select("case_id", "pairs", total.alias("confidence_sum"), "weak_pairs")
+
+
+@query
+def pair_counts_by_case(spark, sf):
+    """Counted, not made; the SQL makes all pairs."""
+    return _counted(sec_events(spark, sf))
+
+
+@query
+def pair_counts_dense(spark, sf):
+    """A thousand times denser, so that most events of a case pair with each other."""
+    return _counted(_packed(sec_events(spark, sf)))
+
+
+@query
+def best_pair_dense(spark, sf):
+    rows = pair_counts.Pairs(_packed(sec_events(spark, sf)), ["case_id", "tenant_id"]).best()
+    return rows.select("case_id", "tenant_id", "source_event_id", "related_event_id", text("reasons"), six("confidence"))
+
+
 @query
 def pair_correlation_max_mode(spark, sf):
     rules = correlate.Rules(confidence_mode="max", min_confidence=0.3)
@@ -181,9 +209,7 @@ def pair_correlation_repeated_ids(spark, sf):
 @query
 def correlation_top_dense(spark, sf):
     """Times divided by a thousand, so that hundreds of events share a cell."""
-    events = sec_events(spark, sf)
-    packed = events.withColumn("timestamp", F.timestamp_micros(F.expr("unix_micros(timestamp) DIV 1000")))
-    return _pairs(correlate.correlate_all(packed, per_scope=50), "tenant_id", "rank")
+    return _pairs(correlate.correlate_all(_packed(sec_events(spark, sf)), per_scope=50), "tenant_id", "rank")
 
 
 @query
@@ -517,6 +543,13 @@ def lolbin_findings(spark, sf):
     return _finding_columns(detect.lolbins(sec_events(spark, sf)))
 
 
+@query
+def sigma_many_rules(spark, sf):
+    """Two thousand rules by index."""
+    rows = detect.apply_rules(sec_events(spark, sf), derived.many_rules(2000))
+    return rows.select("case_id", "event_id", "rule_id", "rule_name", "severity", "severity_name", "description")
+
+
 @query
 def sigma_findings(spark, sf):
     return _finding_columns(detect.apply_rules(sec_events(spark, sf), derived.RULES))
@@ -731,7 +764,7 @@ def repeated_observations(spark, sf):
 @query
 def case_quality_findings(spark, sf):
     t = investigate(sec_events(spark, sf))
-    return report.case_findings(t["evidence"], t["hypotheses"], t["correlations"], t["risk"])
+    return report.case_findings(t["evidence"], t["hypotheses"], t["correlation_totals"], t["risk"])
 
 
 @query

@@ -43,6 +43,21 @@ RULES = [
 ]
 
 
+def many_rules(n: int) -> list[dict]:
+    """Rules made by number: equal, contained and wildcard texts, lists, two selections."""
+
+    def detection(i: int) -> dict:
+        user = f"user{i % 40}"
+        return [
+            {"a": {"host": f"HOST-{i % 12}", "user": user}, "b": {"event.type": ["click", "VIEW"]}, "condition": "a and b"},
+            {"a": {"dns.query": f"d{i % 20}.ex", "user": user}, "b": {"process.name": ["mshta.exe", "cmd*"]}, "condition": "a and b"},
+            {"a": {"registry.key": f"*k{i % 15}", "user": user}, "b": {"file.path": f"f{i % 25}.bin", "user": user}, "condition": "a or b"},
+            {"a1": {"rule.id": f"R-{i % 11}"}, "a2": {"network.source_ip": f"10.?.{i % 4}.*", "user": user}, "condition": "all of a*"},
+        ][i % 4]
+
+    return [{"id": f"M-{i}", "title": f"Rule {i}", "level": ["low", "high"][i % 2], "detection": detection(i)} for i in range(n)]
+
+
 def verifications(events: DataFrame) -> DataFrame:
     return events.filter("severity % 6 = 0").select(
         F.concat(F.lit("E-"), "event_id").alias("evidence_id"), F.lit(True).alias("verified"),

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from casewright.operators import cases as case_ops
-from casewright.operators import correlate, evidence, graph, hypotheses, risk
+from casewright.operators import correlate, evidence, graph, hypotheses, pair_counts, risk
 from casewright.session import cut_lineage
 
 
@@ -43,22 +43,31 @@ def investigate(
     tables["evidence"] = found
     tables.update(stages.build_graph(events, ["case_id"]))
 
-    pairs = cut_lineage(
-        stages.correlate_all(events, ["case_id", "tenant_id"], stages.rules, stages.max_pairs)
-    )
+    # score, checks and hypotheses need counts and the best pair; where pairs may outnumber events they are not made for it
+    scope = ["case_id", "tenant_id"]
+    counted = stages.correlate_all is correlate.correlate_all and stages.max_pairs is None
+    found_pairs = pair_counts.Pairs(events, scope, stages.rules) if counted else None
+    if found_pairs is not None and not found_pairs.few:
+        pairs, best = found_pairs.all(), found_pairs.best()
+        totals = pair_counts.by_case(found_pairs, stages.risk_config.correlation_per_pair)
+    else:
+        pairs = found_pairs.all() if found_pairs else stages.correlate_all(events, scope, stages.rules, stages.max_pairs)
+        pairs = best = cut_lineage(pairs)
+        totals = pair_counts.of_pairs(pairs, stages.risk_config.correlation_per_pair)
     tables["correlations"] = pairs
+    totals = tables["correlation_totals"] = totals if found_pairs is None or found_pairs.few else cut_lineage(totals)
     entities = tables["entities"] = cut_lineage(tables["entities"])
     relationships = tables["relationships"] = cut_lineage(tables["relationships"])
     below = graph.descendant_pairs(relationships, ["case_id"])
     made = hypotheses.all_kinds(
-        found, pairs, entities, relationships, below, templates, stages.min_evidence
+        found, best, entities, relationships, below, templates, stages.min_evidence
     )
     if links is not None:
         made = hypotheses.with_contradictions(made, links)
     made = cut_lineage(made)
     tables["hypotheses"] = made
     tables["hypothesis_support"] = hypotheses.support_links(found, made)
-    tables["risk"] = risk.assess(found, pairs, made, stages.risk_config, links)
+    tables["risk"] = risk.assess(found, totals, made, stages.risk_config, links)
     tables["risk_factors"] = risk.factors(found, pairs, made, stages.risk_config, links)
     tables["cases"] = case_ops.summary(
         case_ops.assemble(events, analyst=analyst), tables["risk"], entities, relationships

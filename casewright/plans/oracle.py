@@ -181,6 +181,18 @@ SQL["correlation_top_dense"] = pairs("a.tenant_id = b.tenant_id", base=DENSE).re
 r AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY {PAIR_ORDER}) AS rank FROM pr)
 SELECT tenant_id, rank, {PAIR_COLUMNS} FROM r WHERE rank <= 50"""
 
+_CASE_SCOPE = "a.case_id = b.case_id AND a.tenant_id = b.tenant_id"
+_COUNTED = """
+SELECT case_id, count(confidence) AS pairs, coalesce(round(sum(CAST(confidence AS DECIMAL(30, 12))), 6)::DOUBLE, 0) AS confidence_sum,
+  count(*) FILTER (confidence < 0.5) AS weak_pairs
+FROM (SELECT DISTINCT case_id FROM sec) LEFT JOIN pr USING (case_id) GROUP BY 1"""
+SQL["pair_counts_by_case"] = pairs(_CASE_SCOPE) + _COUNTED
+_DENSE_PAIRS = pairs(_CASE_SCOPE, base=DENSE).replace("FROM sec a JOIN sec b", "FROM packed a JOIN packed b")
+SQL["pair_counts_dense"] = _DENSE_PAIRS + _COUNTED
+SQL["best_pair_dense"] = _DENSE_PAIRS + f"""
+SELECT case_id, tenant_id, source_event_id, related_event_id, reasons, round(confidence, 6) AS confidence FROM pr
+QUALIFY row_number() OVER (PARTITION BY case_id, tenant_id ORDER BY {PAIR_ORDER}) = 1"""
+
 SQL["correlation_topk_per_host"] = pairs("a.host = b.host", window=3600) + f""",
 r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY {PAIR_ORDER}) AS rank FROM pr)
 SELECT host, rank, {PAIR_COLUMNS} FROM r WHERE rank <= 5"""
@@ -403,6 +415,16 @@ sig AS (
     WHERE (coalesce(contains(lower(dns_query), 'example.com'), false) AND coalesce(usr LIKE 'user1%', false)) OR coalesce(rule_id = 'R-5', false))"""
 _FINDING = "event_id, rule_id, rule_name, severity, severity_name, description, mitre_techniques"
 SQL["lolbin_findings"] = FOUND + f"\nSELECT {_FINDING} FROM lol"
+SQL["sigma_many_rules"] = SEC + """,
+rule AS (SELECT range AS i, 'user' || (range % 40) AS u FROM range(2000)),
+hit AS (SELECT case_id, event_id, i FROM sec JOIN rule ON lower(usr) = u AND CASE i % 4
+  WHEN 0 THEN host = 'HOST-' || (i % 12) AND event_type IN ('click', 'view')
+  WHEN 1 THEN contains(lower(dns_query), 'd' || (i % 20) || '.ex') AND (lower(pname) = 'mshta.exe' OR lower(pname) LIKE 'cmd%')
+  WHEN 2 THEN coalesce(lower(reg_key) LIKE '%k' || (i % 15), false) OR coalesce(contains(file_path, 'f' || (i % 25) || '.bin'), false)
+  ELSE rule_id = 'R-' || (i % 11) AND src_ip LIKE '10._.' || (i % 4) || '.%' END)
+SELECT case_id, event_id, 'M-' || i AS rule_id, 'Rule ' || i AS rule_name, CASE WHEN i % 2 = 0 THEN 30 ELSE 70 END AS severity,
+  CASE WHEN i % 2 = 0 THEN 'LOW' ELSE 'HIGH' END AS severity_name, 'Rule Rule ' || i || ' matched' AS description FROM hit"""
+
 SQL["sigma_findings"] = FOUND + f"\nSELECT {_FINDING} FROM sig"
 SQL["detection_stats"] = FOUND + """,
 f AS (SELECT rule_id, severity_name FROM lol UNION ALL SELECT rule_id, severity_name FROM sig)

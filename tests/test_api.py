@@ -66,7 +66,7 @@ def test_tables_of_a_case(make_events, spark):
     columns = ["case_id", "severity", "priority"]
     saved = snapshot(t["cases"], columns)
     assert load_snapshot(saved, t["cases"].select("severity", "priority").schema).first().priority == "medium"
-    findings = {r.finding for r in report.case_findings(t["evidence"], t["hypotheses"], t["correlations"], t["risk"]).collect()}
+    findings = {r.finding for r in report.case_findings(t["evidence"], t["hypotheses"], t["correlation_totals"], t["risk"]).collect()}
     assert findings == {"repeated_observations"}
 
 

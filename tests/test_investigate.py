@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.operators import evidence, graph, hypotheses, report, risk
+from casewright.operators import evidence, graph, hypotheses, pair_counts, report, risk
 from casewright.plans.investigate import Stages, investigate
 
 SHIM = {
@@ -74,7 +74,7 @@ def test_contradicting_evidence_and_verified_bonus(spark, make_events):
     links = spark.createDataFrame([("E-E-1", main, "contradicts")], "evidence_id string, hypothesis_id string, assessment string")
     against = hypotheses.with_contradictions(made, links)
     none = spark.createDataFrame([], "case_id string, confidence double, score double, reasons array<string>, source_event_id string, related_event_id string")
-    row = risk.assess(found, none, against, links=links).first()
+    row = risk.assess(found, pair_counts.of_pairs(none), against, links=links).first()
     # 30 + 0 + 5 * .3, minus 12 for six missing items and 3 for one contradiction
     assert (row.evidence_score, row.hypothesis_score, row.penalty_score, row.risk_score) == (30.0, 1.5, -15.0, 16)
     log = events.select(
@@ -82,7 +82,7 @@ def test_contradicting_evidence_and_verified_bonus(spark, make_events):
         F.col("timestamp").alias("verified_at"), F.lit("review").alias("method"), F.lit("").alias("notes"),
     )
     verified = evidence.with_verification(found, log)
-    assert risk.assess(verified, none, made).first().evidence_score == 33.0
+    assert risk.assess(verified, pair_counts.of_pairs(none), made).first().evidence_score == 33.0
 
 
 def test_half_scores_round_to_even(spark):
@@ -93,7 +93,7 @@ def test_half_scores_round_to_even(spark):
         "case_id string, status string, confidence double, hypothesis_type string, fingerprint string, support_count long, "
         "missing_evidence array<string>, hypothesis_id string, statement string",
     )
-    assert risk.assess(evidence_rows, pairs, made).first().risk_score == 44  # 43.5
+    assert risk.assess(evidence_rows, pair_counts.of_pairs(pairs, 5.0), made).first().risk_score == 44  # 43.5
 
 
 def test_risk_config_is_checked():
