@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from casewright import vocab
 from casewright.functions import identity
+from casewright.functions.joins import null_safe
 from casewright.session import cut_lineage
 
 #: Sort rank of the entity types in reports.
@@ -144,14 +145,21 @@ STRENGTH_POLICIES = ("max", "avg", "left", "right")
 CONFLICT_POLICIES = ("left", "right", "raise")
 
 
+def _lists(value: Column) -> Column:
+    """The items of a JSON list as JSON texts; null for any other text."""
+    items = F.from_json(value, "array<variant>", {"mode": "PERMISSIVE"})
+    return F.when(F.trim(value).rlike(r"(?s)^\[.*\]$"), F.transform(items, lambda v: F.to_json(v)))
+
+
 def merged_column(
-    rows: DataFrame, keys: Sequence[str], column: str, order: Sequence[str], on_conflict: str = "right",
+    rows: DataFrame, keys: Sequence[str], column: str, order: Sequence[str], on_conflict: str = "right", unite: bool = False,
 ) -> DataFrame:
     """(keys, column) with the maps of a group merged key by key, or its lists united.
 
     Of several values of one map key the last by ``order`` counts (``right``) or the first
-    (``left``); ``raise`` fails the job on two different ones. A group without any entry has
-    no row. Entries are combined before the shuffle; a merged map holds each key once.
+    (``left``); ``raise`` fails the job on two different ones. With ``unite`` values that are JSON lists are
+    united, items in order of their first appearance, unless a value that is no list came between. A group without any
+    entry has no row. Entries are combined before the shuffle; a merged map holds each key once.
     """
     if on_conflict not in CONFLICT_POLICIES:
         raise ValueError(f"on_conflict must be one of {CONFLICT_POLICIES}")
@@ -161,26 +169,43 @@ def merged_column(
     value = F.min_by("_v", "_o") if on_conflict == "left" else F.max_by("_v", "_o")
     if on_conflict == "raise":
         value = F.when(F.min("_v") == F.max("_v"), value).otherwise(F.raise_error(F.lit("property conflict")))
-    one = each.groupBy(*keys, "_k").agg(value.alias("_v"))
+    if not unite:
+        one = each.groupBy(*keys, "_k").agg(value.alias("_v"))
+    else:
+        each = each.withColumn("_items", _lists(F.col("_v")))
+        plain = F.when(F.col("_items").isNull(), F.col("_o"))
+        one = each.groupBy(*keys, "_k").agg(value.alias("_v"), F.max(plain).alias("_plain"), F.count("_items").alias("_n"))
+        several = one.filter("_n > 1").select(*keys, "_k", "_plain")
+        listed = null_safe(each.filter("_items IS NOT NULL").select(*keys, "_k", "_o", "_items"), several, [*keys, "_k"])
+        after = listed.filter(F.col("_plain").isNull() | (F.col("_o") > F.col("_plain")))
+        items = after.select(*keys, "_k", "_o", F.posexplode("_items").alias("_at", "_item"))
+        first = items.groupBy(*keys, "_k", "_item").agg(F.min(F.struct("_o", "_at")).alias("_first"))
+        united = first.groupBy(*keys, "_k").agg(F.array_sort(F.collect_list(F.struct("_first", "_item"))).alias("_all"))
+        text = F.concat(F.lit("["), F.concat_ws(",", F.transform("_all", lambda x: x["_item"])), F.lit("]"))
+        joined = null_safe(one, united.select(*keys, "_k", text.alias("_united")), [*keys, "_k"], "left")
+        one = joined.withColumn("_v", F.coalesce("_united", "_v"))
     return one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(column))
 
 
 def _with_merged(
-    out: DataFrame, rows: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str], on_conflict: str,
+    out: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str], on_properties: str, on_metadata: str, unite: bool = False,
 ) -> DataFrame:
-    """``out`` (one row per group) with the merged ``columns`` that ``rows`` have."""
-    for column in columns:
+    """``out`` (one row per group) with merged properties, metadata and tags, where ``rows`` have them."""
+    for column, policy in (("properties", on_properties), ("metadata", on_metadata), ("tags", "right")):
         if column in rows.columns:
-            out = out.join(merged_column(rows, keys, column, order, on_conflict), list(keys), "left")
+            merged = merged_column(rows, keys, column, order, policy, unite and column == "properties")
+            out = null_safe(out, merged, keys, "left")
     return out
 
 
-def resolve_entities(mentioned: DataFrame, scope: Sequence[str] = (), on_conflict: str = "right") -> DataFrame:
+def resolve_entities(
+    mentioned: DataFrame, scope: Sequence[str] = (), on_metadata_conflict: str = "left", unite_lists: bool = True,
+) -> DataFrame:
     """Merge mentions with one identity into one entity.
 
-    The value is that of the first mention by (timestamp, event_id). Properties and metadata are
-    merged key by key: of two values the last counts, unless ``on_conflict`` says left or raise.
-    Tags are united.
+    The value is that of the first mention by (timestamp, event_id). Of two values of one property the last
+    counts, lists are united; of two values in the metadata the first counts, unless ``on_metadata_conflict`` says right or
+    raise. Tags are united. A null scope is a scope of its own.
     """
     order = F.struct("timestamp", "event_id", "role")
     out = mentioned.groupBy(*scope, "fingerprint").agg(
@@ -198,7 +223,7 @@ def resolve_entities(mentioned: DataFrame, scope: Sequence[str] = (), on_conflic
         F.count("*").alias("mention_count"),
     ).drop("_n")
     return _with_merged(
-        out, mentioned, [*scope, "fingerprint"], ["properties", "metadata", "tags"], ["timestamp", "event_id", "role"], on_conflict
+        out, mentioned, [*scope, "fingerprint"], ["timestamp", "event_id", "role"], "right", on_metadata_conflict, unite_lists
     )
 
 
@@ -304,11 +329,13 @@ def with_relationship_fingerprint(rows: DataFrame) -> DataFrame:
 
 
 def resolve_relationships(
-    rows: DataFrame, scope: Sequence[str] = (), on_strength: str = "max", on_conflict: str = "right",
+    rows: DataFrame, scope: Sequence[str] = (), on_strength: str = "max", on_property_conflict: str = "left",
+    on_metadata_conflict: str = "left",
 ) -> DataFrame:
     """Merge edges with one identity; first and last seen widen over all of them.
 
-    Properties and metadata, where edges have them, are merged key by key (``merged_column``).
+    Properties and metadata, where edges have them, are merged key by key (``merged_column``): of two values the first
+    counts, unless a policy says right or raise. Tags are united. A null scope is a scope of its own.
 
     ``on_strength`` combines weight and confidence: the largest, the first, the last
     by (timestamp, event_id), or the running pairwise mean (``avg``), in which each
@@ -322,9 +349,9 @@ def resolve_relationships(
         "left": lambda c: F.min_by(c, order),
         "right": lambda c: F.max_by(c, order),
     }
-    keys, maps, by_time = [*scope, "fingerprint"], ["properties", "metadata", "tags"], ["timestamp", "event_id"]
+    keys, by_time = [*scope, "fingerprint"], ["timestamp", "event_id"]
     if on_strength == "avg":
-        return _with_merged(_resolve_pairwise_mean(rows, scope), rows, keys, maps, by_time, on_conflict)
+        return _with_merged(_resolve_pairwise_mean(rows, scope), rows, keys, by_time, on_property_conflict, on_metadata_conflict)
     keep = [] if "tenant_id" in scope else [F.first("tenant_id").alias("tenant_id")]
     out = rows.groupBy(*keys).agg(
         *keep,
@@ -336,7 +363,7 @@ def resolve_relationships(
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
         F.count("*").alias("event_count"),
     )
-    return _with_merged(out, rows, keys, maps, by_time, on_conflict)
+    return _with_merged(out, rows, keys, by_time, on_property_conflict, on_metadata_conflict)
 
 
 #: Past this many edges the oldest ones weigh less than the spacing of doubles.
@@ -359,7 +386,7 @@ def _resolve_pairwise_mean(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
     share = F.pow(
         F.lit(2.0), -F.least(behind + F.when(F.col("row_index") == 0, 0).otherwise(1), F.lit(_MEAN_TERMS))
     )
-    shared = indexed.join(sizes, keys).withColumn("share", share)
+    shared = null_safe(indexed, sizes, keys).withColumn("share", share)
     keep = [] if "tenant_id" in scope else [F.first("tenant_id").alias("tenant_id")]
     return shared.groupBy(*keys).agg(
         *keep,
@@ -445,20 +472,26 @@ def build(events: DataFrame, scope: Sequence[str] = (), registry_keys: bool = Fa
     """Entities, their provenance and the relationships of a set of events."""
     mentioned = mentions(events, scope, registry_keys)
     return {
-        "entities": resolve_entities(mentioned, scope),
+        # what events say of an entity is never a list
+        "entities": resolve_entities(mentioned, scope, unite_lists=False),
         "entity_events": entity_events(mentioned, scope),
         "relationships": resolve_relationships(edges(events, scope), scope),
     }
 
 
-def extend_entities(stored: DataFrame, fresh: DataFrame, scope: Sequence[str] = (), on_conflict: str = "right") -> DataFrame:
-    """Merge two resolved entity tables; the same rules as for single mentions.
+def _sides(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Both tables, ``_side`` telling the stored one (0) from the fresh one (1)."""
+    return stored.withColumn("_side", F.lit(0)).unionByName(fresh.withColumn("_side", F.lit(1)))
 
-    Of two values of one property that of the entity seen last counts.
+
+def extend_entities(stored: DataFrame, fresh: DataFrame, scope: Sequence[str] = (), on_metadata_conflict: str = "left") -> DataFrame:
+    """Merge two resolved entity tables; the same rules as for single mentions, the stored table coming first.
+
+    So of two values of one property the fresh one counts, lists are united, and the stored metadata stays.
 
     The provenance tables must not overlap for ``mention_count`` to stay exact.
     """
-    rows = stored.unionByName(fresh)
+    rows = _sides(stored, fresh)
     first = F.struct("first_seen", "value")
     keep = [] if "tenant_id" in scope else [F.first("tenant_id").alias("tenant_id")]
     same = ["entity_id", "entity_type", "normalized_value", "host", "identity_scope", "identity_domain", "hash_algorithm"]
@@ -469,23 +502,22 @@ def extend_entities(stored: DataFrame, fresh: DataFrame, scope: Sequence[str] =
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.sum("mention_count").alias("mention_count"),
     )
-    out = _with_merged(
-        out, rows, [*scope, "fingerprint"], ["properties", "metadata", "tags"], ["last_seen", "value"], on_conflict
-    )
+    out = _with_merged(out, rows, [*scope, "fingerprint"], ["_side", "last_seen", "value"], "right", on_metadata_conflict, unite=True)
     return out.select(*stored.columns)
 
 
 def extend_relationships(
-    stored: DataFrame, fresh: DataFrame, scope: Sequence[str] = (), on_strength: str = "max", on_conflict: str = "right",
+    stored: DataFrame, fresh: DataFrame, scope: Sequence[str] = (), on_strength: str = "max", on_property_conflict: str = "left",
+    on_metadata_conflict: str = "left",
 ) -> DataFrame:
-    """Merge two resolved edge tables. Of two strengths the larger, the earlier table's (left), the later
-    table's (right) or the mean counts; first and last are told by ``last_seen``."""
+    """Merge two resolved edge tables. Of two strengths the larger, the stored (left), the fresh (right) or the mean
+    counts; of two values of a property or in the metadata the stored one, unless a policy says right or raise."""
     if on_strength not in STRENGTH_POLICIES:
         raise ValueError(f"on_strength must be one of {STRENGTH_POLICIES}")
     combine = {
-        "max": F.max, "avg": F.avg, "left": lambda c: F.min_by(c, "last_seen"), "right": lambda c: F.max_by(c, "last_seen"),
+        "max": F.max, "avg": F.avg, "left": lambda c: F.min_by(c, "_side"), "right": lambda c: F.max_by(c, "_side"),
     }[on_strength]
-    rows = stored.unionByName(fresh)
+    rows = _sides(stored, fresh)
     keep = [] if "tenant_id" in scope else [F.first("tenant_id").alias("tenant_id")]
     same = ["source_type", "source_id", "relationship_type", "target_type", "target_id"]
     out = rows.groupBy(*scope, "fingerprint").agg(
@@ -495,9 +527,7 @@ def extend_relationships(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         F.sum("event_count").alias("event_count"),
     )
-    out = _with_merged(
-        out, rows, [*scope, "fingerprint"], ["properties", "metadata", "tags"], ["last_seen", "source_id"], on_conflict
-    )
+    out = _with_merged(out, rows, [*scope, "fingerprint"], ["_side", "last_seen", "source_id"], on_property_conflict, on_metadata_conflict)
     return out.select(*stored.columns)
 
 
@@ -658,8 +688,8 @@ def descendant_pairs(
     pairs = step.select(*keys, F.col("node").alias("root"), F.col("next").alias("node"))
     frontier = pairs
     for _ in range(1, max_depth):
-        grown = frontier.join(step, [*keys, "node"]).select(*keys, "root", F.col("next").alias("node"))
-        fresh = cut_lineage(grown.distinct().join(pairs, [*keys, "root", "node"], "left_anti"))
+        grown = null_safe(frontier, step, [*keys, "node"]).select(*keys, "root", F.col("next").alias("node"))
+        fresh = cut_lineage(null_safe(grown.distinct(), pairs, [*keys, "root", "node"], "left_anti"))
         if fresh.isEmpty():
             break
         pairs = pairs.unionByName(fresh)
@@ -738,18 +768,32 @@ def same_identity(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right.select("fingerprint").distinct(), "fingerprint", "left_semi").select(*left.columns)
 
 
-def add_provenance(
-    entities: DataFrame, log: DataFrame, scope: Sequence[str] = (),
-) -> DataFrame:
-    """Widen first and last seen by later sightings. ``log``: fingerprint, timestamp, event_id."""
+def add_provenance(rows: DataFrame, log: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Widen entities or relationships by later sightings: first and last seen, how often, tags.
+
+    ``log``: scope, fingerprint, timestamp, event_id and, where it tells of them, tag. Blank ids and tags are
+    ignored, tags are in lower case. ``rows`` without tags get none.
+    """
     keys = [*scope, "fingerprint"]
+    count = "mention_count" if "mention_count" in rows.columns else "event_count"
+    event = F.nullif(F.trim("event_id"), F.lit(""))
     seen = log.groupBy(*keys).agg(
-        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"), F.count("*").alias("_more")
+        F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"), F.count(event).alias("_more"),
+        *([F.collect_set(F.lower(F.nullif(F.trim("tag"), F.lit("")))).alias("_tags")] if "tag" in log.columns else []),
     )
-    joined = entities.join(seen, keys, "left")
-    return joined.withColumns(
+    joined = null_safe(rows, seen, keys, "left").withColumns(
         {
             "first_seen": F.least("first_seen", "_first"), "last_seen": F.greatest("last_seen", "_last"),
-            "mention_count": F.col("mention_count") + F.coalesce("_more", F.lit(0)),
+            count: F.col(count) + F.coalesce("_more", F.lit(0)),
         }
-    ).select(*entities.columns)
+    )
+    if "tag" in log.columns and "tags" in rows.columns:
+        none = F.array().cast("array<string>")
+        joined = joined.withColumn("tags", F.array_sort(F.array_union(F.coalesce("tags", none), F.coalesce("_tags", none))))
+    return joined.select(*rows.columns)
+
+
+def provenance_links(log: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, fingerprint, evidence_id): the evidence of entities or relationships, each once; blank ids are ignored."""
+    evidence = F.nullif(F.trim("evidence_id"), F.lit("")).alias("evidence_id")
+    return log.select(*scope, "fingerprint", evidence).filter("evidence_id IS NOT NULL").distinct()

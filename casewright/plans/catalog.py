@@ -275,13 +275,83 @@ def relationships_resolved(spark, sf):
 
 @query
 def relationships_merged(spark, sf):
-    """Edges with properties of their own: merged key by key, the last value counts; sorted by type and ends."""
-    rows = graph.edges(sec_events(spark, sf), ["tenant_id"])
+    """Edges with properties of their own: merged key by key, the first value counts; sorted by type and ends."""
+    merged = graph.resolve_relationships(_own_edges(sec_events(spark, sf)), ["tenant_id"])
+    return merged.orderBy(*graph.relationship_sort_key()).select("fingerprint", _listed("properties"))
+
+
+def _own_edges(events: DataFrame) -> DataFrame:
+    """Edges with strengths, properties, metadata and tags of their event's number."""
     number = F.expr("CAST(replace(event_id, 'E-', '') AS BIGINT)")
     entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
     own = F.map_from_entries(F.array(entry("seen_by", number % 5), F.when(number % 3 == 0, entry("third", number)).otherwise(entry("other", F.lit(1)))))
-    merged = graph.resolve_relationships(rows.withColumn("properties", own), ["tenant_id"])
-    return merged.orderBy(*graph.relationship_sort_key()).select("fingerprint", _listed("properties"))
+    return graph.edges(events, ["tenant_id"]).withColumns(
+        {
+            "weight": (number % 7) / 8, "confidence": (number % 5) / 4, "properties": own,
+            "metadata": F.map_from_entries(F.array(entry("noted", number % 4))), "tags": F.array(F.concat(F.lit("t"), number % 6)),
+        }
+    )
+
+
+@query
+def relationships_merge_policies(spark, sf):
+    """Every policy of strength and conflict; null for a third of the tenants."""
+    rows = cut_lineage(_own_edges(_some_tenants(sec_events(spark, sf))))
+    out = None
+    for strength, on_property, on_metadata in (("max", "left", "left"), ("avg", "right", "left"), ("left", "left", "right"), ("right", "right", "right"), ("max", "raise", "raise")):
+        own = rows if on_property != "raise" else rows.withColumns(
+            {c: F.map_from_entries(F.array(F.struct(F.lit("rel").alias("key"), F.col("relationship_type").alias("value")))) for c in ("properties", "metadata")}
+        )
+        merged = graph.resolve_relationships(own, ["tenant_id"], strength, on_property, on_metadata).select(
+            F.lit(f"{strength}/{on_property}/{on_metadata}").alias("policy"), "tenant_id", "fingerprint", six("weight"), six("confidence"),
+            _listed("properties"), _listed("metadata"), text("tags"), "event_count", us("first_seen"), us("last_seen"),
+        )
+        out = merged if out is None else out.unionByName(merged)
+    return out
+
+
+@query
+def relationships_extended(spark, sf):
+    """The later half is the stored table, the earlier one comes after: sides count, not times."""
+    rows = _own_edges(_some_tenants(sec_events(spark, sf)))
+    stored, fresh = (
+        cut_lineage(graph.resolve_relationships(rows.filter(f"timestamp {side} '2024-01-16'"), ["tenant_id"], "left")) for side in (">=", "<")
+    )
+    out = None
+    for strength, conflict in (("left", "left"), ("right", "right"), ("avg", "left"), ("max", "right")):
+        merged = graph.extend_relationships(stored, fresh, ["tenant_id"], strength, conflict, conflict).select(
+            F.lit(f"{strength}/{conflict}").alias("policy"), "tenant_id", "fingerprint", six("weight"), six("confidence"),
+            _listed("properties"), _listed("metadata"), text("tags"), "event_count",
+        )
+        out = merged if out is None else out.unionByName(merged)
+    return out
+
+
+def _some_tenants(events: DataFrame) -> DataFrame:
+    return events.withColumn("tenant_id", F.when(F.col("tenant_id") != "tenant-0", F.col("tenant_id")))
+
+
+@query
+def entities_null_tenant(spark, sf):
+    """A third of the events have no tenant."""
+    g = graph.build(_some_tenants(sec_events(spark, sf)), ["tenant_id"])
+    return g["entities"].select(
+        "fingerprint", "entity_id", "tenant_id", "entity_type", "value", "normalized_value", "host", us("first_seen"),
+        us("last_seen"), "mention_count", _listed("properties"),
+    )
+
+
+@query
+def entity_lists_united(spark, sf):
+    """A property that is a list for most events, and a plain text for a few, after which lists begin anew; metadata keeps the first value."""
+    number = F.expr("CAST(replace(event_id, 'E-', '') AS BIGINT)")
+    some = F.concat(F.lit("["), number % 3, F.lit(',"x'), number % 4, F.lit('"]'))
+    entry = lambda k, v: F.create_map(F.lit(k), v.cast("string"))
+    rows = graph.mentions(_some_tenants(sec_events(spark, sf)), ["tenant_id"]).filter("entity_type IN ('domain', 'ip')").withColumns(
+        {"properties": entry("seen", F.when(number % 37 == 0, "plain").otherwise(some)), "metadata": entry("noted", number % 4)}
+    )
+    merged = graph.resolve_entities(rows, ["tenant_id"])
+    return merged.select("tenant_id", "fingerprint", F.element_at("properties", "seen").alias("seen"), F.element_at("metadata", "noted").alias("noted"))
 
 
 @query

@@ -283,10 +283,86 @@ SELECT fingerprint, entity_id, tenant_id, entity_type, value, normalized_value,
   properties FROM pr_ent"""
 SQL["relationships_merged"] = G + """,
 n AS (SELECT e.*, CAST(replace(event_id, 'E-', '') AS BIGINT) AS k FROM e),
-x AS (SELECT tenant_id, src, rel, dst, last(k % 5 ORDER BY ts, event_id) AS seen_by,
-  last(k ORDER BY ts, event_id) FILTER (k % 3 = 0) AS third, bool_or(k % 3 <> 0) AS other FROM n GROUP BY 1, 2, 3, 4)
+x AS (SELECT tenant_id, src, rel, dst, first(k % 5 ORDER BY ts, event_id) AS seen_by,
+  first(k ORDER BY ts, event_id) FILTER (k % 3 = 0) AS third, bool_or(k % 3 <> 0) AS other FROM n GROUP BY 1, 2, 3, 4)
 SELECT fingerprint, CASE WHEN other THEN 'other=1,' ELSE '' END || 'seen_by=' || seen_by || coalesce(',third=' || third, '') AS properties
 FROM x JOIN rel USING (tenant_id, src, rel, dst)"""
+_SOME = SEC.replace("'tenant-' || (u % 3) AS tenant_id", "CASE WHEN u % 3 <> 0 THEN 'tenant-' || (u % 3) END AS tenant_id")
+G_SOME = graph(base=_SOME)
+SQL["entities_null_tenant"] = G_SOME + PROPERTIES + """
+SELECT fingerprint, entity_id, tenant_id, entity_type, value, normalized_value, host, first_seen, last_seen, mention_count,
+  properties FROM pr_ent"""
+
+
+def _folded(policy: str, column: str) -> str:
+    """Strength of the edges of a group, folded one after the other."""
+    values = f"list({column} ORDER BY ts, event_id)"
+    return {"max": f"max({column})", "left": f"({values})[1]", "right": f"({values})[-1]", "avg": f"list_reduce({values}, lambda a, b: (a + b) / 2)"}[policy]
+
+
+def _own(side: str) -> str:
+    """Text of the properties of a group, the first or the last value of each key."""
+    pick = {"left": "first", "right": "last"}[side]
+    return (
+        f"CASE WHEN bool_or(k % 3 <> 0) THEN 'other=1,' ELSE '' END || 'seen_by=' || {pick}(k % 5 ORDER BY ts, event_id) "
+        f"|| coalesce(',third=' || {pick}(k ORDER BY ts, event_id) FILTER (k % 3 = 0), '')"
+    )
+
+
+_EDGES = """,
+n AS (SELECT e.*, CAST(replace(event_id, 'E-', '') AS BIGINT) AS k, (k % 7) / 8.0::DOUBLE AS weight, (k % 5) / 4.0::DOUBLE AS confidence FROM e)"""
+
+
+def _policy(strength: str, on_property: str, on_metadata: str) -> str:
+    own = "'rel=' || any_value(rel)" if on_property == "raise" else _own(on_property)
+    noted = "'rel=' || any_value(rel)" if on_metadata == "raise" else f"'noted=' || {'first' if on_metadata == 'left' else 'last'}(k % 4 ORDER BY ts, event_id)"
+    return f"""SELECT '{strength}/{on_property}/{on_metadata}' AS policy, n.tenant_id, any_value(fingerprint) AS fingerprint,
+  round({_folded(strength, "weight")}, 6) AS weight, round({_folded(strength, "confidence")}, 6) AS confidence, {own} AS properties, {noted} AS metadata,
+  array_to_string(list_sort(list(DISTINCT 't' || (k % 6))), ',') AS tags, count(*) AS event_count, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen
+FROM n JOIN rel AS r ON n.tenant_id IS NOT DISTINCT FROM r.tenant_id AND n.src = r.src AND n.rel = r.rel AND n.dst = r.dst GROUP BY n.tenant_id, n.src, n.rel, n.dst"""
+
+
+SQL["relationships_merge_policies"] = G_SOME + _EDGES + "\n" + "\nUNION ALL ".join(
+    _policy(*p) for p in (("max", "left", "left"), ("avg", "right", "left"), ("left", "left", "right"), ("right", "right", "right"), ("max", "raise", "raise"))
+).replace("any_value(rel)", "any_value(n.rel)")
+
+
+def _extended(strength: str, conflict: str) -> str:
+    one = {"left": "coalesce(s.{c}, f.{c})", "right": "coalesce(f.{c}, s.{c})", "max": "greatest(s.{c}, f.{c})", "avg": "CASE WHEN s.{c} IS NULL OR f.{c} IS NULL THEN coalesce(s.{c}, f.{c}) ELSE (s.{c} + f.{c}) / 2 END"}
+    a, b = ("s", "f") if conflict == "left" else ("f", "s")
+    pick = lambda c: f"coalesce({a}.{c}, {b}.{c})"
+    return f"""SELECT '{strength}/{conflict}' AS policy, tenant_id, fingerprint, round({one[strength].format(c="weight")}, 6) AS weight,
+  round({one[strength].format(c="confidence")}, 6) AS confidence,
+  CASE WHEN s.other OR f.other THEN 'other=1,' ELSE '' END || 'seen_by=' || {pick("seen_by")} || coalesce(',third=' || {pick("third")}, '') AS properties,
+  'noted=' || {pick("noted")} AS metadata, array_to_string(list_sort(list_distinct(list_concat(coalesce(s.tags, []), coalesce(f.tags, [])))), ',') AS tags,
+  coalesce(s.event_count, 0) + coalesce(f.event_count, 0) AS event_count FROM s FULL JOIN f USING (fingerprint, tenant_key, tenant_id)"""
+
+
+def _half(name: str, where: str) -> str:
+    first = lambda x: f"first({x} ORDER BY ts, event_id)"
+    return f""",
+{name} AS (SELECT coalesce(n.tenant_id, '') AS tenant_id, n.tenant_id IS NULL AS tenant_key, any_value(fingerprint) AS fingerprint, {first("weight")} AS weight,
+  {first("confidence")} AS confidence, bool_or(k % 3 <> 0) AS other, {first("k % 5")} AS seen_by, {first("k")} FILTER (k % 3 = 0) AS third, {first("k % 4")} AS noted,
+  list(DISTINCT 't' || (k % 6)) AS tags, count(*) AS event_count
+  FROM n JOIN rel AS r ON n.tenant_id IS NOT DISTINCT FROM r.tenant_id AND n.src = r.src AND n.rel = r.rel AND n.dst = r.dst WHERE {where}
+  GROUP BY n.tenant_id, n.src, n.rel, n.dst)"""
+
+
+SQL["relationships_extended"] = (
+    G_SOME + _EDGES + _half("s", "ts >= TIMESTAMP '2024-01-16'") + _half("f", "ts < TIMESTAMP '2024-01-16'") + "\nSELECT * REPLACE (nullif(tenant_id, '') AS tenant_id) FROM ("
+    + "\nUNION ALL ".join(_extended(*p) for p in (("left", "left"), ("right", "right"), ("avg", "left"), ("max", "right"))) + ")"
+)
+SQL["entity_lists_united"] = G_SOME + """,
+k AS (SELECT tenant_id, fp, ts, event_id, role, CAST(replace(event_id, 'E-', '') AS BIGINT) AS n FROM m WHERE entity_type IN ('domain', 'ip')),
+o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, fp ORDER BY ts, event_id, role) AS spot FROM k),
+p AS (SELECT *, max(CASE WHEN n % 37 = 0 THEN spot ELSE 0 END) OVER (PARTITION BY tenant_id, fp) AS plain, max(spot) OVER (PARTITION BY tenant_id, fp) AS newest FROM o),
+i AS (SELECT tenant_id, fp, spot, 0 AS place, (n % 3)::VARCHAR AS item FROM p WHERE spot > plain
+  UNION ALL SELECT tenant_id, fp, spot, 1, '"x' || (n % 4) || '"' FROM p WHERE spot > plain),
+f AS (SELECT tenant_id, fp, item, min((spot, place)) AS earliest FROM i GROUP BY 1, 2, 3),
+u AS (SELECT tenant_id, fp, '[' || string_agg(item, ',' ORDER BY earliest) || ']' AS seen FROM f GROUP BY 1, 2)
+SELECT p.tenant_id, p.fp AS fingerprint, CASE WHEN any_value(plain) = any_value(newest) THEN 'plain' ELSE any_value(u.seen) END AS seen,
+  first(n % 4 ORDER BY spot)::VARCHAR AS noted
+FROM p LEFT JOIN u ON u.fp = p.fp AND u.tenant_id IS NOT DISTINCT FROM p.tenant_id GROUP BY p.tenant_id, p.fp"""
 SQL["entity_type_counts"] = G + "\nSELECT entity_type, count(*) AS n FROM ent GROUP BY 1"
 SQL["entity_provenance"] = G + "\nSELECT eid AS entity_id, count(DISTINCT event_id) AS events FROM m GROUP BY 1"
 SQL["relationships_resolved"] = G + """
