@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.llm import words as W
-from casewright.llm.common import text_or_empty
+from casewright.llm.common import stored, text_or_empty
 from casewright.llm.toxicity import held_out
 
 LONGEST = 5
 #: Documents of each language that are learned from at most: a bounded sample by hash of the id.
 SAMPLE = 8_000
+#: Languages up to which the table of their shares is sent to every task.
+BROADCAST_LANGUAGES = 100_000
 #: Words and n-grams of each length that are kept of each language: the most frequent.
 KEPT_WORDS, KEPT_GRAMS = 30_000, 10_000
 #: Score of what a language does not know but another does.
@@ -91,8 +93,10 @@ def train(df: DataFrame, sample: int = SAMPLE) -> Languages:
     documents = df.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4, 2))
     sizes = documents.groupBy("lang").count()
     mix = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
-    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("_share"))
-    chosen = documents.join(share, "lang").filter(mix < F.col("_share") * 1_000_000)
+    share = stored(sizes.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")).alias("_share")))
+    # the shares go to the texts, not the texts to their language
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
+    chosen = documents.join(share, (F.col("lang") == F.col("_lang")) & (mix < F.col("_share") * 1_000_000))
     counted = chosen.select("lang", text_or_empty().cast("binary")).mapInArrow(_count, "lang string, kind int, key long, n long")
     totals = counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     by_n = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
