@@ -26,11 +26,14 @@ BINS = 256
 BANDS, ROWS = 30, 5
 #: Similarity, as a percentage, for which bands and sketches are made.
 LEAST_PERCENT = 80
-#: Rounds of stars with new centres before the rest is compared in full.
-STAR_ROUNDS = 2
-#: Differing 2-bit values of 256 bins at which a pair is given up without reading its sets. For
-#: similarity 0.8 the number is 38 on average with a deviation of 5.7: five and a half of them.
-MOST_APART = 70
+#: Sets of up to so many shingles also meet without one of them: two such sets of similarity 0.8 differ in one shingle, or each in one.
+TINY = 9
+#: Rounds of stars with new centres before the rest is compared in full; fewer if a round finds nothing.
+STAR_ROUNDS = 4
+#: Differing 2-bit values of 256 bins at which a pair is given up without reading its sets. For similarity 0.8 the number is 38
+#: on average with a deviation of 5 to 7, so this is seven of them. Sets of fewer shingles than ``SKETCHED`` are always read:
+#: there one bin can stand for a large share of a set.
+MOST_APART, SKETCHED = 90, 32
 
 SIGNATURES = "n_shingles long, set_a long, set_b long, bands array<bigint>, sketch array<bigint>"
 
@@ -61,6 +64,16 @@ def _set_hash(hashes: np.ndarray, begins: np.ndarray, salt: int) -> np.ndarray:
     return sums[begins[1:]] - sums[begins[:-1]]
 
 
+def _without_one(hashes: np.ndarray, begins: np.ndarray, sums: np.ndarray) -> list[np.ndarray]:
+    """Buckets of every tiny set: its own hash and those of what is left without one of its shingles."""
+    n, mixed = np.diff(begins), W.mix(hashes ^ np.uint64(0x51))
+    out = [np.zeros(0, np.uint64)] * len(n)
+    for i in np.flatnonzero((n > 0) & (n <= TINY)):
+        left = sums[i] - mixed[begins[i] : begins[i + 1]]
+        out[i] = W.mix(np.concatenate([sums[i : i + 1], left]) + np.uint64(BANDS))
+    return out
+
+
 def _longs(values: np.ndarray, rows: np.ndarray) -> pa.Array:
     """A list of longs for each row; null where ``rows`` is false."""
     width = values.shape[1]
@@ -86,12 +99,20 @@ def _sign(size: int):
                 for k in range(32):
                     packed |= bits[:, k::32] << np.uint64(2 * k)
                 some = n > 0
+                sums = [_set_hash(hashes, begins, salt) for salt in (0x51, 0xA7)]
+                more = _without_one(hashes, begins, sums[0])
+                widths = np.where(some, BANDS + np.array([len(m) for m in more], np.int64), 0)
+                joined = [x for i in np.flatnonzero(some) for x in (band[i], more[i])]
+                buckets = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)),
+                    pa.array(np.concatenate(joined).view(np.int64) if joined else np.zeros(0, np.int64)),
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(i).slice(row, len(texts)) for i in range(batch.num_columns - 1)],
                         pa.array(n, pa.int64()),
-                        *[pa.array(_set_hash(hashes, begins, salt).view(np.int64), mask=~some) for salt in (0x51, 0xA7)],
-                        _longs(band, some), _longs(packed, some),
+                        *[pa.array(x.view(np.int64), mask=~some) for x in sums],
+                        buckets, _longs(packed, some),
                     ],
                     names=[*batch.schema.names[:-1], "n_shingles", "set_a", "set_b", "bands", "sketch"],
                 )
@@ -155,11 +176,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _close(x: str, y: str) -> Column:
+    """Whether sketches do not rule out the pair of two structs or aliases with n and sketch."""
+    small = F.least(F.col(f"{x}.n"), F.col(f"{y}.n")) < SKETCHED
+    return small | (apart(F.col(f"{x}.sketch"), F.col(f"{y}.sketch")) <= MOST_APART)
+
+
 def _near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs whose sketches do not rule them out."""
-    left = sketches.select(F.col("row").alias("a"), F.col("sketch").alias("_x"))
-    right = sketches.select(F.col("row").alias("b"), F.col("sketch").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").filter(apart(F.col("_x"), F.col("_y")) <= MOST_APART).select("a", "b")
+    side = F.struct(F.col("n_shingles").alias("n"), "sketch")
+    left = sketches.select(F.col("row").alias("a"), side.alias("_x"))
+    right = sketches.select(F.col("row").alias("b"), side.alias("_y"))
+    return pairs.join(left, "a").join(right, "b").filter(_close("_x", "_y")).select("a", "b")
 
 
 def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,7 +221,7 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     single = signed.join(owners.select(F.col("owner").alias("row")), "row", "left_semi")
     members = stored(_shared_buckets(single.select("row", F.explode("bands").alias("bucket"))))
     meeting = stored(
-        signed.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "text_a", "text_b", "sketch")
+        signed.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "n_shingles", "text_a", "text_b", "sketch")
     )
     wanted = meeting.select("row", F.col("doc_id").alias("_id"), "text_a", "text_b")
     found = base.join(wanted, ["text_a", "text_b"]).filter(F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -201,15 +229,22 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
 
     placed = members.withColumn("root", F.col("row"))
     tried = labels = None
-    for turn in range(STAR_ROUNDS + 1):
-        pairs = _near(_star(placed, turn), meeting) if turn < STAR_ROUNDS else _near(_across(placed, sets, percent), meeting)
+    turn, last = 0, False
+    while True:
+        pairs = _across(placed, sets, meeting, percent) if last else _near(_star(placed, turn), meeting)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         links = stored(_confirmed(pairs, sets, percent))
         tried = pairs if tried is None else tried.union(pairs)
-        labels = components(links) if labels is None else extended(labels, links)
-        if turn < STAR_ROUNDS:
+        nothing = links.isEmpty()
+        if labels is None or not nothing:
+            labels = components(links) if labels is None else extended(labels, links)
+        if last:
+            break
+        turn += 1
+        last = turn == STAR_ROUNDS or (nothing and turn > 1)
+        if not nothing:
             rooted = members.join(labels.withColumnRenamed("node", "row"), "row", "left")
             placed = stored(rooted.select("bucket", "row", F.coalesce("root", "row").alias("root")))
 
@@ -224,13 +259,13 @@ def groups(df: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_i
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(placed: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that can be similar, among rows whose buckets hold several.
 
-    Exact: in one order of all shingles, rarest first, two sets that are similar enough share one
+    In one order of all shingles, rarest first, two sets that are similar enough share one
     of the first ``n - needed + 1`` shingles of each, and at the first that they share, what is
-    left of both must still reach the overlap that the similarity asks for. A row that differs
-    from its whole group begins with shingles of its own, so it meets nobody.
+    left of both must still reach the overlap that the similarity asks for. Rows of one template that have edits in common
+    still meet there; their sketches are compared where they meet, so what they rule out is no row of the result.
     """
     ranges = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     open_rows = placed.join(ranges.select("bucket"), "bucket").select("row", "root").distinct()
@@ -239,9 +274,10 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     by_rarity = Window.partitionBy("row").orderBy(F.desc("often"), F.desc("s"))
     # from the most frequent: what comes before the first common shingle need not be ranked
     ranked = each.join(common, "s").withColumn("at", F.col("n") - F.row_number().over(by_rarity) + 1)
-    first = stored(ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("row", "root", "n", "s", "at"))
+    first = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("row", "root", "n", "s", "at")
+    first = stored(first.join(sketches.select("row", "sketch"), "row"))
     x, y = first.alias("x"), first.alias("y")
     overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
     left = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     condition = (F.col("x.s") == F.col("y.s")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (left >= overlap)
-    return x.join(y, condition).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+    return x.join(y, condition & _close("x", "y")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()

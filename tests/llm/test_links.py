@@ -334,3 +334,41 @@ def test_decontamination_of_moved_blocks(spark, documents):
 def test_groups_refuse_a_similarity_that_would_lose_links(spark, documents):
     with pytest.raises(ValueError, match="80"):
         neardup.groups(documents([(1, "a b")]), percent=79)
+
+
+def family(seed, n, base_words, edits, pool):
+    """Texts of one template, each with as many edits from a small pool of replacements."""
+    pick, base = random.Random(seed), prose(seed, base_words).split()
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for at in pick.sample(range(base_words), edits):
+            words[at] = f"pool{pick.randrange(pool)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("words,edits", [(200, 10), (40, 3)])
+def test_candidates_of_a_template_family_do_not_grow_with_its_square(spark, documents, monkeypatch, words, edits):
+    made = []
+    whole = neardup._across
+    monkeypatch.setattr(neardup, "_across", lambda *a: made.append(whole(*a).count()) or whole(*a))
+    for n in (200, 400, 800):
+        rows = list(enumerate(family(5, n, words, edits, 20)))
+        neardup.groups(documents(rows), size=5).count()
+    assert max(made) <= 800 and made[2] <= 4 * max(made[0], 50)
+
+
+def test_sketches_and_buckets_lose_no_link_of_small_sets(spark, documents):
+    """Pairs of similarity 0.8: four of five shingles, eight of ten, sixteen of twenty, and sets of exactly 0.8 beyond."""
+    rows, pick = [], random.Random(8)
+    for k in range(1500):
+        n = [7, 8, 12, 20, 40][k % 5]  # words; a word more or another last word
+        own = [f"w{pick.randrange(10**9)}" for _ in range(n)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own, "z"] if k % 5 == 0 else [*own[:-1], "z"]))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(documents(rows), size=4).collect()}
+    sets = [shingle_set(t, 4) for _, t in rows]
+    for a in range(0, len(rows), 2):
+        x, y = sets[a], sets[a + 1]
+        linked = 100 * len(x & y) >= 80 * len(x | y)
+        assert (got[a + 1] == a) == linked
