@@ -66,6 +66,18 @@ def with_row_index(
     return joined.select(*df.columns, (F.col("_local") + F.coalesce("_offset", F.lit(0))).alias(name))
 
 
+def with_sum_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``column`` over the rows before, within ``keys``, as BIGINT; 0 for the first row."""
+    blocks = range_blocks(df, keys, order)
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = blocks.withColumn("_local", F.coalesce(F.sum(column).over(inside), F.lit(0)))
+    sums = blocks.groupBy(*keys, BLOCK).agg(F.sum(column).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, BLOCK, F.sum("_sum").over(before).alias("_offset"))
+    joined = _add_by_block(local, offsets.filter(F.col("_offset").isNotNull()), [*keys, BLOCK])
+    return joined.select(*df.columns, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long").alias(name))
+
+
 def _add_by_block(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join on null-safe keys.
 

@@ -677,15 +677,17 @@ def shortest_path(
 
 def descendant_pairs(
     relationships: DataFrame, scope: Sequence[str] = (), relationship_type: str = "spawned",
-    max_depth: int = vocab.CHAIN_MAX_DEPTH,
+    max_depth: int = vocab.CHAIN_MAX_DEPTH, roots: DataFrame | None = None,
 ) -> DataFrame:
-    """(scope, root, node): every node below a root within ``max_depth`` directed hops."""
+    """(scope, root, node): every node below a root (of ``roots``: scope, root) within ``max_depth`` directed hops."""
     keys = list(scope)
     step = cut_lineage(
         relationships.filter(F.col("relationship_type") == relationship_type)
         .select(*keys, F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
     )
     pairs = step.select(*keys, F.col("node").alias("root"), F.col("next").alias("node"))
+    if roots is not None:
+        pairs = cut_lineage(null_safe(pairs, roots, [*keys, "root"], "left_semi"))
     frontier = pairs
     for _ in range(1, max_depth):
         grown = null_safe(frontier, step, [*keys, "node"]).select(*keys, "root", F.col("next").alias("node"))
@@ -697,6 +699,43 @@ def descendant_pairs(
     return pairs
 
 
+def descendant_counts(
+    relationships: DataFrame, scope: Sequence[str] = (), relationship_type: str = "spawned",
+    max_depth: int = vocab.CHAIN_MAX_DEPTH,
+) -> DataFrame:
+    """(scope, root, descendants): how many nodes are below each root within ``max_depth`` directed hops.
+
+    Ways are counted hop by hop: those of a node are the sum over its children. Where no node in reach has two parents or
+    reaches itself every node has one way, so ways are nodes; only the other roots make pairs.
+    """
+    keys = list(scope)
+    step = cut_lineage(
+        relationships.filter(F.col("relationship_type") == relationship_type)
+        .select(*keys, F.col("source_id").alias("root"), F.col("target_id").alias("next")).distinct()
+    )
+    several = step.groupBy(*keys, "next").agg((F.count("*") > 1).alias("merged"))
+    # a loop that nothing enters has one parent for each node: its nodes still have ways of full length
+    edges_ = null_safe(step, several, [*keys, "next"]).withColumn("merged", F.col("merged").cast("double"))
+    edges_ = cut_lineage(edges_)
+    level = cut_lineage(edges_.groupBy(*keys, "root").agg(F.count("*").cast("double").alias("ways"), F.max("merged").alias("merged")))
+    levels = [level]
+    for _ in range(1, max_depth):
+        below = level.withColumnsRenamed({"root": "next", "merged": "_below"})
+        grown = null_safe(edges_.select(*keys, "root", "next", "merged"), below, [*keys, "next"])
+        level = cut_lineage(grown.groupBy(*keys, "root").agg(F.sum("ways").alias("ways"), F.max(F.greatest("merged", "_below")).alias("merged")))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    every = levels[0].withColumn("hops", F.lit(1))
+    for hops, more in enumerate(levels[1:], 2):
+        every = every.unionByName(more.withColumn("hops", F.lit(hops)))
+    found = every.groupBy(*keys, "root").agg(F.sum("ways").alias("ways"), F.max("merged").alias("merged"), F.max("hops").alias("hops"))
+    unsure = (F.col("merged") > 0) | (F.col("hops") == max_depth)
+    exact = found.filter(~unsure).select(*keys, "root", F.col("ways").cast("long").alias("descendants"))
+    pairs = descendant_pairs(relationships, keys, relationship_type, max_depth, cut_lineage(found.filter(unsure).select(*keys, "root")))
+    return exact.unionByName(pairs.groupBy(*keys, "root").agg(F.count("*").alias("descendants")))
+
+
 def longest_lineage(relationships: DataFrame, entity_id: str, max_depth: int = 10) -> DataFrame:
     """Longest chain of spawning ancestors of one node: (position, entity_id).
 

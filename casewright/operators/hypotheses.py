@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright import vocab
+from casewright.functions.joins import null_safe
 from casewright.functions.identity import hypothesis_fingerprint
 from casewright.functions.text import TECHNIQUE_PATTERN, lookup
 
@@ -152,12 +153,12 @@ def correlation_sub(pairs: DataFrame) -> DataFrame:
 def chain_sub(entities: DataFrame, descendants: DataFrame) -> DataFrame:
     """SUB for the process with the most spawned descendants, from two upwards.
 
-    ``descendants``: (case_id, root, node) as ``graph.descendant_pairs`` gives them.
+    ``descendants``: (case_id, root, descendants) as ``graph.descendant_counts`` gives them.
     """
-    counted = descendants.groupBy("case_id", F.col("root").alias("entity_id")).agg(F.count("*").alias("descendant_count"))
+    counted = descendants.select("case_id", F.col("root").alias("entity_id"), F.col("descendants").alias("descendant_count"))
     counted = counted.filter(F.col("descendant_count") >= vocab.MIN_CHAIN_DESCENDANTS)
-    named = counted.join(
-        entities.select("case_id", "entity_id", "tenant_id", "value", "normalized_value", "host"), ["case_id", "entity_id"]
+    named = null_safe(
+        counted, entities.select("case_id", "entity_id", "tenant_id", "value", "normalized_value", "host"), ["case_id", "entity_id"]
     )
     key = F.struct(-F.col("descendant_count"), F.col("normalized_value"), F.coalesce("host", F.lit("")))
     best = named.groupBy("case_id").agg(F.min_by(F.struct("tenant_id", "value", "descendant_count"), key).alias("b"))

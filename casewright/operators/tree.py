@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casewright.functions.ordered import with_sum_before
 from casewright.session import cut_lineage
 
 NODE_COLUMNS = ["node", "host", "pid", "name", "parent_pid", "guid", "parent_guid", "event_id"]
@@ -133,6 +134,55 @@ def depths(tree: DataFrame) -> DataFrame:
     return state.select("node", "root", "depth", (F.col("below") - 1).alias("descendants"))
 
 
+def intervals(tree: DataFrame) -> DataFrame:
+    """(node, root, depth, descendants, enter, leave) of every node.
+
+    ``enter`` counts the nodes of a tree from 0 as a walk meets them, children by (pid, node); ``leave`` is the number of the
+    last node below. So a node is below another of the same root when its number lies in the other's range: lineages and
+    subtrees are filters, and no table of pairs is made.
+
+    A node's number is that of its parent, one, and the sizes of the siblings before it; numbers add up along the way to the root by
+    doubling, a round for each power of two of the deepest tree.
+    """
+    sizes = cut_lineage(depths(tree).join(tree.select("node", "parent", "pid"), "node"))
+    below = sizes.filter(F.col("parent").isNotNull()).withColumn("_size", F.col("descendants") + 1)
+    placed = with_sum_before(below, ["parent"], ["pid", "node"], "_size", "_before")
+    state = cut_lineage(placed.select("node", F.col("parent").alias("up"), (F.col("_before") + 1).alias("enter")))
+    moving, done = state, None
+    while True:
+        # who has no way further up has its number; the others add that of the ancestor they have come to
+        further = moving.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("enter").alias("enter2"))
+        if done is not None:
+            further = further.unionByName(done.select(F.col("node").alias("up"), F.lit(None).cast("string").alias("up2"), F.col("enter").alias("enter2")))
+        joined = moving.join(further, "up", "left")
+        stepped = cut_lineage(joined.select("node", F.col("up2").alias("up"), (F.col("enter") + F.coalesce("enter2", F.lit(0))).alias("enter")))
+        ended = stepped.filter(F.col("up").isNull())
+        done = ended if done is None else done.unionByName(ended)
+        moving = stepped.filter(F.col("up").isNotNull())
+        if moving.isEmpty():
+            break
+    numbered = sizes.join(done.select("node", "enter"), "node", "left")
+    enter = F.coalesce("enter", F.lit(0).cast("long"))
+    return numbered.select("node", "root", "depth", "descendants", enter.alias("enter"), (enter + F.col("descendants")).alias("leave"))
+
+
+def _range(labels: DataFrame, node: str) -> DataFrame:
+    names = {c: f"_{c}" for c in ("root", "depth", "enter", "leave")}
+    return F.broadcast(labels.filter(F.col("node") == node).select(*[F.col(c).alias(n) for c, n in names.items()]))  # one row
+
+
+def inside(labels: DataFrame, node: str) -> DataFrame:
+    """Rows of ``intervals`` below a node."""
+    met = (F.col("root") == F.col("_root")) & (F.col("enter") > F.col("_enter")) & (F.col("enter") <= F.col("_leave"))
+    return labels.join(_range(labels, node), met).select(*labels.columns)
+
+
+def around(labels: DataFrame, node: str) -> DataFrame:
+    """Rows of ``intervals`` above a node, and its own, with ``distance``: their ranges hold its number."""
+    met = (F.col("root") == F.col("_root")) & F.col("_enter").between(F.col("enter"), F.col("leave"))
+    return labels.join(_range(labels, node), met).select(*labels.columns, (F.col("_depth") - F.col("depth")).alias("distance"))
+
+
 def ancestors(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(node, ancestor, distance): the way from each node (of ``of``) to its root.
 
@@ -163,8 +213,7 @@ def ancestors(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
 
 def lineage(tree: DataFrame, node: str) -> DataFrame:
     """Root to node, as (position, node)."""
-    spark = tree.sparkSession
-    way = ancestors(tree, spark.createDataFrame([(node,)], "node string"))
+    way = ancestors(tree, tree.sparkSession.createDataFrame([(node,)], "node string"))
     length = way.groupBy("node").agg(F.max("distance").alias("top"))
     return way.join(length, "node").select(
         (F.col("top") - F.col("distance")).alias("position"), F.col("ancestor").alias("node")

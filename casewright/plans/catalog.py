@@ -415,7 +415,7 @@ def shortest_path(spark, sf):
 def process_spawn_reach(spark, sf):
     """Processes below each process of a case within ten spawning steps, counted."""
     edges = graph.resolve_relationships(graph.edges(sec_events(spark, sf), ["case_id"]), ["case_id"])
-    return graph.descendant_pairs(edges, ["case_id"]).groupBy("case_id", "root").agg(F.count("*").alias("below"))
+    return graph.descendant_counts(edges, ["case_id"]).withColumnRenamed("descendants", "below")
 
 
 @query
@@ -596,6 +596,19 @@ def process_lineage(spark, sf):
     return tree.ancestors(_tree(spark, sf)).select("node", "ancestor", "distance")
 
 
+@query
+def process_intervals(spark, sf):
+    return tree.intervals(_tree(spark, sf))
+
+
+@query
+def process_subtree(spark, sf):
+    """What is below a node, and the way from it to the root, by ranges."""
+    labels = cut_lineage(tree.intervals(_tree(spark, sf)))
+    below = tree.inside(labels, "HOST-3|pid:4").select("node", "depth", F.lit("below").alias("side"))
+    return below.unionByName(tree.around(labels, "HOST-3|pid:4").select("node", F.col("distance").alias("depth"), F.lit("above").alias("side")))
+
+
 @query
 def process_descendant_counts(spark, sf):
     return tree.depths(_tree(spark, sf)).select("node", "root", "depth", "descendants")
@@ -714,7 +727,7 @@ def hypothesis_sub_correlation(spark, sf):
 @query
 def hypothesis_sub_chain(spark, sf):
     g = graph.build(sec_events(spark, sf), ["case_id"])
-    rows = hypotheses.chain_sub(g["entities"], graph.descendant_pairs(g["relationships"], ["case_id"]))
+    rows = hypotheses.chain_sub(g["entities"], graph.descendant_counts(g["relationships"], ["case_id"]))
     return rows.select("case_id", "statement", "rationale", text("mitre_techniques"), "hypothesis_id")
 
 

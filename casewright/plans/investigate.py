@@ -58,7 +58,7 @@ def investigate(
     totals = tables["correlation_totals"] = totals if found_pairs is None or found_pairs.few else cut_lineage(totals)
     entities = tables["entities"] = cut_lineage(tables["entities"])
     relationships = tables["relationships"] = cut_lineage(tables["relationships"])
-    below = graph.descendant_pairs(relationships, ["case_id"])
+    below = graph.descendant_counts(relationships, ["case_id"])
     made = hypotheses.all_kinds(
         found, best, entities, relationships, below, templates, stages.min_evidence
     )

@@ -471,6 +471,16 @@ SQL["process_lineage"] = TREE + "\nSELECT node, ancestor, distance FROM up"
 SQL["process_descendant_counts"] = TREE + """
 SELECT a.node, last(a.ancestor ORDER BY a.distance) AS root, max(a.distance) AS depth, min(c.n) - 1 AS descendants
 FROM up a JOIN (SELECT ancestor, count(*) AS n FROM up GROUP BY 1) c ON c.ancestor = a.node GROUP BY 1"""
+SQL["process_intervals"] = TREE + """,
+c AS (SELECT ancestor, count(*) AS n FROM up GROUP BY 1),
+w AS (SELECT node, last(ancestor ORDER BY distance) AS root, max(distance) AS depth,
+  list(CAST(split_part(ancestor, ':', 2) AS BIGINT) ORDER BY distance DESC) AS way FROM up GROUP BY 1),
+o AS (SELECT w.*, n - 1 AS descendants, row_number() OVER (PARTITION BY root ORDER BY way) - 1 AS enter FROM w JOIN c ON c.ancestor = w.node)
+SELECT node, root, depth, descendants, enter, enter + descendants AS leave FROM o"""
+SQL["process_subtree"] = TREE + """
+SELECT up.node, d.depth, 'below' AS side FROM up JOIN (SELECT node, max(distance) AS depth FROM up GROUP BY 1) d USING (node)
+  WHERE ancestor = 'HOST-3|pid:4' AND distance > 0
+UNION ALL SELECT ancestor, distance, 'above' FROM up WHERE node = 'HOST-3|pid:4'"""
 
 # -- detection ---------------------------------------------------------------------------------------
 

@@ -109,6 +109,8 @@ def test_walks(spark):
     assert up == ["e", "d", "c", "b", "a"]
     below = {r.root: r.n for r in graph.descendant_pairs(rows).groupBy("root").agg(F.count("*").alias("n")).collect()}
     assert below == {"a": 5, "b": 3, "c": 2, "x": 2, "d": 1, "p": 1}
+    counts = {r.root: r.descendants for r in graph.descendant_counts(rows).collect()}
+    assert counts == below
     near = presets.process_lineage(
         spark.createDataFrame([(x, "process") for x in "abcdexpq"], "entity_id string, entity_type string"), rows, "e", max_depth=2
     )
@@ -156,6 +158,51 @@ def test_tree_walks(make_events, spark):
     assert below == {j for j in parent if 60 in way(j)} - {60}
 
 
+def test_intervals(make_events):
+    rng = random.Random(4)
+    parent = {i: None if i % 40 == 0 else rng.randrange(i - i % 40, i) for i in range(160)}
+    rows = build(make_events, [process(i, "h", i, p) for i, p in parent.items()])
+    labels = tree.intervals(rows).cache()
+    got = {int(r.node.split(":")[1]): r for r in labels.collect()}
+    children = {i: sorted(j for j in parent if parent[j] == i) for i in parent}
+
+    def walk(i, number, depth, root):
+        """The number after the subtree of i."""
+        assert (got[i].enter, got[i].depth, got[i].root) == (number, depth, f"h|pid:{root}")
+        after = number + 1
+        for child in children[i]:
+            after = walk(child, after, depth + 1, root)
+        assert got[i].leave == after - 1 and got[i].descendants == after - 1 - number
+        return after
+
+    for root in range(0, 160, 40):
+        walk(root, 0, 0, root)
+    below = {r.node for r in tree.descendants(rows, "h|pid:41").collect()}
+    assert {r.node for r in tree.inside(labels, "h|pid:41").collect()} == below
+    way = [r.node for r in tree.lineage(rows, "h|pid:79").collect()]
+    assert [r.node for r in tree.around(labels, "h|pid:79").orderBy("depth").collect()] == way
+    with pytest.raises(tree.CycleError):
+        tree.intervals(build(make_events, [process(1, "h", 1, 2), process(2, "h", 2, 1)]))
+    assert tree.intervals(rows.filter("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_descendant_counts_equal_pairs(spark, seed):
+    """Trees, merging ways and loops, in several scopes, one of them null."""
+    rng = random.Random(seed)
+    rows = []
+    for scope in ("a", "b", None):
+        for i in range(1, 40):
+            rows.append((scope, f"n{rng.randrange(max(0, i - 4), i)}", f"n{i}"))
+        if scope == "b":
+            rows += [(scope, f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(4)]
+        rows += [(scope, f"l{i}", f"l{(i + 1) % 5}") for i in range(5)] + [(scope, "l0", "tail")]
+    edges_ = spark.createDataFrame([(*r, "spawned") for r in rows if r[1] != r[2]], "case_id string, source_id string, target_id string, relationship_type string")
+    pairs = graph.descendant_pairs(edges_, ["case_id"]).groupBy("case_id", "root").agg(F.count("*").alias("descendants"))
+    counts = graph.descendant_counts(edges_, ["case_id"])
+    assert sorted(map(tuple, counts.collect()), key=str) == sorted(map(tuple, pairs.collect()), key=str)
+
+
 def test_tree_errors(make_events):
     cycle = build(make_events, [process(1, "h", 1, 3), process(2, "h", 2, 1), process(3, "h", 3, 2)])
     with pytest.raises(tree.CycleError):
