@@ -639,40 +639,83 @@ def subgraph(
     return {"entities": inside, "relationships": known_ends_only(relationships, inside)}
 
 
-def shortest_path(
-    relationships: DataFrame, source_id: str, target_id: str, max_depth: int = 5,
-) -> DataFrame:
-    """Nodes on one shortest undirected path, in order; no rows when there is none.
+_ASK = ["source_id", "target_id"]
+
+
+def shortest_paths(relationships: DataFrame, asks: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(source_id, target_id, position, entity_id): one shortest undirected path for each ask, none beyond ``max_depth`` steps.
 
-    Breadth first from the source; among equal ways the smallest node id wins.
+    ``asks``: source_id, target_id; all are answered in one run. Every ask grows two frontiers, from its source and from its target, in each
+    round the one with fewer edges, until they meet: an ask whose source is beside a busy node does not visit what that node reaches. Among equal ways
+    the smallest node id before the target wins, then the one before that. ``relationships`` is read twice a round, to count and to follow, with the frontier
+    sent to it where its counted size allows; give it as a table.
     """
-    spark = relationships.sparkSession
-    seed = spark.createDataFrame([(source_id,)], "entity_id string")
-    adjacent = cut_lineage(both_directions(relationships).select("node", "other").distinct())
-    visited = cut_lineage(
-        seed.select(F.col("entity_id").alias("node"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("depth"))
-    )
-    frontier, found = visited, source_id == target_id
-    for hop in range(1, max_depth + 1):
-        if found:
-            break
-        size = frontier.count()
+    asks = asks.select(*_ASK).dropna().distinct()
+    adjacent = both_directions(relationships).select("node", "other")
+    none = F.lit(None).cast("string")
+    ends = [asks.select(*_ASK, F.lit(i).alias("side"), F.col(c).alias("node"), F.lit(0).alias("depth"), none.alias("via")) for i, c in enumerate(_ASK)]
+    visited = cut_lineage(ends[0].unionByName(ends[1]))
+    frontier, met = visited, asks.filter("source_id = target_id").select(*_ASK, F.col("source_id").alias("node"))
+    met, edges_ = cut_lineage(met), None
+    for _ in range(max_depth):
+        waiting = frontier.join(met.select(*_ASK).distinct(), _ASK, "left_anti")
+        size = waiting.count()
         if size == 0:
             break
-        step = adjacent.join(_small(frontier.select("node"), size), "node")
-        fresh = step.groupBy(F.col("other").alias("n")).agg(F.min("node").alias("via"))
-        fresh = fresh.withColumnRenamed("n", "node").join(visited.select("node"), "node", "left_anti")
-        frontier = cut_lineage(fresh.select("node", "via", F.lit(hop).alias("depth")))
-        visited = visited.unionByName(frontier)
-        found = frontier.filter(F.col("node") == target_id).count() > 0
-    path = visited.filter(F.col("node") == target_id).select("node", "via", "depth")
-    if not found:
-        return path.limit(0)
-    out, current = path, path
-    for _ in range(max_depth):  # at most max_depth rows, one more join for each
-        current = visited.join(F.broadcast(current.select(F.col("via").alias("node"))), "node").select("node", "via", "depth")
-        out = out.unionByName(current)
-    return out.select(F.col("depth").alias("position"), F.col("node").alias("entity_id"))
+        # what growing a side costs is the edges at its nodes, counted before any is followed
+        edges_at = adjacent.select("node").join(_small(waiting.select(*_ASK, "side", "node"), size), "node")
+        turn = edges_at.groupBy(*_ASK, "side").agg(F.count("*").alias("n")).groupBy(*_ASK)
+        # an ask with a frontier that leads nowhere has no path
+        turn = cut_lineage(turn.agg(F.min_by("side", F.struct("n", "side")).alias("side"), F.count("*").alias("sides")).filter("sides = 2").drop("sides"))
+        growing = waiting.join(turn, [*_ASK, "side"]).select(*_ASK, "side", "node", "depth")
+        step = adjacent.join(_small(growing, size), "node").select(*_ASK, "side", F.col("other").alias("node"), F.col("node").alias("via"), (F.col("depth") + 1).alias("depth"))
+        # every edge into a node that this side has not seen
+        new = cut_lineage(step.distinct().join(visited, [*_ASK, "side", "node"], "left_anti"))
+        fresh = cut_lineage(new.groupBy(*_ASK, "side", "node", "depth").agg(F.min("via").alias("via")).select(*visited.columns))
+        other = visited.select(*_ASK, (1 - F.col("side")).alias("side"), "node")
+        met = cut_lineage(met.unionByName(fresh.join(other, [*_ASK, "side", "node"], "left_semi").select(*_ASK, "node")))
+        visited = visited.unionByName(fresh)
+        frontier = cut_lineage(waiting.join(turn, [*_ASK, "side"], "left_anti").select(*visited.columns).unionByName(fresh))
+        edges_ = new if edges_ is None else edges_.unionByName(new)
+    if edges_ is None:
+        return met.select(*_ASK, F.lit(0).alias("position"), F.col("node").alias("entity_id"))
+    return _joined_paths(met, visited, edges_.filter("side = 1"), max_depth)
+
+
+def _joined_paths(met: DataFrame, visited: DataFrame, edges_: DataFrame, max_depth: int) -> DataFrame:
+    """Paths through the nodes where the two sides of ``shortest_paths`` met. ``edges_``: those that the targets' sides went."""
+    near, far = (visited.filter(f"side = {i}").select(*_ASK, "node", "depth", "via") for i in (0, 1))
+    meeting = met.join(far, [*_ASK, "node"]).select(*_ASK, "node", "depth")
+    length = met.join(near, [*_ASK, "node"]).select(*_ASK, "node", F.col("depth").alias("_near")).join(meeting, [*_ASK, "node"])
+    length = length.groupBy(*_ASK).agg(F.min(F.col("_near") + F.col("depth")).alias("length"))
+    # what lies between the meeting nodes and the target
+    on, layer = meeting, meeting
+    for depth in range(max_depth, 0, -1):
+        down = on.filter(F.col("depth") == depth).join(edges_, [*_ASK, "node", "depth"])
+        layer = down.select(*_ASK, F.col("via").alias("node"), (F.col("depth") - 1).alias("depth")).distinct()
+        on = on.unionByName(layer)
+    on = cut_lineage(on.distinct())
+    current = on.filter("depth = 0").select(*_ASK, "node")
+    way = current.withColumn("depth", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        options = edges_.filter(F.col("depth") == depth).join(on, [*_ASK, "node", "depth"]).join(current.withColumnRenamed("node", "via"), [*_ASK, "via"])
+        current = options.groupBy(*_ASK).agg(F.min("node").alias("node"))
+        way = way.unionByName(current.withColumn("depth", F.lit(depth)))
+    way = cut_lineage(way.join(length, _ASK).select(*_ASK, "node", (F.col("length") - F.col("depth")).alias("position")))
+    out = way
+    # from the last node of the target's side to the source
+    current = way.groupBy(*_ASK).agg(F.min_by("node", "position").alias("node"))
+    for _ in range(max_depth):
+        back = current.join(near, [*_ASK, "node"]).filter("via IS NOT NULL")
+        current = back.select(*_ASK, F.col("via").alias("node"))
+        out = out.unionByName(back.select(*_ASK, F.col("via").alias("node"), (F.col("depth") - 1).alias("position")))
+    return out.select(*_ASK, "position", F.col("node").alias("entity_id"))
+
+
+def shortest_path(relationships: DataFrame, source_id: str, target_id: str, max_depth: int = 5) -> DataFrame:
+    """Nodes on one shortest undirected path, in order; no rows when there is none. See ``shortest_paths``."""
+    ask = relationships.sparkSession.createDataFrame([(source_id, target_id)], "source_id string, target_id string")
+    return shortest_paths(relationships, ask, max_depth).select("position", "entity_id")
 
 
 def descendant_pairs(

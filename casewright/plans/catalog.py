@@ -408,7 +408,18 @@ def subgraph_2hop(spark, sf):
 def shortest_path(spark, sf):
     _, g = _graph(spark, sf)
     ends = derived.address_ids("tenant-1", "203.0.113.7", "203.0.113.21")
-    return graph.shortest_path(g["relationships"], *ends)
+    return graph.shortest_path(cut_lineage(g["relationships"]), *ends)
+
+
+@query
+def shortest_paths_many(spark, sf):
+    """From each of three addresses to all processes of a host, in one run."""
+    _, g = _graph(spark, sf)
+    entities = cut_lineage(g["entities"].filter("tenant_id = 'tenant-1'"))
+    sources = entities.filter("entity_type = 'ip' AND value IN ('203.0.113.7', '203.0.113.8', '10.0.1.1')").select(F.col("entity_id").alias("source_id"), F.lit(1).alias("k"))
+    targets = entities.filter("entity_type = 'process' AND host = 'host-4'").select(F.col("entity_id").alias("target_id"), F.lit(1).alias("k"))
+    asks = sources.join(targets, "k").drop("k")
+    return graph.shortest_paths(cut_lineage(g["relationships"]), asks, 4)
 
 
 @query

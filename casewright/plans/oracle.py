@@ -417,6 +417,17 @@ via AS (SELECT l.node, min(p.node) AS prev FROM lev l JOIN adj ON adj.other = l.
 back(node, d) AS (SELECT node, d FROM lev WHERE node = (SELECT b FROM ends)
   UNION ALL SELECT via.prev, d - 1 FROM back JOIN via USING (node) WHERE d > 0)
 SELECT d AS position, node AS entity_id FROM back"""
+SQL["shortest_paths_many"] = G + """,
+ask AS (SELECT a.entity_id AS source_id, b.entity_id AS target_id FROM ent a, ent b WHERE a.tenant_id = 'tenant-1' AND b.tenant_id = 'tenant-1'
+  AND a.entity_type = 'ip' AND a.value IN ('203.0.113.7', '203.0.113.8', '10.0.1.1') AND b.entity_type = 'process' AND b.host = 'host-4'),
+walk(source_id, node, d) AS (SELECT DISTINCT source_id, source_id, 0 FROM ask
+  UNION SELECT source_id, adj.other, d + 1 FROM walk JOIN adj USING (node) WHERE d < 4),
+lev AS (SELECT source_id, node, min(d) AS d FROM walk GROUP BY 1, 2),
+via AS (SELECT l.source_id, l.node, min(p.node) AS prev FROM lev l JOIN adj ON adj.other = l.node
+  JOIN lev p ON p.source_id = l.source_id AND p.node = adj.node AND p.d = l.d - 1 GROUP BY 1, 2),
+back(source_id, target_id, node, d) AS (SELECT ask.source_id, target_id, target_id, d FROM ask JOIN lev ON lev.source_id = ask.source_id AND node = target_id
+  UNION ALL SELECT back.source_id, target_id, via.prev, d - 1 FROM back JOIN via ON via.source_id = back.source_id AND via.node = back.node WHERE d > 0)
+SELECT source_id, target_id, d AS position, node AS entity_id FROM back"""
 REACH = """,
 sp AS (SELECT DISTINCT case_id, src, dst FROM e WHERE rel = 'spawned'),
 below(case_id, root, node, d) AS (SELECT case_id, src, dst, 1 FROM sp

@@ -158,6 +158,54 @@ def test_tree_walks(make_events, spark):
     assert below == {j for j in parent if 60 in way(j)} - {60}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_shortest_paths_of_many_asks(spark, seed):
+    rng = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(45)]
+    pairs = [rng.sample(names, 2) for _ in range(60)]
+    near = {n: set() for n in names}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+
+    def path(a, b, most):
+        """Breadth first from the source; back from the target by the smallest id."""
+        depth, layer = {a: 0}, [a]
+        while layer:
+            layer = sorted({y for x in layer for y in near[x]} - set(depth))
+            depth |= {y: max(depth.values()) + 1 for y in layer}
+        if depth.get(b, most + 1) > most:
+            return None
+        way = [b]
+        while way[-1] != a:
+            way.append(min(y for y in near[way[-1]] if depth.get(y) == depth[way[-1]] - 1))
+        return way[::-1]
+
+    asks = [tuple(rng.sample(names, 2)) for _ in range(60)] + [("n01", "n01"), ("n02", "missing"), ("n03", None)]
+    rows = spark.createDataFrame([("spawned", a, b, 1.0, 1.0) for a, b in pairs], "relationship_type string, source_id string, target_id string, weight double, confidence double")
+    got = {}
+    for r in graph.shortest_paths(rows, spark.createDataFrame([*asks, asks[0]], "source_id string, target_id string"), 6).orderBy("position").collect():
+        got.setdefault((r.source_id, r.target_id), []).append((r.position, r.entity_id))
+    near["missing"] = set()
+    want = {(a, b): path(a, b, 6) for a, b in asks if b}
+    assert got == {k: list(enumerate(w)) for k, w in want.items() if w}
+    assert sum(w is None for w in want.values()) > 3 and max(len(w) for w in want.values() if w) > 5
+
+
+def test_two_sides_leave_a_hub_alone(spark, monkeypatch):
+    """The source is beside a node with ten thousand others: the target's side, which is small, is grown instead."""
+    n = 10_000
+    rows = spark.range(n).select(F.lit("hub").alias("source_id"), F.concat(F.lit("leaf"), "id").alias("target_id"))
+    rows = rows.unionByName(spark.createDataFrame([("s", "hub"), ("hub", "a"), ("a", "b"), ("b", "t")], "source_id string, target_id string"))
+    rows = rows.withColumns({"relationship_type": F.lit("spawned"), "weight": F.lit(1.0), "confidence": F.lit(1.0)})
+    seen = []
+    whole = graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: seen.append(out := whole(df)) or out)
+    path = [r.entity_id for r in graph.shortest_path(rows, "s", "t").orderBy("position").collect()]
+    assert path == ["s", "hub", "a", "b", "t"]
+    assert max(df.count() for df in seen) <= 2 * int(n**0.5)
+
+
 def test_intervals(make_events):
     rng = random.Random(4)
     parent = {i: None if i % 40 == 0 else rng.randrange(i - i % 40, i) for i in range(160)}
