@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright import vocab
-from casewright.functions.joins import null_safe
 from casewright.functions.identity import hypothesis_fingerprint
+from casewright.functions.joins import null_safe
 from casewright.functions.text import TECHNIQUE_PATTERN, lookup
 
 COLUMNS = [
@@ -211,27 +211,59 @@ def with_contradictions(hypotheses: DataFrame, links: DataFrame) -> DataFrame:
     return joined.withColumn("contradict_count", F.coalesce("_against", "contradict_count")).select(*hypotheses.columns)
 
 
-def merge(versions: DataFrame, support: DataFrame, contradict: DataFrame) -> DataFrame:
-    """Merge versions of one hypothesis: highest confidence, most advanced status.
+def _united(rows: DataFrame, column: str) -> DataFrame:
+    """(fingerprint, column): the lists of all versions united and sorted; each item is sent once a task."""
+    items = rows.select("fingerprint", F.explode(column).alias("_v")).groupBy("fingerprint", "_v").agg(F.lit(1).alias("_n"))
+    return items.groupBy("fingerprint").agg(F.array_sort(F.collect_list("_v")).alias(column))
+
+
+#: Lists of hypotheses that are united where versions are merged.
+UNITED = ("mitre_techniques", "mitre_tactics", "missing_evidence", "tags")
 
-    ``support`` and ``contradict`` hold (fingerprint, evidence_id). Evidence on both
-    sides of one hypothesis is an error, reported in ``overlap_count``.
+
+def merge(versions: DataFrame, support: DataFrame, contradict: DataFrame, on_overlap: str = "raise") -> DataFrame:
+    """Merge versions of one hypothesis: highest confidence, most advanced status, united lists, widest time.
+
+    ``versions``: fingerprint, confidence, status, statement, hypothesis_type, the lists of ``UNITED``, and as far as they have them
+    rationale, first_seen, last_seen and version (their order: the first rationale that is not blank stays).
+    ``support`` and ``contradict`` hold (fingerprint, evidence_id); ``merged_links`` has them united. Evidence on both
+    sides of one hypothesis fails the job, unless ``on_overlap`` is ``report``; ``overlap_count`` tells how much.
     """
+    if on_overlap not in ("raise", "report"):
+        raise ValueError("on_overlap must be raise or report")
     rank = lookup(F.col("status"), {s: i for i, s in enumerate(vocab.HYPOTHESIS_STATUS_ADVANCE)})
+    has = set(versions.columns)
+    times = {"first_seen", "last_seen"} <= has
+    more = [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")] if times else []
+    if "rationale" in has:
+        said = F.when(F.trim("rationale") != "", F.col("rationale"))
+        order = F.struct(*(["version"] if "version" in has else []), "rationale")
+        more.append(F.min_by(said, F.when(said.isNotNull(), order)).alias("rationale"))
     merged = versions.groupBy("fingerprint").agg(
         F.max("confidence").alias("confidence"), F.max_by("status", rank).alias("status"),
-        F.min("statement").alias("statement"), F.min("hypothesis_type").alias("hypothesis_type"),
+        F.min("statement").alias("statement"), F.min("hypothesis_type").alias("hypothesis_type"), *more,
     )
-    count = lambda rows, name: rows.groupBy("fingerprint").agg(F.count_distinct("evidence_id").alias(name))
-    overlap = support.select("fingerprint", "evidence_id").distinct().join(
-        contradict.select("fingerprint", "evidence_id").distinct(), ["fingerprint", "evidence_id"], "left_semi"
+    for column in UNITED:
+        if column in has:
+            merged = merged.join(_united(versions, column), "fingerprint", "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+    links = merged_links(support, contradict).groupBy("fingerprint").agg(
+        F.count_if("supports").alias("support_count"), F.count_if("contradicts").alias("contradict_count"),
+        F.count_if(F.col("supports") & F.col("contradicts")).alias("overlap_count"),
     )
-    out = merged
-    for rows, name in ((support, "support_count"), (contradict, "contradict_count"), (overlap, "overlap_count")):
-        out = out.join(count(rows, name), "fingerprint", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    out = merged.join(links, "fingerprint", "left").na.fill(0, ["support_count", "contradict_count", "overlap_count"])
+    if on_overlap == "raise":
+        clash = F.raise_error(F.concat(F.lit("evidence on both sides of hypothesis "), "fingerprint"))
+        out = out.filter(F.when(F.col("overlap_count") > 0, clash.cast("boolean")).otherwise(True))
     return out
 
 
+def merged_links(support: DataFrame, contradict: DataFrame) -> DataFrame:
+    """(fingerprint, evidence_id, supports, contradicts): the evidence of all versions, each once."""
+    side = lambda rows, ok: rows.select("fingerprint", "evidence_id", F.lit(ok).alias("supports"), F.lit(not ok).alias("contradicts"))
+    both = side(support, True).unionByName(side(contradict, False))
+    return both.groupBy("fingerprint", "evidence_id").agg(F.bool_or("supports").alias("supports"), F.bool_or("contradicts").alias("contradicts"))
+
+
 def row_errors(support: str = "supporting_evidence_ids", contradict: str = "contradicting_evidence_ids") -> Column:
     """Rules a hypothesis row with id lists breaks; an empty list means valid."""
     length = F.length(F.trim("statement"))

@@ -54,7 +54,8 @@ def enrich(distinct: DataFrame, feed: DataFrame, providers: DataFrame | None = N
     """One result per (indicator, provider).
 
     ``feed``: provider, indicator_type, indicator, found, malicious_count, total_count,
-    reputation, tags, error. With ``providers`` (provider, types) every distinct
+    reputation, tags, error and, where it tells the time, answered_at. Of several answers of one provider the first in time
+    counts; without times, or at one time, the most malicious. With ``providers`` (provider, types) every distinct
     indicator gets a row for every provider: an error row where the provider does not
     know the type, and a not-found row where its feed is silent.
     """
@@ -77,10 +78,12 @@ def enrich(distinct: DataFrame, feed: DataFrame, providers: DataFrame | None = N
             F.lit(True).alias("ok"),
         )
     keys = ["provider", "indicator_type", "indicator"]
+    never = F.lit("9999-12-31").cast("timestamp")
+    first = [F.coalesce("answered_at", never)] if "answered_at" in feed.columns else []
     answers = feed.groupBy(*keys).agg(
         F.min_by(
             F.struct("found", "malicious_count", "total_count", "reputation", "tags", "error"),
-            F.struct(-F.col("malicious_count"), "total_count"),
+            F.struct(*first, -F.col("malicious_count"), "total_count", F.coalesce("reputation", F.lit(0)), F.coalesce("error", F.lit(""))),
         ).alias("a")
     )
     joined = asked.join(answers, keys, "left")

@@ -672,6 +672,18 @@ def intel_enrichment(spark, sf):
     )
 
 
+@query
+def intel_first_answers(spark, sf):
+    """Every provider answers once more later, more malicious: the first answer stays."""
+    found = intel.distinct_indicators(intel.indicators(sec_events(spark, sf)))
+    feed = derived.intel_feed(found).withColumn("answered_at", F.lit("2024-02-01").cast("timestamp"))
+    later = feed.withColumns({"answered_at": F.lit("2024-02-02").cast("timestamp"), "malicious_count": F.col("malicious_count") + 1, "found": F.lit(True)})
+    return intel.with_verdict(intel.enrich(found, later.unionByName(feed), intel.provider_support(spark))).select(
+        "indicator_type", "indicator", "provider", "found", "malicious_count", "total_count", six("detection_ratio"),
+        "is_malicious", "error",
+    )
+
+
 @query
 def intel_summary(spark, sf):
     return intel.summary(_intel(spark, sf))
@@ -720,6 +732,20 @@ def hypothesis_support(spark, sf):
     return hypotheses.support_links(rows, hypotheses.main_and_counter(rows)).select("case_id", "hypothesis_id", "evidence_id")
 
 
+@query
+def hypotheses_merged(spark, sf):
+    """One hypothesis of many cases has one fingerprint: its versions merged, with their evidence of both sides."""
+    rows = evidence.from_events(sec_events(spark, sf))
+    made = cut_lineage(hypotheses.main_and_counter(rows))
+    prints = made.select("hypothesis_id", "fingerprint")
+    support = hypotheses.support_links(rows, made).join(prints, "hypothesis_id")
+    merged = hypotheses.merge(made, support, derived.contradictions(rows, made).join(prints, "hypothesis_id"), on_overlap="report")
+    return merged.select(
+        "fingerprint", "hypothesis_type", "statement", "status", "confidence", text("mitre_techniques"), text("missing_evidence"),
+        "support_count", "contradict_count", "overlap_count",
+    )
+
+
 @query
 def hypothesis_contradictions(spark, sf):
     rows = evidence.from_events(sec_events(spark, sf))

@@ -551,6 +551,7 @@ SQL["intel_enrichment"] = IOC + """
 SELECT indicator_type, indicator, provider, found, malicious_count, total_count,
   round(CASE WHEN total_count > 0 THEN malicious_count / CAST(total_count AS DOUBLE) ELSE 0.0 END, 6) AS detection_ratio,
   malicious_count > 0 AS is_malicious, error FROM verdict"""
+SQL["intel_first_answers"] = SQL["intel_enrichment"]
 SQL["intel_summary"] = IOC + """
 SELECT count(DISTINCT indicator) AS indicator_count,
   count(*) FILTER (error IS NULL AND malicious_count > 0) AS malicious,
@@ -611,6 +612,17 @@ SELECT case_id, hypothesis_id, evidence_id FROM te JOIN hyp USING (case_id, tech
 _AGAINST = """,
 ag AS (SELECT hypothesis_id, evidence_id FROM hyp JOIN ev USING (case_id)
   WHERE kind = 'main' AND statement = 'Possible ingress tool transfer' AND severity % 10 = 3)"""
+SQL["hypotheses_merged"] = HYP + _AGAINST + """,
+su AS (SELECT fingerprint, evidence_id, true AS s, false AS c FROM te JOIN hyp USING (case_id, technique) WHERE kind = 'main'
+  UNION ALL SELECT fingerprint, evidence_id, false, true FROM ag JOIN hyp USING (hypothesis_id)),
+li AS (SELECT fingerprint, evidence_id, bool_or(s) AS s, bool_or(c) AS c FROM su GROUP BY 1, 2),
+lc AS (SELECT fingerprint, count(*) FILTER (s) AS s, count(*) FILTER (c) AS c, count(*) FILTER (s AND c) AS o FROM li GROUP BY 1)
+SELECT fingerprint, any_value(kind) AS hypothesis_type, any_value(statement) AS statement,
+  CASE WHEN bool_or(status = 'supported') THEN 'supported' ELSE 'proposed' END AS status, max(confidence) AS confidence,
+  string_agg(DISTINCT technique, ',' ORDER BY technique) AS mitre_techniques,
+  array_to_string(list_sort(list_distinct(flatten(list(string_split(missing, ','))))), ',') AS missing_evidence,
+  coalesce(any_value(lc.s), 0) AS support_count, coalesce(any_value(lc.c), 0) AS contradict_count, coalesce(any_value(lc.o), 0) AS overlap_count
+FROM hyp LEFT JOIN lc USING (fingerprint) GROUP BY 1"""
 SQL["hypothesis_contradictions"] = HYP + _AGAINST + """
 SELECT hypothesis_id, support_count, (SELECT count(*) FROM ag WHERE ag.hypothesis_id = hyp.hypothesis_id) AS contradict_count FROM hyp"""
 SQL["evidence_edges"] = HYP + _AGAINST + """

@@ -134,8 +134,19 @@ def test_hypothesis_merge_and_errors(spark):
         "fingerprint string, hypothesis_type string, statement string, status string, confidence double",
     )
     ids = lambda *e: spark.createDataFrame([("f", x) for x in e], "fingerprint string, evidence_id string")
-    row = hypotheses.merge(versions, ids("a", "b"), ids("b")).first()
+    row = hypotheses.merge(versions, ids("a", "b"), ids("b"), on_overlap="report").first()
     assert (row.confidence, row.status, row.support_count, row.overlap_count) == (0.9, "supported", 2, 1)
+    with pytest.raises(Exception, match="both sides"):
+        hypotheses.merge(versions, ids("a"), ids("a", "c")).select("status").collect()
+    full = spark.createDataFrame(
+        [("f", "main", "s", "confirmed", 0.2, ["T2", "T1"], ["log"], " ", 2, "2024-01-02"), ("f", "main", "s", "rejected", 0.1, ["T3", "T1"], [], "late", 3, "2024-01-05"),
+         ("f", "main", "s", "proposed", 0.3, None, ["disk", "log"], "first", 2, "2024-01-01")],
+        "fingerprint string, hypothesis_type string, statement string, status string, confidence double, mitre_techniques array<string>, "
+        "missing_evidence array<string>, rationale string, version int, first_seen string",
+    ).withColumn("last_seen", F.col("first_seen"))
+    row = hypotheses.merge(full, ids("a", "b", "a"), ids("c")).first()
+    assert (row.status, row.confidence, row.mitre_techniques, row.missing_evidence, row.rationale) == ("confirmed", 0.3, ["T1", "T2", "T3"], ["disk", "log"], "first")
+    assert (row.first_seen, row.last_seen, row.support_count, row.contradict_count, row.overlap_count) == ("2024-01-01", "2024-01-05", 2, 1, 0)
     bad = spark.createDataFrame(
         [("counter", "ab", ["X1"], ["e"], ["e"], "p", "confirmed", "", 1.2)],
         "hypothesis_type string, statement string, mitre_techniques array<string>, supporting_evidence_ids array<string>, "
