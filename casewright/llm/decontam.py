@@ -57,6 +57,43 @@ def window(length: int, breaks: int | None = None) -> int:
     return w
 
 
+def tiles(length: int, breaks: int | None, width: int) -> int:
+    """Whole tiles of ``width`` words that every occurrence of an item has in common with it, within the item's length.
+
+    Its good shingles cover words in one to ``breaks + 1`` runs; of a run of L words at least (L - 2 * width + 2) / width whole
+    tiles are inside.
+    """
+    shingles, own = max(length - SHINGLE + 1, 1), min(length, SHINGLE) - 1
+    most = (_bad(shingles) // (SHINGLE - 1) if breaks is None else breaks) + 1
+    good = -(-shingles * PERCENT // 100)
+    return max(1, min(-(-(good + parts * own - parts * (2 * width - 2)) // width) for parts in (1, most)))
+
+
+def _kind(items: DataFrame) -> DataFrame:
+    """Add ``width`` and ``needed``: ``window`` and ``tiles`` of every item, as expressions."""
+    own, most = F.least("length", F.lit(SHINGLE)) - 1, F.col("breaks") + 1
+    good = F.ceil(F.size("shingles") * PERCENT / 100)
+    run = F.ceil(good / most) + own
+    width = F.lit(1)
+    for w in (2**k for k in range(1, WIDEST.bit_length())):
+        width = F.when(run >= 2 * w - 1, w).otherwise(width)
+    items = items.withColumn("width", width.cast("int"))
+    least = [F.ceil((good + parts * own - parts * (2 * F.col("width") - 2)) / F.col("width")) for parts in (F.lit(1), most)]
+    return items.withColumn("needed", F.greatest(F.lit(1), F.least(*least)).cast("int"))
+
+
+def _crowded(at: Column) -> Column:
+    """Of sorted tile places those that lie with ``needed`` or more within the item's length."""
+    def fits(k: Column) -> Column:
+        last = F.get(at, k + F.col("needed") - 1)
+        return F.coalesce(last + F.col("width") - F.get(at, k) <= F.col("length"), F.lit(False))
+
+    def begins(i: Column) -> Column:
+        return F.sequence(F.greatest(i - F.col("needed") + 1, F.lit(0)), i)
+
+    return F.filter(at, lambda p, i: F.exists(begins(i), fits))
+
+
 def _repeated(runs: Column) -> Column:
     """How many of sorted values are not alone."""
     return F.size(F.filter(runs, lambda v, i: F.coalesce(v == F.get(runs, i - 1), F.lit(False)) | F.coalesce(v == F.get(runs, i + 1), F.lit(False))))
@@ -179,20 +216,19 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.withColumn("shingles", _runs(F.col("words"), F.least("length", F.lit(SHINGLE))))
     items = items.withColumns({name: F.sort_array(_runs(F.col("words"), int(name[-1]))) for name in repeats})
     items = items.withColumns({name: _repeated(F.col(name)) for name in repeats})
-    items = stored(items.withColumn("breaks", _breaks(F.col("shingles"), [F.col(name) for name in repeats])).drop(*repeats))
-    kinds = [(r["length"], r["breaks"]) for r in items.select("length", "breaks").distinct().collect()]
-    widths = sorted({window(*k) for k in kinds})  # powers of two: seven at most
+    items = items.withColumn("breaks", _breaks(F.col("shingles"), [F.col(name) for name in repeats])).drop(*repeats)
+    items = stored(_kind(items))
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # powers of two: seven at most
     if not widths:
         empty = "doc_id long, item_id long, start int, end int, similarity double"
         return documents.sparkSession.createDataFrame([], empty)
-    of_kind = F.create_map(*[F.lit(v) for n, breaks in kinds for v in ((n << 32) + breaks, window(n, breaks))])
-    kind = F.shiftleft(F.col("length").cast("long"), 32) + F.col("breaks")
     index = None
     for width in widths:
-        own = items.filter(F.element_at(of_kind, kind) == width)
-        rows = own.select("item_id", "length", F.explode(_prints(F.col("words"), width, 1)).alias("w")).select("item_id", "length", "w.width", "w.print")
+        own = items.filter(F.col("width") == width)
+        rows = own.select("item_id", "length", "needed", F.explode(_prints(F.col("words"), width, 1)).alias("w"))
+        rows = rows.select("item_id", "length", "needed", "w.width", "w.print")
         index = rows if index is None else index.union(rows)
-    index = stored(_by_block(index.distinct(), ["item_id", "length", "width"]))
+    index = stored(_by_block(index.distinct(), ["item_id", "length", "needed", "width"]))
     index = index.withColumnRenamed("print", "item_print")
     if index.count() <= BROADCAST_ROWS:
         index = F.broadcast(index)
@@ -204,7 +240,9 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
     probes = _by_block(tiled, ["doc_id", "content", "width", "place"]).withColumnsRenamed({"width": "_width", "block": "_block"})
     hits = probes.join(index, (F.col("_width") == F.col("width")) & (F.col("_block") == F.col("block")) & near)
-    hit_tiles = hits.groupBy("doc_id", "content", "item_id", "length", "width").agg(F.sort_array(F.collect_set("place")).alias("at"))
+    hit_tiles = hits.groupBy("doc_id", "content", "item_id", "length", "needed", "width").agg(F.sort_array(F.collect_set("place")).alias("at"))
+    # a text is read again only where as many tiles meet within an item's length as every occurrence leaves unchanged
+    hit_tiles = hit_tiles.withColumn("at", _crowded(F.col("at"))).filter(F.size("at") > 0)
     # the starts of all stretches that cover a tile, but of none that the tile before has had
     starts = F.transform(
         "at",

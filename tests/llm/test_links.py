@@ -372,3 +372,12 @@ def test_sketches_and_buckets_lose_no_link_of_small_sets(spark, documents):
         x, y = sets[a], sets[a + 1]
         linked = 100 * len(x & y) >= 80 * len(x | y)
         assert (got[a + 1] == a) == linked
+
+
+def test_windows_and_tiles_as_expressions(spark):
+    kinds = [(n, b) for n in (1, 2, 4, 5, 6, 9, 14, 16, 20, 23, 37, 40, 59, 60, 94, 130, 400) for b in (0, 1, 2, 5)]
+    frame = spark.createDataFrame([(n, b, [0] * max(n - 4, 1)) for n, b in kinds], "length int, breaks int, shingles array<int>")
+    for r in decontam._kind(frame).collect():
+        width = decontam.window(r["length"], r["breaks"])
+        assert (r["width"], r["needed"]) == (width, decontam.tiles(r["length"], r["breaks"], width))
+    assert decontam.tiles(59, 1, 8) == 3 and decontam.tiles(20, 0, 8) == 1
