@@ -600,13 +600,18 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Hops up to which a walk is one plan, without an action between its hops.
+ONE_PLAN = 6
+
+
 def reach(
     relationships: DataFrame, seeds: DataFrame, depth: int, directed: bool = False,
 ) -> DataFrame:
     """Nodes within ``depth`` hops of the seeds, with their distance.
 
-    One join per hop; each frontier is written out, so a lost executor costs one
-    hop and the plan does not grow. Stops when a hop finds nothing new.
+    Up to ``ONE_PLAN`` hops are one plan: a hop's nodes are distinct, so none is larger than the graph, and a node's distance is the
+    first hop that has it. Longer walks write each frontier out, so a lost executor costs one hop and the plan does not
+    grow, and stop when a hop finds nothing new.
     """
     if depth < 0:
         raise ValueError("depth must not be negative")
@@ -614,11 +619,15 @@ def reach(
         adjacent = relationships.select(F.col("source_id").alias("node"), F.col("target_id").alias("other"))
     else:
         adjacent = both_directions(relationships).select("node", "other")
-    adjacent = adjacent.distinct()
-    visited = cut_lineage(seeds.select(F.col("entity_id").alias("node")).distinct().withColumn("depth", F.lit(0)))
-    frontier = visited
-    if depth > 1:
-        adjacent = cut_lineage(adjacent)
+    visited = seeds.select(F.col("entity_id").alias("node")).distinct().withColumn("depth", F.lit(0))
+    if depth <= ONE_PLAN:
+        layer = visited
+        for hop in range(1, depth + 1):
+            layer = adjacent.join(layer.select("node"), "node").select(F.col("other").alias("node")).distinct().withColumn("depth", F.lit(hop))
+            visited = visited.unionByName(layer)
+        return visited.groupBy("node").agg(F.min("depth").alias("depth"))
+    frontier = visited = cut_lineage(visited)
+    adjacent = cut_lineage(adjacent.distinct())
     for hop in range(1, depth + 1):
         size = frontier.count()
         if size == 0:
@@ -786,21 +795,16 @@ def longest_lineage(relationships: DataFrame, entity_id: str, max_depth: int = 1
     path, and among equally long chains the smallest ids win.
     """
     spark = relationships.sparkSession
-    up = cut_lineage(
-        relationships.filter("relationship_type = 'spawned'")
-        .select(F.col("target_id").alias("node"), F.col("source_id").alias("parent")).distinct()
-    )
+    up = relationships.filter("relationship_type = 'spawned'").select(F.col("target_id").alias("node"), F.col("source_id").alias("parent"))
     layer = spark.createDataFrame([(entity_id, [entity_id])], "node string, path array<string>")
-    layers = [layer]
+    ways = layer
     for _ in range(max_depth):
         grown = up.join(layer, "node").filter(~F.array_contains("path", F.col("parent")))
         grown = grown.select(F.col("parent").alias("node"), F.concat("path", F.array("parent")).alias("path"))
         # one path per node and length is enough for the longest chain
-        layer = cut_lineage(grown.groupBy("node").agg(F.min("path").alias("path")))
-        if layer.isEmpty():
-            break
-        layers.append(layer)
-    best = layers[-1].agg(F.min("path").alias("path"))
+        layer = grown.groupBy("node").agg(F.min("path").alias("path"))
+        ways = ways.unionByName(layer)
+    best = ways.agg(F.min_by("path", F.struct(-F.size("path"), "path")).alias("path"))
     return best.select(F.posexplode("path").alias("position", "entity_id"))
 
 

@@ -404,6 +404,24 @@ def subgraph_2hop(spark, sf):
     )
 
 
+def _a_child(relationships: DataFrame) -> str:
+    """The process with the smallest id that another one of tenant-1 has spawned."""
+    return relationships.filter("relationship_type = 'spawned' AND tenant_id = 'tenant-1'").agg(F.min("target_id")).first()[0] or ""
+
+
+@query
+def lineage_of_entity(spark, sf):
+    relationships = cut_lineage(_graph(spark, sf)[1]["relationships"])
+    return graph.longest_lineage(relationships, _a_child(relationships), 4)
+
+
+@query
+def process_lineage_preset(spark, sf):
+    _, g = _graph(spark, sf)
+    relationships = cut_lineage(g["relationships"])
+    return presets.process_lineage(g["entities"], relationships, _a_child(relationships)).select("entity_id", "value", "host", "depth")
+
+
 @query
 def shortest_path(spark, sf):
     _, g = _graph(spark, sf)

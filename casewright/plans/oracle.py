@@ -408,6 +408,19 @@ near AS (SELECT node, min(d) AS depth FROM walk GROUP BY 1)"""
 SQL["subgraph_2hop"] = _SEEDED + """
 SELECT entity_id, entity_type, depth FROM ent JOIN near ON node = entity_id
 UNION ALL SELECT fingerprint, rel, -1 FROM rel WHERE src IN (SELECT node FROM near) AND dst IN (SELECT node FROM near)"""
+_CHILD = """,
+child AS (SELECT min(dst) AS id FROM rel WHERE rel = 'spawned' AND tenant_id = 'tenant-1'),
+spawn AS (SELECT DISTINCT src, dst FROM rel WHERE rel = 'spawned')"""
+SQL["lineage_of_entity"] = G + _CHILD + """,
+way(node, path) AS (SELECT id, [id] FROM child
+  UNION ALL SELECT src, list_append(path, src) FROM way JOIN spawn ON dst = node WHERE NOT list_contains(path, src) AND len(path) <= 4),
+best AS (SELECT path FROM way ORDER BY len(path) DESC, path LIMIT 1)
+SELECT unnest(path) AS entity_id, generate_subscripts(path, 1) - 1 AS position FROM best"""
+SQL["process_lineage_preset"] = G + _CHILD + """,
+walk(node, d) AS (SELECT id, 0 FROM child
+  UNION SELECT CASE WHEN src = node THEN dst ELSE src END, d + 1 FROM walk JOIN spawn ON src = node OR dst = node WHERE d < 5),
+near AS (SELECT node, min(d) AS depth FROM walk GROUP BY 1)
+SELECT entity_id, value, host, depth FROM ent JOIN near ON node = entity_id WHERE entity_type = 'process'"""
 SQL["shortest_path"] = G + """,
 ends AS (SELECT (SELECT entity_id FROM ent WHERE tenant_id = 'tenant-1' AND entity_type = 'ip' AND value = '203.0.113.7') AS a,
   (SELECT entity_id FROM ent WHERE tenant_id = 'tenant-1' AND entity_type = 'ip' AND value = '203.0.113.21') AS b),
