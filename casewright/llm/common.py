@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,27 +45,45 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def _from_files(df: DataFrame) -> DataFrame:
+    """``df``, written first if its rows are not those of files."""
+    try:
+        df.select(df.metadataColumn("_metadata")["file_path"])
+    except AnalysisException:
+        return stored(df)
+    return df
+
+
+#: Files up to which the table of their numbers is sent to every task.
+BROADCAST_FILES = 100_000
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a number for each row, unique and equal in every evaluation.
 
-    For Parquet tables as they are read. The number is that of the file and the row's place in it, so it
+    For Parquet tables as they are read; other rows are written first. The number is that of the file and the row's place in it, so it
     does not depend on how a scan packs files into partitions, which changes with the cores of a cluster.
     """
-    path = fresh(df, "_path")
-    paths = df.select(F.col("_metadata.file_path").alias(path)).distinct()
-    files = stored(paths.select(path, F.row_number().over(Window.orderBy(path)).cast("long").alias("_file")))
-    placed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
-    return placed.join(F.broadcast(files), path).withColumn(name, F.col("_file") * (1 << 40) + F.col(name)).select(*df.columns, name)
+    df = _from_files(df)
+    path, file = fresh(df, "_path"), fresh(df, "_file")
+    meta = df.metadataColumn("_metadata")
+    paths = df.select(meta["file_path"].alias(path)).distinct()
+    files = stored(paths.select(path, F.row_number().over(Window.orderBy(path)).cast("long").alias(file)))
+    files = F.broadcast(files) if files.count() <= BROADCAST_FILES else files
+    placed = df.select("*", meta["file_path"].alias(path), meta["row_index"].alias(name))
+    return placed.join(files, path).withColumn(name, F.col(file) * (1 << 40) + F.col(name)).select(*df.columns, name)
 
 
-def file_order() -> Column:
-    """The place of a row in a Parquet table as it was written: part, file of the part, row of the file.
+def ordered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the place of a row in a Parquet table as it was written: part, file of the part, row of the file.
 
     A scan takes files by size, so the order in which it returns rows is not this one.
     """
-    name = F.col("_metadata.file_name")
-    part, split = (F.regexp_extract(name, p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\."))
-    return F.struct(part.alias("part"), split.alias("split"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    df = _from_files(df)
+    meta = df.metadataColumn("_metadata")
+    part, split = (F.regexp_extract(meta["file_name"], p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    place = F.struct(part.alias("part"), split.alias("split"), meta["file_path"].alias("path"), meta["row_index"].alias("at"))
+    return df.withColumn(name, place)
 
 
 #: Hash classes that ``narrowed`` tells apart: the most rows it sends to every task.

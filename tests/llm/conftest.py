@@ -5,7 +5,8 @@ import pytest
 #: Columns whose names also stand inside the operators.
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, score double, kept boolean, row_number long, "
-    "shard int, size string, word string, content string, bucket string, row string, root long, passes int"
+    "shard int, size string, word string, content string, bucket string, row string, root long, passes int, "
+    "_file string, _path long, _position string, _metadata string, _mark string"
 )
 
 
@@ -14,7 +15,7 @@ def documents(spark):
     """A table of documents with clashing extra columns, from (doc_id, text[, lang[, source]]) tuples."""
 
     def make(rows):
-        full = [(*r, *(None,) * (4 - len(r)), 7, 0.5, True, 1, 2, "big", "w", "c", "b", "r", 3, 4) for r in rows]
+        full = [(*r, *(None,) * (4 - len(r)), 7, 0.5, True, 1, 2, "big", "w", "c", "b", "r", 3, 4, "f", 5, "p", "m", "k") for r in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return make

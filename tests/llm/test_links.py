@@ -262,6 +262,14 @@ def test_pipeline_stages(spark, documents):
     assert Counter(r["doc_id"] for r in tokens.collect()) == Counter(r["doc_id"] for r in mixed.collect())
 
 
+def test_pipeline_stages_on_rows_that_are_no_files(spark, documents, edges):
+    sf = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        made = documents(edges)
+        out = stage(spark, made, sf)
+        assert out.count() > 0 and (name == "tokens" or out.columns == made.columns)
+
+
 def test_pipeline_stages_on_odd_rows(spark, documents, edges):
     sf = "/root/testdata/sf0.001"
     for rows in (edges, []):
