@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm import decontam, mixing, neardup, toxicity, wavelet
-from casewright.llm.common import file_order, fresh, numbered, read, shared_folder, stored
+from casewright.llm.common import fresh, numbered, ordered, read, shared_folder, stored
 from casewright.llm.queries import vocabulary
 
 
@@ -50,20 +50,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a word (null, empty, blank) have no pass, so they go here.
     """
-    row = fresh(docs, "row_number")
+    row, position = fresh(docs, "row_number"), fresh(docs, "_position")
     rows = numbered(docs, row)
     mixed = mixing.mix(rows.select(F.col(row).alias("doc_id"), "source", "text"))
     whole = F.filter("passes", lambda p: 2 * p["taken"] >= F.col("size"))
-    times = mixed.select(F.col("doc_id").alias(row), F.explode(whole).alias("_pass")).select(row, F.col("_pass.position").alias("_position"))
+    times = mixed.select(F.col("doc_id").alias(row), F.explode(whole).alias("_pass")).select(row, F.col("_pass.position").alias(position))
     taken = rows.join(times, row)
-    return taken.repartitionByRange("_position", row).sortWithinPartitions("_position", row).select(*docs.columns)
+    return taken.repartitionByRange(position, row).sortWithinPartitions(position, row).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Wavelet shards in the order in which ``docs`` was written; every document as it is read back from them."""
     row = fresh(docs, "row_number")
     path = shared_folder(spark)
-    wavelet.write(docs.withColumn(row, file_order()), path, vocabulary(), order=row)
+    wavelet.write(ordered(docs, row), path, vocabulary(), order=row)
     return wavelet.documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
