@@ -36,15 +36,15 @@ def _carried(events: DataFrame) -> list[str]:
 
 
 def lolbins(events: DataFrame, table: DataFrame | None = None, min_severity: str = "LOW") -> DataFrame:
-    """Process events whose binary is in the registry (a table of a few dozen rows)."""
-    table = registry(events.sparkSession) if table is None else table
+    """Process events whose binary is in the registry: the built-in one of a few dozen rows, or the caller's of any size."""
+    table = F.broadcast(registry(events.sparkSession)) if table is None else table
     least = vocab.FINDING_SEVERITY[min_severity]
     wanted = table.withColumn("severity", _severity_value(F.col("severity_name"))).filter(F.col("severity") >= least)
     name = F.lower(basename(F.col("process.name")))
     starts = events.filter(F.col("category") == "process").select(
         *_carried(events), "event_id", name.alias("binary"), F.col("process.command_line").alias("command_line")
     )
-    return starts.join(F.broadcast(wanted), "binary").select(
+    return starts.join(wanted, "binary").select(
         *_carried(events), "event_id",
         F.concat(F.lit("lolbin."), F.col("binary")).alias("rule_id"),
         F.concat(F.lit("LOLBin execution: "), F.col("binary")).alias("rule_name"),

@@ -72,13 +72,14 @@ def main_and_counter(
     """One MAIN per technique with enough evidence, and its COUNTER."""
     if min_evidence < 1:
         raise ValueError("min_evidence must be at least 1")
-    table = templates(evidence.sparkSession) if table is None else table
+    # the built-in table is a few dozen rows; adaptive execution decides about a caller's
+    table = F.broadcast(templates(evidence.sparkSession)) if table is None else table
     counted = (
         technique_evidence(evidence).groupBy("case_id", "technique")
         .agg(F.first("tenant_id").alias("tenant_id"), F.count("*").alias("n"))
         .filter(F.col("n") >= min_evidence)
     )
-    known = counted.join(F.broadcast(table), "technique", "left")  # a few dozen templates
+    known = counted.join(table, "technique", "left")
     technique, n = F.col("technique"), F.col("n")
     main_text = F.coalesce("main_statement", F.concat(F.lit(vocab.GENERIC_MAIN_PREFIX), technique))
     counter_text = F.coalesce("counter_statement", F.concat(F.lit(vocab.GENERIC_COUNTER_PREFIX), technique))

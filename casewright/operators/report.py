@@ -34,14 +34,15 @@ def recommended_actions(hypotheses: DataFrame, cases: DataFrame, table: DataFram
     The number of actions of a case is bounded by the templates, not by its events.
     """
     spark = hypotheses.sparkSession
-    table = technique_actions(spark) if table is None else table
+    # the built-in table is a few dozen rows; adaptive execution decides about a caller's
+    table = F.broadcast(technique_actions(spark)) if table is None else table
     rank = F.array_position(F.array(*[F.lit(t) for t in vocab.HYPOTHESIS_TYPES]), F.col("hypothesis_type"))
     ranked = hypotheses.withColumn("type_rank", rank)
     active = ~F.col("status").isin("confirmed", "rejected")
     from_technique = (
         ranked.filter((F.col("hypothesis_type") == "main") & active)
         .select("case_id", "type_rank", "fingerprint", F.posexplode("mitre_techniques").alias("t", "technique"))
-        .join(F.broadcast(table), "technique")
+        .join(table, "technique")
         .select("case_id", F.lit(0).alias("part"), "type_rank", "fingerprint", "t", F.posexplode("actions").alias("i", "action"))
     )
     from_missing = ranked.select(
