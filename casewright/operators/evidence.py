@@ -130,15 +130,27 @@ def from_event(
     return rows.withColumn("content_hash", evidence_hash())
 
 
-def flags(evidence: DataFrame) -> DataFrame:
-    """Boolean views of strength and confidence."""
-    return evidence.withColumns(
+def flags(evidence: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Boolean views of strength, confidence, origin and verification.
+
+    With ``links`` (evidence_id, hypothesis_id, assessment) also how many hypotheses it supports and contradicts.
+    """
+    out = evidence.withColumns(
         {
             "is_strong": F.col("strength").isin("strong", "critical"),
             "is_critical": F.col("strength") == "critical",
             "is_high_confidence": F.col("confidence") >= 0.75,
+            "is_derived": F.col("evidence_type") == "derived",
+            "is_verified": F.coalesce(F.col("verified"), F.lit(False)) if "verified" in evidence.columns else F.lit(False),
         }
     )
+    if links is None:
+        return out
+    sides = {"supports_hypotheses": "supports", "contradicts_hypotheses": "contradicts"}
+    counted = links.select("evidence_id", "hypothesis_id", "assessment").distinct().groupBy("evidence_id").agg(
+        *[F.count_if(F.col("assessment") == side).alias(name) for name, side in sides.items()]
+    )
+    return out.join(counted, "evidence_id", "left").na.fill(0, list(sides))
 
 
 def latest_verification(verifications: DataFrame) -> DataFrame:
@@ -161,10 +173,13 @@ def with_verification(evidence: DataFrame, verifications: DataFrame) -> DataFram
     return joined.withColumn("verified", F.coalesce("verification.verified", F.lit(False)))
 
 
-def reference_edges(evidence: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Edges from evidence to its event, alert and (through ``links``) hypotheses.
+def reference_edges(
+    evidence: DataFrame, links: DataFrame | None = None, parents: DataFrame | None = None, about: DataFrame | None = None,
+) -> DataFrame:
+    """Edges from evidence to its event and alert, the hypotheses it speaks for or against, its parents and entities.
 
-    ``links``: evidence_id, hypothesis_id, assessment, weight, rationale.
+    ``links``: evidence_id, hypothesis_id, assessment, weight, rationale; ``parents``: evidence_id, parent_id, what it was derived
+    from; ``about``: evidence_id, entity_id. A blank target has no edge.
     """
     edge = lambda target, kind, rel: F.struct(
         target.alias("target"), F.lit(kind).alias("target_type"), F.lit(rel).alias("relationship")
@@ -182,6 +197,14 @@ def reference_edges(evidence: DataFrame, links: DataFrame | None = None) -> Data
             )
         ).alias("e"),
     ).select("source", "source_type", "e.*", F.lit(None).cast("double").alias("weight"))
+    for rows, column, kind, relationship in ((parents, "parent_id", "Evidence", "DERIVED_FROM"), (about, "entity_id", "Entity", "ABOUT")):
+        if rows is not None:
+            more = rows.select(F.col("evidence_id").alias("source"), F.nullif(F.trim(column), F.lit("")).alias("target")).distinct()
+            more = more.filter("target IS NOT NULL").select(
+                "source", F.lit("Evidence").alias("source_type"), "target", F.lit(kind).alias("target_type"),
+                F.lit(relationship).alias("relationship"), F.lit(None).cast("double").alias("weight"),
+            )
+            references = references.unionByName(more)
     if links is None:
         return references
     assessed = links.select(

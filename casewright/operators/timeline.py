@@ -60,7 +60,7 @@ def row_errors() -> Column:
 def dedup(rows: DataFrame, order: list[str], keep: str = "first") -> DataFrame:
     """One row per event id: the first or last by ``order``, or fail on duplicates.
 
-    A hash aggregate, not a window: copies of one id are reduced before the shuffle.
+    An aggregate, not a window: copies of one id are reduced before the shuffle. It sorts, because whole rows are carried.
     """
     if keep not in ("first", "last", "error"):
         raise ValueError("keep must be first, last or error")

@@ -80,14 +80,29 @@ def evidence_highlighted(spark, sf):
 def evidence_verified(spark, sf):
     events = sec_events(spark, sf)
     rows = evidence.with_verification(evidence.from_events(events), derived.verifications(events))
-    return rows.groupBy("strength").agg(F.count("*").alias("n"), F.count_if("verified").alias("verified"))
+    return rows.select("evidence_id", "strength", "verified", F.col("verification.verified_by").alias("verified_by"), F.col("verification.method").alias("method"))
+
+
+@query
+def evidence_flag_rows(spark, sf):
+    events = sec_events(spark, sf)
+    rows = evidence.with_verification(evidence.from_events(events), derived.verifications(events))
+    links = derived.contradictions(rows, hypotheses.main_and_counter(rows))
+    names = ["is_strong", "is_critical", "is_high_confidence", "is_derived", "is_verified", "supports_hypotheses", "contradicts_hypotheses"]
+    return evidence.flags(rows, links).select("evidence_id", *names)
 
 
 @query
 def evidence_edges(spark, sf):
-    rows = evidence.from_events(sec_events(spark, sf))
-    edges = evidence.reference_edges(rows, derived.contradictions(rows, hypotheses.main_and_counter(rows)))
-    return edges.groupBy("relationship", "target_type").agg(F.count("*").alias("n"))
+    """A seventh of the evidence is derived from that of the event before."""
+    events = sec_events(spark, sf)
+    rows = evidence.from_events(events)
+    number = F.expr("CAST(replace(event_id, 'E-', '') AS BIGINT)")
+    parents = rows.filter("event_severity % 7 = 0").select("evidence_id", F.concat(F.lit("E-E-"), number - 1).alias("parent_id"))
+    seen = graph.build(events, ["tenant_id"])["entity_events"].select("entity_id", "event_id")
+    about = rows.select("evidence_id", "event_id").join(seen, "event_id").select("evidence_id", "entity_id")
+    edges = evidence.reference_edges(rows, derived.contradictions(rows, hypotheses.main_and_counter(rows)), parents, about)
+    return edges.select("source", "source_type", "target", "target_type", "relationship")
 
 
 @query
@@ -850,8 +865,7 @@ def case_links(spark, sf):
     rows = evidence.from_events(events)
     entities = graph.build(events, ["case_id"])["entities"]
     made = hypotheses.main_and_counter(rows)
-    edges = cases.links(events, rows, made, entities, cases.assemble(events, analyst="alex"))
-    return edges.groupBy("case_id", "relationship", "target_type").agg(F.count("*").alias("n"))
+    return cases.links(events, rows, made, entities, cases.assemble(events, analyst="alex"))
 
 
 @query
@@ -975,8 +989,7 @@ def mixed_accounting(spark, sf):
 def poll_new_only(spark, sf):
     events = sec_events(spark, sf)
     seen = events.filter("timestamp < '2024-01-10'").select("event_id")
-    rows = normalize.poll_ids(normalize.unseen(events, seen))
-    return rows.groupBy("host").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+    return normalize.poll_ids(normalize.unseen(events, seen)).select("event_id", "host", us("timestamp"))
 
 
 # -- export -----------------------------------------------------------------------------------------------------------
@@ -1068,5 +1081,4 @@ def stream_dedup(spark, sf):
     """Every event sent twice, taken in once."""
     events = sec_events(spark, sf, streaming=True).select("event_id", "timestamp", "host")
     twice = events.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("n")
-    rows = _stream_result(spark, stream.dedup(twice, "1 hour"))
-    return rows.groupBy("host").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+    return _stream_result(spark, stream.dedup(twice, "1 hour")).select("event_id", "host", us("timestamp"))

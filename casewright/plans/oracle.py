@@ -70,7 +70,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY ts, evidence_id
 SELECT case_id, rank, evidence_id, strength, title FROM r WHERE rank <= 3"""
 
 SQL["evidence_verified"] = EV + """
-SELECT strength, count(*) AS n, count(*) FILTER (severity % 6 = 0) AS verified FROM ev GROUP BY 1"""
+SELECT evidence_id, strength, severity % 6 = 0 AS verified, CASE WHEN severity % 6 = 0 THEN 'analyst' END AS verified_by,
+  CASE WHEN severity % 6 = 0 THEN 'review' END AS method FROM ev"""
 
 SQL["category_inference"] = SEC + """
 SELECT category AS given, CASE category WHEN 'network' THEN 'process' WHEN 'dns' THEN 'process' ELSE category END AS inferred,
@@ -638,9 +639,15 @@ SELECT fingerprint, any_value(kind) AS hypothesis_type, any_value(statement) AS
 FROM hyp LEFT JOIN lc USING (fingerprint) GROUP BY 1"""
 SQL["hypothesis_contradictions"] = HYP + _AGAINST + """
 SELECT hypothesis_id, support_count, (SELECT count(*) FROM ag WHERE ag.hypothesis_id = hyp.hypothesis_id) AS contradict_count FROM hyp"""
-SQL["evidence_edges"] = HYP + _AGAINST + """
-SELECT 'REFERENCES' AS relationship, 'Event' AS target_type, count(*) AS n FROM ev
-UNION ALL SELECT 'CONTRADICTS', 'Hypothesis', count(*) FROM ag HAVING count(*) > 0"""
+SQL["evidence_flag_rows"] = HYP + _AGAINST + """
+SELECT evidence_id, strength IN ('strong', 'critical') AS is_strong, strength = 'critical' AS is_critical, confidence >= 0.75 AS is_high_confidence,
+  evidence_type = 'derived' AS is_derived, severity % 6 = 0 AS is_verified, 0 AS supports_hypotheses, count(ag.evidence_id) AS contradicts_hypotheses
+FROM ev LEFT JOIN ag USING (evidence_id) GROUP BY ALL"""
+SQL["evidence_edges"] = hypotheses(graph(base=EV)) + _AGAINST + """
+SELECT evidence_id AS source, 'Evidence' AS source_type, event_id AS target, 'Event' AS target_type, 'REFERENCES' AS relationship FROM ev
+UNION ALL SELECT evidence_id, 'Evidence', hypothesis_id, 'Hypothesis', 'CONTRADICTS' FROM ag
+UNION ALL SELECT evidence_id, 'Evidence', 'E-E-' || (CAST(replace(event_id, 'E-', '') AS BIGINT) - 1), 'Evidence', 'DERIVED_FROM' FROM ev WHERE severity % 7 = 0
+UNION ALL SELECT DISTINCT evidence_id, 'Evidence', eid, 'Entity', 'ABOUT' FROM ev JOIN m USING (event_id)"""
 CASE_PAIRS = "a.case_id = b.case_id AND a.tenant_id = b.tenant_id"
 TOP_PAIR = """,
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(confidence, 9) DESC,
@@ -760,12 +767,12 @@ SELECT case_id, tenant_id, severity, priority, 'triaged' AS status, event_count,
   hn AS hypothesis_count, entity_count, coalesce(relationship_count, 0) AS relationship_count
 FROM cs JOIN risk USING (case_id) LEFT JOIN ne USING (case_id) LEFT JOIN nr USING (case_id)"""
 SQL["case_links"] = hypotheses(graph(base=EV)) + """
-SELECT case_id, 'OBSERVED' AS relationship, 'Event' AS target_type, count(*) AS n FROM sec GROUP BY 1
-UNION ALL SELECT case_id, 'CONTAINS', 'Evidence', count(*) FROM sec GROUP BY 1
-UNION ALL SELECT case_id, 'TRIGGERED_BY', 'Alert', count(DISTINCT rule_id) FROM sec WHERE rule_id IS NOT NULL GROUP BY 1
-UNION ALL SELECT case_id, 'EXPLORES', 'Hypothesis', count(*) FROM hyp GROUP BY 1
-UNION ALL SELECT case_id, 'INVOLVES', 'Entity', count(DISTINCT fp) FROM m GROUP BY 1
-UNION ALL SELECT DISTINCT case_id, 'OWNED_BY', 'Analyst', 1 FROM sec"""
+SELECT case_id, event_id AS target, 'Event' AS target_type, 'OBSERVED' AS relationship FROM sec
+UNION ALL SELECT case_id, evidence_id, 'Evidence', 'CONTAINS' FROM ev
+UNION ALL SELECT DISTINCT case_id, rule_id, 'Alert', 'TRIGGERED_BY' FROM sec WHERE rule_id IS NOT NULL
+UNION ALL SELECT case_id, hypothesis_id, 'Hypothesis', 'EXPLORES' FROM hyp
+UNION ALL SELECT DISTINCT case_id, eid, 'Entity', 'INVOLVES' FROM m
+UNION ALL SELECT DISTINCT case_id, 'alex', 'Analyst', 'OWNED_BY' FROM sec"""
 SQL["case_list_page"] = SEC + """,
 c AS (SELECT case_id, tenant_id, max(severity) AS severity, epoch_us(min(ts)) AS created_at FROM sec GROUP BY 1, 2)
 SELECT case_id, severity, created_at FROM c WHERE tenant_id = 'tenant-1' AND severity >= 85
@@ -852,7 +859,7 @@ f AS (SELECT CASE severity % 5 WHEN 0 THEN 'canonical' WHEN 1 THEN 'wazuh' WHEN
 SELECT format, count(*) AS raw_count, count(*) FILTER (NOT bad) AS success_count, count(*) FILTER (bad) AS error_count,
   round(count(*) FILTER (NOT bad) / CAST(count(*) AS DOUBLE), 6) AS success_rate FROM f GROUP BY 1"""
 SQL["poll_new_only"] = SEC + """
-SELECT host, count(*) AS n, 'wazuh-' || min(event_id) AS first_id FROM sec WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1"""
+SELECT 'wazuh-' || event_id AS event_id, host, epoch_us(ts) AS timestamp FROM sec WHERE ts >= TIMESTAMP '2024-01-10'"""
 
 # -- export -----------------------------------------------------------------------------------------------------------
 
@@ -889,4 +896,4 @@ SQL["event_batches_stream"] = _BATCHES + """,
 b AS (SELECT w.host AS batch_group, start, count(*) AS size FROM w GROUP BY 1, 2)
 SELECT batch_group, row_number() OVER (PARTITION BY batch_group ORDER BY start) - 1 AS batch_no, size FROM b"""
 SQL["stream_pair_correlation"] = SQL["pair_correlation"]
-SQL["stream_dedup"] = SEC + "\nSELECT host, count(*) AS n, count(*) AS ids FROM sec GROUP BY 1"
+SQL["stream_dedup"] = SEC + "\nSELECT event_id, host, epoch_us(ts) AS timestamp FROM sec"
