@@ -242,7 +242,8 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = probes.join(index, (F.col("_width") == F.col("width")) & (F.col("_block") == F.col("block")) & near)
     hit_tiles = hits.groupBy("doc_id", "content", "item_id", "length", "needed", "width").agg(F.sort_array(F.collect_set("place")).alias("at"))
     # a text is read again only where as many tiles meet within an item's length as every occurrence leaves unchanged
-    hit_tiles = hit_tiles.withColumn("at", _crowded(F.col("at"))).filter(F.size("at") > 0)
+    # stored, or the list would be made anew for each of its places below
+    hit_tiles = stored(hit_tiles.withColumn("at", _crowded(F.col("at"))).filter(F.size("at") > 0))
     # the starts of all stretches that cover a tile, but of none that the tile before has had
     starts = F.transform(
         "at",
