@@ -7,10 +7,16 @@ have one key, so pairs(T) is counted in groups of equal keys by time alone.
 Two reasons are no equality of one field. Of technique lists the non-empty subsets are keys with alternating signs. For parent and
 child one side's process id is the other's parent id: pairs one way and the other, less those that are both.
 
-Pairs of a group within the window come from running counts: every event stands in the group as a point at its own time and as a
-probe at the end of its window, and a probe adds the points up to it. Rows are sorted over all tasks by group and time; a group may
-begin in one task and end in another, and then one small row per task is joined. So the work grows with the events, not with the square of a
-group, and no group is in one task. An event has a row for each set of its reasons that matters, at worst 2 to their number.
+Every set that matters contains one of the smallest sets of reasons that qualify, and is counted under the first of them. So an event is
+sent once for each smallest set that it has, to the others with the same key in the same stretch of time (``_members``); the larger sets are
+counted where these meet, by sorting, and only among events that still share the set before (``_Cells``). A stretch is many windows long; an
+event at its end is sent to the next one as well, where it pairs only with events of that one.
+
+Of more than ``MOST_ROWS`` events that meet in one place none is held back. Their pairs come from running counts: every event stands in
+the group as a point at its own time and as a probe at the end of its window, and a probe adds the points up to it. Rows are sorted over
+all tasks by group and time; a group may begin in one task and end in another, and then one small row per task is joined. So the work grows
+with the events, not with the square of a group, and no large group is in one task. There an event has a row for each set of its reasons
+that matters, at worst 2 to their number.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,12 +44,23 @@ _HOST, _PARENT, _TECHNIQUE = correlate._HOST, correlate._PARENT, correlate._TECH
 _GATED = correlate._HOST_GATED
 #: Technique lists up to which subsets are counted; pairs of events with longer ones are made.
 MOST_TECHNIQUES = 10
+#: Events of one place up to which they are counted there, and how many rows are counted at once.
+MOST_ROWS, ROWS_AT_ONCE = 1 << 19, 1 << 17
+#: Windows in a stretch of time.
+STRETCH = 16
 #: How a group counts: equal fields, one side parent of the other, each side parent of the other.
 _EQUAL, _ONE_WAY, _BOTH_WAYS = 0, 1, 2
+#: Bit of a code whose pairs are taken off: subsets of an even number of techniques.
+_EVEN = 1 << 15
 #: What a row is, in the order that equal times need: points before the probes that reach them.
 _POINT, _ADDS, _ADDS_NOT_ITSELF, _TAKES = 0, 1, 2, 3
+#: Rows with a number of pairs instead.
+_COUNTS = -1
+#: Bit of ``info``: the event is of the stretch before.
+_BEFORE = 1 << 15
 _ORDER = ["scope_key", "code", "key", "t", "kind"]
-_ROWS = "scope_key long, code int, key long, t long, kind int"
+_ROWS = "scope_key long, code int, key long, t long, kind int, pairs long"
+_SPREAD = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 _COUNTED = "scope_key long, code int, key long, part int, points long, probes long, reached long, itself long, whole boolean"
 
 Measure = Callable[[int], int]
@@ -84,53 +102,69 @@ def _column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_valid().to_numpy(zero_copy_only=False)
 
 
+def _values(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(values, which are there) of a batch of events: tokens, process id, parent's id, techniques."""
+    tokens = batch.column("tok").flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, _N)
+    lists = batch.column("techs")
+    lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = np.zeros((len(tokens), _N + 2 + int(lengths.max(initial=0))), np.int64)
+    there = np.zeros(values.shape, bool)
+    values[:, :_N] = tokens
+    there[:, :_N] = _column(batch, "held")[0][:, None] >> np.arange(_N) & 1
+    for i, name in enumerate(("pid", "ppid")):
+        values[:, _N + i], there[:, _N + i] = _column(batch, name)
+    there[:, _N + 2:] = np.arange(values.shape[1] - _N - 2) < lengths[:, None]
+    values[:, _N + 2:][there[:, _N + 2:]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return values, there
+
+
 class _Events:
     """What the keys of a batch of events are made of, as columns of 64-bit hashes."""
 
-    def __init__(self, batch: pa.RecordBatch):
-        self.scope, _ = _column(batch, "scope_key")
-        self.ts, _ = _column(batch, "ts")
-        held, _ = _column(batch, "held")
-        (pid, as_parent), (ppid, as_child) = _column(batch, "pid"), _column(batch, "ppid")
-        values = batch.column("tok").flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, _N)
+    def __init__(self, scope: np.ndarray, ts: np.ndarray, values: np.ndarray, there: np.ndarray):
+        self.scope, self.ts = scope, ts
         self.hashes = np.stack([_salted(np.ascontiguousarray(values[:, r]), r + 1) for r in range(_N)], 1)
-        lists = batch.column("techs")
-        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.techniques = np.zeros((len(self.ts), max(int(lengths.max(initial=0)), 1)), np.uint64)
-        self.techniques[np.arange(self.techniques.shape[1]) < lengths[:, None]] = _salted(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), 50)
+        pid, ppid = np.ascontiguousarray(values[:, _N]), np.ascontiguousarray(values[:, _N + 1])
+        self.as_parent, self.as_child = there[:, _N], there[:, _N + 1]
+        self.lengths = there[:, _N + 2:].sum(1)
+        self.techniques = np.zeros((len(ts), max(there.shape[1] - _N - 2, 1)), np.uint64)
+        for k in range(there.shape[1] - _N - 2):
+            self.techniques[:, k] = np.where(there[:, _N + 2 + k], _salted(np.ascontiguousarray(values[:, _N + 2 + k]), 50), np.uint64(0))
         self.probes = {_ONE_WAY: _salted(pid, 60), _BOTH_WAYS: _salted(pid, 61) + _salted(ppid, 62)}
         self.points = {_ONE_WAY: _salted(ppid, 60), _BOTH_WAYS: _salted(ppid, 61) + _salted(pid, 62)}
-        self.itself = as_parent & as_child & (pid == ppid)
-        self.as_parent, self.as_child, self.lengths = as_parent, as_child, lengths
-        self.have = held | np.where(as_parent | as_child, _PARENT, 0) | np.where(lengths > 0, _TECHNIQUE, 0)
-
-    def keys(self, sets: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, int, int, bool, bool, np.ndarray]]:
-        """(rows, code, way, probes, points, keys) for every set of reasons that rows have and every subset of up to ``most`` techniques."""
-        kinds = np.unique(self.have)
-        sets = sets[(sets[:, None] & ~kinds == 0).any(1)] if len(kinds) else sets[:0]
-        longest = int(self.lengths.max(initial=0))
-        subsets = [c for k in range(1, min(longest, most) + 1) for c in combinations(range(longest), k)]
-        for mask in sets.tolist():
-            at = np.flatnonzero(self.have & mask == mask)
-            equal = [r for r in range(_N) if mask >> r & 1 and 1 << r not in (_PARENT, _TECHNIQUE)]
-            base = self.hashes[np.ix_(at, equal)].sum(1, dtype=np.uint64)
-            for chosen in subsets if mask & _TECHNIQUE else [()]:
-                rows, key = at, base
-                if chosen:
-                    has = self.lengths[at] > chosen[-1]
-                    rows, key = at[has], base[has]
-                    for k in chosen:
-                        key = key + self.techniques[rows, k]
-                if len(rows) == 0:
-                    continue
-                code = mask | (1 << 15 if chosen and len(chosen) % 2 == 0 else 0)
-                if not mask & _PARENT:
-                    yield rows, code, _EQUAL, True, True, key
-                    continue
-                parent, child = self.as_parent[rows], self.as_child[rows]
-                for way, probe, point in ((_ONE_WAY, parent, child), (_BOTH_WAYS, parent & child, parent & child)):
-                    yield rows[probe], code | way << 13, way, True, False, key[probe] + self.probes[way][rows[probe]]
-                    yield rows[point], code | way << 13, way, False, True, key[point] + self.points[way][rows[point]]
+        self.itself = self.as_parent & self.as_child & (pid == ppid)
+        self.held = there[:, :_N] @ (1 << np.arange(_N))
+        self.have = self.held | np.where(self.as_parent | self.as_child, _PARENT, 0) | np.where(self.lengths > 0, _TECHNIQUE, 0)
+
+    def spread(self, mask: int, at: np.ndarray, key: np.ndarray, first: np.ndarray | None, role: np.ndarray | None):
+        """(rows, code, way, probes, points, keys) of rows that share ``mask`` and have ``key``.
+
+        With ``first`` the keys hold that technique and subsets begin with it; with ``role`` a row is only parent or only child.
+        """
+        subsets: list[tuple[int, ...]] = [()]
+        if mask & _TECHNIQUE:
+            longest = min(int(self.lengths[at].max(initial=0)), MOST_TECHNIQUES)
+            subsets = [c for k in range(1, longest + 1) for c in combinations(range(longest), k)]
+        for chosen in subsets:
+            rows, keys, roles = at, key, role
+            if chosen:
+                has = self.lengths[at] > chosen[-1]
+                has &= (first == chosen[0]) if first is not None else True
+                rows, keys, roles = at[has], key[has], None if role is None else role[has]
+                for k in chosen:
+                    keys = keys + self.techniques[rows, k]
+            if len(rows) == 0:
+                continue
+            code = mask | (_EVEN if chosen and len(chosen) % 2 == 0 else 0)
+            if not mask & _PARENT:
+                yield rows, code, _EQUAL, True, True, keys
+                continue
+            parent = self.as_parent[rows] if roles is None else roles == correlate._AS_PARENT
+            child = self.as_child[rows] if roles is None else roles == correlate._AS_CHILD
+            both = self.as_parent[rows] & self.as_child[rows]
+            for way, probe, point in ((_ONE_WAY, parent, child), (_BOTH_WAYS, parent & both, child & both)):
+                yield rows[probe], code | way << 13, way, True, False, keys[probe] + self.probes[way][rows[probe]]
+                yield rows[point], code | way << 13, way, False, True, keys[point] + self.points[way][rows[point]]
 
 
 class _Out:
@@ -153,54 +187,262 @@ class _Out:
         return pa.RecordBatch.from_arrays(arrays, names=self.names)
 
 
-def _meetings(sets: np.ndarray, window: int):
-    """(row, place, side): where an event can meet a partner, a hash of key and time cell; a pair shares one of its two cells."""
+_MEMBERS = ["place", "info", "scope_key", "ts", "bits", "fields"]
+
+
+def _members(smallest: Sequence[int], window: int):
+    """Events by place: key of a smallest set and stretch of time. ``info`` holds set, role, technique and whether the event is of the stretch before."""
+    stretch = STRETCH * max(window, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            events, out = _Events(batch), _Out(["row", "place", "side"], [pa.int64(), pa.int64(), pa.int32()])
-            row, cell = batch.column("row").to_numpy(), events.ts // max(window, 1)
+            if batch.num_rows == 0:
+                continue
+            values, there = _values(batch)
+            events = _Events(_column(batch, "scope_key")[0], _column(batch, "ts")[0], values, there)
+            bits = pa.array((events.held | events.as_parent << _N | events.as_child << _N + 1).astype(np.int32))
+            ends = np.append(0, np.cumsum(there.sum(1))).astype(np.int32) * 8
+            fields = pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer(ends), pa.py_buffer(values[there].tobytes())])
             owner = _salted(events.scope, 70)
-            for at, code, way, probes, _, key in events.keys(sets, 1):
-                if way != _BOTH_WAYS:
-                    for more in (0, 1):
-                        place = _mix(key + owner[at] + _salted(cell[at] + more, 71) + np.uint64(code << 40))
-                        out.add(row[at], place.view(np.int64), _EQUAL if way == _EQUAL else 1 + probes)
-                if out.rows > 1 << 18:
-                    yield out.batch()
-            yield out.batch()
+            number, last = events.ts // stretch, (events.ts + window) // stretch
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def add(rows: np.ndarray, key: np.ndarray, info: int) -> None:
+                found.append((rows, _mix(key + _salted(number[rows], 71)), np.full(len(rows), info)))
+                again = last[rows] > number[rows]
+                rows, key = rows[again], key[again]
+                found.append((rows, _mix(key + _salted(last[rows], 71)), np.full(len(rows), info | _BEFORE)))
+
+            for mask in smallest:
+                at = np.flatnonzero(events.have & mask == mask)
+                equal = [r for r in range(_N) if mask >> r & 1 and 1 << r not in (_PARENT, _TECHNIQUE)]
+                base = _mix(owner[at] + np.uint64(mask)) + events.hashes[np.ix_(at, equal)].sum(1, dtype=np.uint64)
+                for k in range(int(events.lengths.max(initial=0))) if mask & _TECHNIQUE else [0]:
+                    rows, key = at, base
+                    if mask & _TECHNIQUE:
+                        has = events.lengths[at] > k
+                        rows, key = at[has], base[has] + events.techniques[at[has], k]
+                    if not mask & _PARENT:
+                        add(rows, key, mask | k << 16)
+                        continue
+                    for role, has, own in ((correlate._AS_PARENT, events.as_parent, events.probes), (correlate._AS_CHILD, events.as_child, events.points)):
+                        one = has[rows]
+                        add(rows[one], key[one] + own[_ONE_WAY][rows[one]], mask | role << 13 | k << 16)
+            if not found:
+                continue
+            rows = pa.array(np.concatenate([f[0] for f in found]))
+            place, info = np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(place.view(np.int64)), pa.array(info.astype(np.int32)), *[c.take(rows) for c in (batch.column("scope_key"), batch.column("ts"), bits, fields)]], names=_MEMBERS
+            )
 
     return run
 
 
-def _met(narrow: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """(row, place) of the events, and (place, n) of the places where two or more can meet."""
-    rows = narrow.select("row", "scope_key", "ts", "tok", "pid", "ppid", "techs", "held")
-    met = rows.mapInArrow(_meetings(np.array(rules.smallest_sets(), np.int64), rules.window_micros), "row long, place long, side int")
-    shared = met.groupBy("place").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
-    return met, shared.filter("(low = 0 AND n > 1) OR low < high").select("place", "n")
-
+class _Cells:
+    """Counts the pairs of events that are sorted by place."""
 
-def _spread(sets: np.ndarray, window: int):
-    """Rows of every event for the sets that it has a part in: its point and its probes."""
+    def __init__(self, smallest: Sequence[int], sets: frozenset[int], window: int, most: int, at_once: int):
+        self.smallest, self.sets, self.window, self.most, self.at_once = list(smallest), sets, window, most, at_once
+        self.stretch = STRETCH * max(window, 1)
+        #: Further apart than any two times of a place and a window.
+        self.apart = self.stretch + 2 * window + 1
+        self.sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows, crowded = [], 0, None
         for batch in batches:
-            events, out = _Events(batch), _Out(_ORDER, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()])
-            for at, code, way, probes, points, key in events.keys(sets, MOST_TECHNIQUES):
-                scope, t, key = events.scope[at], events.ts[at], key.view(np.int64)
-                if points:
-                    out.add(scope, code, key, t, _POINT)
-                if probes:
-                    itself = events.itself[at] & (way != _EQUAL)
-                    out.add(scope, code, key, t + window, np.where(itself, _ADDS_NOT_ITSELF, _ADDS))
-                    if way != _EQUAL:
-                        out.add(scope, code, key, t - window - 1, _TAKES)
-                if out.rows > 1 << 18:
-                    yield out.batch()
+            if batch.num_rows == 0:
+                continue
+            if not self.most:
+                yield from self.handed_over(batch)
+                continue
+            waiting.append(batch)
+            rows += batch.num_rows
+            if rows < self.at_once:
+                continue
+            table = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            place = table.column("place").to_numpy()
+            start, end = 0, int(np.searchsorted(place, place[-1]))
+            if crowded is not None:
+                start = int(np.searchsorted(place, crowded, "right"))
+                yield from self.handed_over(table.slice(0, start))
+            if start < end:
+                self.count(table.slice(start, end - start))
+                crowded = None
+            rest = table.slice(max(start, end))
+            if rest.num_rows > self.most:
+                crowded = int(place[-1])
+                yield from self.handed_over(rest)
+                rest = rest.slice(rest.num_rows)
+            waiting, rows = [rest] if rest.num_rows else [], rest.num_rows
+            if sum(len(s[0]) for s in self.sums) > 1 << 20:
+                yield from self.summed(1 << 19)
+        if waiting:
+            table = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            start = 0 if crowded is None else int(np.searchsorted(table.column("place").to_numpy(), crowded, "right"))
+            yield from self.handed_over(table.slice(0, start))
+            self.count(table.slice(start))
+        yield from self.summed(0)
+
+    def summed(self, kept: int) -> Iterator[pa.RecordBatch]:
+        """The sums by scope and code, if they are more than ``kept``."""
+        if not self.sums:
+            return
+        scope, code, pairs = (np.concatenate([s[i] for s in self.sums]) for i in range(3))
+        order = np.lexsort((code, scope))
+        scope, code, pairs = scope[order], code[order], pairs[order]
+        begins = np.flatnonzero(np.append(True, (scope[1:] != scope[:-1]) | (code[1:] != code[:-1])))
+        scope, code, pairs = scope[begins], code[begins], np.add.reduceat(pairs, begins)
+        self.sums = [(scope, code, pairs)]
+        if len(scope) > kept:
+            self.sums = []
+            out = _Out([*_ORDER, "pairs"], _SPREAD)
+            out.add(scope, code, 0, 0, _COUNTS, pairs)
             yield out.batch()
 
-    return run
+    def read(self, batch: pa.RecordBatch) -> tuple[_Events, np.ndarray, np.ndarray, np.ndarray]:
+        """(events, place, info, time in the stretch) in order of time."""
+        info, ts = batch.column("info").to_numpy(), batch.column("ts").to_numpy()
+        number = ts // self.stretch + (info & _BEFORE > 0)
+        time = ts - number * self.stretch + self.window
+        batch = batch.take(pa.array(np.argsort(time, kind="stable")))
+        time = np.sort(time, kind="stable")
+        info, bits = batch.column("info").to_numpy(), batch.column("bits").to_numpy().astype(np.int64)
+        fields = batch.column("fields").combine_chunks() if isinstance(batch.column("fields"), pa.ChunkedArray) else batch.column("fields")
+        head = (bits[:, None] >> np.arange(_N + 2) & 1).astype(bool)
+        lengths = pc.binary_length(fields).to_numpy(zero_copy_only=False) // 8 - head.sum(1)
+        there = np.concatenate([head, np.arange(int(lengths.max(initial=0))) < lengths[:, None]], 1)
+        values = np.zeros(there.shape, np.int64)
+        ends = np.frombuffer(fields.buffers()[1], np.int32)[fields.offset:][:len(fields) + 1]
+        values[there] = np.frombuffer(fields.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].view(np.int64)
+        events = _Events(batch.column("scope_key").to_numpy(), batch.column("ts").to_numpy(), values, there)
+        return events, batch.column("place").to_numpy(), info, time
+
+    def supersets(self, mask: int) -> list[int]:
+        """The sets that are counted under a smallest set: those that contain it and none before it."""
+        before = self.smallest[:self.smallest.index(mask)]
+        return [m for m in sorted(self.sets) if m & mask == mask and not any(b & m == b for b in before)]
+
+    def handed_over(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows of a crowded place: points and probes for every set; events of the stretch before once more, to be taken off with their pairs."""
+        for start in range(0, batch.num_rows, 1 << 14):
+            events, place, info, _ = self.read(batch.slice(start, 1 << 14))
+            out = _Out([*_ORDER, "pairs"], _SPREAD)
+            for mask in np.unique(info & (1 << _N) - 1).tolist():
+                at = np.flatnonzero(info & (1 << _N) - 1 == mask)
+                for wide in self.supersets(mask):
+                    rows = at[events.have[at] & wide == wide]
+                    equal = [r for r in range(_N) if (wide & ~mask) >> r & 1 and 1 << r not in (_PARENT, _TECHNIQUE)]
+                    key = _mix(place[rows].view(np.uint64)) + events.hashes[np.ix_(rows, equal)].sum(1, dtype=np.uint64)
+                    first, role = self.variants(mask, info[rows])
+                    for some, code, way, probes, points, keys in events.spread(wide, rows, key, first, role):
+                        early = np.flatnonzero(info[some] & _BEFORE)
+                        for some, keys, code in ((some, keys, code), (some[early], _mix(keys[early]), code ^ _EVEN)):
+                            self.stand(out, events, some, keys.view(np.int64), code, way, probes, points)
+                        if out.rows > 1 << 18:
+                            yield out.batch()
+            yield out.batch()
+
+    def stand(self, out: _Out, events: _Events, rows: np.ndarray, keys: np.ndarray, code: int, way: int, probes: bool, points: bool) -> None:
+        scope, t = events.scope[rows], events.ts[rows]
+        if points:
+            out.add(scope, code, keys, t, _POINT, 0)
+        if probes:
+            itself = events.itself[rows] & (way != _EQUAL)
+            out.add(scope, code, keys, t + self.window, np.where(itself, _ADDS_NOT_ITSELF, _ADDS), 0)
+            if way != _EQUAL:
+                out.add(scope, code, keys, t - self.window - 1, _TAKES, 0)
+
+    def variants(self, mask: int, info: np.ndarray) -> tuple[np.ndarray | None, np.ndarray | None]:
+        return info >> 16 if mask & _TECHNIQUE else None, info >> 13 & 3 if mask & _PARENT else None
+
+    def count(self, batch: pa.RecordBatch) -> None:
+        """Add the pairs of whole places to the sums."""
+        place = batch.column("place").to_numpy()
+        alone = np.append(True, place[1:] != place[:-1]) & np.append(place[1:] != place[:-1], True)
+        if alone.all():
+            return
+        events, place, info, time = self.read(batch.filter(pa.array(~alone)))
+        scopes, scope = np.unique(events.scope, return_inverse=True)
+        early = info & _BEFORE > 0
+
+        def add(code: int, rows: np.ndarray, n: np.ndarray) -> None:
+            pairs = np.bincount(scope[rows], n, len(scopes)).astype(np.int64)
+            some = np.flatnonzero(pairs)
+            if len(some):
+                self.sums.append((scopes[some], np.full(len(some), code), pairs[some]))
+
+        def equal(code: int, rows: np.ndarray, key: np.ndarray, counts: bool) -> tuple[np.ndarray, np.ndarray]:
+            """Add the pairs of equal keys; the rows that are not alone, in order of time, and numbers of their groups."""
+            order = np.lexsort((rows, key))
+            key = key[order]
+            same = key[1:] == key[:-1]
+            met = np.append(False, same) | np.append(same, False)
+            key, rows = key[met], rows[order[met]]
+            if len(key) == 0:
+                return rows, key
+            group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+            if counts:
+                at = group * self.apart + time[rows]
+                n = np.arange(len(at)) - np.searchsorted(at, at - self.window)
+                now = ~early[rows]
+                add(code, rows[now], n[now])
+            back = np.argsort(rows, kind="stable")
+            return rows[back], group[back]
+
+        def two_sides(code: int, probe: np.ndarray, probe_key: np.ndarray, point: np.ndarray, point_key: np.ndarray) -> None:
+            if len(probe) == 0 or len(point) == 0:
+                return
+            rows, key = np.concatenate([probe, point]), np.concatenate([probe_key, point_key])
+            order = np.lexsort((rows, key))
+            side, rows, key = (order < len(probe)).astype(np.int64), rows[order], key[order]
+            group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+            at = group * self.apart + time[rows]
+            before = np.append(0, np.cumsum(side))
+            since, here = np.searchsorted(at, at - self.window), np.arange(len(at))
+            probes = before[here] - before[since]
+            n = np.where(side == 1, here - since - probes, probes) - (side & events.itself[rows])
+            now = ~early[rows]
+            add(code, rows[now], n[now])
+
+        def others(mask: int, rows: np.ndarray, key: np.ndarray, smallest: int) -> None:
+            """Pairs that share a technique or are parent and child."""
+            first, role = self.variants(smallest, info[rows])
+            # a technique stands at different places in different lists, so all subsets of a code are counted together
+            found: dict[int, tuple[list, list]] = {}
+            for some, code, way, probes, points, keys in events.spread(mask, rows, key, first, role):
+                found.setdefault(code, ([], []))[0 if probes else 1].append((some, keys))
+            for code, sides in found.items():
+                one, two = ([np.concatenate(c) for c in zip(*side, strict=True)] for side in (sides[0] or [(rows[:0], key[:0])], sides[1] or [(rows[:0], key[:0])]))
+                if mask & _PARENT:
+                    two_sides(code, *one, *two)
+                else:
+                    equal(code, *one, True)
+
+        special = _PARENT | _TECHNIQUE
+        for smallest in np.unique(info & (1 << _N) - 1).tolist():
+            own = set(self.supersets(smallest))
+
+            def visit(mask: int, rows: np.ndarray, key: np.ndarray, bit: int) -> None:
+                rows, group = equal(mask, rows, key, mask in own and not mask & special)
+                if len(rows) == 0:
+                    return
+                key = _mix(group.astype(np.uint64))
+                for more in {mask, mask | _PARENT, mask | _TECHNIQUE, mask | special}:
+                    if more & special and more in own:
+                        some = events.have[rows] & more == more
+                        others(more, rows[some], key[some], smallest)
+                for r in range(bit, _N):
+                    wider = mask | 1 << r
+                    if 1 << r & (special | mask) or not any(m & wider == wider for m in own):
+                        continue
+                    some = events.have[rows] >> r & 1 == 1
+                    if some.any():
+                        visit(wider, rows[some], key[some] + events.hashes[rows[some], r], r + 1)
+
+            at = np.flatnonzero(info & (1 << _N) - 1 == smallest)
+            visit(smallest, at, place[at].view(np.uint64), 0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,9 +494,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
 
-def _shared(narrow: DataFrame, sets: np.ndarray, rules: Rules) -> DataFrame:
+def _shared(narrow: DataFrame, sets: frozenset[int], rules: Rules) -> DataFrame:
     """(scope_key, code, pairs): how many pairs share each set, by the way in which they are counted."""
-    rows = narrow.select("scope_key", "ts", "tok", "pid", "ppid", "techs", "held").mapInArrow(_spread(sets, rules.window_micros), _ROWS)
+    rows = narrow.select("scope_key", "ts", "tok", "pid", "ppid", "techs", "held")
+    smallest, window = rules.smallest_sets(), rules.window_micros
+    members = rows.mapInArrow(_members(smallest, window), "place long, info int, scope_key long, ts long, bits int, fields binary")
+    # times of a place and numbers of groups make one number of 63 bits; windows of days go the way of crowded places
+    most = MOST_ROWS if STRETCH * window < 1 << 42 else 0
+    cells = _Cells(smallest, sets, window, most, ROWS_AT_ONCE)
+    found = cut_lineage(members.repartition("place").sortWithinPartitions("place").mapInArrow(lambda batches: cells(batches), _ROWS))
+    pairs = found.filter(F.col("kind") == _COUNTS).select("scope_key", "code", "pairs")
+    crowded = found.filter(F.col("kind") != _COUNTS).select(*_ORDER)
+    if not crowded.isEmpty():
+        pairs = pairs.unionByName(_in_order(crowded))
+    return pairs.groupBy("scope_key", "code").agg(F.sum("pairs").alias("pairs"))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """(scope_key, code, pairs) of points and probes, by groups of any size."""
     ordered = rows.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER)
     counted = cut_lineage(ordered.mapInArrow(_count, _COUNTED))
     group = ["scope_key", "code", "key"]
@@ -265,12 +522,12 @@ def _shared(narrow: DataFrame, sets: np.ndarray, rules: Rules) -> DataFrame:
     equal = F.col("code").bitwiseAND(3 << 13) == _EQUAL
     pairs = F.when(equal, F.col("reached") - F.expr("n * (n + 1) div 2")).otherwise(F.col("reached") - F.col("itself"))
     ended = counted.filter("whole").select("scope_key", "code", F.col("reached").alias("pairs"))
-    return ended.unionByName(joined.select("scope_key", "code", pairs.alias("pairs"))).groupBy("scope_key", "code").agg(F.sum("pairs").alias("pairs"))
+    return ended.unionByName(joined.select("scope_key", "code", pairs.alias("pairs")))
 
 
 def _weight() -> Column:
     """What a count adds for its set, doubled, because what is both ways is counted from both sides."""
-    even = F.col("code").bitwiseAND(1 << 15) != 0
+    even = F.col("code").bitwiseAND(_EVEN) != 0
     both = F.col("code").bitwiseAND(3 << 13) == _BOTH_WAYS << 13
     return F.when(even, -1).otherwise(1) * F.when(both, -1).otherwise(2)
 
@@ -284,39 +541,30 @@ class Pairs:
     def __init__(self, events: DataFrame, scope: Sequence[str], rules: Rules | None = None):
         self.rules, self.scope = rules or Rules(), list(scope)
         narrow = correlate.one_per_id(correlate.tokens(events, self.scope))
-        self.narrow = cut_lineage(narrow.withColumn("row", F.monotonically_increasing_id()))
-        self._met, places = _met(self.narrow, self.rules)
-        self._places = cut_lineage(places)
+        self.narrow = cut_lineage(narrow)
         self._counts: tuple[frozenset[int], DataFrame] | None = None
 
     @cached_property
     def few(self) -> bool:
-        """Whether there cannot be more pairs than events, so that making them costs less than counting."""
-        most = F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)
-        return (self._places.agg(most).first()[0] or 0.0) <= self.narrow.count()
-
-    @cached_property
-    def live(self) -> DataFrame:
-        """Events that may have a partner: they share a key of a smallest qualifying set in the same or the next time cell."""
-        alive = self._met.join(self._places, "place", "left_semi").select("row").distinct()
-        return cut_lineage(self.narrow.join(alive, "row", "left_semi").select(*self.narrow.columns))
+        """Whether there are no more pairs than events."""
+        return (self.sums().agg(F.sum("pairs")).first()[0] or 0) <= self.narrow.count()
 
     @cached_property
     def short(self) -> DataFrame:
-        return self.live.filter(F.size("techs") <= MOST_TECHNIQUES)
+        return self.narrow.filter(F.size("techs") <= MOST_TECHNIQUES)
 
     @cached_property
     def made(self) -> DataFrame | None:
         """Pairs with events that have long technique lists, if there are such events."""
-        rest = self.live.filter(F.size("techs") > MOST_TECHNIQUES)
+        rest = self.narrow.filter(F.size("techs") > MOST_TECHNIQUES)
         return None if rest.isEmpty() else self._made(rest)
 
     def _made(self, rest: DataFrame) -> DataFrame:
         """Pairs of the few events with long technique lists, which are made; a pair of two of them once."""
-        rows = correlate.key_rows(self.live, correlate._set_literal(self.rules.smallest_sets()), self.rules)
+        rows = correlate.key_rows(self.narrow, correlate._set_literal(self.rules.smallest_sets()), self.rules)
         ids = rest.select("scope_key", "event_id")
         chosen = rows.join(ids, ["scope_key", "event_id"], "left_semi").select(*rows.columns)
-        pairs = correlate._once(correlate._matched(chosen, rows, ["scope_key"], self.rules, both_ways=True, events=self.live), self.rules)
+        pairs = correlate._once(correlate._matched(chosen, rows, ["scope_key"], self.rules, both_ways=True, events=self.narrow), self.rules)
         both = ids.select("scope_key", F.col("event_id").alias("related_event_id"), F.lit(True).alias("_both"))
         pairs = pairs.join(both, ["scope_key", "related_event_id"], "left")
         pairs = pairs.filter(F.col("_both").isNull() | (F.col("source_event_id") < F.col("related_event_id")))
@@ -324,7 +572,7 @@ class Pairs:
 
     def _shared(self, sets: frozenset[int]) -> DataFrame:
         if self._counts is None or not sets <= self._counts[0]:
-            self._counts = sets, _shared(self.short, np.array(sorted(sets), np.int64), self.rules)
+            self._counts = sets, cut_lineage(_shared(self.short, sets, self.rules))
         return self._counts[1]
 
     def _qualifying(self) -> frozenset[int]:
@@ -408,7 +656,7 @@ class Pairs:
     def _whole(self, ids: DataFrame) -> DataFrame:
         """Pairs (scope_key, source_event_id, related_event_id) in either order with all their columns, the earlier event first."""
         side = F.struct(*self.scope, "event_id", "ts", "pid", "ppid", "techs", "tok", F.lit(0).alias("mask"), F.lit(None).cast("long").alias("technique"), F.lit(0).alias("role"))
-        rows = self.live.select("scope_key", "event_id", side.alias("side"))
+        rows = self.narrow.select("scope_key", "event_id", side.alias("side"))
         first = rows.select("scope_key", F.col("event_id").alias("source_event_id"), F.col("side").alias("x"))
         second = rows.select("scope_key", F.col("event_id").alias("related_event_id"), F.col("side").alias("y"))
         both = ids.join(first, ["scope_key", "source_event_id"]).join(second, ["scope_key", "related_event_id"])

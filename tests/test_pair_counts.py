@@ -94,6 +94,29 @@ def test_groups_cut_between_tasks(spark, events, monkeypatch):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("most, at_once, stretch, seconds", [(3, 2, 1, 300), (7, 100, 2, 95.5), (1 << 19, 5, 1, 20), (9, 30, 16, 4 * 86400)])
+def test_places_of_any_size_count_alike(events, monkeypatch, most, at_once, stretch, seconds):
+    """Crowded places, places cut between batches, and events of the stretch before."""
+    rules = Rules(window_seconds=seconds)
+    made = correlate.correlate_all(events, ["tenant_id"], rules).groupBy("tenant_id").agg(F.count("*"), F.sum("reason_count")).collect()
+    for name, value in (("MOST_ROWS", most), ("ROWS_AT_ONCE", at_once), ("STRETCH", stretch)):
+        monkeypatch.setattr(pair_counts, name, value)
+    got = pair_counts.Pairs(events, ["tenant_id"], rules).sums({"pairs": lambda m: 1, "bits": int.bit_count}).collect()
+    assert {r[0]: (r[1], r[2]) for r in made} == {r[0]: (int(r[1]), int(r[2])) for r in got} and len(got) == 2
+
+
+def test_an_event_is_sent_once_for_a_smallest_set(make_events):
+    """Not once for every set of its reasons: two of these thirty-two wide events have 64 qualifying sets in common and more."""
+    one = {"host": "H", "user": "u", "process": {"name": "p", "pid": 1}, "rule_id": "R", "network": {"source_ip": "10.0.0.1", "destination_ip": "10.0.0.2"}}
+    rows = make_events([{**one, "event_id": f"E{i}", "timestamp": "2024-01-01T00:00:00Z"} for i in range(32)], case_id="C")
+    rules = Rules()
+    narrow = correlate.tokens(rows, ["case_id"]).select("scope_key", "ts", "tok", "pid", "ppid", "techs", "held")
+    smallest = rules.smallest_sets()
+    sent = narrow.mapInArrow(pair_counts._members(smallest, rules.window_micros), "place long, info int, scope_key long, ts long, bits int, fields binary")
+    have = narrow.first().held | correlate._PARENT
+    assert sent.count() == 32 * sum(s & have == s for s in smallest)
+
+
 def test_inversion():
     pick = np.random.default_rng(1)
     values = pick.integers(-9, 9, 1 << 13)
