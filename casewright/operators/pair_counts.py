@@ -697,6 +697,15 @@ def by_case(pairs: Pairs, per_pair: float = 1.0) -> DataFrame:
     )
 
 
+def by_reason(pairs: Pairs) -> DataFrame:
+    """(scope, reason, category, pairs): how many pairs of a scope share each reason; reasons that none shares are left out."""
+    found = pairs.sums({name: lambda mask, bit=bit: int(mask & bit > 0) for name, bit in correlate._BIT.items()})
+    each = F.array(
+        *[F.struct(F.lit(n).alias("reason"), F.lit(c).alias("category"), F.col(n).cast("long").alias("pairs")) for n, _, c, _ in vocab.CORRELATION_REASONS]
+    )
+    return found.select(*pairs.scope, F.inline(F.filter(each, lambda r: r["pairs"] > 0)))
+
+
 def of_pairs(pairs: DataFrame, per_pair: float = 1.0) -> DataFrame:
     """The same of pairs that are at hand."""
     units = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))) * per_pair

@@ -243,9 +243,9 @@ def correlate_seed_events(spark, sf):
 
 @query
 def correlation_reason_counts(spark, sf):
-    rows = correlate.breakdown(correlate.correlate_all(sec_events(spark, sf), per_scope=None))
-    each = rows.select(F.inline("breakdown"))
-    return each.groupBy("reason", "category").agg(F.count("*").alias("pairs"))
+    """Counted, not made; the SQL makes all pairs."""
+    rows = pair_counts.by_reason(pair_counts.Pairs(sec_events(spark, sf), ["tenant_id"]))
+    return rows.groupBy("reason", "category").agg(F.sum("pairs").alias("pairs"))
 
 
 # -- graph -----------------------------------------------------------------------------------------

@@ -105,6 +105,13 @@ def test_places_of_any_size_count_alike(events, monkeypatch, most, at_once, stre
     assert {r[0]: (r[1], r[2]) for r in made} == {r[0]: (int(r[1]), int(r[2])) for r in got} and len(got) == 2
 
 
+def test_reasons_are_counted_without_pairs(events):
+    pairs = correlate.correlate_all(events, ["tenant_id"])
+    want = correlate.breakdown(pairs).select("tenant_id", F.inline("breakdown")).groupBy("tenant_id", "reason", "category").count().collect()
+    got = pair_counts.by_reason(pair_counts.Pairs(events, ["tenant_id"])).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) > 10
+
+
 def test_an_event_is_sent_once_for_a_smallest_set(make_events):
     """Not once for every set of its reasons: two of these thirty-two wide events have 64 qualifying sets in common and more."""
     one = {"host": "H", "user": "u", "process": {"name": "p", "pid": 1}, "rule_id": "R", "network": {"source_ip": "10.0.0.1", "destination_ip": "10.0.0.2"}}
