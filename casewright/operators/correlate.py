@@ -13,12 +13,9 @@ it has, and events are joined on (key, time cell). Every joined pair within the
 window is a result, and a rule on the mask lets exactly one of its keys emit it, so
 no distinct is needed.
 
-How many pairs are made. With ``per_scope`` set (the default is the best 500 per
-scope) groups that hold more than a few dozen events in one time cell are not
-enumerated. Such a group alone has at least ``per_scope`` pairs, so its
-value is a floor under which nothing can be in the result; only reason sets at or
-above the floor are searched then, and of a large group of equals only the first
-pairs in id order are made. See ``_top_pairs``. The result is exact.
+How many pairs are made. With ``per_scope`` set pairs are counted first (``pair_counts``). The counts tell which reason masks the
+best pairs of a scope have; only groups of these are searched, and among pairs of equal
+value only the first by id are made. The result is exact.
 """
 
 from __future__ import annotations
@@ -29,7 +26,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright import vocab
@@ -416,11 +413,13 @@ def correlate_all(
     scope = list(scope)
     if per_scope is not None and per_scope < 1:
         raise ValueError("per_scope must be at least 1")
+    if per_scope is not None:
+        from casewright.operators import pair_counts  # built on this module
+
+        return pair_counts.Pairs(events, scope, rules).top(per_scope)
     narrow = cut_lineage(one_per_id(tokens(events, scope)))  # read several times below
     rows = key_rows(narrow, _set_literal(rules.smallest_sets()), rules)
-    if per_scope is None:
-        return _scored(_once(_matched(rows, rows, scope, rules, events=narrow), rules), scope, rules)
-    return _top_pairs(narrow, rows, scope, rules, per_scope)
+    return _scored(_once(_matched(rows, rows, scope, rules, events=narrow), rules), scope, rules)
 
 
 def correlate_seeds(
@@ -441,218 +440,6 @@ def correlate_seeds(
     return top_k(pairs, [*scope, "source_event_id"], order, per_seed)
 
 
-# -- the bounded form -------------------------------------------------------------------------
-
-
-def _large_group(per_scope: int) -> int:
-    """Size above which a group in one time cell has at least ``per_scope`` pairs."""
-    return math.ceil((1 + math.sqrt(1 + 8 * per_scope)) / 2)
-
-
-_GROUP = ["scope_key", "mask", "key", "cell", "role"]
-
-
-def _group_sizes(rows: DataFrame) -> DataFrame:
-    """Size and time bounds of each (group, cell, role); combined before the shuffle."""
-    return rows.groupBy(*_GROUP).agg(
-        F.count("*").alias("size"), F.min("ts").alias("first_ts"),
-        F.max(F.struct("ts", "event_id")).alias("last_event"),
-    )
-
-
-def _crowded(sizes: DataFrame, limit: int) -> DataFrame:
-    """Cells that alone hold enough pairs: one large group, or large parent and child sides."""
-    large = sizes.filter(F.col("size") > limit)
-    alone = large.filter(F.col("role") == _NO_ROLE).select("scope_key", "mask")
-    sides = large.filter(F.col("role") != _NO_ROLE).groupBy("scope_key", "mask", "key", "cell").agg(
-        F.count_distinct("role").alias("sides")
-    )
-    return alone.unionByName(sides.filter("sides = 2").select("scope_key", "mask"))
-
-
-def _floors(sizes: DataFrame, limit: int, rules: Rules) -> DataFrame:
-    """Best mask rank per scope that already has enough pairs."""
-    return _crowded(sizes, limit).groupBy("scope_key").agg(F.max(rules.rank(F.col("mask"))).alias("floor"))
-
-
-def _top_pairs(narrow: DataFrame, rows: DataFrame, scope: list[str], rules: Rules, k: int) -> DataFrame:
-    """Exact best ``k`` pairs per scope without enumerating large groups.
-
-    1. A cell with a large group has at least k pairs of its mask, so the rank of
-       that mask is a *floor* for its scope.
-    2. Scopes without a large group: every group is small, all their pairs are made.
-    3. Other scopes are keyed again with the smallest sets at or above the floor,
-       until no group lifts the floor further.
-    4. Pairs between two large groups of one key are not all made. Those with a further
-       reason in common are found under the larger set; of the rest, which are
-       equal in value, only the first k by id can be in the result.
-    """
-    limit = _large_group(k)
-    sizes = rows.groupBy(*_GROUP).agg(F.count("*").alias("size")).filter(F.col("size") > limit)
-    sizes = cut_lineage(sizes)
-    if sizes.isEmpty():
-        return _best(_once(_matched(rows, rows, scope, rules, events=narrow), rules), scope, rules, k)
-
-    # scopes with a large group on any side; at most one per `limit` rows
-    hot = cut_lineage(sizes.select("scope_key").distinct())
-    cold_rows = rows.join(hot, "scope_key", "left_anti").select(*rows.columns)
-    cold = _once(_matched(cold_rows, cold_rows, scope, rules, events=narrow), rules)
-    events = narrow.join(hot, "scope_key", "left_semi").select(*narrow.columns)
-
-    base = min((rules.ranks[m] for m in rules.smallest_sets()), default=0)
-    known = _floors(sizes, limit, rules).unionByName(_floors(_complete_forms(events, scope, rules), limit, rules))
-    floors = cut_lineage(_raise(hot.withColumn("floor", F.lit(base)), known))
-    while True:
-        level = cut_lineage(_keyed_at_floor(events, floors, scope, rules))
-        levels, lifted = [], None
-        while not level.isEmpty():
-            counted = cut_lineage(_group_sizes(level))
-            higher = cut_lineage(_raise(floors, _floors(counted, limit, rules)))
-            if not higher.alias("n").join(floors.alias("o"), "scope_key").filter("n.floor > o.floor").isEmpty():
-                lifted = higher
-                break
-            levels.append((level, counted))
-            level = cut_lineage(_refined(_large_rows(level, counted, limit), scope, rules))
-        if lifted is None:
-            break
-        floors = lifted
-
-    parts = [cold.select(*_pair_columns(scope))]
-    for level_rows, level_sizes in levels:
-        parts += _level_pairs(level_rows, level_sizes, scope, rules, limit, k)
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
-    # several levels may have made the same pair
-    return _best(pairs.dropDuplicates([*scope, "source_event_id", "related_event_id"]), scope, rules, k)
-
-
-def _pair_columns(scope: Sequence[str]) -> list[str]:
-    return [*scope, "source_event_id", "related_event_id", "delta_micros", "mask"]
-
-
-def _best(pairs: DataFrame, scope: Sequence[str], rules: Rules, k: int) -> DataFrame:
-    return top_k(_scored(pairs, scope, rules), scope, pair_order(), k)
-
-
-def _raise(floors: DataFrame, more: DataFrame) -> DataFrame:
-    """Floors with higher values taken over; scopes not in ``floors`` are ignored."""
-    best = more.groupBy("scope_key").agg(F.max("floor").alias("_more"))
-    return floors.join(best, "scope_key", "left").select(
-        "scope_key", F.greatest("floor", F.coalesce("_more", "floor")).alias("floor")
-    )
-
-
-def _complete_forms(events: DataFrame, scope: list[str], rules: Rules) -> DataFrame:
-    """Group sizes by everything an event has: copies of one event lift the floor at once."""
-    forms = events.select("*", F.explode(_variants()).alias("v")).filter(F.col("v.role") == _NO_ROLE)
-    have = F.col("held") + F.col("v.need")
-    cell = F.floor(F.col("ts") / F.lit(max(rules.window_micros, 1))).cast("long")
-    rows = forms.select(
-        *scope, "scope_key", "event_id", "ts", have.alias("mask"), F.lit(_NO_ROLE).alias("role"),
-        _group_key(have, _positions(have), F.col("v.family"), F.col("v.technique")).alias("key"),
-        cell.alias("cell"),
-    )
-    least = min((rules.ranks[m] for m in rules.smallest_sets()), default=0)
-    enough = F.bit_count("mask") >= rules.min_reasons
-    return _group_sizes(rows.filter((rules.rank(F.col("mask")) >= least) & enough))
-
-
-def _keyed_at_floor(events: DataFrame, floors: DataFrame, scope: list[str], rules: Rules) -> DataFrame:
-    # distinct floors: at most one per mask value, so this list is small by construction
-    levels = [r[0] for r in floors.select("floor").distinct().collect()]
-    table = {str(level): _set_list(rules.smallest_sets(level)) for level in levels}
-    by_floor = F.from_json(F.lit(json.dumps(table)), f"map<string,{_SET_TYPE}>")
-    joined = events.join(floors, "scope_key")
-    sets = by_floor[F.col("floor").cast("string")]
-    return key_rows(joined, sets, rules, [*scope, *_WIDE])
-
-
-def _flagged(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
-    large = sizes.filter(F.col("size") > limit).select("mask", "key", "cell", "role", F.lit(True).alias("large"))
-    return rows.join(large, ["mask", "key", "cell", "role"], "left").select(
-        *rows.columns, F.coalesce("large", F.lit(False)).alias("large")
-    )
-
-
-def _large_rows(rows: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
-    return _flagged(rows, sizes, limit).filter("large").select(*rows.columns)
-
-
-def _refined(rows: DataFrame, scope: list[str], rules: Rules) -> DataFrame:
-    """Rows of large groups under every set with one more (weighted) reason."""
-    mask = F.col("mask")
-    # a reason that does not raise the value leaves a tie, which id order decides
-    free = lambda bit: (mask.bitwiseAND(F.lit(bit)) == 0) & (
-        rules.rank(mask.bitwiseOR(F.lit(bit))) > rules.rank(mask)
-    )
-    on_host = mask.bitwiseAND(F.lit(_HOST)) != 0
-
-    def option(bit: int, token: Column, role: Column) -> Column:
-        return F.struct(F.lit(bit).alias("bit"), token.alias("token"), role.alias("role"))
-
-    own_role = F.col("role")
-    options = []
-    for name in vocab.REASON_NAMES:
-        bit, i = _BIT[name], _POS[name]
-        if bit in (_PARENT, _TECHNIQUE):
-            continue
-        usable = free(bit) & F.col("tok")[i].isNotNull()
-        if bit & _HOST_GATED:
-            usable = usable & on_host
-        options.append(F.when(usable, option(bit, F.col("tok")[i], own_role)))
-    family = free(_PARENT) & on_host
-    for number, role in (("pid", _AS_PARENT), ("ppid", _AS_CHILD)):
-        options.append(
-            F.when(family & F.col(number).isNotNull(), option(_PARENT, F.col(number), F.lit(role)))
-        )
-    choices = F.array_compact(F.array(*options))
-    each = F.transform("techs", lambda t: option(_TECHNIQUE, t, own_role))
-    choices = F.concat(choices, F.when(free(_TECHNIQUE), each).otherwise(F.slice(choices, 1, 0)))
-    grown = rows.select("*", F.explode(choices).alias("o"))
-    new_mask = mask.bitwiseOR(F.col("o.bit"))
-    party = lambda bit, name: F.when(F.col("o.bit") == bit, F.col("o.token")).otherwise(F.col(name))
-    out = grown.select(
-        *scope, "scope_key", "event_id", "ts", "pid", "ppid", "techs", "tok",
-        party(_PARENT, "family").alias("family"), party(_TECHNIQUE, "technique").alias("technique"),
-        F.col("o.role").alias("role"), new_mask.alias("mask"), "cell",
-    )
-    out = out.withColumn("key", _group_key(F.col("mask"), _positions(F.col("mask")), F.col("family"), F.col("technique")))
-    return out.dropDuplicates(["event_id", "mask", "key", "role", "cell"]).select(*rows.columns)
-
-
-def _level_pairs(
-    rows: DataFrame, sizes: DataFrame, scope: list[str], rules: Rules, limit: int, k: int
-) -> list[DataFrame]:
-    """Pairs of one level: all with a small side, and the first k between large sides."""
-    columns = _pair_columns(scope)
-    flagged = _flagged(rows, sizes, limit)
-    small = flagged.filter(~F.col("large")).select(*rows.columns)
-    large = flagged.filter("large").select(*rows.columns)
-    made = [
-        _matched(small, small, scope, rules).select(*columns),
-        _matched(small, large, scope, rules).select(*columns),
-        _matched(large, small, scope, rules).select(*columns),
-    ]
-    # sources with a partner in a large group of the same or the next cell
-    partner = sizes.filter(F.col("size") > limit).select(
-        "mask", "key", F.col("cell").alias("p_cell"), F.col("role").alias("p_role"), "first_ts", "last_event"
-    )
-    s = large.withColumn("p_cell", F.explode(F.array(F.col("cell"), F.col("cell") + 1)))
-    opposite = F.when(F.col("role") == _NO_ROLE, _NO_ROLE).otherwise(3 - F.col("role"))
-    s = s.withColumn("p_role", opposite).join(partner, ["mask", "key", "p_cell", "p_role"])
-    has_partner = F.when(
-        F.col("p_cell") == F.col("cell"), F.col("last_event") > F.struct("ts", "event_id")
-    ).otherwise(F.col("first_ts") <= F.col("ts") + rules.window_micros)
-    # the first k sources by id hold the first k pairs by id
-    sources = s.filter(has_partner).select(*rows.columns).dropDuplicates(["event_id", "mask", "key", "role"])
-    by_id = Window.partitionBy(*scope, "mask").orderBy("event_id")
-    first = sources.withColumn("_nth", F.dense_rank().over(by_id)).filter(F.col("_nth") <= k)
-    equal = _once_per_set(_matched(first.select(*rows.columns), large, scope, rules))
-    made.append(top_k(equal, [*scope, "set_mask", "source_event_id"], ["related_event_id"], k).select(*columns))
-    return made
-
-
 # -- the streaming form --------------------------------------------------------------------------
 
 

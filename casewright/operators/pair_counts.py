@@ -532,6 +532,43 @@ def _weight() -> Column:
     return F.when(even, -1).otherwise(1) * F.when(both, -1).otherwise(2)
 
 
+def _least(masks: Sequence[int]) -> list[int]:
+    """Masks that contain none of the others."""
+    out: list[int] = []
+    for mask in sorted(masks, key=int.bit_count):
+        if not any(small & mask == small for small in out):
+            out.append(mask)
+    return out
+
+
+def _limits(rules: Rules, k: int):
+    """Of each scope the sets that find its pairs above the value of the k-th best one, and those that find the pairs of that value."""
+    masks = np.arange(1 << _N)
+    on_host = masks | np.where(masks & _GATED, _HOST, 0)
+    rank = np.array([rules.ranks.get(m, -1) for m in range(1 << _N)])
+    counted = np.array([qualifies(rules, m) for m in range(1 << _N)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                exact = np.zeros(1 << _N, np.int64)
+                exact[row["masks"]] = row["counts"]
+                exact = exact[on_host]  # pairs that share a reason which needs the host share the host
+                for bit in range(_N):
+                    at = np.flatnonzero(~masks >> bit & 1)
+                    exact[at] -= exact[at | 1 << bit]
+                there = np.flatnonzero((exact > 0) & counted)
+                there = there[np.argsort(-rank[there], kind="stable")]
+                level = rank[there[min(int(np.searchsorted(np.cumsum(exact[there]), k)), len(there) - 1)]]
+                above, equal = there[rank[there] > level].tolist(), there[rank[there] == level].tolist()
+                found.append({"scope_key": row["scope_key"], "above": _least(above), "level": _least(equal)})
+            schema = pa.schema([("scope_key", pa.int64()), ("above", pa.list_(pa.int32())), ("level", pa.list_(pa.int32()))])
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
+
+    return run
+
+
 class Pairs:
     """The pairs of events, counted. What is read more than once is written once.
 
@@ -610,48 +647,63 @@ class Pairs:
         return correlate._scored(pairs, self.scope, self.rules)
 
     def best(self) -> DataFrame:
-        """The best pair of each scope that has one, with the columns of ``correlate.correlate_all``.
+        """The best pair of each scope that has one, with the columns of ``correlate.correlate_all``."""
+        return self.top(1).drop("rank")
 
-        The counts tell the best reason sets that any pair of a scope shares. Only events with these sets are looked at: the
-        first by id that has a later partner, then the first of its partners.
+    def top(self, k: int) -> DataFrame:
+        """The best ``k`` pairs of each scope and their ``rank``, with the columns of ``correlate.correlate_all``.
+
+        The counts tell how many pairs have each reason mask, so also the value that the k-th best pair of a scope has. Pairs
+        above it are fewer than k: all are made. Of those that have it the first by ids are looked for: the first 2 k events with a
+        later partner, then the first of these pairs. Twice as many, because a pair found so may be one of those above.
         """
         rules = self.rules
-        counted = self._shared(self._qualifying()).groupBy("scope_key", F.col("code").bitwiseAND((1 << _N) - 1).alias("mask")).agg(F.sum(_weight() * F.col("pairs")).alias("n"))
-        ok = rules._table([int(qualifies(rules, m)) for m in range(1 << _N)], "int", F.col("mask"))
-        held = counted.filter((F.col("n") > 0) & (ok == 1)).select("scope_key", "mask", rules.rank(F.col("mask")).alias("rank"))
-        top = held.groupBy("scope_key").agg(F.max("rank").alias("rank"))
-        # at most as many sets as there are reason masks
-        chosen = held.join(top, ["scope_key", "rank"]).groupBy("scope_key").agg(F.collect_set("mask").alias("masks"))
+        n = F.sum(_weight() * F.col("pairs"))
+        counted = self._shared(self._qualifying()).groupBy("scope_key", F.col("code").bitwiseAND((1 << _N) - 1).alias("mask")).agg(n.alias("n")).filter("n > 0")
+        # at most as many masks as there are sets of reasons
+        lists = counted.groupBy("scope_key").agg(F.collect_list("mask").alias("masks"), F.collect_list((F.col("n") / 2).cast("long")).alias("counts"))
+        chosen = cut_lineage(lists.mapInArrow(_limits(rules, k), "scope_key long, above array<int>, level array<int>"))
+        above, level = (self._members(chosen.select("scope_key", F.col(c).alias("masks")).filter("size(masks) > 0")) for c in ("above", "level"))
+        columns = ["scope_key", "source_event_id", "related_event_id"]
+        made = correlate._matched(above, above, ["scope_key"], rules, events=self.narrow).select(*columns)
+        ids = made.unionByName(self._first(cut_lineage(level), k).select(*columns))
+        if self.made is not None:
+            ids = ids.unionByName(self.made.select(*columns))
+        # of pairs with long lists of techniques either event may stand first
+        ordered = self._whole(ids.distinct()).dropDuplicates([*self.scope, "source_event_id", "related_event_id"])
+        return top_k(ordered, self.scope, correlate.pair_order(), k)
+
+    def _members(self, chosen: DataFrame) -> DataFrame:
+        """Key rows of the events for the sets ``masks`` of their scope."""
         sets = F.transform("masks", lambda m: F.struct(m.alias("mask"), correlate._positions(m).alias("pos")))
-        members = correlate.key_rows(self.short.join(chosen, "scope_key"), sets, rules)
-        place = ["scope_key", "mask", "key", "place"]
-        rows = cut_lineage(members.withColumn("place", F.explode(F.array("cell", F.col("cell") + 1))))
+        return correlate.key_rows(self.short.join(chosen, "scope_key"), sets, self.rules)
 
+    def _first(self, members: DataFrame, k: int) -> DataFrame:
+        """Of pairs of ``members`` (of one key, within the window) the first 2 k of each scope by ids."""
+        place = ["scope_key", "mask", "key", "place"]
+        rows = members.withColumn("place", F.explode(F.array("cell", F.col("cell") + 1)))
         later = Window.partitionBy(*place).orderBy(F.desc("ts"), F.desc("event_id"), "role")
-        upto = {k: later.rowsBetween(Window.unboundedPreceding, -k) for k in (1, 2)}
+        upto = {n: later.rowsBetween(Window.unboundedPreceding, -n) for n in (1, 2)}
 
         def nearest(role: int) -> Column:
             """Time of the next event in a role; an event that is its own parent does not meet itself."""
-            after = [F.last(F.when(F.col("role") == role, F.col("ts")), ignorenulls=True).over(upto[k]) for k in (1, 2)]
+            after = [F.last(F.when(F.col("role") == role, F.col("ts")), ignorenulls=True).over(upto[n]) for n in (1, 2)]
             return F.when(F.lag("event_id").over(later) == F.col("event_id"), after[1]).otherwise(after[0])
 
         partner = F.when(F.col("role") == correlate._NO_ROLE, nearest(correlate._NO_ROLE)).when(
             F.col("role") == correlate._AS_PARENT, nearest(correlate._AS_CHILD)
         ).otherwise(nearest(correlate._AS_PARENT))
-        paired = rows.withColumn("_next", partner).filter(F.col("_next") - F.col("ts") <= rules.window_micros)
-        firsts = paired.groupBy("scope_key").agg(F.min("event_id").alias("source_event_id"))
-        own = rows.join(firsts, "scope_key").filter("event_id = source_event_id")
+        paired = rows.withColumn("_next", partner).filter(F.col("_next") - F.col("ts") <= self.rules.window_micros)
+        sources = top_k(paired.select("scope_key", F.col("event_id").alias("source_event_id")).distinct(), ["scope_key"], ["source_event_id"], 2 * k)
+        own = rows.join(sources.drop("rank"), (rows["scope_key"] == sources["scope_key"]) & (F.col("event_id") == F.col("source_event_id"))).drop(sources["scope_key"])
         a = own.select(*place, F.col("ts").alias("_ts"), F.col("role").alias("_role"), "source_event_id")
         met = rows.join(a, place).filter(
             ((F.col("ts") > F.col("_ts")) | ((F.col("ts") == F.col("_ts")) & (F.col("event_id") > F.col("source_event_id"))))
-            & (F.col("ts") - F.col("_ts") <= rules.window_micros)
+            & (F.col("ts") - F.col("_ts") <= self.rules.window_micros)
             & (((F.col("role") == 0) & (F.col("_role") == 0)) | (F.col("role") + F.col("_role") == correlate._AS_PARENT + correlate._AS_CHILD))
         )
-        ids = met.groupBy("scope_key", "source_event_id").agg(F.min("event_id").alias("related_event_id"))
-        if self.made is not None:
-            ids = ids.unionByName(self.made.select(*ids.columns))
-        pairs = self._whole(ids)
-        return top_k(pairs, self.scope, correlate.pair_order(), 1).drop("rank")
+        ids = met.select("scope_key", "source_event_id", F.col("event_id").alias("related_event_id")).distinct()
+        return top_k(ids, ["scope_key"], ["source_event_id", "related_event_id"], 2 * k)
 
     def _whole(self, ids: DataFrame) -> DataFrame:
         """Pairs (scope_key, source_event_id, related_event_id) in either order with all their columns, the earlier event first."""

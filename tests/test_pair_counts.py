@@ -105,6 +105,29 @@ def test_places_of_any_size_count_alike(events, monkeypatch, most, at_once, stre
     assert {r[0]: (r[1], r[2]) for r in made} == {r[0]: (int(r[1]), int(r[2])) for r in got} and len(got) == 2
 
 
+@pytest.mark.parametrize("k, rules", [(1, Rules()), (4, Rules(window_seconds=95.5)), (30, Rules(min_confidence=0.3, confidence_mode="max", score_mode="max")), (10**6, Rules())])
+def test_top_pairs_equal_those_of_all_pairs(events, k, rules):
+    made: dict = {}
+    for r in sorted(correlate.correlate_all(events, ["tenant_id"], rules).collect(), key=lambda r: (-r.confidence, -r.score, r.source_event_id, r.related_event_id)):
+        made.setdefault(r.tenant_id, []).append(tuple(r))
+    got: dict = {}
+    for r in sorted(correlate.correlate_all(events, ["tenant_id"], rules, k).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.tenant_id, []).append(tuple(r)[:-1])
+    assert got == {t: rows[:k] for t, rows in made.items()} and len(got) == 2
+
+
+def test_top_pairs_write_no_level_of_reasons(spark, make_events, monkeypatch):
+    """Large groups are not keyed again under one more reason: only two small tables are written besides the events and their counts."""
+    one = {"host": "H", "user": "u", "process": {"name": "p", "pid": 1}, "rule_id": "R", "network": {"source_ip": "10.0.0.1", "destination_ip": "10.0.0.2"}}
+    rows = make_events([{**one, "event_id": f"E{i:03d}", "timestamp": f"2024-01-01T00:00:{i % 60:02d}Z"} for i in range(200)], case_id="C")
+    written = []
+    for module in (correlate, pair_counts):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: written.append(df.checkpoint()) or written[-1])
+    got = correlate.correlate_all(rows, ["case_id"], per_scope=3).collect()
+    assert [(r.source_event_id, r.related_event_id) for r in got] == [("E000", "E001"), ("E000", "E002"), ("E000", "E003")]
+    assert sum(df.count() for df in written if "tok" in df.columns) == 200 and len(written) == 5
+
+
 def test_reasons_are_counted_without_pairs(events):
     pairs = correlate.correlate_all(events, ["tenant_id"])
     want = correlate.breakdown(pairs).select("tenant_id", F.inline("breakdown")).groupBy("tenant_id", "reason", "category").count().collect()
