@@ -640,10 +640,11 @@ class Pairs:
         counted = [F.coalesce(F.col(n), F.lit(0).cast(exact)).alias(name) for n, name in zip(names, measures, strict=True)]
         return every.join(total, "scope_key", "left").select(*self.scope, *counted)
 
-    def all(self) -> DataFrame:
-        """Every pair, as ``correlate.correlate_all`` gives them."""
-        rows = correlate.key_rows(self.narrow, correlate._set_literal(self.rules.smallest_sets()), self.rules)
-        pairs = correlate._once(correlate._matched(rows, rows, self.scope, self.rules, events=self.narrow), self.rules)
+    def all(self, without: DataFrame | None = None) -> DataFrame:
+        """Every pair, as ``correlate.correlate_all`` gives them; not those of the cases ``without``."""
+        events = self.narrow if without is None else self.narrow.join(without, "case_id", "left_anti").select(*self.narrow.columns)
+        rows = correlate.key_rows(events, correlate._set_literal(self.rules.smallest_sets()), self.rules)
+        pairs = correlate._once(correlate._matched(rows, rows, self.scope, self.rules, events=events), self.rules)
         return correlate._scored(pairs, self.scope, self.rules)
 
     def best(self) -> DataFrame:

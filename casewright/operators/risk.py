@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,10 +52,10 @@ def _evidence_value(evidence: DataFrame, config: RiskConfig) -> Column:
 
 
 def factors(
-    evidence: DataFrame, pairs: DataFrame, hypotheses: DataFrame, config: RiskConfig | None = None,
+    evidence: DataFrame, pairs: DataFrame | None, hypotheses: DataFrame, config: RiskConfig | None = None,
     links: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per contribution: (case_id, name, category, contribution, rationale, source_id)."""
+    """One row per contribution: (case_id, name, category, contribution, rationale, source_id). Without ``pairs``, all others."""
     config = config or RiskConfig()
     from_evidence = evidence.select(
         "case_id", F.concat(F.lit("evidence:"), F.col("evidence_id")).alias("name"),
@@ -62,16 +63,6 @@ def factors(
         F.concat("strength", F.lit(" "), "evidence_type", F.lit(": "), "title").alias("rationale"),
         F.col("evidence_id").alias("source_id"),
     )
-    conf = _unit("confidence")
-    from_pairs = pairs.select(
-        "case_id", F.concat(F.lit("correlation:"), pair_id()).alias("name"), F.lit("correlation").alias("category"),
-        F.bround(conf * config.correlation_per_pair, 3).alias("contribution"),
-        F.concat(
-            F.lit("correlation confidence "), F.format_number(conf, 2), F.lit(" (reasons: "),
-            F.concat_ws(",", "reasons"), F.lit(")"),
-        ).alias("rationale"),
-        pair_id().alias("source_id"),
-    )
     best = _best_hypothesis(hypotheses).filter(F.col("value") > 0).select(
         "case_id", F.concat(F.lit("hypothesis:"), F.col("h.hypothesis_id")).alias("name"),
         F.lit("hypothesis").alias("category"), F.bround("value", 3).alias("contribution"),
@@ -102,7 +93,21 @@ def factors(
         "case_id", "p.name", F.lit("penalty").alias("category"), "p.contribution", "p.rationale",
         F.lit(None).cast("string").alias("source_id"),
     )
-    return from_evidence.unionByName(from_pairs).unionByName(best).unionByName(penalties)
+    rows = from_evidence.unionByName(best).unionByName(penalties)
+    return rows if pairs is None else rows.unionByName(_pair_factors(pairs, config))
+
+
+def _pair_factors(pairs: DataFrame, config: RiskConfig) -> DataFrame:
+    conf = _unit("confidence")
+    return pairs.select(
+        "case_id", F.concat(F.lit("correlation:"), pair_id()).alias("name"), F.lit("correlation").alias("category"),
+        F.bround(conf * config.correlation_per_pair, 3).alias("contribution"),
+        F.concat(
+            F.lit("correlation confidence "), F.format_number(conf, 2), F.lit(" (reasons: "),
+            F.concat_ws(",", "reasons"), F.lit(")"),
+        ).alias("rationale"),
+        pair_id().alias("source_id"),
+    )
 
 
 def _best_hypothesis(hypotheses: DataFrame) -> DataFrame:
@@ -204,6 +209,21 @@ def top_factors(rows: DataFrame, per_case: int = 5) -> DataFrame:
     return top_k(positive, ["case_id"], [F.desc("contribution"), F.asc("category"), F.asc("name")], per_case)
 
 
+def top_factors_of(
+    evidence: DataFrame, pairs: Callable[[DataFrame], DataFrame], hypotheses: DataFrame, config: RiskConfig | None = None,
+    links: DataFrame | None = None, per_case: int = 5,
+) -> DataFrame:
+    """``top_factors`` of all factors; ``pairs`` gives the pairs of all cases but those of a table of ``case_id``.
+
+    A pair contributes ``correlation_per_pair`` at most, so a case with enough larger factors needs none of its pairs.
+    """
+    config = config or RiskConfig()
+    others = top_factors(factors(evidence, None, hypotheses, config, links), per_case).drop("rank")
+    large = others.groupBy("case_id").agg(F.count("*").alias("n"), F.min("contribution").alias("least"))
+    settled = large.filter((F.col("n") >= per_case) & (F.col("least") > F.bround(F.lit(config.correlation_per_pair), 3))).select("case_id")
+    return top_factors(others.unionByName(_pair_factors(pairs(settled), config)), per_case)
+
+
 def by_weight(rows: DataFrame) -> DataFrame:
     """Factors of each case, the largest absolute contribution first."""
     return rows.orderBy("case_id", F.desc(F.abs("contribution")), "name")

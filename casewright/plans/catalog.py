@@ -596,7 +596,7 @@ def process_children(spark, sf):
 @query
 def risk_summaries(spark, sf):
     tables = investigate(sec_events(spark, sf))
-    rows = risk.flags(risk.with_summary(tables["risk"], risk.top_factors(tables["risk_factors"], 3)))
+    rows = risk.flags(risk.with_summary(tables["risk"], tables["top_factors"]))
     return rows.select(
         "case_id", "is_high_risk", "is_critical_risk", F.regexp_extract("summary", r"^(Risk \d+/100)", 1).alias("head"),
         F.regexp_extract("summary", r"Top contributors: (.*)[.]$", 1).alias("top"),
@@ -840,7 +840,7 @@ def risk_by_case(spark, sf):
 
 @query
 def risk_factors_top5(spark, sf):
-    rows = risk.top_factors(investigate(sec_events(spark, sf))["risk_factors"])
+    rows = investigate(sec_events(spark, sf))["top_factors"]
     return rows.select("case_id", "rank", "name", "category", "contribution")
 
 

@@ -48,11 +48,12 @@ def investigate(
     counted = stages.correlate_all is correlate.correlate_all and stages.max_pairs is None
     found_pairs = pair_counts.Pairs(events, scope, stages.rules) if counted else None
     if found_pairs is not None and not found_pairs.few:
-        pairs, best = found_pairs.all(), found_pairs.best()
+        pairs, best, pairs_without = found_pairs.all(), found_pairs.best(), found_pairs.all
         totals = pair_counts.by_case(found_pairs, stages.risk_config.correlation_per_pair)
     else:
         pairs = found_pairs.all() if found_pairs else stages.correlate_all(events, scope, stages.rules, stages.max_pairs)
         pairs = best = cut_lineage(pairs)
+        pairs_without = lambda cases: pairs.join(cases, "case_id", "left_anti").select(*pairs.columns)
         totals = pair_counts.of_pairs(pairs, stages.risk_config.correlation_per_pair)
     tables["correlations"] = pairs
     totals = tables["correlation_totals"] = totals if found_pairs is None or found_pairs.few else cut_lineage(totals)
@@ -69,6 +70,7 @@ def investigate(
     tables["hypothesis_support"] = hypotheses.support_links(found, made)
     tables["risk"] = risk.assess(found, totals, made, stages.risk_config, links)
     tables["risk_factors"] = risk.factors(found, pairs, made, stages.risk_config, links)
+    tables["top_factors"] = risk.top_factors_of(found, pairs_without, made, stages.risk_config, links)
     tables["cases"] = case_ops.summary(
         case_ops.assemble(events, analyst=analyst), tables["risk"], entities, relationships
     )

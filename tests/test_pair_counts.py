@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.operators import correlate, pair_counts
+from casewright.operators import correlate, pair_counts, risk
 from casewright.operators.correlate import Rules
+from casewright.plans.investigate import investigate
 
 START = 1_700_000_000
 
@@ -128,6 +129,21 @@ def test_top_pairs_write_no_level_of_reasons(spark, make_events, monkeypatch):
     assert sum(df.count() for df in written if "tok" in df.columns) == 200 and len(written) == 5
 
 
+def test_top_factors_need_pairs_of_few_cases(events):
+    """Cases whose other factors are larger than any pair's are settled without their pairs."""
+    tables = investigate(events.withColumn("severity", F.when(F.col("case_id") == "C1", 90).otherwise(10)))
+    want = sorted(map(tuple, risk.top_factors(tables["risk_factors"]).collect()), key=str)
+    assert sorted(map(tuple, tables["top_factors"].collect()), key=str) == want
+    settled, made = [], tables["correlations"]
+
+    def pairs(cases):
+        settled.extend(r[0] for r in cases.collect())
+        return made.join(cases, "case_id", "left_anti").select(*made.columns)
+
+    got = risk.top_factors_of(tables["evidence"], pairs, tables["hypotheses"])
+    assert sorted(map(tuple, got.collect()), key=str) == want and settled == ["C1"]
+
+
 def test_reasons_are_counted_without_pairs(events):
     pairs = correlate.correlate_all(events, ["tenant_id"])
     want = correlate.breakdown(pairs).select("tenant_id", F.inline("breakdown")).groupBy("tenant_id", "reason", "category").count().collect()
