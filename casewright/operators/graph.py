@@ -10,6 +10,7 @@ events then costs one row in ``entities`` and is spread over all tasks in
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,78 +67,141 @@ def _parts(events: DataFrame, scope: Sequence[str]) -> DataFrame:
     )
 
 
+_ENTRIES = "array<struct<key:string,value:string>>"
+
+
 def _properties(**values: str) -> str:
-    """Map of the non-null values, as text."""
+    """Keys and values as text, nulls among them."""
     entries = ", ".join(f"named_struct('key', '{k}', 'value', CAST({v} AS STRING))" for k, v in values.items())
-    return f"map_from_entries(filter(array({entries}), e -> e.value IS NOT NULL))"
+    return f"array({entries})"
 
 
 def _node(
     kind: str, value: str, normalized: str, host: str = "NULL", scope: str = "NULL", domain: str = "NULL",
-    algorithm: str = "NULL", role: str = "", properties: str = "NULL",
+    algorithm: str = "NULL", role: str = "", properties: str = "NULL", hashed: bool = True,
 ) -> str:
     """One mention as SQL text; null when the event has no such entity."""
     json = identity.entity_json_sql(kind, normalized, host=host, scope=scope, domain=domain, algorithm=algorithm)
+    fingerprint = f", 'fingerprint', sha2({json}, 256)" if hashed else ""
     text = lambda x: f"CAST({x} AS STRING)"
     return (
         f"CASE WHEN {normalized} IS NOT NULL THEN named_struct('entity_type', '{kind}', 'value', {value}, "
         f"'normalized_value', {normalized}, 'host', {text(host)}, 'identity_scope', {text(scope)}, "
         f"'identity_domain', {text(domain)}, 'hash_algorithm', {text(algorithm)}, 'role', '{role}', "
-        f"'properties', CAST({properties} AS MAP<STRING, STRING>), 'fingerprint', sha2({json}, 256)) END"
+        f"'_entries', CAST({properties} AS {_ENTRIES}){fingerprint}) END"
     )
 
 
-def mentions(events: DataFrame, scope: Sequence[str] = (), registry_keys: bool = False) -> DataFrame:
-    """One row per entity an event mentions, with fingerprint and entity id.
-
-    ``scope`` columns (for example ``case_id``) are carried along.
-    ``registry_keys`` adds registry entities, which are off by default.
-    """
+def _raw_mentions(events: DataFrame, scope: Sequence[str], registry_keys: bool = False, hashed: bool = False) -> DataFrame:
+    """One row per entity an event mentions; ``hashed`` adds its fingerprint."""
+    node = partial(_node, hashed=hashed)
     local_host = "CASE WHEN user_domain IS NULL THEN host_key END"
     nodes = [
-        _node("host", "host_text", "host_key"),
-        _node("user", "user_text", "user_key", host=local_host, scope="user_scope", domain="user_domain"),
-        _node(
+        node("host", "host_text", "host_key"),
+        node("user", "user_text", "user_key", host=local_host, scope="user_scope", domain="user_domain"),
+        node(
             "process", "child_name", "child_key", host="host_key", role="child",
             properties=_properties(
                 identity_quality=identity.process_quality_sql("child_guid", "child_pid"), pid="child_pid",
                 parent_pid="parent_pid", guid="child_guid", image_path="image_path",
             ),
         ),
-        _node(
+        node(
             "process", "parent_name", "parent_key", host="host_key", role="parent",
             properties=_properties(
                 identity_quality=identity.process_quality_sql("parent_guid", "parent_pid"), pid="parent_pid",
                 guid="parent_guid",
             ),
         ),
-        _node(
+        node(
             "file", "file_text", "file_key", host="host_key",
             properties=_properties(size="file_size", signed="file_signed", signer="file_signer", extension="file_extension"),
         ),
-        _node("ip", "source_ip", "source_ip", role="source"),
-        _node("ip", "destination_ip", "destination_ip", role="destination"),
-        _node("domain", "domain_text", "domain_key"),
-        _node("domain", "dns_text", "dns_key"),
+        node("ip", "source_ip", "source_ip", role="source"),
+        node("ip", "destination_ip", "destination_ip", role="destination"),
+        node("domain", "domain_text", "domain_key"),
+        node("domain", "dns_text", "dns_key"),
     ]
     if registry_keys:
         nodes.append(
-            _node(
+            node(
                 "registry", "registry_text", "CASE WHEN host_key IS NOT NULL THEN lower(registry_text) END",
                 host="host_key", properties=_properties(is_persistence_key="registry_flag"),
             )
         )
-    hashes = f"transform(hash_list, e -> {_node('hash', 'e.value', 'lower(e.value)', algorithm='e.algorithm')})"
+    hashes = f"transform(hash_list, e -> {node('hash', 'e.value', 'lower(e.value)', algorithm='e.algorithm')})"
     techniques = (
         "transform(filter(transform(technique_list, t -> nullif(trim(t), '')), t -> t IS NOT NULL), "
-        f"t -> {_node('mitre_technique', 't', 'upper(t)')})"
+        f"t -> {node('mitre_technique', 't', 'upper(t)')})"
     )
     carried = [*scope, *[c for c in ("tenant_id",) if c not in scope], "event_id", "timestamp"]
     every = f"array_compact(concat(array({', '.join(nodes)}), {hashes}, {techniques}))"
-    rows = _parts(events, scope).selectExpr(*carried, f"inline({every})")
+    return _parts(events, scope).selectExpr(*carried, f"inline({every})")
+
+
+#: What the identity of a mention is made of.
+_IDENTITY = ["entity_type", "normalized_value", "host", "identity_scope", "identity_domain", "hash_algorithm"]
+#: Types that events mention.
+_MENTIONED = ["host", "user", "process", "file", "ip", "domain", "registry", "hash", "mitre_technique"]
+
+
+def _with_ids(rows: DataFrame) -> DataFrame:
+    """Add fingerprint and entity id of rows with the identity of a mention."""
+    kinds = " ".join(f"WHEN '{k}' THEN {identity.entity_json_sql(k, 'normalized_value')}" for k in _MENTIONED)
+    return _with_entity_id(rows.selectExpr("*", f"sha2(CASE entity_type {kinds} END, 256) AS fingerprint"))
+
+
+def _with_entity_id(rows: DataFrame) -> DataFrame:
     digest = identity.uuid5_digest_sql(vocab.ENTITY_NAMESPACE, "fingerprint")
-    return rows.selectExpr("*", f"{digest} AS _d").selectExpr(
-        *rows.columns, f"{identity.uuid5_text_sql('_d')} AS entity_id"
+    return rows.selectExpr("*", f"{digest} AS _d").selectExpr(*rows.columns, f"{identity.uuid5_text_sql('_d')} AS entity_id")
+
+
+_FILLED = "filter(_entries, e -> e.value IS NOT NULL)"
+
+
+def mentions(events: DataFrame, scope: Sequence[str] = (), registry_keys: bool = False) -> DataFrame:
+    """One row per entity an event mentions, with fingerprint and entity id.
+
+    ``scope`` columns (for example ``case_id``) are carried along.
+    ``registry_keys`` adds registry entities, which are off by default.
+    """
+    rows = _raw_mentions(events, scope, registry_keys, hashed=True)
+    plain = [c for c in rows.columns if c not in ("_entries", "fingerprint")]
+    return _with_entity_id(rows.selectExpr(*plain, f"map_from_entries({_FILLED}) AS properties", "fingerprint"))
+
+
+def _entities(raw: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """``resolve_entities`` of what events mention, in one pass.
+
+    Mentions that are equal but for event and time become one row before anything is hashed. The last value of
+    every property is found beside the entity itself, which is the row without a key.
+    """
+    tenant = [c for c in ("tenant_id",) if c not in scope]
+    same = [*scope, *tenant, *_IDENTITY, "value", "role", "_entries"]
+    when = F.struct("timestamp", "event_id")
+    # a number first: rows are sorted by it
+    alike = raw.groupBy(F.xxhash64(*same).alias("_hash"), *same).agg(
+        F.min(when).alias("_first"), F.max(when).alias("_last"), F.count("*").alias("_n"),
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+    )
+    base = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
+    entries = F.concat(base, F.coalesce(F.expr(_FILLED), F.array().cast(_ENTRIES)))
+    keys = [*scope, "fingerprint", "entity_type"]
+    plain = ["entity_id", *tenant, *[c for c in _IDENTITY if c != "entity_type"]]
+    each = _with_ids(alike).select("*", F.explode(entries).alias("_p")).groupBy(*keys, F.col("_p.key").alias("_k")).agg(
+        *[F.first(c).alias(c) for c in plain], F.min_by("value", F.struct("_first", "role")).alias("value"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("_n").alias("mention_count"),
+        F.max_by("_p.value", F.struct("_last", "role")).alias("_v"),
+    )
+    counts = [*plain, "value", "first_seen", "last_seen", "mention_count"]
+    merged = each.groupBy(*keys).agg(
+        *[F.first(F.when(F.col("_k").isNull(), F.col(c)), ignorenulls=True).alias(c) for c in counts],
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v"))))).alias("properties"),
+    )
+    return merged.select(
+        *scope, "fingerprint", "entity_id", *tenant, "entity_type", "value", "normalized_value", "host", "identity_scope",
+        "identity_domain", "hash_algorithm", "first_seen", "last_seen", "mention_count",
+        F.when(F.size("properties") > 0, F.col("properties")).alias("properties"),
     )
 
 
@@ -322,6 +386,56 @@ def edges(events: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     ).withColumn("fingerprint", identity.relationship_fingerprint())
 
 
+def _raw_edges(events: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """One row per relationship an event shows, with what its ends are made of instead of their ids."""
+    def link(kind: str, source: str, target: str, also: str = "true", algorithm: str = "NULL") -> str:
+        return (
+            f"CASE WHEN {also} AND {source} IS NOT NULL AND {target} IS NOT NULL THEN named_struct('relationship_type', '{kind}', "
+            f"'_source', {source}, '_target', {target}, '_algorithm', CAST({algorithm} AS STRING)) END"
+        )
+
+    made = [
+        link("spawned", "parent_key", "child_key", "parent_key <> child_key"), link("run_as", "child_key", "user_key"),
+        link("connected_to", "child_key", "destination_ip", "category IN ('network', 'http')"),
+    ]
+    hashes = f"transform(hash_list, e -> {link('has_hash', 'file_key', 'lower(e.value)', algorithm='e.algorithm')})"
+    carried = [*scope, *[c for c in ("tenant_id",) if c not in scope], "event_id", "timestamp", "host_key", "user_scope", "user_domain"]
+    return _parts(events, scope).selectExpr(*carried, f"inline(array_compact(concat(array({', '.join(made)}), {hashes})))")
+
+
+_ENDS = ["relationship_type", "_source", "_target", "_algorithm", "host_key", "user_scope", "user_domain"]
+
+
+def _with_ends(raw: DataFrame) -> DataFrame:
+    """Edges with the ids of their ends and their fingerprint."""
+    def end(kinds: dict[str, str], value: str) -> str:
+        fields = {"host": "host_key", "scope": "user_scope", "domain": "user_domain", "algorithm": "_algorithm"}
+        arms = " ".join(f"WHEN '{name}' THEN {identity.entity_json_sql(kind, value, **fields)}" for name, kind in kinds.items())
+        return identity.uuid5_digest_sql(vocab.ENTITY_NAMESPACE, f"sha2(CASE relationship_type {arms} END, 256)")
+
+    sources = {"spawned": "process", "run_as": "process", "connected_to": "process", "has_hash": "file"}
+    targets = {"spawned": "process", "run_as": "user", "connected_to": "ip", "has_hash": "hash"}
+    others = [c for c in raw.columns if c not in _ENDS]
+    rows = raw.selectExpr(*others, "relationship_type", f"{end(sources, '_source')} AS _s", f"{end(targets, '_target')} AS _t")
+    return rows.selectExpr(
+        *others, f"{identity.uuid5_text_sql('_s')} AS source_id", "relationship_type", f"{identity.uuid5_text_sql('_t')} AS target_id",
+        "'entity' AS source_type", "'entity' AS target_type", "1.0D AS weight", "1.0D AS confidence",
+    ).withColumn("fingerprint", identity.relationship_fingerprint())
+
+
+def _relationships(raw: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """``resolve_relationships`` of what events show; equal edges become one row before anything is hashed."""
+    tenant = [c for c in ("tenant_id",) if c not in scope]
+    alike = raw.groupBy(*scope, *tenant, *_ENDS).agg(
+        F.count("*").alias("_n"), F.min("timestamp").alias("_from"), F.max("timestamp").alias("_to")
+    )
+    same = [*tenant, "source_type", "source_id", "relationship_type", "target_type", "target_id"]
+    return _with_ends(alike).groupBy(*scope, "fingerprint").agg(
+        *[F.first(c).alias(c) for c in same], F.max("weight").alias("weight"), F.max("confidence").alias("confidence"),
+        F.min("_from").alias("first_seen"), F.max("_to").alias("last_seen"), F.sum("_n").alias("event_count"),
+    )
+
+
 def with_relationship_fingerprint(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fingerprint", identity.relationship_fingerprint())
 
@@ -470,12 +584,11 @@ def reverse(relationships: DataFrame) -> DataFrame:
 
 def build(events: DataFrame, scope: Sequence[str] = (), registry_keys: bool = False) -> dict[str, DataFrame]:
     """Entities, their provenance and the relationships of a set of events."""
-    mentioned = mentions(events, scope, registry_keys)
     return {
         # what events say of an entity is never a list
-        "entities": resolve_entities(mentioned, scope, unite_lists=False),
-        "entity_events": entity_events(mentioned, scope),
-        "relationships": resolve_relationships(edges(events, scope), scope),
+        "entities": _entities(_raw_mentions(events, scope, registry_keys), scope),
+        "entity_events": entity_events(mentions(events, scope, registry_keys), scope),
+        "relationships": _relationships(_raw_edges(events, scope), scope),
     }
 
 

@@ -276,3 +276,26 @@ def test_lookups_and_checks(make_events):
     assert graph.same_identity(entities, entities.limit(2)).count() == 2
     log = entities.limit(1).select("fingerprint", F.lit("2020-01-01").cast("timestamp").alias("timestamp"), F.lit("x").alias("event_id"))
     assert graph.add_provenance(entities, log).filter("first_seen < '2021-01-01' AND mention_count = 2").count() == 1
+
+
+def test_graph_built_in_one_pass_equals_merged_mentions_and_hashes_once_per_entity(make_events):
+    events = make_events(
+        [
+            {"event_id": "E-2", "timestamp": "2024-01-01T00:00:00Z", "tenant_id": "t", "host": "H1", "user": "Ann",
+             "process": {"name": "CMD.exe", "pid": 7, "parent_pid": 3, "parent_name": "sh", "image_path": "b"}},
+            {"event_id": "E-1", "timestamp": "2024-01-01T00:00:00Z", "tenant_id": "t", "host": "h1", "user": "ann",
+             "process": {"name": "cmd.exe", "pid": 7, "parent_pid": 4, "image_path": "a"}},
+            {"event_id": "E-3", "timestamp": "2024-01-02T00:00:00Z", "host": "h1", "category": "file", "mitre_techniques": ["T1105"],
+             "file": {"path": "/x", "hashes": {"SHA256": "AB"}, "size": 3}},
+        ]
+    )
+    built = graph.build(events, ["tenant_id"])
+    entities = graph.resolve_entities(graph.mentions(events, ["tenant_id"]), ["tenant_id"], unite_lists=False)
+    relationships = graph.resolve_relationships(graph.edges(events, ["tenant_id"]), ["tenant_id"])
+    for made, merged in ((built["entities"], entities), (built["relationships"], relationships)):
+        assert made.columns == merged.columns
+        assert sorted(made.collect(), key=repr) == sorted(merged.collect(), key=repr)
+    command = built["entities"].filter("entity_type = 'process' AND value = 'cmd.exe'").first()
+    assert command["properties"] == {"identity_quality": "pid", "pid": "7", "parent_pid": "3", "image_path": "b"}
+    plan = built["entities"].filter("entity_type = 'ip'").select("entity_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1  # properties were a second pass over the events
