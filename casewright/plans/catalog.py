@@ -790,7 +790,7 @@ def hypothesis_contradictions(spark, sf):
 
 @query
 def hypothesis_sub_correlation(spark, sf):
-    rows = correlate.correlate_all(sec_events(spark, sf), ["case_id", "tenant_id"])
+    rows = pair_counts.Pairs(sec_events(spark, sf), ["case_id", "tenant_id"]).best()
     return hypotheses.correlation_sub(rows).select("case_id", "statement", "rationale", "hypothesis_id")
 
 
