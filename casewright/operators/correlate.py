@@ -9,10 +9,15 @@ quadratic, and most such pairs share only the host, which is far below the
 threshold. So events are never joined on one weak reason. From the weights follow
 the *smallest sets of reasons that reach the threshold* (host and pid; host, user and
 process name; file hash alone; ...). An event gets one key per such set whose fields
-it has, and events are joined on (key, time cell). Every joined pair within the
-window is a result, and a rule on the mask lets exactly one of its keys emit it, so
+it has, and events of one key meet within the window. Every such pair
+is a result, and a rule on the mask lets exactly one of its keys emit it, so
 no distinct is needed.
 
+How events meet. For all pairs an event is not sent once for each key: a few reasons (host, destination address, file hash, ...) are
+such that every smallest set holds one of them, and the event is sent once for each of these that it has, by token and
+block of time. Its keys are made where it arrives, and a window frame over the times of a key holds the partners, so no pair is
+sent either. For seeds key rows are joined on (key, time cell).
+
 How many pairs are made. With ``per_scope`` set pairs are counted first (``pair_counts``). The counts tell which reason masks the
 best pairs of a scope have; only groups of these are searched, and among pairs of equal
 value only the first by id are made. The result is exact.
@@ -26,7 +31,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright import vocab
@@ -35,6 +40,8 @@ from casewright.functions.text import clean
 from casewright.session import cut_lineage
 
 MODES = ("additive", "probabilistic_or", "max")
+#: Windows in a block of time. Events are sent by block; only those of its last window also go to the next one.
+BLOCK_WINDOWS = 8
 _N = len(vocab.REASON_NAMES)
 _BIT = {name: 1 << i for i, name in enumerate(vocab.REASON_NAMES)}
 _POS = {name: i for i, name in enumerate(vocab.REASON_NAMES)}
@@ -135,6 +142,20 @@ class Rules:
                 out.append(mask)
         return out
 
+    def places(self) -> list[tuple[int, list[int]]]:
+        """Reasons by whose tokens events are sent, each with its smallest sets; every set is in one of the lists.
+
+        Heavy reasons that many sets hold come first. Sets of parent or technique alone have no token and are under -1.
+        """
+        rest, out = self.smallest_sets(), []
+        plain = [i for i in range(_N) if not (_PARENT | _TECHNIQUE) >> i & 1]
+        worth = lambda i: sum(m >> i & 1 for m in rest) * self.weights[vocab.REASON_NAMES[i]]
+        while any(m >> i & 1 for m in rest for i in plain):
+            best = max((i for i in plain if any(m >> i & 1 for m in rest)), key=worth)
+            out.append((best, [m for m in rest if m >> best & 1]))
+            rest = [m for m in rest if not m >> best & 1]
+        return [*out, (-1, rest)] if rest else out
+
     # -- lookups by mask, as columns ------------------------------------------------------
 
     def _table(self, values: list, kind: str, mask: Column) -> Column:
@@ -329,6 +350,52 @@ def _matched(
     return _pair_rows(joined if events is None else _completed(joined, scope, events), scope)
 
 
+def _blocks(narrow: DataFrame, rules: Rules) -> DataFrame:
+    """Events sent to where they meet: one row for each of ``Rules.places`` whose sets they can take part in.
+
+    ``_home`` is false for the copies of a block's last window in the next block; their partners there are all later.
+    """
+    window = max(rules.window_micros, 1)
+    places = [{"reason": reason, "sets": _set_list(masks)} for reason, masks in rules.places()]
+    listed = F.from_json(F.lit(json.dumps(places)), f"array<struct<reason:int,sets:{_SET_TYPE}>>")
+    could = F.col("held") + F.expr(f"CASE WHEN pid IS NOT NULL OR ppid IS NOT NULL THEN {_PARENT} ELSE 0 END")
+    could = could + F.expr(f"CASE WHEN size(techs) > 0 THEN {_TECHNIQUE} ELSE 0 END")
+    usable = F.filter(listed, lambda p: F.exists(p["sets"], lambda s: s["mask"].bitwiseAND(F.col("_could")) == s["mask"]))
+    rows = narrow.withColumn("_could", could).withColumn("_reason", F.explode(F.transform(usable, lambda p: p["reason"]))).drop("_could")
+    rows = rows.withColumn("_token", F.when(F.col("_reason") >= 0, F.get("tok", F.col("_reason"))))
+    first, last = (F.floor((F.col("ts") + more) / (window * BLOCK_WINDOWS)).cast("long") for more in (F.lit(0), F.lit(rules.window_micros)))
+    rows = rows.withColumn("_own", first).withColumn("_block", F.explode(F.array_distinct(F.array(first, last))))
+    rows = rows.withColumn("_home", F.col("_own") == F.col("_block")).drop("_own")
+    return rows.repartition("scope_key", "_reason", "_token", "_block")
+
+
+def _met(narrow: DataFrame, scope: Sequence[str], rules: Rules, fresh: str | None = None) -> DataFrame:
+    """All qualifying pairs of ``narrow``, earlier event first, each once; with ``fresh`` those with an event of that flag."""
+    place = ["scope_key", "_reason", "_token", "_block"]
+    # the sets of a place by what a form of an event is for: a look instead of a search
+    needs, masks = (0, _PARENT, _TECHNIQUE, _PARENT | _TECHNIQUE), dict(rules.places())
+    by_need = [[_set_list([m for m in masks.get(r, ()) if m & needs[-1] == need]) for need in needs] for r in range(-1, _N)]
+    listed = F.from_json(F.lit(json.dumps(by_need)), f"array<array<{_SET_TYPE}>>")
+    need = F.col("v.need")
+    own = F.get(F.get(listed, F.col("_reason") + 1), sum(F.when(need == n, i).otherwise(0) for i, n in enumerate(needs)))
+    flag = [fresh] if fresh else []
+    carry = [*place[1:], "_home", *[c for c in scope if c not in place], *_WIDE, *flag]
+    rows = key_rows(_blocks(narrow, rules), own, rules, carry)
+    frame = Window.partitionBy(*place, "mask", "key").orderBy("ts").rangeBetween(0, rules.window_micros)
+    partner = F.struct("event_id", "ts", "role", *_WIDE, *flag)
+    rows = rows.withColumn("_near", F.collect_list(F.when(F.col("_home"), partner)).over(frame))
+    # a row at home is in its own frame
+    rows = rows.filter(F.size("_near") > F.col("_home").cast("int"))
+    first = F.struct(*scope, "event_id", "ts", "mask", "technique", "role", *_WIDE, *flag).alias("a")
+    pairs = rows.select(first, F.explode("_near").alias("b"))
+    c = F.col
+    later = (c("a.ts") < c("b.ts")) | ((c("a.ts") == c("b.ts")) & (c("a.event_id") < c("b.event_id")))
+    pairs = pairs.filter(later & _roles_fit())
+    if fresh:
+        pairs = pairs.filter(c(f"a.{fresh}") | c(f"b.{fresh}"))
+    return _once(_pair_rows(pairs, scope), rules)
+
+
 def _completed(joined: DataFrame, scope: Sequence[str], events: DataFrame) -> DataFrame:
     """Matches of narrow key rows with both events as structs ``a`` and ``b``."""
     c = F.col
@@ -417,9 +484,7 @@ def correlate_all(
         from casewright.operators import pair_counts  # built on this module
 
         return pair_counts.Pairs(events, scope, rules).top(per_scope)
-    narrow = cut_lineage(one_per_id(tokens(events, scope)))  # read several times below
-    rows = key_rows(narrow, _set_literal(rules.smallest_sets()), rules)
-    return _scored(_once(_matched(rows, rows, scope, rules, events=narrow), rules), scope, rules)
+    return _scored(_met(one_per_id(tokens(events, scope)), scope, rules), scope, rules)
 
 
 def correlate_seeds(
