@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -508,6 +508,46 @@ def correlate_seeds(
 # -- the streaming form --------------------------------------------------------------------------
 
 
+def pair_writer(
+    folder: str, lateness_seconds: float, scope: Sequence[str] = ("tenant_id",), rules: Rules | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """Handler for ``foreachBatch`` that writes all qualifying pairs of a stream; read them with ``written_pairs``.
+
+    A trigger's events meet each other and the kept ones, by the means of the batch form, so both give the same
+    pairs. Kept are, as narrow rows below ``folder``, events of the last window and lateness; no key rows and no pairs are state.
+    Of the deliveries of one event id the first to arrive counts. Events more than ``lateness_seconds`` older than the
+    newest of earlier triggers are dropped. A repeated trigger writes the same files again.
+    """
+    rules, scope = rules or Rules(), list(scope)
+    late = int(round(lateness_seconds * 1_000_000))
+    reach = late + max(rules.window_micros, late)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = one_per_id(tokens(batch, scope))
+        # three places in turn: the one before is read, and a repeated trigger overwrites its own
+        place = lambda n: f"{folder}/kept/{n % 3}"
+        known = spark.read.schema(new.schema).parquet(place(number - 1)) if number else None
+        newest = known.agg(F.max("ts")).first()[0] if number else None
+        if newest is not None:
+            new = new.filter(F.col("ts") >= newest - late).join(known.select("scope_key", "event_id"), ["scope_key", "event_id"], "left_anti")
+        rows = new.select(*known.columns if number else new.columns).withColumn("_fresh", F.lit(True))
+        if number:
+            rows = rows.unionByName(known.withColumn("_fresh", F.lit(False)))
+        pairs = _met(rows, scope, rules, "_fresh").select(*scope, "source_event_id", "related_event_id", "delta_micros", "mask")
+        pairs.write.mode("overwrite").parquet(f"{folder}/pairs/batch={number}")
+        times = [t for t in (newest, batch.agg(F.max(F.unix_micros("timestamp"))).first()[0]) if t is not None]
+        kept = rows.drop("_fresh").filter(F.col("ts") >= (max(times) if times else 0) - reach)
+        kept.write.mode("overwrite").parquet(place(number))
+
+    return handle
+
+
+def written_pairs(spark: SparkSession, folder: str, scope: Sequence[str] = ("tenant_id",), rules: Rules | None = None) -> DataFrame:
+    """The pairs that ``pair_writer`` has written, scored; ids, time and reasons are stored, the rest follows from them."""
+    return _scored(spark.read.parquet(f"{folder}/pairs"), list(scope), rules or Rules())
+
+
 def correlate_stream(
     events: DataFrame, lateness: str, scope: Sequence[str] = ("tenant_id",), rules: Rules | None = None,
 ) -> DataFrame:
@@ -516,6 +556,7 @@ def correlate_stream(
     Keys and the once-only rule are those of the batch form, so both give the same
     pairs; of the deliveries of one event id the first to arrive counts. The time cell is among
     the keys, so a busy key is split over its cells. The watermark lets Spark drop rows older than window plus ``lateness``.
+    State holds every key of a trigger's events: triggers must be small. ``pair_writer`` has no such bound.
     """
     rules = rules or Rules()
     scope = list(scope)

@@ -68,3 +68,30 @@ def test_an_event_is_sent_by_reason_and_not_by_set(spark, make_events, rows):
     sent = correlate._blocks(narrow, rules).filter("_home").count()
     keys = correlate.key_rows(narrow, correlate._set_literal(rules.smallest_sets()), rules).count()
     assert sent <= len(rows) * 3 and sent < keys / 2
+
+
+def test_written_pairs_of_many_triggers(spark, make_events, tmp_path, rows):
+    first, rest = rows[:60], rows[60:]
+    slow = rest.pop(10)  # comes a trigger later, within the lateness
+    again = dict(first[-1], host="h9")  # a second delivery, to be ignored
+    parts = [first, rest[:40] + [again], [slow] + rest[40:]]
+    for i, part in enumerate(parts):
+        make_events(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = make_events(rows)
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    handle, repeated = correlate.pair_writer(str(tmp_path), 1200), []
+
+    def twice(batch, number):  # a trigger that is run again gives the same
+        handle(batch, number)
+        handle(batch, number)
+        repeated.append(number)
+
+    run = source.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(twice).start()
+    run.awaitTermination()
+    assert repeated == [0, 1, 2]
+    assert found(correlate.written_pairs(spark, str(tmp_path))) == found(correlate.correlate_all(events))
+    # state is a table of the last events alone
+    assert not (tmp_path / "state" / "state").exists()
+    newest = BASE + dt.timedelta(seconds=149 * 25)
+    kept = spark.read.parquet(str(tmp_path / "kept" / "2")).agg(F.min("ts"), F.count("*")).first()
+    assert kept[0] >= (newest - dt.timedelta(seconds=2400) - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1) and kept[1] < len(rows)
