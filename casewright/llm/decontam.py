@@ -170,6 +170,15 @@ def _runs(hashes: Column, size: Column | int) -> Column:
     return F.when(n >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
+def _each(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """A row for each value of the list ``column``, as ``name``. No value is null.
+
+    For a plain ``explode`` Spark puts a filter on the list's size before it, which makes an expensive list twice.
+    """
+    spread = rows.select(*[c for c in rows.columns if c != column], F.explode_outer(column).alias(name))
+    return spread.filter(F.col(name).isNotNull())
+
+
 def _stretches(known: DataFrame) -> DataFrame:
     """Add ``found``: (start, end, shared, own) of the item-sized stretches that begin from ``first`` to ``last``.
 
@@ -180,25 +189,31 @@ def _stretches(known: DataFrame) -> DataFrame:
     rows = known.withColumn("own", _runs(F.col("part"), F.least("length", F.lit(SHINGLE))))
     numbered = F.transform("own", lambda h, i: F.struct(h.alias("h"), (i + F.col("base")).alias("at")))
     rows = rows.withColumn("base", base).withColumn("good", F.filter(numbered, lambda g: F.array_contains("shingles", g["h"])))
-    rows = rows.drop("own", "part").filter(100 * F.size("good") >= PERCENT * F.size("shingles"))
+    rows = rows.drop("own", "part")
 
     def back(g: Column) -> Column:
         same = F.filter("good", lambda y: (y["h"] == g["h"]) & (y["at"] < g["at"]))
         most = F.size(F.filter("shingles", lambda s: s == g["h"]))
         return F.coalesce(F.get(same, F.size(same) - most)["at"], F.lit(-1))
 
+    def mark(g: Column, back: Column | None) -> Column:
+        """The first begins from ``low`` to ``high`` of the stretches in which the shingle counts."""
+        low = g["at"] + run - F.col("length")
+        return F.struct((low if back is None else F.greatest(low, F.when(back >= 0, back + 1))).alias("low"), g["at"].alias("high"))
+
     single = F.size(F.array_distinct(F.transform("good", lambda g: g["h"]))) == F.size("good")
-    marks = F.when(single, F.transform("good", lambda g: F.struct(g["at"].alias("at"), F.lit(-1).alias("back")))).otherwise(
-        F.transform("good", lambda g: F.struct(g["at"].alias("at"), back(g).alias("back")))
-    )
-    rows = rows.withColumn("marks", marks).drop("good")
+    marks = F.when(single, F.transform("good", lambda g: mark(g, None))).otherwise(F.transform("good", lambda g: mark(g, back(g))))
+    # no filter: it would be put before the lists and make them once more
+    enough = 100 * F.size("good") >= PERCENT * F.size("shingles")
+    rows = rows.withColumn("marks", F.when(enough, marks)).drop("good")
 
     def stretch(first: Column) -> Column:
         start, end = F.greatest(first, F.lit(0)), F.least(first + F.col("length"), F.col("size"))
-        held = F.filter("marks", lambda m: (m["at"] >= start) & (m["at"] <= end - run) & (m["back"] < start))
+        held = F.filter("marks", lambda m: (m["low"] <= first) & (m["high"] >= first))
         return F.struct(start.alias("start"), end.alias("end"), F.size(held).alias("shared"), (end - run - start + 1).alias("own"))
 
-    return rows.withColumn("found", F.transform(F.sequence("first", "last"), stretch)).drop("marks")
+    found = F.when(F.col("marks").isNotNull(), F.transform(F.sequence("first", "last"), stretch))
+    return rows.withColumn("found", found).drop("marks")
 
 
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -236,7 +251,7 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("content", F.xxhash64(text_or_empty()))
     base = texts.select("doc_id", "content", word_hashes("text").alias("words"))
     tiles = reduce(lambda a, b: F.concat(a, b), [_prints(F.col("words"), w, w) for w in widths])
-    tiled = base.select("doc_id", "content", F.explode(tiles).alias("t")).select("doc_id", "content", "t.width", "t.place", "t.print")
+    tiled = _each(base.select("doc_id", "content", tiles.alias("_t")), "_t", "t").select("doc_id", "content", "t.width", "t.place", "t.print")
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
     probes = _by_block(tiled, ["doc_id", "content", "width", "place"]).withColumnsRenamed({"width": "_width", "block": "_block"})
     hits = probes.join(index, (F.col("_width") == F.col("width")) & (F.col("_block") == F.col("block")) & near)
@@ -264,10 +279,11 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         part = F.slice("words", begin + 1, F.least(F.size("words"), p["last"] + p["length"]) - begin)
         return F.struct(p["item_id"].alias("item_id"), p["length"].alias("length"), p["first"].alias("first"), p["last"].alias("last"), part.alias("part"))
 
-    near_hits = placed.select("doc_id", F.size("words").alias("size"), F.explode(F.transform("places", around)).alias("p")).select("doc_id", "size", "p.*")
+    near_hits = placed.select("doc_id", F.size("words").alias("size"), F.transform("places", around).alias("_p"))
+    near_hits = _each(near_hits, "_p", "p").select("doc_id", "size", "p.*")
     known = items.select(F.col("item_id").alias("_item"), F.col("length").alias("_length"), "shingles")
     known = near_hits.join(known, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("length") == F.col("_length")))
-    compared = _stretches(known).select("doc_id", "item_id", F.size("shingles").alias("n"), F.explode("found").alias("f")).select("doc_id", "item_id", "n", "f.*")
+    compared = _each(_stretches(known).select("doc_id", "item_id", F.size("shingles").alias("n"), "found"), "found", "f").select("doc_id", "item_id", "n", "f.*")
     total = F.col("n") + F.col("own") - F.col("shared")
     similar = compared.filter("own > 0").filter(100 * F.col("shared") >= PERCENT * total).withColumn("similarity", F.col("shared") / total)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("_first"), F.col("end"))).alias("best")

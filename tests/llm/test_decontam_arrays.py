@@ -1,0 +1,47 @@
+"""Lists of decontamination are made once, and stretches are counted right."""
+
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from casewright.llm import decontam
+
+
+def _known(spark, rows):
+    schema = "doc_id long, item_id long, size int, length int, first int, last int, part array<bigint>, shingles array<bigint>"
+    frame = spark.createDataFrame([r[:7] + (r[7],) for r in rows], schema.replace("shingles", "item"))
+    return frame.withColumn("shingles", decontam._runs(F.col("item"), F.least("length", F.lit(decontam.SHINGLE)))).drop("item")
+
+
+def test_stretches_equal_trying_all(spark):
+    rng, rows, want = random.Random(8), [], set()
+    for n in range(300):
+        item = [rng.randrange(4) for _ in range(rng.randrange(1, 14))]
+        text = [rng.randrange(4) for _ in range(rng.randrange(1, 30))]
+        place = rng.randrange(len(text) + 1)
+        text = text[:place] + item + text[place:]
+        length, size, last = len(item), len(text), rng.randrange(len(text))
+        first = last - rng.randrange(length + 1)
+        rows.append((n, n, size, length, first, last, text[max(first, 0) : min(size, last + length)], item))
+        run = min(length, decontam.SHINGLE)
+        shingles = lambda w: Counter(tuple(w[i : i + run]) for i in range(len(w) - run + 1))  # noqa: B023, E731
+        for begin in range(first, last + 1):
+            start, end = max(begin, 0), min(begin + length, size)
+            own, of_item = shingles(text[start:end]), shingles(item)
+            shared = sum((own & of_item).values())
+            if own and 100 * shared >= decontam.PERCENT * sum((own | of_item).values()):
+                want.add((n, start, end, shared))
+    made = decontam._each(decontam._stretches(_known(spark, rows)).select("doc_id", F.size("shingles").alias("n"), "found"), "found", "f")
+    good = made.filter("f.own > 0 AND 100 * f.shared >= 80 * (n + f.own - f.shared)").select("doc_id", "f.start", "f.end", "f.shared")
+    got = {tuple(r) for r in good.collect()}
+    assert len(want) > 50
+    assert got == want
+
+
+def test_lists_are_made_once(spark):
+    """Spark filters a list by its size before a plain ``explode``, which makes the list in the filter as well."""
+    words = spark.range(3).select(F.array(F.col("id"), F.col("id") + 1).alias("words"))
+    made = decontam._each(words.select(decontam._prints(F.col("words"), 2, 2).alias("_t")), "_t", "t")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and made.count() == 3
