@@ -10,6 +10,7 @@ item by the multiset of its 5-word shingles, so blocks of the item may stand in
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -170,35 +171,53 @@ def _runs(hashes: Column, size: Column | int) -> Column:
     return F.when(n >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value made once.
+
+    Spark copies a column's expression to the place that names it, into lambdas too, where it is made for each element.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _stretches(known: DataFrame) -> DataFrame:
-    """Add ``found``: (start, end, shared, own) of the item-sized stretches that begin from ``first`` to ``last``.
+    """(doc_id, item_id, n, start, end, shared, own) of the item-sized stretches that begin from ``first`` to ``last``.
 
-    ``part`` holds the words that they cover, ``size`` is the document's length. A shingle at a place counts
-    in all stretches that hold it and hold fewer of its kind before it than the item has.
+    ``part`` holds the words that they cover, ``size`` is the document's length, ``n`` the number of the item's shingles. A shingle
+    at a place counts in all stretches that hold it and hold fewer of its kind before it than the item has.
     """
     run, base = F.least("length", F.lit(SHINGLE)), F.greatest("first", F.lit(0))
-    rows = known.withColumn("own", _runs(F.col("part"), F.least("length", F.lit(SHINGLE))))
-    numbered = F.transform("own", lambda h, i: F.struct(h.alias("h"), (i + F.col("base")).alias("at")))
-    rows = rows.withColumn("base", base).withColumn("good", F.filter(numbered, lambda g: F.array_contains("shingles", g["h"])))
-    rows = rows.drop("own", "part").filter(100 * F.size("good") >= PERCENT * F.size("shingles"))
+    numbered = F.transform(_runs(F.col("part"), run), lambda h, i: F.struct(h.alias("h"), (i + base).alias("at")))
+    good = F.filter(numbered, lambda g: F.array_contains("shingles", g["h"]))
 
-    def back(g: Column) -> Column:
-        same = F.filter("good", lambda y: (y["h"] == g["h"]) & (y["at"] < g["at"]))
+    def back(good: Column, g: Column) -> Column:
+        same = F.filter(good, lambda y: (y["h"] == g["h"]) & (y["at"] < g["at"]))
         most = F.size(F.filter("shingles", lambda s: s == g["h"]))
-        return F.coalesce(F.get(same, F.size(same) - most)["at"], F.lit(-1))
+        return F.coalesce(_let(same, lambda y: F.get(y, F.size(y) - most)["at"]), F.lit(-1))
 
-    single = F.size(F.array_distinct(F.transform("good", lambda g: g["h"]))) == F.size("good")
-    marks = F.when(single, F.transform("good", lambda g: F.struct(g["at"].alias("at"), F.lit(-1).alias("back")))).otherwise(
-        F.transform("good", lambda g: F.struct(g["at"].alias("at"), back(g).alias("back")))
-    )
-    rows = rows.withColumn("marks", marks).drop("good")
+    def marks(good: Column) -> Column:
+        single = F.size(F.array_distinct(F.transform(good, lambda g: g["h"]))) == F.size(good)
+        return F.when(single, F.transform(good, lambda g: F.struct(g["at"].alias("at"), F.lit(-1).alias("back")))).otherwise(
+            F.transform(good, lambda g: F.struct(g["at"].alias("at"), back(good, g).alias("back")))
+        )
+
+    def stretch(marks: Column, start: Column, end: Column) -> Column:
+        def counted(bounds: Column) -> Column:
+            held = F.filter(marks, lambda m: (m["at"] >= bounds["start"]) & (m["at"] <= bounds["upto"]) & (m["back"] < bounds["start"]))
+            own = bounds["upto"] - bounds["start"] + 1
+            return F.struct(bounds["start"].alias("start"), (bounds["upto"] + run).alias("end"), F.size(held).alias("shared"), own.alias("own"))
+
+        return _let(F.struct(start.alias("start"), (end - run).alias("upto")), counted)
+
+    def found(marks: Column) -> Column:
+        begins = F.sequence("first", "last")
+        return F.transform(begins, lambda f: stretch(marks, F.greatest(f, F.lit(0)), F.least(f + F.col("length"), F.col("size"))))
 
-    def stretch(first: Column) -> Column:
-        start, end = F.greatest(first, F.lit(0)), F.least(first + F.col("length"), F.col("size"))
-        held = F.filter("marks", lambda m: (m["at"] >= start) & (m["at"] <= end - run) & (m["back"] < start))
-        return F.struct(start.alias("start"), end.alias("end"), F.size(held).alias("shared"), (end - run - start + 1).alias("own"))
+    def compared(good: Column) -> Column:
+        return F.when(100 * F.size(good) >= PERCENT * F.size("shingles"), _let(marks(good), found))
 
-    return rows.withColumn("found", F.transform(F.sequence("first", "last"), stretch)).drop("marks")
+    # the list stands in the explode itself: a filter on a column of it would make it once more
+    spread = known.select("doc_id", "item_id", F.size("shingles").alias("n"), F.explode(_let(good, compared)).alias("f"))
+    return spread.select("doc_id", "item_id", "n", "f.*")
 
 
 def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -267,7 +286,7 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     near_hits = placed.select("doc_id", F.size("words").alias("size"), F.explode(F.transform("places", around)).alias("p")).select("doc_id", "size", "p.*")
     known = items.select(F.col("item_id").alias("_item"), F.col("length").alias("_length"), "shingles")
     known = near_hits.join(known, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("length") == F.col("_length")))
-    compared = _stretches(known).select("doc_id", "item_id", F.size("shingles").alias("n"), F.explode("found").alias("f")).select("doc_id", "item_id", "n", "f.*")
+    compared = _stretches(known)
     total = F.col("n") + F.col("own") - F.col("shared")
     similar = compared.filter("own > 0").filter(100 * F.col("shared") >= PERCENT * total).withColumn("similarity", F.col("shared") / total)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("_first"), F.col("end"))).alias("best")
